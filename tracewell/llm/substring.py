@@ -26,7 +26,7 @@ from .session import checkpoint
 from .textvec import U64, Slice, run_hash, run_prefix, signed, slices, text_of
 
 WINDOW = 50
-ANCHOR = 12
+ANCHOR = 25
 PLACE_BITS = 28
 NO_ID = 2**63 - 1
 
@@ -87,9 +87,9 @@ def find_windows(window: int, anchor: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            places = batch.column(3)
-            for s in slices(text_of(batch.column(2))):
+            order, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            places = batch.column(4)
+            for s in slices(text_of(batch.column(3))):
                 a = Anchors(s, window, anchor)
                 if not len(a.windows):
                     continue
@@ -160,14 +160,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seeds = checkpoint(places.join(repeated, "anchor", "left_semi"))
     classes = seeds.groupBy("anchor", "context").agg(F.min("doc_order").alias("first_doc"))
     several = classes.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("several"))
-    seeds = seeds.join(classes.join(several, "anchor"), ["anchor", "context"])
+    later = F.col("doc_order") > F.col("first_doc")
     enough = F.col("left_words") + F.col("right_words") + anchor >= window
-    whole = seeds.filter((F.col("doc_order") > F.col("first_doc")) & enough).select(
+    seeds = checkpoint(seeds.join(classes.join(several, "anchor"), ["anchor", "context"]).filter((later & enough) | (~later & F.col("several"))).withColumn("later", later))
+    whole = seeds.filter("later").select(
         "row_key", "doc_order", (F.col("place") - F.col("left_words")).alias("from"), (F.col("place") + anchor + F.col("right_words")).alias("to")
     )
-    open_places = seeds.filter((F.col("doc_order") == F.col("first_doc")) & F.col("several")).groupBy("row_key", "doc_order").agg(F.collect_set("place").alias("places"))
-    windows = rows.join(open_places, ["row_key", "doc_order"]).select("doc_order", "row_key", "text", "places").mapInArrow(find_windows(window, anchor), RUNS)
-    windows = checkpoint(windows)
+    open_places = seeds.filter("NOT later").groupBy("row_key", "doc_order").agg(F.collect_set("place").alias("places"))
+    windows = rows.join(open_places, ["row_key", "doc_order"]).select(*rows.columns, "places").mapInArrow(find_windows(window, anchor), RUNS)
     first = windows.groupBy("window_a", "window_b").agg(F.min("doc_order").alias("_low"), F.max("doc_order").alias("_high")).filter("_low < _high")
     parts = windows.join(first, ["window_a", "window_b"]).filter("doc_order > _low").select("row_key", "doc_order", F.col("first_word").alias("from"), (F.col("first_word") + window).alias("to"))
     runs = whole.unionByName(parts).groupBy("row_key", "doc_order").agg(F.collect_set(F.struct("from", "to")).alias("runs"))  # as many as the row has words at most
