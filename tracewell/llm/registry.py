@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, extract, jaccard, langid, mixing, quality, sharding, substring
+from . import bpe, exact_dedup, extract, jaccard, langid, mixing, quality, scoring, sharding, substring
 from .session import table
 
 
@@ -15,6 +15,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_exact_dedup, op4_quality_rules, op5_jaccard_join, op6_sharding, op7_mixing, op8_html_extraction, op9_language_id, op10_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_exact_dedup, op4_quality_rules, op5_jaccard_join, op6_sharding, op7_mixing, op8_html_extraction, op9_language_id, op10_bpe)}
 
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
