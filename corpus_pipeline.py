@@ -1,10 +1,50 @@
-"""The corpus pipeline: language ID, exact dedup, n-gram Jaccard join, mixing, BPE."""
+"""The corpus pipeline: language ID, exact dedup, n-gram Jaccard join, source mixing, BPE.
+
+Each stage takes all that the one before it kept.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewell.llm import bpe, exact_dedup, jaccard, langid, mixing
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go: too far from every language, or without a letter."""
+    return langid.keep_identified(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest doc_id stays."""
+    return exact_dedup.deduplicate(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays."""
+    return jaccard.one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.copies(mixing.mix_sources(docs, mixing.word_count(F.col("text"))), docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text."""
+    return bpe.digests(bpe.decode_documents(bpe.encode_documents(docs)))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("jaccard_join", drop_near_copies),
+    ("mixing", mix),
+    ("bpe", encode),
+]
 
-STAGES: list = []
+#: SQL has no way to say the classifier, the seeded mix or the encoder.
 ORACLE_SQL = None
 
 

@@ -64,6 +64,7 @@ class OpenTable:
         self.digests: list[bytes] = []
         self.count: list[int] = []
         self.keep: list[int] = []
+        self.row: list = []
         self.bytes = 0
 
     def _slot(self, h: int, body: bytes) -> int:
@@ -73,7 +74,7 @@ class OpenTable:
             at = (at + 1) & mask
         return at
 
-    def add(self, h: int, digest: bytes, body: bytes, ids: list[int]) -> int:
+    def add(self, h: int, digest: bytes, body: bytes, ids: list[int], row=None) -> int:
         at = self._slot(h, body)
         i = int(self.slots[at])
         if i < 0:
@@ -83,11 +84,13 @@ class OpenTable:
             self.digests.append(digest)
             self.count.append(0)
             self.keep.append(NO_ID)
-            self.bytes += len(body) + 250
+            self.row.append(row)
+            self.bytes += len(body) * (1 if row is None else 2) + 250
             if 2 * len(self.bodies) > len(self.slots):
                 self._grow()
         self.count[i] += len(ids)
-        self.keep[i] = max(self.keep[i], max(ids))
+        if max(ids) > self.keep[i]:
+            self.keep[i], self.row[i] = max(ids), row
         return int(i)
 
     def _grow(self) -> None:
@@ -109,20 +112,23 @@ def _stored(file) -> Iterator:
             return
 
 
-def grace(records: Iterator[tuple[int, bytes, bytes, list[int]]], limit: int, depth: int = 0) -> Iterator[tuple[OpenTable, list[tuple[int, list[int]]]]]:
-    """(table, some (group, ids)) over records; a bucket too large for the table is spilled and split."""
+def grace(records: Iterator[tuple], limit: int, depth: int = 0) -> Iterator[tuple[OpenTable, list[tuple[int, list[int]]]]]:
+    """(table, some (group, ids)) over records (hash, digest, body, ids, row of the largest id or None).
+
+    A table is complete when it is first given out.  A bucket too large for it is spilled and split.
+    """
     table = OpenTable()
     with tempfile.TemporaryFile() as members:
         spilled = None
-        for h, digest, body, ids in records:
+        for h, digest, body, ids, row in records:
             if spilled is None and table.bytes > limit and depth < MAX_DEPTH:
                 spilled = [tempfile.TemporaryFile() for _ in range(FAN_OUT)]
             if spilled is not None:
                 at = table._slot(h, body)
                 if table.slots[at] < 0:  # texts that the table holds stay in it
-                    pickle.dump((h, digest, body, ids), spilled[(h >> (60 - 4 * depth)) & (FAN_OUT - 1)])
+                    pickle.dump((h, digest, body, ids, row), spilled[(h >> (60 - 4 * depth)) & (FAN_OUT - 1)])
                     continue
-            pickle.dump((table.add(h, digest, body, ids), ids), members)
+            pickle.dump((table.add(h, digest, body, ids, row), ids), members)
         for member in _stored(members):
             yield table, [member]
     del table
@@ -135,7 +141,7 @@ def survivors(batches: Iterator[pa.RecordBatch], limit: int = TABLE_BYTES) -> It
     def records():
         for batch in batches:
             for row in zip(batch.column(0).to_pylist(), *(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                yield row[0] & (2**63 - 1), *row[1:]
+                yield row[0] & (2**63 - 1), *row[1:], None
 
     out: list[tuple] = []
 
@@ -171,3 +177,55 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     width = shuffle_width(docs.sparkSession)
     folded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(fold_batch, FOLDED)
     return folded.repartition(width, "bucket").mapInArrow(survivors, RESULT)
+
+
+def first_rows(names: list[str], id_col: str, text_col: str):
+    """Whole rows for survivors(): of the copies in a batch only the one with the largest id goes on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best: dict[bytes, tuple[int, int]] = {}
+            ids = batch.column(names.index(id_col)).cast(pa.int64()).to_pylist()
+            for i, body in enumerate(text_of(batch.column(names.index(text_col))).cast(pa.binary())):
+                body, order = body.as_py().lower(), NO_ID if ids[i] is None else ids[i]
+                if body not in best or order > best[body][0]:
+                    best[body] = order, i
+            bucket = np.frombuffer(b"".join(hashlib.sha256(b).digest()[:8] for b in best), "<i8")
+            rows = batch.take(pa.array([i for _, i in best.values()], pa.int64()))
+            yield pa.record_batch([pa.array(bucket), *rows.columns], names=["_bucket", *names])
+
+    return run
+
+
+def surviving_rows(names: list[str], id_col: str, text_col: str, limit: int = TABLE_BYTES):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list[pa.DataType] = []
+
+        def records():
+            for batch in batches:
+                kinds[:] = [c.type for c in batch.columns[1:]]
+                for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    body = (row[names.index(text_col)] or "").encode().lower()
+                    order = row[names.index(id_col)]
+                    yield bucket & (2**63 - 1), b"", body, [NO_ID if order is None else order], row
+
+        last = None
+        for table, _ in grace(records(), limit):
+            if table is not last:
+                last = table
+                for at in range(0, len(table.row), 1000):
+                    columns = zip(*table.row[at : at + 1000], strict=True)
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return run
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns: of equal texts the one with the largest id.
+
+    Of rows that tie on the largest id, or have none, one stays.
+    """
+    names = docs.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    first = docs.mapInArrow(first_rows(names, id_col, text_col), f"_bucket long, {fields}")
+    return first.repartition(shuffle_width(docs.sparkSession), "_bucket").mapInArrow(surviving_rows(names, id_col, text_col), fields)

@@ -296,7 +296,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Texts are lower-cased in A-Z.  Null texts and texts without words have no shingle and link with
     nothing.  Repeated rows and copies are one class.  Null ids rank last; a component of rows without ids
-    has a null id.  row_key tells rows with other ids or texts apart.
+    has a null id.  row_key tells rows with other ids or texts apart; first marks one row_key of each
+    component, that with the smallest id, and all rows without words.
     """
     width = shuffle_width(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -317,8 +318,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     large = sent.repartition(width, "task").sortWithinPartitions("task").mapInArrow(count_overlaps(words, percent), "a long, b long")
     links = large.unionByName(small_links(texts, words, boundary, percent)) if boundary else large
     joined = connected_components(links)
-    classed = classes.join(joined, F.col("set_key") == F.col("node"), "left").select("set_key", F.coalesce("component", "set_key").alias("component"), F.col("rep.doc_order").alias("doc_order"))
-    least_doc = classed.groupBy("component").agg(F.min("doc_order").alias("_least"))
-    by_set = classed.join(least_doc, "component").select("set_key", "_least")
+    classed = classes.join(joined, F.col("set_key") == F.col("node"), "left").select("set_key", F.coalesce("component", "set_key").alias("component"), "rep")
+    least = classed.groupBy("component").agg(F.min("rep").alias("_least"))
+    by_set = classed.join(least, "component").select("set_key", "_least")
     found = sets.join(by_set, "set_key", "left")
-    return found.select("doc_id", "row_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.nullif("_least", F.lit(NO_ID))).otherwise(F.col("doc_id")).alias("component_id"))
+    some = F.col("n_shingles") > 0
+    return found.select(
+        "doc_id",
+        "row_key",
+        "n_shingles",
+        F.when(some, F.nullif("_least.doc_order", F.lit(NO_ID))).otherwise(F.col("doc_id")).alias("component_id"),
+        (~some | (F.col("row_key") == F.col("_least.row_key"))).alias("first"),
+    )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows that stay, with all their columns: of each component the one with the smallest id.
+
+    Rows with one id and one text count as one row.  Texts without words all stay.
+    """
+    first = jaccard_components(docs, id_col, text_col, words, percent).filter("first").select(F.col("row_key").alias("_row_key"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumn("_row_key", F.xxhash64(F.col(id_col).cast("long"), text))
+    return keyed.join(first, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)

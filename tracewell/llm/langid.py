@@ -165,3 +165,23 @@ def identify(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, id_col: str = "doc_
     """Fit on the labelled rows that are not held out and predict every row: adds held_out."""
     model = fit(*training_rows(docs, held_out(id_col), id_col, text_col, lang_col, rows))
     return predict_documents(docs, model, id_col, text_col).withColumn("held_out", held_out("doc_id"))
+
+
+def keep_identified(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows that the classifier does not reject, with all their columns.
+
+    It is fitted on labelled rows of the table itself, held-out ones excluded.
+    """
+    model = fit(*training_rows(docs, held_out(id_col), id_col, text_col, lang_col, rows))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few megabytes, whatever the rows
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = text_of(batch.column(at))
+            for s in slices(column, SLICE):
+                _, _, rejected = shared.value.predict(*vectors(s.data, s.offsets))
+                letters = np.array([_LETTER.search(x.as_py()) is not None for x in column.slice(s.lo, s.rows)], bool)
+                yield batch.slice(s.lo, s.rows).filter(pa.array(letters & ~rejected))
+
+    return docs.mapInArrow(run, docs.schema)
