@@ -1,11 +1,556 @@
-"""Registered queries over the event model and their SQL twins."""
+"""Registered queries over the event model, each with its SQL twin where SQL has one."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import durations, exprs
+from ..operators import audience, cohort, composition, identity, live, metrics, semantic, sessions
+from ..operators import facts as fact_ops
+from ..sources.model import EVENT_NOW, ORDER_NOW, Model
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+EV = """ev AS (SELECT event_id AS id, user_id AS passport_id, ts,
+  CASE event_type WHEN 'click' THEN 'web' WHEN 'view' THEN 'web' WHEN 'signup' THEN 'crm' WHEN 'purchase' THEN 'mail' ELSE 'voip' END AS channel,
+  CASE event_type WHEN 'view' THEN 'exposure' WHEN 'click' THEN 'expression' WHEN 'purchase' THEN 'conversion' WHEN 'signup' THEN 'observation' ELSE 'conversation' END AS direction,
+  CASE event_id % 4 WHEN 0 THEN 'video' WHEN 1 THEN 'page' WHEN 2 THEN 'text' END AS source,
+  NULLIF((event_id % 7) * 100, 0) AS dwell_ms, event_type AS a_event, value AS a_value, json_extract_string(props, '$.k') AS a_k FROM events)"""
+EX = EV + """, np AS (SELECT count(*) AS n FROM pages), ex AS (SELECT ev.*, p.url, split_part(split_part(p.url, '?', 1), '#', 1) AS curl
+  FROM ev CROSS JOIN np LEFT JOIN pages p ON p.page_id = ev.id % np.n)"""
+VIS = EV + """, s0 AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY passport_id ORDER BY ts, id) > INTERVAL 24 HOUR THEN 1 ELSE 0 END AS nw FROM ev),
+  s1 AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY passport_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seq FROM s0),
+  vis AS (SELECT *, passport_id || '-' || seq AS session_id, CASE seq % 4 WHEN 0 THEN 'google' WHEN 1 THEN 'meta' WHEN 2 THEN 'newsletter' END AS utm_source FROM s1)"""
+ORD = """ord AS (SELECT o_orderkey AS id, o_custkey AS passport_id, o_orderdate AS obs, o_orderstatus AS st, o_totalprice AS tot, o_orderpriority AS pri FROM orders),
+  cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY passport_id ORDER BY obs DESC, id DESC) AS rn FROM ord) WHERE rn = 1),
+  h AS (SELECT *, lag(st) OVER w AS pst, lag(tot) OVER w AS ptot, row_number() OVER w AS place FROM ord WINDOW w AS (PARTITION BY passport_id ORDER BY obs, id))"""
+ANCH = "anch AS (SELECT passport_id, min(ts) AS a FROM ev WHERE a_event = 'purchase' GROUP BY 1)"
+DAY = "%Y-%m-%d %H:%M:%S"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def model(spark: SparkSession, sf_dir: str) -> Model:
+    return Model(spark, sf_dir)
+
+
+def world(spark: SparkSession, sf_dir: str, now: str = EVENT_NOW) -> cohort.World:
+    m = Model(spark, sf_dir)
+    return cohort.World(m.passports, m.events, m.facts, now, visits=m.visits(), exposures=None)
+
+
+def _grouped(name: str, spec: dict, by: str, sql_bucket: str, sql_value: str, rows: str = "events", where: str = "TRUE", source: str = EV, table: str = "ev", limit: int | None = None, tail: str = "", **options) -> None:
+    def run(spark, sf_dir):
+        m = Model(spark, sf_dir)
+        events = m.visits() if rows == "visits" else getattr(m, rows)
+        return metrics.group(events, spec, by, EVENT_NOW, m.facts, limit=limit, **options)
+
+    run.__name__ = name
+    query(f"WITH {source} SELECT {sql_bucket} AS bucket, {sql_value} AS value FROM {table} WHERE {where} GROUP BY 1 {tail}")(run)
+
+
+PURCHASES = {"attrs": {"event": "purchase"}}
+BOUGHT = "a_event = 'purchase'"
+_grouped("group_sum_week", {**PURCHASES, "sum": {"field": "value"}}, "week", "strftime(ts, '%G-W%V')", "round(sum(a_value), 4)", where=BOUGHT)
+for grain, form in (("hour", "%Y-%m-%d %H:00"), ("day", "%Y-%m-%d"), ("month", "%Y-%m")):
+    _grouped(f"group_count_{grain}", {"count": {}}, grain, f"strftime(ts, '{form}')", "count(*)")
+_grouped("group_by_channel", {"count": {}}, "channel", "channel", "count(*)")
+_grouped("group_by_direction", {"direction": {"in": ["exposure", "conversion"]}, "count": {}}, "direction", "direction", "count(*)", where="direction IN ('exposure', 'conversion')")
+_grouped("group_by_source", {"count": {}}, "source", "source", "count(*)")
+_grouped("group_by_attr", {"sum": {"field": "value"}}, "attr:k", "a_k", "round(sum(a_value), 4)")
+_grouped("group_by_session_utm", {"count": {}}, "session:utm_source", "utm_source", "count(*)", rows="visits", source=VIS, table="vis")
+_grouped("group_content_url", {"count": {}}, "content_url", "curl", "count(*)", rows="exposures", source=EX, table="ex")
+_grouped("agg_distinct_sessions", {"distinct_sessions": {}}, "channel", "channel", "count(DISTINCT session_id)", rows="visits", source=VIS, table="vis")
+_grouped("agg_distinct_people", {"distinct_passports": {}}, "channel", "channel", "count(DISTINCT passport_id)")
+_grouped("agg_sum_dwell", {"sum_dwell_ms": {}}, "channel", "channel", "CAST(coalesce(sum(dwell_ms), 0) AS BIGINT)")
+for agg in ("avg", "min", "max"):
+    _grouped(f"agg_{agg}", {agg: {"field": "value"}}, "channel", "channel", f"round({agg}(a_value), 4)")
+_grouped("agg_median", {"median": {"field": "value"}}, "channel", "channel", "round(quantile_cont(a_value, 0.5), 4)")
+_grouped("agg_p90", {"percentile": {"field": "value", "p": 0.9}}, "channel", "channel", "round(quantile_cont(a_value, 0.9), 4)")
+_grouped("agg_earliest", {"earliest": {"field": "value"}}, "channel", "channel", "round(arg_min_null(a_value, row(ts, id)), 4)")
+_grouped("agg_latest", {"latest": {"field": "value"}}, "channel", "channel", "round(arg_max_null(a_value, row(ts, id)), 4)")
+_grouped("agg_first_seen", {"first_seen": {}}, "channel", "channel", f"strftime(min(ts), '{DAY}')")
+_grouped("agg_last_seen", {"last_seen": {}}, "channel", "channel", f"strftime(max(ts), '{DAY}')")
+_grouped("topn_value", {"sum": {"field": "value"}}, "attr:event", "a_event", "round(sum(a_value), 4)", limit=3, tail="ORDER BY 2 DESC NULLS LAST, 1 LIMIT 3")
+_grouped("topn_recent", {"count": {}}, "day", "strftime(ts, '%Y-%m-%d')", "count(*)", limit=7, tail="ORDER BY 1 DESC LIMIT 7")
+_grouped("attr_range", {"attrs": {"value": {"gte": 20, "lt": 80}}, "count": {}}, "channel", "channel", "count(*)", where="a_value >= 20 AND a_value < 80")
+_grouped("attr_ne", {"attrs": {"event": {"ne": "view"}}, "count": {}}, "attr:event", "a_event", "count(*)", where="a_event <> 'view'")
+_grouped("attr_in", {"attrs": {"event": {"in": ["view", "click"]}}, "count": {}}, "attr:event", "a_event", "count(*)", where="a_event IN ('view', 'click')")
+_grouped("attr_contains", {"attrs": {"event": {"contains": "ic"}}, "count": {}}, "attr:event", "a_event", "count(*)", where="contains(a_event, 'ic')")
+_grouped("attr_starts_ends", {"attrs": {"event": {"startsWith": "p", "endsWith": "se"}}, "count": {}}, "attr:event", "a_event", "count(*)", where="a_event LIKE 'p%se'")
+_grouped("attr_present", {"attrs": {"k": {"present": True}, "nothing": {"present": False}}, "count": {}}, "channel", "channel", "count(*)", where="a_k IS NOT NULL")
+_grouped("filter_source_missing", {"source": {"present": False}, "count": {}}, "channel", "channel", "count(*)", where="source IS NULL")
+_grouped("filter_last", {"last": "1w", "count": {}}, "day", "strftime(ts, '%Y-%m-%d')", "count(*)", where="ts >= TIMESTAMP '2024-01-24'")
+_grouped("filter_since_until", {"since": "2024-01-05", "until": "2024-01-10T12:00:00", "count": {}}, "day", "strftime(ts, '%Y-%m-%d')", "count(*)", where="ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10 12:00:00'")
+_grouped("filter_as_of", {"asOf": "2024-01-15", "last": "1M", "count": {}}, "channel", "channel", "count(*)", where="ts <= TIMESTAMP '2024-01-15' AND ts >= TIMESTAMP '2023-12-15'")
+_grouped("filter_session_utm", {"session": {"utm_source": ["google", "meta"]}, "count": {}}, "channel", "channel", "count(*)", rows="visits", source=VIS, table="vis", where="utm_source IN ('google', 'meta')")
+_grouped("filter_content_prefix", {"content": {"prefix": "https://"}, "count": {}}, "channel", "channel", "count(*)", rows="exposures", source=EX, table="ex", where="starts_with(curl, 'https://')")
+_grouped("group_by_fact", {"count": {}}, "fact:segment", "c_mktsegment", "count(*)", source=EV + ", j AS (SELECT * FROM ev LEFT JOIN customer ON c_custkey = passport_id)", table="j")
+_grouped("group_fact_band", {"distinct_passports": {}}, "fact:acctbal", "CASE WHEN c_acctbal IS NOT NULL THEN CAST(CAST(floor(c_acctbal / 1000) * 1000 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(floor(c_acctbal / 1000) * 1000 AS BIGINT) + 999 AS VARCHAR) END", "count(DISTINCT passport_id)", source=EV + ", j AS (SELECT * FROM ev LEFT JOIN customer ON c_custkey = passport_id)", table="j", band=1000)
+_grouped("group_fact_avg_two_level", {"avg": {"fact": "acctbal"}}, "channel", "channel", "round(avg(c_acctbal), 4)", source=EV + ", j AS (SELECT DISTINCT channel, passport_id, c_acctbal FROM ev LEFT JOIN customer ON c_custkey = passport_id)", table="j")
+for name, window, where in (
+    ("window_before", {"before": {"fact": "first_purchase_at"}}, "ts < a"),
+    ("window_after", {"after": {"fact": "first_purchase_at"}}, "ts >= a"),
+    ("window_within", {"after": {"fact": "first_purchase_at"}, "within": "7d"}, "ts >= a AND ts < a + INTERVAL 7 DAY"),
+    ("window_offset", {"before": {"fact": "first_purchase_at"}, "offset": "-12h"}, "ts < a - INTERVAL 12 HOUR"),
+    ("window_only", {"before": {"fact": "first_purchase_at"}, "missingAnchor": "only"}, "a IS NULL"),
+    ("window_include", {"before": {"fact": "first_purchase_at"}, "missingAnchor": "include"}, "a IS NULL OR ts < a"),
+    ("window_between", {"between": [{"fact": "first_purchase_at", "use": "min"}, {"fact": "first_purchase_at"}]}, "ts >= a AND ts < a"),
+):
+    _grouped(name, {"window": window, "count": {}}, "channel", "channel", "count(*)", where=where, source=f"{EV}, {ANCH}, j AS (SELECT ev.*, a FROM ev LEFT JOIN anch USING (passport_id))", table="j")
+
+
+@query(f"WITH {EV} SELECT channel AS bucket, a_event AS series, count(*) AS value FROM ev GROUP BY 1, 2 HAVING a_event IN (SELECT a_event FROM ev GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3)")
+def group_crosstab(spark, sf_dir):
+    return metrics.cross_tab(model(spark, sf_dir).events, {"count": {}}, ("channel", "attr:event"), EVENT_NOW, series_limit=3)
+
+
+@query(f"""WITH {EV}, {ANCH}, j AS (SELECT ev.*, a FROM ev LEFT JOIN anch USING (passport_id))
+SELECT channel AS bucket, a IS NOT NULL AS anchored, count(*) AS value, count(DISTINCT passport_id) AS people FROM j WHERE a IS NULL OR ts < a GROUP BY 1, 2""")
+def group_anchor_crosstab(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return metrics.anchor_cross_tab(m.events, {"window": {"before": {"fact": "first_purchase_at"}}, "count": {}}, "channel", EVENT_NOW, m.facts)
+
+
+@query(f"WITH {EV} SELECT count(DISTINCT passport_id) AS cohort_size FROM ev WHERE {BOUGHT}")
+def cohort_size(spark, sf_dir):
+    return metrics.cohort_size(model(spark, sf_dir).events, {**PURCHASES, "count": {}}, EVENT_NOW)
+
+
+def _stamped(df: DataFrame) -> DataFrame:
+    return df.select("passport_id", F.date_format("matched_at", "yyyy-MM-dd HH:mm:ss").alias("matched_at"))
+
+
+def _cohort(name: str, node: dict, sql: str, now: str = EVENT_NOW) -> None:
+    def run(spark, sf_dir):
+        return _stamped(cohort.evaluate(world(spark, sf_dir, now), node))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+def _crossing(source: str, table: str, step: str, low: float, where: str = "TRUE") -> str:
+    return f"""WITH {source}, r AS (SELECT passport_id, ts, sum({step}) OVER (PARTITION BY passport_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS run,
+      sum({step}) OVER (PARTITION BY passport_id) AS total FROM {table} WHERE {where})
+      SELECT passport_id, strftime(min(ts), '{DAY}') AS matched_at FROM r WHERE run >= {low} AND total >= {low} GROUP BY 1"""
+
+
+_cohort("gate_count", {"metric": {**PURCHASES, "count": {"gte": 5}}}, _crossing(EV, "ev", "1", 5, BOUGHT))
+_cohort("gate_crossing_time", {"metric": {"channel": "web", "count": {"gte": 10}}}, _crossing(EV, "ev", "1", 10, "channel = 'web'"))
+_cohort("gate_sum", {"metric": {"sum": {"field": "value", "gte": 1000}}}, _crossing(EV, "ev", "a_value", 1000))
+_cohort("gate_dwell", {"metric": {"sum_dwell_ms": {"gte": 5000}}}, _crossing(EV, "ev", "coalesce(dwell_ms, 0)", 5000))
+_cohort("gate_distinct_sessions", {"metric": {"distinct_sessions": {"gte": 4}}}, _crossing(VIS + ", fs AS (SELECT passport_id, session_id, arg_min(id, row(ts, id)) AS id, min(ts) AS ts FROM vis GROUP BY 1, 2)", "fs", "1", 4))
+_cohort("gate_recency", {"metric": {"recency_days": {"gte": 3}}}, f"WITH {EV} SELECT passport_id, strftime(max(ts), '{DAY}') AS matched_at FROM ev GROUP BY 1 HAVING max(ts) <= TIMESTAMP '2024-01-28'")
+_cohort("gate_between", {"metric": {**PURCHASES, "count": {"gte": 3, "lte": 9}}}, f"WITH {EV}, r AS (SELECT passport_id, ts, row_number() OVER (PARTITION BY passport_id ORDER BY ts, id) AS k, count(*) OVER (PARTITION BY passport_id) AS n FROM ev WHERE {BOUGHT}) SELECT passport_id, strftime(ts, '{DAY}') AS matched_at FROM r WHERE k = 3 AND n <= 9")
+
+_CURRENT = f"WITH {ORD} SELECT passport_id, strftime(obs, '{DAY}') AS matched_at FROM cur WHERE "
+_CUSTOMER = "SELECT c_custkey AS passport_id, '1995-01-01 00:00:00' AS matched_at FROM customer WHERE "
+_cohort("fact_eq", {"fact": {"order_status": {"eq": "F"}}}, _CURRENT + "st = 'F'", ORDER_NOW)
+_cohort("fact_ne", {"fact": {"order_status": {"ne": "F"}}}, _CURRENT + "st <> 'F'", ORDER_NOW)
+_cohort("fact_range", {"fact": {"acctbal": {"gte": 1000, "lt": 5000.5}}}, _CUSTOMER + "c_acctbal >= 1000 AND c_acctbal < 5000.5", ORDER_NOW)
+_cohort("fact_in", {"fact": {"segment": {"in": ["BUILDING", "AUTOMOBILE", "MACHINERY"]}}}, _CUSTOMER + "c_mktsegment IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY')", ORDER_NOW)
+_cohort("fact_contains", {"fact": {"segment": {"contains": "UIld"}}}, _CUSTOMER + "contains(lower(c_mktsegment), 'uild')", ORDER_NOW)
+_cohort("fact_starts_ends", {"fact": {"order_priority": {"startsWith": "1-u", "endsWith": "NT"}}}, _CURRENT + "lower(pri) LIKE '1-u%nt'", ORDER_NOW)
+_cohort("fact_present_false", {"fact": {"first_purchase_at": {"present": False}}}, f"WITH {EV}, {ANCH} SELECT c_custkey AS passport_id, CAST(NULL AS VARCHAR) AS matched_at FROM customer WHERE c_custkey NOT IN (SELECT passport_id FROM anch)")
+_cohort("fact_date_last", {"fact": {"first_purchase_at": {"last": "4w"}}}, f"WITH {EV}, {ANCH} SELECT passport_id, strftime(a, '{DAY}') AS matched_at FROM anch WHERE a BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-31'")
+_cohort("fact_use_min", {"fact": {"order_total": {"use": "min", "lt": 2000}}}, f"WITH {ORD}, m AS (SELECT *, row_number() OVER (PARTITION BY passport_id ORDER BY tot, obs DESC, id DESC) AS k FROM ord) SELECT passport_id, strftime(obs, '{DAY}') AS matched_at FROM m WHERE k = 1 AND tot < 2000", ORDER_NOW)
+_cohort("fact_use_max", {"fact": {"order_total": {"use": "max", "gte": 400000}}}, f"WITH {ORD}, m AS (SELECT *, row_number() OVER (PARTITION BY passport_id ORDER BY tot DESC, obs DESC, id DESC) AS k FROM ord) SELECT passport_id, strftime(obs, '{DAY}') AS matched_at FROM m WHERE k = 1 AND tot >= 400000", ORDER_NOW)
+_cohort("fact_use_first", {"fact": {"order_status": {"use": "first", "eq": "O"}}}, f"WITH {ORD} SELECT passport_id, strftime(obs, '{DAY}') AS matched_at FROM h WHERE place = 1 AND st = 'O'", ORDER_NOW)
+_RECENT = f"SELECT passport_id, strftime(max(obs), '{DAY}') AS matched_at FROM h WHERE obs BETWEEN TIMESTAMP '2000-08-02' AND TIMESTAMP '2001-08-02' AND "
+_cohort("fact_changed", {"fact": {"order_status": {"changed": {"last": "12M"}}}}, f"WITH {ORD} {_RECENT} place > 1 AND st IS DISTINCT FROM pst GROUP BY 1", ORDER_NOW)
+_cohort("fact_transition", {"fact": {"order_status": {"transition": {"from": "O", "to": "F", "last": "1y"}}}}, f"WITH {ORD} {_RECENT} place > 1 AND pst = 'O' AND st = 'F' GROUP BY 1", ORDER_NOW)
+_cohort("fact_increased", {"fact": {"order_total": {"increased": {"last": "1y"}}}}, f"WITH {ORD} {_RECENT} place > 1 AND tot > ptot GROUP BY 1", ORDER_NOW)
+_cohort("fact_decreased", {"fact": {"order_total": {"decreased": {"last": "1y"}}}}, f"WITH {ORD} {_RECENT} place > 1 AND tot < ptot GROUP BY 1", ORDER_NOW)
+_cohort("fact_held", {"fact": {"order_priority": {"held": "1-URGENT"}}}, f"WITH {ORD} SELECT passport_id, strftime(max(obs), '{DAY}') AS matched_at FROM ord WHERE pri = '1-URGENT' GROUP BY 1", ORDER_NOW)
+_cohort("fact_distinct", {"fact": {"order_priority": {"distinct": {"gte": 4}}}}, f"""WITH {ORD}, f AS (SELECT passport_id, pri, min(row(obs, id)) AS f, arg_min(obs, row(obs, id)) AS obs FROM ord GROUP BY 1, 2),
+  n AS (SELECT *, row_number() OVER (PARTITION BY passport_id ORDER BY f) AS k FROM f) SELECT passport_id, strftime(obs, '{DAY}') AS matched_at FROM n WHERE k = 4""", ORDER_NOW)
+
+_A = f"a AS (SELECT passport_id, ts AS t FROM (SELECT passport_id, ts, row_number() OVER (PARTITION BY passport_id ORDER BY ts, id) AS k FROM ev WHERE {BOUGHT}) WHERE k = 3)"
+_B = "b AS (SELECT passport_id, ts AS t FROM (SELECT passport_id, ts, row_number() OVER (PARTITION BY passport_id ORDER BY ts, id) AS k FROM ev WHERE channel = 'web') WHERE k = 8)"
+_C = "c AS (SELECT c_custkey AS passport_id, TIMESTAMP '1995-01-01' AS t FROM customer WHERE c_mktsegment = 'BUILDING')"
+TREE = [{"metric": {**PURCHASES, "count": {"gte": 3}}}, {"metric": {"channel": "web", "count": {"gte": 8}}}, {"fact": {"segment": "BUILDING"}}]
+_cohort("filter_all", {"all": [*TREE[:2], {"not": TREE[2]}]}, f"WITH {EV}, {_A}, {_B}, {_C} SELECT passport_id, strftime(greatest(a.t, b.t), '{DAY}') AS matched_at FROM a JOIN b USING (passport_id) WHERE passport_id NOT IN (SELECT passport_id FROM c)")
+_cohort("filter_any", {"any": TREE}, f"WITH {EV}, {_A}, {_B}, {_C} SELECT passport_id, strftime(min(t), '{DAY}') AS matched_at FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY 1")
+_cohort("filter_not", {"not": TREE[0]}, f"WITH {EV}, {_A} SELECT c_custkey AS passport_id, CAST(NULL AS VARCHAR) AS matched_at FROM customer WHERE c_custkey NOT IN (SELECT passport_id FROM a)")
+
+
+@query("SELECT passport_id, CAST(date_part('year', age(TIMESTAMP '2001-08-02', obs)) AS BIGINT) AS years, CAST(date_part('year', age(TIMESTAMP '2001-08-02', obs)) * 12 + date_part('month', age(TIMESTAMP '2001-08-02', obs)) AS BIGINT) AS months, CAST(floor((epoch(TIMESTAMP '2001-08-02') - epoch(obs)) / 86400) AS BIGINT) AS days FROM (SELECT o_custkey AS passport_id, min(o_orderdate) AS obs FROM orders GROUP BY 1)")
+def computed_age(spark, sf_dir):
+    now = durations.instant(ORDER_NOW, "now")
+    first = model(spark, sf_dir).facts.filter("key = 'order_status'").groupBy("passport_id").agg(F.min("observed_at").alias("at"))
+    return first.select("passport_id", *[exprs.age(u, F.col("at"), now).cast("long").alias(u) for u in ("years", "months", "days")])
+
+
+@query(f"WITH {ORD} SELECT passport_id, st AS value FROM (SELECT *, row_number() OVER (PARTITION BY passport_id ORDER BY obs DESC, id DESC) AS k FROM ord WHERE obs <= TIMESTAMP '1998-01-01') WHERE k = 1")
+def fact_asof(spark, sf_dir):
+    return fact_ops.current(model(spark, sf_dir).facts, "order_status", as_of="1998-01-01").select("passport_id", "value")
+
+
+@query(f"WITH {ORD} SELECT CAST(count(*) AS BIGINT) AS kept FROM h WHERE place = 1 OR st IS DISTINCT FROM pst")
+def noop_suppression(spark, sf_dir):
+    rows = model(spark, sf_dir).facts.filter("key = 'order_status'")
+    return fact_ops.without_restatements(rows).agg(F.count(F.lit(1)).alias("kept"))
+
+
+for policy, way in (("skip", "min"), ("replace", "max")):
+
+    def _conflict(spark, sf_dir, policy=policy):
+        rows = model(spark, sf_dir).facts.filter("key = 'order_status'").select("passport_id", "observed_at", "value", "id")
+        kept = fact_ops.on_conflict(rows, policy, ["passport_id", "observed_at"], "id")
+        return kept.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+    _conflict.__name__ = f"conflict_{policy}"
+    query(f"WITH k AS (SELECT arg_{way}(o_orderstatus, o_orderkey) AS value, {way}(o_orderkey) AS id FROM orders GROUP BY o_custkey, o_orderdate) SELECT value, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM k GROUP BY 1")(_conflict)
+
+FACT_ROWS = """f AS (SELECT 'order_status' AS key, o_custkey AS pid, o_orderstatus AS v, CAST(NULL AS DOUBLE) AS num FROM orders
+  UNION ALL SELECT 'order_total', o_custkey, CAST(o_totalprice AS VARCHAR), o_totalprice FROM orders UNION ALL SELECT 'order_priority', o_custkey, o_orderpriority, NULL FROM orders
+  UNION ALL SELECT 'segment', c_custkey, c_mktsegment, NULL FROM customer UNION ALL SELECT 'acctbal', c_custkey, CAST(c_acctbal AS VARCHAR), c_acctbal FROM customer
+  UNION ALL SELECT 'nation', c_custkey, n_name, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'first_purchase_at', user_id, CAST(min(ts) AS VARCHAR), NULL FROM events WHERE event_type = 'purchase' GROUP BY user_id)"""
+
+
+@query(f"WITH {FACT_ROWS}, g AS (SELECT key, pid, count(DISTINCT v) AS n FROM f GROUP BY 1, 2) SELECT key, count(*) AS people, count(*) FILTER (n > 1) AS ambiguous, max(n) AS most_values FROM g GROUP BY 1")
+def fact_ambiguity(spark, sf_dir):
+    return fact_ops.ambiguity(model(spark, sf_dir).facts)
+
+
+@query(f"WITH {FACT_ROWS} SELECT key, count(*) AS n_rows, count(DISTINCT pid) AS people, count(DISTINCT v) AS n_values, round(min(num), 4) AS low, round(max(num), 4) AS high FROM f GROUP BY 1")
+def schema_discovery(spark, sf_dir):
+    return fact_ops.discovery(model(spark, sf_dir).facts)
+
+
+STEPS = [{"name": "seen", "filter": {"metric": {"channel": "web", "count": {"gte": 1}}}}, {"name": "signed", "filter": {"metric": {"channel": "crm", "count": {"gte": 1}}}, "within": "7d"}, {"name": "bought", "filter": {"metric": {**PURCHASES, "count": {"gte": 1}}}, "within": "3d"}]
+FUNNEL = f"""{EV}, f1 AS (SELECT passport_id, min(ts) AS a FROM ev WHERE channel = 'web' GROUP BY 1),
+  f2 AS (SELECT passport_id, m AS a FROM (SELECT passport_id, f1.a AS a0, min(ts) AS m FROM ev JOIN f1 USING (passport_id) WHERE channel = 'crm' AND ts > f1.a GROUP BY 1, 2) WHERE m <= a0 + INTERVAL 7 DAY),
+  f3 AS (SELECT passport_id, m AS a FROM (SELECT passport_id, f2.a AS a0, min(ts) AS m FROM ev JOIN f2 USING (passport_id) WHERE a_event = 'purchase' AND ts > f2.a GROUP BY 1, 2) WHERE m <= a0 + INTERVAL 3 DAY)"""
+_COUNTS = f"WITH {FUNNEL}, n AS (SELECT 0 AS step, 'seen' AS name, count(*) AS n FROM f1 UNION ALL SELECT 1, 'signed', count(*) FROM f2 UNION ALL SELECT 2, 'bought', count(*) FROM f3)"
+
+
+@query(f"{_COUNTS} SELECT step, name, n, CASE WHEN step = 0 THEN 100.0::DOUBLE ELSE round(n * 100.0::DOUBLE / lag(n) OVER (ORDER BY step), 4) END AS step_conversion, round(n * 100.0::DOUBLE / first(n) OVER (ORDER BY step), 4) AS overall FROM n")
+def funnel_report(spark, sf_dir):
+    return cohort.funnel_report(world(spark, sf_dir), STEPS)
+
+
+@query(f"{_COUNTS} SELECT * FROM (SELECT step, name, lag(n) OVER (ORDER BY step) - n AS lost, round((lag(n) OVER (ORDER BY step) - n) * 100.0::DOUBLE / lag(n) OVER (ORDER BY step), 4) AS lost_percent FROM n) WHERE step > 0")
+def funnel_dropoff(spark, sf_dir):
+    return composition.dropoff(cohort.funnel_report(world(spark, sf_dir), STEPS))
+
+
+@query(f"WITH {FUNNEL} SELECT passport_id, CASE WHEN TIMESTAMP '2024-01-31' > a + INTERVAL 3 DAY THEN 'dropped' ELSE 'pending' END AS status FROM f2 WHERE passport_id NOT IN (SELECT passport_id FROM f3)")
+def funnel_gap_dropped(spark, sf_dir):
+    return cohort.gap(world(spark, sf_dir), STEPS, 1)
+
+
+@query(f"WITH {FUNNEL} SELECT count(*) AS n FROM f3 JOIN f1 USING (passport_id) WHERE f3.a <= f1.a + INTERVAL 5 DAY")
+def funnel_total_within(spark, sf_dir):
+    return cohort.funnel(world(spark, sf_dir), STEPS, within="5d")[-1].agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {EV}, {_A} SELECT count(*) AS n FROM a")
+def projection_count(spark, sf_dir):
+    return cohort.count(world(spark, sf_dir), {"filter": TREE[0]})
+
+
+@query(f"WITH {ORD}, c AS (SELECT st AS bucket, count(*) AS value FROM cur GROUP BY 1) SELECT bucket, value, (SELECT count(*) FROM c) AS total_buckets FROM c WHERE bucket <> '' ORDER BY value DESC, bucket LIMIT 12")
+def breakdown(spark, sf_dir):
+    return composition.breakdown(model(spark, sf_dir).facts, "order_status")
+
+
+@query(f"WITH {ORD} SELECT b AS bucket, count(passport_id) AS value FROM (VALUES ('F'), ('O'), ('Z')) v(b) LEFT JOIN cur ON st = b GROUP BY 1")
+def breakdown_values(spark, sf_dir):
+    return composition.breakdown(model(spark, sf_dir).facts, "order_status", ["F", "O", "Z"])
+
+
+@query("WITH e AS (SELECT unnest([-1000.0, 0.0, 2500.0, 5000.0, 7500.0]) AS lo, unnest([0.0, 2500.0, 5000.0, 7500.0, 9000.0]) AS hi), b AS (SELECT CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, (SELECT count(*) FROM customer WHERE c_acctbal >= lo AND (c_acctbal < hi OR (hi = 9000 AND c_acctbal = 9000))) AS value FROM e) SELECT * FROM b UNION ALL SELECT 9000, NULL, count(*) FROM customer WHERE c_acctbal > 9000 HAVING count(*) > 0 UNION ALL SELECT NULL, -1000, count(*) FROM customer WHERE c_acctbal < -1000 HAVING count(*) > 0")
+def histogram_bins(spark, sf_dir):
+    return composition.histogram(composition.fact_numbers(model(spark, sf_dir).facts, "acctbal"), bins=[-1000, 0, 2500, 5000, 7500, 9000])
+
+
+@query("""WITH r AS (SELECT min(c_acctbal) AS a, max(c_acctbal) AS b, quantile_disc(c_acctbal, 0.99) AS p, bool_and(c_acctbal = floor(c_acctbal)) AS w FROM customer),
+  t AS (SELECT a, b, CASE WHEN p > a AND p - a < 0.5 * (b - a) THEN p ELSE b END AS e, w FROM r), x AS (SELECT *, (e - a) / 8 AS raw FROM t),
+  y AS (SELECT *, pow(10, floor(log10(raw))) AS pw FROM x), z AS (SELECT *, pw * CASE WHEN raw / pw < 1.5 THEN 1 WHEN raw / pw < 3 THEN 2 WHEN raw / pw < 7 THEN 5 ELSE 10 END AS st FROM y),
+  q AS (SELECT *, floor(a / st) * st AS f, CAST(greatest(1, ceil((e - floor(a / st) * st) / st)) AS BIGINT) AS n FROM z),
+  g AS (SELECT unnest(range(n)) AS i, f, st, n FROM q), v AS (SELECT least(CAST(floor((c_acctbal - f) / st) AS BIGINT), n - 1) AS i FROM customer, q)
+  SELECT CAST(round(f + g.i * st, 6) AS DOUBLE) AS lo, CAST(round(f + (g.i + 1) * st, 6) AS DOUBLE) AS hi, count(v.i) AS value FROM g LEFT JOIN v USING (i) GROUP BY f, st, g.i""")
+def histogram(spark, sf_dir):
+    return composition.histogram(composition.fact_numbers(model(spark, sf_dir).facts, "acctbal"))
+
+
+@query(f"WITH {ORD} SELECT count(*) AS n, round(corr(c_acctbal, tot), 4) AS r, round(min(c_acctbal), 4) AS x_low, round(max(c_acctbal), 4) AS x_high, round(min(tot), 4) AS y_low, round(max(tot), 4) AS y_high FROM cur JOIN customer ON c_custkey = passport_id")
+def scatter_explain(spark, sf_dir):
+    return composition.explain_scatter(composition.scatter(model(spark, sf_dir).facts, "acctbal", "order_total"))
+
+
+@query(f"WITH {ORD} SELECT passport_id, c_acctbal AS x, tot AS y, c_mktsegment AS colour FROM cur JOIN customer ON c_custkey = passport_id ORDER BY passport_id LIMIT 2000")
+def scatter(spark, sf_dir):
+    return composition.scatter(model(spark, sf_dir).facts, "acctbal", "order_total", "segment", limit=2000)
+
+
+for grain, number in (("week", "CAST(floor(date_diff('day', DATE '1969-12-29', CAST(ts AS DATE)) / 7) AS BIGINT)"), ("month", "CAST(year(ts) * 12 + month(ts) - 1 AS BIGINT)")):
+
+    def _retention(spark, sf_dir, grain=grain):
+        return composition.retention(model(spark, sf_dir).events, grain)
+
+    _retention.__name__ = "retention" if grain == "week" else "retention_month"
+    query(f"""WITH {EV}, d AS (SELECT DISTINCT passport_id, {number} AS p FROM ev), c AS (SELECT *, min(p) OVER (PARTITION BY passport_id) AS cohort FROM d),
+      n AS (SELECT cohort, p - cohort AS period, count(*) AS people FROM c WHERE p - cohort <= 12 GROUP BY 1, 2), z AS (SELECT cohort, people AS size FROM n WHERE period = 0)
+      SELECT cohort, period, people, size, round(people * 100.0::DOUBLE / size, 0) AS percent FROM n JOIN z USING (cohort)""")(_retention)
+
+
+@query(f"WITH {EV} SELECT c_mktsegment AS name, strftime(ts, '%G-W%V') AS bucket, count(*) AS value FROM ev JOIN customer ON c_custkey = passport_id WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1, 2")
+def compare_split(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return composition.split_by(m.events, m.facts, "segment", ["BUILDING", "MACHINERY"], exprs.bucket_of_time("week", F.col("ts")))
+
+
+@query(f"WITH {EV} SELECT 'web' AS name, strftime(ts, '%Y-%m-%d') AS bucket, CAST(count(*) AS DOUBLE) AS value FROM ev WHERE channel = 'web' GROUP BY 2 UNION ALL SELECT 'bought', strftime(ts, '%Y-%m-%d'), round(sum(a_value), 4) FROM ev WHERE {BOUGHT} GROUP BY 2")
+def compare_series(spark, sf_dir):
+    events = model(spark, sf_dir).events
+    return composition.compare({"web": metrics.group(events, {"channel": "web", "count": {}}, "day", EVENT_NOW), "bought": metrics.group(events, {**PURCHASES, "sum": {"field": "value"}}, "day", EVENT_NOW)})
+
+
+@query(f"WITH {EV}, g AS (SELECT a_event AS name, strftime(ts, '%Y-%m-%d %H:00') AS bucket, count(*) AS value FROM ev WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1, 2), n AS (SELECT DISTINCT name FROM g), b AS (SELECT DISTINCT bucket FROM g) SELECT name, bucket, coalesce(value, 0) AS value FROM n CROSS JOIN b LEFT JOIN g USING (name, bucket)")
+def aligned_series(spark, sf_dir):
+    rows = model(spark, sf_dir).events.filter("ts < '2024-01-03'")
+    return composition.aligned(rows.groupBy(F.col("attr_event").alias("name"), exprs.bucket_of_time("hour", F.col("ts")).alias("bucket")).agg(F.count(F.lit(1)).alias("value")))
+
+
+@query(f"WITH {EV}, {_A}, {_B}, {_C} SELECT passport_id FROM a WHERE passport_id IN (SELECT passport_id FROM b) AND passport_id NOT IN (SELECT passport_id FROM c)")
+def audience_algebra(spark, sf_dir):
+    w = world(spark, sf_dir)
+    a, b, c = (cohort.evaluate(w, n) for n in TREE)
+    return audience.combine("all", [a, b], [c])
+
+
+@query(f"WITH {EV}, {_B}, {_C} SELECT passport_id FROM (SELECT passport_id FROM b UNION SELECT passport_id FROM c)")
+def audience_any(spark, sf_dir):
+    w = world(spark, sf_dir)
+    return audience.combine("any", [cohort.evaluate(w, n) for n in TREE[1:]], [])
+
+
+@query(f"WITH {EV}, {_B} SELECT count(*) AS members, count(*) FILTER (passport_id % 7 = 0) AS suppressed, count(*) FILTER (passport_id % 7 <> 0) AS sendable FROM b")
+def suppression_counts(spark, sf_dir):
+    w = world(spark, sf_dir)
+    return audience.suppress(cohort.evaluate(w, TREE[1]), w.passports.filter("id % 7 = 0").select(F.col("id").alias("passport_id")))
+
+
+TYPED = "CASE a_event WHEN 'purchase' THEN 'conversion.purchase' WHEN 'view' THEN 'awareness.recorded' WHEN 'click' THEN 'mail.clicked' WHEN 'error' THEN 'mail.failed' ELSE 'session.started' END"
+CLASSED = f"{EV}, rg AS (SELECT id, {TYPED} AS type, passport_id, ts FROM ev), cl AS (SELECT *, CASE type WHEN 'conversion.purchase' THEN 'conversion' WHEN 'awareness.recorded' THEN 'exposure' WHEN 'mail.clicked' THEN 'expression' ELSE 'observation' END AS direction, CASE type WHEN 'conversion.purchase' THEN 'conversion' WHEN 'awareness.recorded' THEN 'web' WHEN 'mail.clicked' THEN 'mail' WHEN 'mail.failed' THEN 'mail' ELSE 'web' END AS channel, CASE type WHEN 'mail.failed' THEN 'error' ELSE 'info' END AS severity FROM rg)"
+
+
+def _classified(spark, sf_dir) -> DataFrame:
+    return live.classify(live.registry(model(spark, sf_dir).events), spark)
+
+
+@query(f"WITH {CLASSED} SELECT type, direction, channel, severity, count(*) AS n FROM cl GROUP BY ALL")
+def catalog_prefix_join(spark, sf_dir):
+    return _classified(spark, sf_dir).groupBy("type", "direction", "channel", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {CLASSED} SELECT 'channel' AS facet, channel AS name, count(*) AS n FROM cl WHERE direction IN ('exposure', 'observation') GROUP BY 2 UNION ALL SELECT 'direction', direction, count(*) FROM cl WHERE channel NOT IN ('conversion') GROUP BY 2")
+def live_facets(spark, sf_dir):
+    return live.facets(_classified(spark, sf_dir), channels="-conversion", directions="exposure,observation")
+
+
+@query(f"WITH {CLASSED}, b AS (SELECT unnest(range(CAST(epoch(TIMESTAMP '2024-01-10') AS BIGINT), CAST(epoch(TIMESTAMP '2024-01-11') AS BIGINT), 900)) AS bucket), c AS (SELECT CAST(floor(epoch(ts) / 900) * 900 AS BIGINT) AS bucket, count(*) AS n FROM cl WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11' GROUP BY 1) SELECT bucket, coalesce(n, 0) AS n FROM b LEFT JOIN c USING (bucket)")
+def registry_series_zero_fill(spark, sf_dir):
+    return live.series(_classified(spark, sf_dir), "2024-01-10", "2024-01-11", live.step_for(86400))
+
+
+@query(f"WITH {EV} SELECT channel, direction, count(*) AS n, count(DISTINCT passport_id) AS people FROM ev GROUP BY 1, 2")
+def base_stats(spark, sf_dir):
+    return live.base_stats(model(spark, sf_dir).events)
+
+
+@query(f"WITH {EV} SELECT a_event AS name, count(*) AS n FROM ev GROUP BY 1 ORDER BY n DESC, name LIMIT 3")
+def registry_top_values(spark, sf_dir):
+    return live.payload_values(live.registry(model(spark, sf_dir).events), "event", 3)
+
+
+@query(f"WITH {EV} SELECT count(*) AS n FROM ev WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY")
+def registry_retention(spark, sf_dir):
+    return live.retained(live.registry(model(spark, sf_dir).events), EVENT_NOW, 14).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS n_F, count(*) FILTER (o_orderstatus = 'O') AS n_O, count(*) FILTER (o_orderstatus = 'P') AS n_P FROM orders")
+def status_counters(spark, sf_dir):
+    return live.counters(model(spark, sf_dir).table("orders"), "o_orderstatus", ["F", "O", "P"])
+
+
+@query("SELECT count(*) AS total, count(*) AS n_sent_at, count(*) FILTER (l_returnflag <> 'R') AS n_delivered_at, count(*) FILTER (l_returnflag = 'A') AS n_opened_at, count(*) FILTER (l_linestatus = 'F') AS n_failed FROM lineitem")
+def delivery_funnel(spark, sf_dir):
+    rows = model(spark, sf_dir).table("lineitem")
+    outbox = rows.select(F.col("l_shipdate").alias("sent_at"), F.when(F.col("l_returnflag") != "R", F.col("l_shipdate")).alias("delivered_at"), F.when(F.col("l_returnflag") == "A", F.col("l_shipdate")).alias("opened_at"), F.col("l_linestatus").alias("status"))
+    return live.delivery(outbox, ["sent_at", "delivered_at", "opened_at"], {"failed": "F"})
+
+
+@query("WITH RECURSIVE m AS (SELECT c_custkey AS absorbed, c_custkey // 10 AS survivor FROM customer WHERE c_custkey BETWEEN 1 AND 999), r AS (SELECT absorbed, survivor FROM m UNION ALL SELECT r.absorbed, m.survivor FROM r JOIN m ON m.absorbed = r.survivor) SELECT absorbed, min(survivor) AS survivor FROM r GROUP BY 1")
+def merge_closure(spark, sf_dir):
+    return identity.survivors(model(spark, sf_dir).merges)
+
+
+@query("WITH f AS (SELECT user_id, min(ts) AS first FROM events GROUP BY 1) SELECT CASE WHEN user_id BETWEEN 1 AND 999 THEN 0 ELSE user_id END AS passport_id, count(*) AS n FROM events GROUP BY 1")
+def resolved_counts(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return identity.resolve(m.events, identity.survivors(m.merges)).groupBy("passport_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+for gap, name in (("30 minutes", "sessionize_gap"), ("24 hours", "sessionize_day")):
+
+    def _sessions(spark, sf_dir, gap=gap):
+        out = sessions.sessions(model(spark, sf_dir).events, gap)
+        return out.select("passport_id", "session_seq", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), F.date_format("last_activity_at", "yyyy-MM-dd HH:mm:ss").alias("last_activity_at"), "events")
+
+    _sessions.__name__ = name
+    query(f"WITH {VIS.replace('INTERVAL 24 HOUR', 'INTERVAL ' + gap[:-1].upper())} SELECT passport_id, seq AS session_seq, strftime(min(ts), '{DAY}') AS started_at, strftime(max(ts), '{DAY}') AS last_activity_at, count(*) AS events FROM vis GROUP BY 1, 2")(_sessions)
+
+
+@query(f"""WITH {EV}, c AS (SELECT *, CASE a_k WHEN '0' THEN NULL ELSE channel END AS campaign FROM ev),
+  l AS (SELECT *, last_value(campaign IGNORE NULLS) OVER (PARTITION BY passport_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev, lag(ts) OVER (PARTITION BY passport_id ORDER BY ts, id) AS pts FROM c),
+  n AS (SELECT *, CASE WHEN ts - pts > INTERVAL 24 HOUR OR (campaign IS NOT NULL AND prev IS NOT NULL AND campaign <> prev) THEN 1 ELSE 0 END AS nw FROM l),
+  q AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY passport_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seq FROM n) SELECT passport_id, max(seq) + 1 AS sessions FROM q GROUP BY 1""")
+def sessionize_campaign(spark, sf_dir):
+    rows = model(spark, sf_dir).events.withColumn("campaign", F.when(F.col("attr_k") == "0", F.lit(None)).otherwise(F.col("channel")))
+    return sessions.sessionize(rows, "24 hours", "campaign").groupBy("passport_id").agg((F.max("session_seq") + 1).alias("sessions"))
+
+
+@query(f"WITH {VIS} SELECT passport_id, max(seq) + 1 AS sessions, strftime(min(ts), '{DAY}') AS first_session FROM vis GROUP BY 1")
+def session_counts(spark, sf_dir):
+    return model(spark, sf_dir).visits().groupBy("passport_id").agg((F.max("session_seq") + 1).alias("sessions"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_session"))
+
+
+def _query_vector(m: Model) -> list[float]:
+    return m.table("embeddings").filter("vec_id = 0").first()["embedding"]  # one row
+
+
+def _contacts(m: Model) -> DataFrame:
+    n = m.table("embeddings").count()
+    return m.events.withColumn("doc_id", F.col("id") % n)
+
+
+CH = "ch AS (SELECT doc_id, embedding, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS sim FROM documents JOIN embeddings ON doc_id = vec_id)"
+CT = f"{EV}, ne AS (SELECT count(*) AS n FROM embeddings), ct AS (SELECT ev.*, id % n AS doc_id FROM ev CROSS JOIN ne)"
+
+
+@query(f"WITH {CH} SELECT doc_id, round(sim, 4) AS sim FROM ch ORDER BY ch.sim DESC, doc_id LIMIT 20")
+def cosine_topk(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return semantic.top_k(m.chunks, _query_vector(m), 20).select("doc_id", F.round("sim", 4).alias("sim"))
+
+
+@query(f"WITH {CH}, {CT}, nr AS (SELECT doc_id, sim FROM ch ORDER BY sim DESC, doc_id LIMIT 20) SELECT doc_id, count(DISTINCT passport_id) AS people, round(max(sim), 4) AS sim, strftime(max(ts), '{DAY}') AS latest FROM ct JOIN nr USING (doc_id) GROUP BY 1")
+def population_recall(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return semantic.population(m.chunks, _contacts(m), _query_vector(m), 20)
+
+
+@query(f"WITH {CH}, {CT} SELECT passport_id, round(max(sim), 4) AS sim, strftime(max(ts), '{DAY}') AS matched_at FROM ct JOIN ch USING (doc_id) WHERE sim >= 0.2 GROUP BY 1")
+def about_gate(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return semantic.about(m.chunks, _contacts(m), _query_vector(m), 0.2).select("passport_id", F.round("sim", 4).alias("sim"), F.date_format("matched_at", "yyyy-MM-dd HH:mm:ss").alias("matched_at"))
+
+
+@query(f"WITH {CH}, {CT}, o AS (SELECT doc_id, arg_max_null(dwell_ms, row(ts, id)) AS d FROM ct WHERE passport_id = 7 GROUP BY 1) SELECT doc_id, round(sim, 4) AS sim, round(sim * (0.4 + 0.6 * least(1.0, coalesce(d, 0) / 600.0::DOUBLE)), 4) AS rank_score FROM ch JOIN o USING (doc_id) ORDER BY sim * (0.4 + 0.6 * least(1.0, coalesce(d, 0) / 600.0::DOUBLE)) DESC, doc_id LIMIT 10")
+def recall_one(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return semantic.recall(m.chunks, _contacts(m), 7, _query_vector(m), 10)
+
+
+@query(f"WITH {CT} SELECT doc_id, count(DISTINCT passport_id) AS people, arg_max(channel, row(ts, id)) AS channel FROM ct GROUP BY 1 ORDER BY people DESC, doc_id LIMIT 25")
+def reach_sample(spark, sf_dir):
+    return semantic.reach(_contacts(model(spark, sf_dir)), 25)
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '\b(?:\d[ -]*?){13,16}\b', '[REDACTED_CC]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[REDACTED_SSN]', 'g'), '\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b', '[REDACTED_IBAN]', 'g')) AS h FROM documents")
+def redact_pii(spark, sf_dir):
+    return model(spark, sf_dir).table("documents").select("doc_id", F.sha2(exprs.redact(F.col("text")), 256).alias("h"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash, sha256(lower(trim(source))) AS contact FROM documents")
+def content_hash(spark, sf_dir):
+    return model(spark, sf_dir).table("documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), exprs.contact_hash(F.col("source"), "email").alias("contact"))
+
+
+@query("SELECT page_id, split_part(split_part(url, '?', 1), '#', 1) AS plain, CASE WHEN regexp_extract(url, '[?&](page=[^&#]*)', 1) <> '' THEN split_part(split_part(url, '?', 1), '#', 1) || '?' || regexp_extract(url, '[?&](page=[^&#]*)', 1) ELSE split_part(split_part(url, '?', 1), '#', 1) END AS kept FROM pages")
+def canonical_urls(spark, sf_dir):
+    url = F.col("url")
+    return model(spark, sf_dir).table("pages").select("page_id", exprs.canonical_url(url).alias("plain"), exprs.canonical_url_keeping(url, ["page"]).alias("kept"))
+
+
+@query()
+def chunk_text(spark, sf_dir):
+    docs = model(spark, sf_dir).table("documents")
+    return docs.select("doc_id", F.posexplode(exprs.sentences_to_chunks(F.col("text"))).alias("chunk_index", "chunk_text"))
+
+
+@query()
+def judge_stub(spark, sf_dir):
+    m = model(spark, sf_dir)
+    evidence = _contacts(m).join(m.chunks.select("doc_id", "chunk_text"), "doc_id").groupBy("passport_id").agg(F.max_by("chunk_text", F.struct("ts", "id")).alias("evidence"))
+    return semantic.judge(evidence, lambda text: min(1.0, len(text) / 2000))
+
+
+@query(f"WITH {EV} SELECT c_custkey AS passport_id FROM customer WHERE c_custkey IN (SELECT passport_id FROM ev WHERE a_event = 'purchase' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12')")
+def interval_semi_join(spark, sf_dir):
+    m = model(spark, sf_dir)
+    enrolled = m.passports.select(F.col("id").alias("passport_id"), F.lit("2024-01-05").cast("timestamp").alias("enrolled_at"))
+    bought = live.registry(m.events).filter("type = 'conversion.purchase'")
+    return audience.converted_within(enrolled, bought, 7).select("passport_id")
+
+
+@query(f"WITH {EV} SELECT id, channel, strftime(ts, '{DAY}') AS ts FROM ev WHERE channel IN ('web', 'crm') ORDER BY ev.ts DESC, id DESC LIMIT 50 OFFSET 25")
+def timeline_page(spark, sf_dir):
+    rows = metrics.apply_filters(model(spark, sf_dir).events, {"channel": ["web", "crm"]}, EVENT_NOW)
+    page = rows.orderBy(F.desc("ts"), F.desc("id")).offset(25).limit(50)
+    return page.select("id", "channel", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@query()
+def stream_once_each(spark, sf_dir):
+    return _streamed(spark, sf_dir, "once_each")
+
+
+@query()
+def stream_windowed(spark, sf_dir):
+    return _streamed(spark, sf_dir, "windowed")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
+    """Run a streaming query over the events to the end of the input, and read what it wrote."""
+    import tempfile
+    import uuid
+
+    from ..streaming import stateful
+
+    context = spark.sparkContext
+    base = (context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")) + f"/{what}-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).format("parquet").load(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    if what == "once_each":
+        out = stateful.once_each(events).select("event_id", "user_id", "event_type")
+    else:
+        out = stateful.windowed(events.withColumn("channel", F.col("event_type")), "1 day")
+    run = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
