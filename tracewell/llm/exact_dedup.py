@@ -179,6 +179,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return folded.repartition(width, "bucket").mapInArrow(survivors, RESULT)
 
 
+def bucket_name(names: list[str]) -> str:
+    """A name that no column has."""
+    return "_" * (1 + max((len(n) for n in names), default=0)) + "bucket"
+
+
 def first_rows(names: list[str], id_col: str, text_col: str):
     """Whole rows for survivors(): of the copies in a batch only the one with the largest id goes on."""
 
@@ -192,7 +197,7 @@ def first_rows(names: list[str], id_col: str, text_col: str):
                     best[body] = order, i
             bucket = np.frombuffer(b"".join(hashlib.sha256(b).digest()[:8] for b in best), "<i8")
             rows = batch.take(pa.array([i for _, i in best.values()], pa.int64()))
-            yield pa.record_batch([pa.array(bucket), *rows.columns], names=["_bucket", *names])
+            yield pa.record_batch([pa.array(bucket), *rows.columns], names=[bucket_name(names), *names])
 
     return run
 
@@ -227,5 +232,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     names = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    first = docs.mapInArrow(first_rows(names, id_col, text_col), f"_bucket long, {fields}")
-    return first.repartition(shuffle_width(docs.sparkSession), "_bucket").mapInArrow(surviving_rows(names, id_col, text_col), fields)
+    first = docs.mapInArrow(first_rows(names, id_col, text_col), f"`{bucket_name(names)}` long, {fields}")
+    return first.repartition(shuffle_width(docs.sparkSession), F.col(f"`{bucket_name(names)}`")).mapInArrow(surviving_rows(names, id_col, text_col), fields)

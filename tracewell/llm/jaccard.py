@@ -337,7 +337,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows with one id and one text count as one row.  Texts without words all stay.
     """
-    first = jaccard_components(docs, id_col, text_col, words, percent).filter("first").select(F.col("row_key").alias("_row_key"))
+    first = jaccard_components(docs, id_col, text_col, words, percent).filter("first").select("row_key")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col(id_col).cast("long"), text))
-    return keyed.join(first, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row_key"))
+    return keyed.join(first, "row_key", "left_semi").dropDuplicates(["row_key"]).select("row.*")

@@ -83,28 +83,28 @@ def mix_sources(docs: DataFrame, size: Column, id_col: str = "doc_id", source_co
     one after the other.  An empty input gives no rows.  Input columns with the added names are replaced.
     """
     added = ("size", "source_size", "target", "taken", "line_start", "source_blocks")
-    keep = [c for c in docs.columns if c not in added]
-    order = F.xxhash64(F.lit(seed), F.col(id_col))
-    slice_of = F.shiftrightunsigned(order, 64 - int(math.log2(slices))).cast("int")
-    key = F.when(F.col(source_col).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source_col)))
-    rows = docs.withColumn("_size", size).select(*[F.col(f"`{c}`") for c in keep], F.col("_size").alias("size"), order.alias("_order"), slice_of.alias("_slice"), key.alias("_key"))
-    by_slice = rows.groupBy("_key", "_slice").agg(F.sum("size").alias("_tokens"), F.first(source_col).alias("source"))
-    starts = by_slice.select("_key", "_slice", (F.sum("_tokens").over(W.partitionBy("_key").orderBy("_slice")) - F.col("_tokens")).alias("_from"))
-    sources = by_slice.groupBy("_key").agg(F.first("source").alias("source"), F.sum("_tokens").alias("source_size"))
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    rows = docs.select(F.struct(*keep).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"))  # so that no name clashes
+    key = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source")))
+    rows = rows.withColumns({"order": F.xxhash64(F.lit(seed), "id"), "key": key})
+    rows = rows.withColumn("slice", F.shiftrightunsigned("order", 64 - int(math.log2(slices))).cast("int"))
+    by_slice = rows.groupBy("key", "slice").agg(F.sum("size").alias("tokens"), F.first("source").alias("source"))
+    starts = by_slice.select("key", "slice", (F.sum("tokens").over(W.partitionBy("key").orderBy("slice")) - F.col("tokens")).alias("from"))
+    sources = by_slice.groupBy("key").agg(F.first("source").alias("source"), F.sum("tokens").alias("source_size"))
     filled = water_fill(sources.select("source", "source_size"))
     blocks = quotas(filled, block_tokens, n_shards).groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("blocks").alias("source_blocks"))
-    plan = blocks.select(F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source"))).alias("_key"), "source_size", "target", "source_blocks")
-    offsets = starts.join(plan, "_key")
-    line = W.partitionBy("_key", "_slice").orderBy("_order", F.col(id_col), "size")
-    placed = rows.join(offsets, ["_key", "_slice"]).withColumn("line_start", F.col("_from") + F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+    offsets = starts.join(blocks.select(key.alias("key"), "source_size", "target", "source_blocks"), "key")
+    line = W.partitionBy("key", "slice").orderBy("order", "id", "size")
+    placed = rows.join(offsets, ["key", "slice"]).withColumn("line_start", F.col("from") + F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     tokens = F.col("source_blocks") * F.lit(block_tokens)
     rounds = F.when(F.col("source_size") > 0, F.floor(tokens / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0)
     rest = F.when(F.col("source_size") > 0, tokens - rounds * F.col("source_size")).otherwise(0)
     once_more = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("line_start")))
-    return placed.withColumn("taken", (rounds * F.col("size") + once_more).cast("long")).select(*[F.col(f"`{c}`") for c in keep], *added)
+    return placed.withColumn("taken", (rounds * F.col("size") + once_more).cast("long")).select("row.*", *added)
 
 
 def copies(mixed: DataFrame, columns: list[str], seed: int = 29) -> DataFrame:
     """Each row of mix_sources() as often as it is taken whole; the part of a row counts if it is half or more."""
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    return mixed.withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)
+    rows = mixed.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), times.alias("times")).filter("times > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import random
-from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -78,34 +78,34 @@ def uniform_shards(rows: DataFrame, n_shards: int, id_col: str = "doc_id", seed:
     and rows that are alike in every column are interchangeable.  An empty input gives no rows.
     Input columns named shard or slot are replaced.
     """
-    rows = rows.drop("shard", "slot")
     spark = rows.sparkSession
-    order = lambda k: F.xxhash64(F.lit(seed + k), F.col(id_col), F.lit("order"))
-    rest = [F.col(f"`{c}`") for c, kind in rows.dtypes if c != id_col and not kind.startswith("map")]
-    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(partitions)).cast("int"))
-    by_part = dict(dealt.groupBy("_part").count().collect())  # at most `partitions` rows
+    keep = [F.col(f"`{c}`") for c in rows.columns if c not in ("shard", "slot")]
+    packed = rows.select(F.col(f"`{id_col}`").alias("id"), F.struct(*keep).alias("row"))  # so that no name clashes
+    order = lambda k: F.xxhash64(F.lit(seed + k), "id", F.lit("order"))
+    ties = ["id"] if "map<" in packed.schema["row"].dataType.simpleString() else ["id", "row"]
+    dealt = packed.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(partitions)).cast("int"))
+    by_part = dict(dealt.groupBy("part").count().collect())  # at most `partitions` rows
     parts = sorted(by_part)
     matrix = communication_matrix([by_part[p] for p in parts], n_shards, seed)
-    bounds = [(p, reduce(lambda acc, x: [*acc, (acc[-1] if acc else 0) + x], row, [])) for p, row in zip(parts, matrix, strict=True)]
-    bounds_df = spark.createDataFrame(bounds, "_part int, _bounds array<long>")  # partitions x shards counts: fixed size
-    local = W.partitionBy("_part").orderBy(order(1), F.col(id_col), *rest)
+    bounds = [(p, list(accumulate(row))) for p, row in zip(parts, matrix, strict=True)]
+    bounds_df = spark.createDataFrame(bounds, "part int, bounds array<long>")  # partitions x shards counts: fixed size
+    local = W.partitionBy("part").orderBy(order(1), *ties)
     placed = (
-        dealt.withColumn("_rank", F.row_number().over(local).cast("long"))
-        .join(F.broadcast(bounds_df), "_part")
-        .withColumn("shard", F.size(F.filter("_bounds", lambda b: b < F.col("_rank"))))
-        .withColumn("_order", order(2))
-        .withColumn("_slice", F.shiftrightunsigned(F.col("_order"), 64 - int(math.log2(slices))).cast("int"))
-        .drop("_part", "_rank", "_bounds")
+        dealt.withColumn("rank", F.row_number().over(local).cast("long"))
+        .join(F.broadcast(bounds_df), "part")
+        .withColumn("shard", F.size(F.filter("bounds", lambda b: b < F.col("rank"))))
+        .withColumn("order", order(2))
+        .withColumn("slice", F.shiftrightunsigned(F.col("order"), 64 - int(math.log2(slices))).cast("int"))
+        .select("id", "row", "shard", "order", "slice")
     )
-    sizes = placed.groupBy("shard", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("shard").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = W.partitionBy("shard", "_slice").orderBy("_order", F.col(id_col), *rest)
+    sizes = placed.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("shard").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("shard", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = W.partitionBy("shard", "slice").orderBy("order", *ties)
     return (
-        placed.withColumn("_at", F.row_number().over(within) - 1)
-        .join(F.broadcast(offsets), ["shard", "_slice"])  # shards x slices rows: fixed size
-        .withColumn("slot", F.col("_before") + F.col("_at"))
-        .select(*rows.columns, "shard", "slot")
+        placed.withColumn("at", F.row_number().over(within) - 1)
+        .join(F.broadcast(offsets), ["shard", "slice"])  # shards x slices rows: fixed size
+        .select("row.*", "shard", (F.col("before") + F.col("at")).alias("slot"))
     )
 
 
