@@ -118,7 +118,7 @@ def engagement_blend(similarity: Column, engagement: Column) -> Column:
 
 def sentences_to_chunks(text: Column, most_words: int = 200) -> Column:
     """Sentences packed in order into chunks of at most so many words; a longer sentence is a chunk of its own."""
-    sentences = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0)), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
     words = lambda s: F.size(F.split(s, r"\s+"))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
