@@ -156,13 +156,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_order"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
     places = rows.select("doc_order", "row_key", "text").mapInArrow(find_places(window, anchor), PLACES)
-    repeated = places.groupBy("anchor").agg(F.min("doc_order").alias("_low"), F.max("doc_order").alias("_high")).filter("_low < _high").select("anchor")
-    seeds = checkpoint(places.join(repeated, "anchor", "left_semi"))
-    classes = seeds.groupBy("anchor", "context").agg(F.min("doc_order").alias("first_doc"))
-    several = classes.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("several"))
+    # Tables of distinct keys are checkpointed before they meet the places, so that both sides of such a
+    # join are plain exchanges and Spark splits the places of a frequent anchor over many tasks.
+    found = places.groupBy("anchor").agg(F.min("doc_order").alias("_low"), F.max("doc_order").alias("_high"), (F.min("context") != F.max("context")).alias("several"))
+    repeated = checkpoint(found.filter("_low < _high").select("anchor", "several"))
+    seeds = checkpoint(places.join(repeated, "anchor"))
+    classes = checkpoint(seeds.groupBy("anchor", "context").agg(F.min("doc_order").alias("first_doc")))
     later = F.col("doc_order") > F.col("first_doc")
     enough = F.col("left_words") + F.col("right_words") + anchor >= window
-    seeds = checkpoint(seeds.join(classes.join(several, "anchor"), ["anchor", "context"]).filter((later & enough) | (~later & F.col("several"))).withColumn("later", later))
+    seeds = checkpoint(seeds.join(classes, ["anchor", "context"]).filter((later & enough) | (~later & F.col("several"))).withColumn("later", later))
     whole = seeds.filter("later").select(
         "row_key", "doc_order", (F.col("place") - F.col("left_words")).alias("from"), (F.col("place") + anchor + F.col("right_words")).alias("to")
     )
