@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import durations, exprs
-from ..operators import audience, cohort, composition, identity, live, metrics, semantic, sessions
+from ..operators import audience, cohort, composition, identity, ingest, live, metrics, semantic, sessions
 from ..operators import facts as fact_ops
 from ..sources.model import EVENT_NOW, ORDER_NOW, Model
 
@@ -518,6 +518,128 @@ def timeline_page(spark, sf_dir):
     return page.select("id", "channel", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
+# ---- ingest, joins of the plugins, and what the pages of people show ---------------------------------
+
+
+@query("WITH e AS (SELECT event_id // 3 AS event_id, event_type AS name, user_id, CASE WHEN event_id % 50 = 0 THEN TIMESTAMP '2024-03-01' ELSE ts END AS ts, event_id AS received FROM events), f AS (SELECT event_id, arg_min(name, received) AS name, arg_min(ts, received) AS ts FROM e GROUP BY 1) SELECT event_id, name, strftime(CASE WHEN ts > TIMESTAMP '2024-01-31' + INTERVAL 5 MINUTE THEN TIMESTAMP '2024-01-31' ELSE ts END, '%Y-%m-%d %H:%M:%S') AS ts FROM f")
+def conversion_ingest(spark, sf_dir):
+    rows = model(spark, sf_dir).events.select(F.floor(F.col("id") / 3).alias("event_id"), F.col("attr_event").alias("name"), "passport_id", F.when(F.col("id") % 50 == 0, F.lit("2024-03-01").cast("timestamp")).otherwise(F.col("ts")).alias("ts"), F.col("attr_value").alias("value"), F.col("id").alias("received"))
+    out = ingest.conversions(rows, durations.instant(EVENT_NOW, "now"))
+    return out.select("event_id", "name", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@query("SELECT CASE event_id % 4 WHEN 0 THEN 'video' WHEN 1 THEN 'text' ELSE 'link' END AS source, count(*) AS n, round(avg(least(1.0, CASE event_id % 4 WHEN 0 THEN value / 200.0 WHEN 1 THEN ((event_id % 7) * 100) / (10 * 250.0) ELSE 1.0 END)), 4) AS engagement FROM events WHERE event_id % 4 <> 3 GROUP BY 1")
+def engagement_ingest(spark, sf_dir):
+    i = F.col("id") % 4
+    rows = model(spark, sf_dir).events.select("id", "passport_id", "ts", F.when(i == 0, "video").when(i == 1, "text").when(i == 2, "link").otherwise("smell").alias("kind"), ((F.col("id") % 7) * 100).alias("dwell_ms"), F.lit(10).alias("words"), F.col("attr_value").alias("watched_s"), F.lit(200.0).alias("length_s"))
+    return ingest.engagement(rows).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("engagement"), 4).alias("engagement"))
+
+
+@query("SELECT key, count(*) AS n, count(DISTINCT value) AS n_values FROM (SELECT 'c_name' AS key, c_name AS value FROM customer UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer) WHERE value IS NOT NULL GROUP BY 1")
+def records_to_facts(spark, sf_dir):
+    rows = model(spark, sf_dir).table("customer").withColumn("seen", F.lit("2024-01-01"))
+    return ingest.records_to_facts(rows, "c_custkey", "seen", ["c_name", "c_mktsegment", "c_nationkey"]).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("n_values"))
+
+
+@query("SELECT 'k' AS key, json_extract_string(props, '$.k') AS value, count(*) AS n FROM events GROUP BY 2")
+def json_unnest(spark, sf_dir):
+    return ingest.unnested(model(spark, sf_dir).table("events"), "props").groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {EV}, cl AS (SELECT id AS token, passport_id AS visitor, ts AS clicked_at FROM ev WHERE a_event = 'click'), cm AS (SELECT id - 1 AS token, passport_id, ts AS claimed_at FROM ev) SELECT token, visitor, cm.passport_id FROM cl JOIN cm USING (token) WHERE claimed_at >= clicked_at AND claimed_at <= clicked_at + INTERVAL 10080 MINUTE")
+def link_claims(spark, sf_dir):
+    events = model(spark, sf_dir).events
+    clicks = events.filter("attr_event = 'click'").select(F.col("id").alias("token"), F.col("passport_id").alias("visitor"), F.col("ts").alias("clicked_at"))
+    claims = events.select((F.col("id") - 1).alias("token"), "passport_id", F.col("ts").alias("claimed_at"))
+    return ingest.claimed(clicks, claims, 10080)
+
+
+@query(f"WITH RECURSIVE {EV}, t AS (SELECT DISTINCT passport_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM ev WHERE {BOUGHT}), r AS (SELECT passport_id, min(t) AS t FROM t GROUP BY 1 UNION ALL SELECT r.passport_id, (SELECT min(t.t) FROM t WHERE t.passport_id = r.passport_id AND t.t >= r.t + 604800) FROM r WHERE r.t IS NOT NULL) SELECT passport_id, t AS enrolled_at FROM r WHERE t IS NOT NULL")
+def enrolment_cooldown(spark, sf_dir):
+    return ingest.enrolments(model(spark, sf_dir).events.filter("attr_event = 'purchase'"), 7)
+
+
+@query("WITH r AS (SELECT l_orderkey, arg_max(l_returnflag, row(l_shipdate, l_linenumber, l_returnflag)) AS step FROM lineitem GROUP BY 1) SELECT step, count(*) AS n FROM orders LEFT JOIN r ON l_orderkey = o_orderkey GROUP BY 1")
+def latest_step_run(spark, sf_dir):
+    m = model(spark, sf_dir)
+    runs = m.table("lineitem").select(F.col("l_orderkey").alias("enrolment_id"), F.col("l_returnflag").alias("step"), F.col("l_shipdate").alias("started_at"), F.col("l_linenumber").alias("run_id"))
+    enrolled = m.table("orders").select(F.col("o_orderkey").alias("enrolment_id"))
+    return ingest.latest_step(enrolled, runs).groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {VIS} SELECT coalesce(utm_source, 'direct') AS source, count(DISTINCT session_id) AS sessions, count(DISTINCT passport_id) AS people FROM vis GROUP BY 1")
+def utm_breakdown(spark, sf_dir):
+    return ingest.utm_breakdown(model(spark, sf_dir).visits())
+
+
+@query(f"WITH {ORD}, c AS (SELECT * FROM cur WHERE passport_id = 7) SELECT 'order_status' AS key, st AS value FROM c UNION ALL SELECT 'order_priority', pri FROM c UNION ALL SELECT 'segment', c_mktsegment FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'nation', n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 7")
+def latest_of_each_key(spark, sf_dir):
+    rows = model(spark, sf_dir).facts.filter(F.col("key").isin("order_status", "order_priority", "segment", "nation"))
+    return ingest.latest_of_each_key(rows, 7)
+
+
+@query(f"WITH {ORD}, p AS (SELECT passport_id, CASE WHEN passport_id % 10 = 3 THEN 'X' ELSE st END AS value FROM cur WHERE passport_id % 11 <> 5) SELECT passport_id, value, st AS expected FROM p FULL JOIN cur USING (passport_id) WHERE value IS DISTINCT FROM st")
+def projection_audit(spark, sf_dir):
+    log = model(spark, sf_dir).facts
+    held = fact_ops.current(log, "order_status").filter("passport_id % 11 <> 5").select("passport_id", F.when(F.col("passport_id") % 10 == 3, "X").otherwise(F.col("value")).alias("value"))
+    return fact_ops.audit(held, log, "order_status")
+
+
+@query(f"WITH {EV}, h AS (SELECT passport_id % 10 AS number, passport_id AS visitor, ts AS held_from, ts + INTERVAL 60 MINUTE AS held_to FROM ev WHERE channel = 'web'), c AS (SELECT id AS call, passport_id % 10 AS number, ts FROM ev WHERE channel = 'voip') SELECT call, arg_max(visitor, held_from) AS visitor FROM c LEFT JOIN h ON h.number = c.number AND ts >= held_from AND ts < held_to GROUP BY 1")
+def call_attribution(spark, sf_dir):
+    events = model(spark, sf_dir).events
+    holds = events.filter("channel = 'web'").select((F.col("passport_id") % 10).alias("number"), F.col("passport_id").alias("visitor"), F.col("ts").alias("held_from"), (F.col("ts") + F.expr("INTERVAL 60 MINUTE")).alias("held_to"))
+    calls = events.filter("channel = 'voip'").select(F.col("id").alias("call"), (F.col("passport_id") % 10).alias("number"), "ts")
+    return audience.attributed(calls, holds).select("call", "visitor")
+
+
+@query(f"WITH {EV}, w AS (SELECT id AS content, id % 60 AS f FROM ev), s AS (SELECT id AS content, unnest([0, 20, 40]) AS start FROM ev) SELECT start, count(*) AS n FROM s JOIN w USING (content) WHERE start + 19 >= f AND start <= f + 15 GROUP BY 1")
+def watched_segments(spark, sf_dir):
+    events = model(spark, sf_dir).events
+    watched = events.select(F.col("id").alias("content"), F.array(F.struct((F.col("id") % 60).alias("from"), (F.col("id") % 60 + 15).alias("to"))).alias("ranges"))
+    segments = events.select(F.col("id").alias("content"), F.explode(F.array(*map(F.lit, (0, 20, 40)))).alias("start")).withColumn("end", F.col("start") + 19)
+    return audience.watched_segments(segments, watched).groupBy("start").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {EV}, p AS (SELECT id, a_event, array_to_string(list(channel) OVER (PARTITION BY passport_id ORDER BY ts DESC, id DESC ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), '>') AS path FROM ev) SELECT id, coalesce(path, '') AS path FROM p WHERE {BOUGHT}")
+def touch_paths(spark, sf_dir):
+    return ingest.touches_before(model(spark, sf_dir).events, "purchase", 3)
+
+
+@query("SELECT c_custkey AS passport_id, c_mktsegment[1] || '***' AS shown FROM customer ORDER BY 1 LIMIT 100")
+def people_table(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return composition.people_table(m.passports, m.facts, "segment")
+
+
+@query(f"WITH {EV}, {_A} SELECT count(*) AS survivors, count(*) AS judge_calls, least(count(*), 20) AS sampled, count(*) > 5000 AS needs_confirmation FROM a")
+def judge_preview(spark, sf_dir):
+    return semantic.preview(cohort.evaluate(world(spark, sf_dir), TREE[0]))
+
+
+@query("WITH v AS (SELECT CASE c_custkey % 5 WHEN 0 THEN '12.5' WHEN 1 THEN 'true' WHEN 2 THEN '2024-01-02' WHEN 3 THEN 'text' END AS v FROM customer) SELECT CASE v WHEN '12.5' THEN 'number' WHEN 'true' THEN 'bool' WHEN '2024-01-02' THEN 'date' WHEN 'text' THEN 'string' END AS kind, count(*) AS n FROM v GROUP BY 1")
+def value_types(spark, sf_dir):
+    i = F.col("c_custkey") % 5
+    value = F.when(i == 0, "12.5").when(i == 1, "true").when(i == 2, "2024-01-02").when(i == 3, "text")
+    return model(spark, sf_dir).table("customer").groupBy(exprs.value_type(value).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n FROM documents JOIN embeddings ON doc_id = vec_id WHERE doc_id % 3 <> 0")
+def orphan_chunks(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return identity.orphans(m.chunks.withColumn("content_hash", F.col("doc_id").cast("string")), m.chunks.filter("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("content_hash"))).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(c AS DOUBLE) AS v, count(*) AS people FROM (SELECT user_id, count(*) AS c FROM events GROUP BY 1) GROUP BY 1")
+def event_distribution(spark, sf_dir):
+    return composition.event_counts(model(spark, sf_dir).events).groupBy("v").agg(F.count(F.lit(1)).alias("people"))
+
+
+@query()
+def stream_journeys(spark, sf_dir):
+    return _streamed(spark, sf_dir, "journeys")
+
+
 @query()
 def stream_once_each(spark, sf_dir):
     return _streamed(spark, sf_dir, "once_each")
@@ -541,6 +663,11 @@ def _streamed(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
     events = spark.readStream.schema(schema).format("parquet").load(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     if what == "once_each":
         out = stateful.once_each(events).select("event_id", "user_id", "event_type")
+    elif what == "journeys":
+        from ..streaming import journeys
+
+        plan = {"trigger": "signup", "start": "wait", "steps": {"wait": {"kind": "wait", "for": "2d", "next": "bought"}, "bought": {"kind": "branch", "event": "purchase", "then": "thank", "otherwise": "nudge"}, "thank": {"kind": "set_fact", "value": "customer", "next": "end"}, "nudge": {"kind": "add_to_list", "value": "nudge", "next": "end"}, "end": {"kind": "exit"}}}
+        out = journeys.run_journeys(events.select(F.col("user_id").alias("passport_id"), "ts", F.col("event_type").alias("type")), plan)
     else:
         out = stateful.windowed(events.withColumn("channel", F.col("event_type")), "1 day")
     run = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
