@@ -11,7 +11,6 @@ by a hash of the id.  Everything else reads every row.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +30,13 @@ _FOLD = np.full(256, 32, np.uint32)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
-_LETTER = re.compile(r"[^\W\d_]")
 RESULT = "doc_id long, lang_pred string, score double, rejected boolean"
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-tf of the hashed pairs and triples of each row, and the number of them."""
     rows = len(offsets) - 1
@@ -149,7 +151,7 @@ def predict_documents(docs: DataFrame, model: Classifier, id_col: str = "doc_id"
             column = text_of(batch.column(1))
             for s in slices(column, SLICE):
                 lang, score, rejected = m.predict(*vectors(s.data, s.offsets))
-                blank = np.array([_LETTER.search(x.as_py()) is None for x in column.slice(s.lo, s.rows)], bool)
+                blank = np.array([not has_letter(x.as_py()) for x in column.slice(s.lo, s.rows)], bool)
                 lang = np.where(blank | (not m.languages), len(m.languages), lang)
                 yield pa.record_batch([batch.column(0).slice(s.lo, s.rows), pa.array(names[lang].tolist(), pa.string()), pa.array(np.where(blank, 0.0, score).astype(np.float64)), pa.array(rejected | blank)], names=["doc_id", "lang_pred", "score", "rejected"])
 
@@ -181,7 +183,7 @@ def keep_identified(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, id_col: str
             column = text_of(batch.column(at))
             for s in slices(column, SLICE):
                 _, _, rejected = shared.value.predict(*vectors(s.data, s.offsets))
-                letters = np.array([_LETTER.search(x.as_py()) is not None for x in column.slice(s.lo, s.rows)], bool)
+                letters = np.array([has_letter(x.as_py()) for x in column.slice(s.lo, s.rows)], bool)
                 yield batch.slice(s.lo, s.rows).filter(pa.array(letters & ~rejected))
 
     return docs.mapInArrow(run, docs.schema)
