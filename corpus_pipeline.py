@@ -33,7 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text."""
-    return bpe.digests(bpe.decode_documents(bpe.encode_documents(docs)))
+    return bpe.round_trips(docs)
 
 
 STAGES = [

@@ -16,7 +16,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = around.groupBy("a").agg(F.min("b").alias("_low")).withColumn("_low", F.least("_low", "a"))
+    # Checkpointed, so that both sides of the join are plain exchanges and Spark can split a hub's edges.
+    least = checkpoint(around.groupBy("a").agg(F.min("b").alias("_low")).withColumn("_low", F.least("_low", "a")))
     joined = around.join(least, "a")
     if large:
         found = joined.filter("b > a").select(F.col("b").alias("a"), F.col("_low").alias("b"))
@@ -30,6 +31,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges change nothing; an empty table has no components.  Every node keeps one edge a
     round at least and all edges of a node are first folded to a minimum, so hubs cost no more than their edges.
+    A round writes two small tables to the checkpoint folder besides its edges.
     """
     edges = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
