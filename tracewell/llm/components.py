@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from .session import checkpoint
 
 MOST_ROUNDS = 60
+#: A task takes about so many edges, so that small tables aren't written as a file for each shuffle partition.
+EDGES_A_TASK = 100_000
+LEAST_TASKS = 16
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     """One step: each node's neighbours (larger ones, or smaller ones and itself) point to its least neighbour."""
     if large:
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # Checkpointed, so that both sides of the join are plain exchanges and Spark can split a hub's edges.
-    least = checkpoint(around.groupBy("a").agg(F.min("b").alias("_low")).withColumn("_low", F.least("_low", "a")))
+    least = checkpoint(around.groupBy("a").agg(F.min("b").alias("_low")).withColumn("_low", F.least("_low", "a")).coalesce(tasks))
     joined = around.join(least, "a")
     if large:
         found = joined.filter("b > a").select(F.col("b").alias("a"), F.col("_low").alias("b"))
     else:
         found = joined.select(F.col("b").alias("a"), F.col("_low").alias("b")).unionByName(least.select("a", F.col("_low").alias("b")))
-    return found.filter("a <> b").distinct()
+    return found.filter("a <> b").coalesce(tasks).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -34,13 +37,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     A round writes two small tables to the checkpoint folder besides its edges.
     """
     edges = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before, rows = None, edges.count()
     for _ in range(MOST_ROUNDS):
-        edges = checkpoint(_stars(_stars(edges, True), False))
+        tasks = max(LEAST_TASKS, rows // EDGES_A_TASK)
+        edges = checkpoint(_stars(_stars(edges.coalesce(tasks), True, tasks), False, tasks).coalesce(tasks))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, rows = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
