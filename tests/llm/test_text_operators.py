@@ -187,3 +187,12 @@ def test_scoring_base_and_model(spark, monkeypatch):
     assert sorted((r["doc_id"] or -1 if r["doc_id"] != 0 else -1, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == brute_base(rows)
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
     assert scoring.score_documents(table(spark, [])).count() == 0
+
+
+def test_scoring_learns_from_every_training_document(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(scoring, "RATES", (5e-3, 1e-3))
+    monkeypatch.setattr(scoring, "fit", lambda *a, fit=scoring.fit: fitted.append(fit(*a)) or fitted[0])
+    rows = [(i, "a" if i % 2 else "the dog", None) for i in range(14500)]
+    got = scoring.score_documents(table(spark, rows)).filter("not held_out").agg({"n_tokens": "sum"}).first()[0]
+    assert fitted[0].seen == got and sum(zlib.crc32(str(i).encode()) % 10 != 0 for i, *_ in rows) > 12000

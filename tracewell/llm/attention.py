@@ -209,20 +209,25 @@ def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray) -> tuple[floa
     return float(loss) / max(n, 1), g
 
 
-def train(w: Weights, numbers: np.ndarray, first: np.ndarray, rate: float, seed: int, batch: int = 16, passes: int = 1) -> tuple[Weights, int]:
-    """Adam over the windows in a seeded order; the weights and how many numbers were seen."""
-    inputs, targets, _ = windows(numbers, first)
-    w = {k: x.copy() for k, x in w.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    rng, step = np.random.default_rng(seed), 0
-    for _ in range(passes):
-        order = rng.permutation(len(inputs))
+class Trainer:
+    """Adam over the windows of one lot of texts after the other, each in a seeded order; its moments are kept from lot to lot."""
+
+    def __init__(self, w: Weights, rate: float, seed: int) -> None:
+        self.w = {k: x.copy() for k, x in w.items()}
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        self.rate, self.rng, self.step, self.seen = rate, np.random.default_rng(seed), 0, 0
+
+    def learn(self, numbers: np.ndarray, first: np.ndarray, batch: int = 16) -> None:
+        inputs, targets, _ = windows(numbers, first)
+        order = self.rng.permutation(len(inputs))
         for at in range(0, len(order), batch):
             of = order[at : at + batch]
-            _, g = gradients(w, inputs[of], targets[of])
-            step += 1
-            for k in w:
-                m[k] += 0.1 * (g[k] - m[k])
-                v[k] += 0.01 * (g[k] * g[k] - v[k])
-                w[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-    return w, int(len(numbers) * passes)
+            _, g = gradients(self.w, inputs[of], targets[of])
+            self.step += 1
+            down, across = 1 - 0.9**self.step, 1 - 0.99**self.step
+            for k, w in self.w.items():
+                m, v = self.m[k], self.v[k]
+                m += 0.1 * (g[k] - m)
+                v += 0.01 * (g[k] * g[k] - v)
+                w -= self.rate * (m / down) / (np.sqrt(v / across) + 1e-8)
+        self.seen += len(numbers)

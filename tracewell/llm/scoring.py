@@ -5,9 +5,9 @@ training counts; sums over all groups go back to the groups that have the word,
 broadcast holds the corpus's words.  A group is then scored with its words' counts at hand: the base
 from the counts, the model from the words' subword ids, each distinct word of a group encoded once.
 
-The model (attention.py) is trained before that on a fixed share of the training documents, at least
-MIN_DOCS if there are as many: a few trainers take a pass each over their part of it, their weights are
-averaged, and the next round begins with these.  Weights and subword counts have a fixed size.
+The model (attention.py) is trained before that in one pass over every training document: each round deals
+its part of them to trainers, more as there are more documents, whose weights are averaged piece by piece
+in tasks, and the next round begins with these.  Weights and subword counts have a fixed size.
 """
 
 from __future__ import annotations
@@ -25,10 +25,9 @@ from . import attention, bpe
 from .session import shuffle_width
 from .textvec import Slice, signed, slices, text_of
 
-SHARE = 1 / 16
-MIN_DOCS = 12000
-TRAINERS = 8
-DOCS_PER_TRAINER = 1000
+TRAINERS = 8  # if each has LEAST_DOCS; more if these would have over MOST_DOCS
+LEAST_DOCS, MOST_DOCS = 1000, 16000
+PIECE = 1 << 14
 RATES = (5e-3, 4e-3, 2e-3, 7e-4)
 END, TOKENS, TYPES = 1, 2, 3  # keys of a group's table that are no word's hash
 ESCAPE = attention.NUMBERS - 1
@@ -143,34 +142,51 @@ class Model:
         table = np.zeros(attention.NUMBERS)
         np.add.at(table, self.number_of[list(counts)], list(counts.values()))
         self.weights = attention.flatten(attention.initial(table))
+        self.seen = 0  # tokens learned from
 
 
 def train_part(model: Model, vocabulary: str, rate: float, seed: int):
+    """(piece, seen, change): how a pass over a task's texts changes the weights, in pieces that are averaged apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, seen = attention.unflatten(model.weights), 0
+        trainer = attention.Trainer(attention.unflatten(model.weights), rate, seed)
         for batch in batches:
-            parts = [Encoded(s, vocabulary, model.number_of).numbers(model.end) for s in slices(text_of(batch.column(0)))]
-            if parts:
-                first = np.concatenate([[0], *(np.diff(f) for _, f in parts)]).cumsum()
-                weights, n = attention.train(weights, np.concatenate([x for x, _ in parts]), first, rate, seed)
-                seen += n
-        if seen:
-            yield pa.record_batch([pa.array([attention.flatten(weights).tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["weights", "seen"])
+            for s in slices(text_of(batch.column(0))):
+                trainer.learn(*Encoded(s, vocabulary, model.number_of).numbers(model.end))
+        if trainer.seen:
+            change = attention.flatten(trainer.w) - model.weights
+            pieces = [change[at : at + PIECE].tobytes() for at in range(0, len(change), PIECE)]
+            yield pa.record_batch([pa.array(np.arange(len(pieces), dtype=np.int32)), pa.array([trainer.seen] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], names=["piece", "seen", "change"])
 
     return run
 
 
+def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each piece's changes averaged by tokens seen; a task holds sums of its pieces, however many trainers there were."""
+    sums: dict[int, np.ndarray] = {}
+    seen: dict[int, int] = {}
+    for batch in batches:
+        for piece, n, change in zip(*(batch.column(c).to_pylist() for c in ("piece", "seen", "change")), strict=True):
+            sums[piece] = sums.get(piece, 0) + n * np.frombuffer(change, np.float32).astype(np.float64)
+            seen[piece] = seen.get(piece, 0) + n
+    if sums:
+        means = [(x / seen[k]).astype(np.float32).tobytes() for k, x in sums.items()]
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([seen[k] for k in sums], pa.int64()), pa.array(means, pa.binary())], names=["piece", "seen", "change"])
+
+
 def fit(texts: DataFrame, docs: int, vocabulary: str) -> Model:
-    """Train on texts (key long, text), which has about `docs` rows."""
+    """Train on texts (key long, text), which has `docs` rows: each is learned from once, in the round of its key."""
     counts = texts.select("text").mapInArrow(count_subwords(vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     model = Model({r["id"]: r["n"] for r in counts.collect()}, vocabulary)  # as many rows as the vocabulary has ids
-    trainers = max(1, min(TRAINERS, docs // DOCS_PER_TRAINER))
+    trainers = max(1, min(TRAINERS, docs // LEAST_DOCS), docs // MOST_DOCS)
+    pieces, width = "piece int, seen long, change binary", min(TRAINERS, shuffle_width(texts.sparkSession))
     for k, rate in enumerate(RATES):
-        part = texts.filter(F.pmod("key", F.lit(len(RATES))) == k).repartition(trainers, "key")
-        got = part.select("text").mapInArrow(train_part(model, vocabulary, rate, k), "weights binary, seen long").collect()  # one row for each trainer
+        part = texts.filter(F.pmod("key", F.lit(len(RATES))) == k).select("text").repartition(trainers)
+        changes = part.mapInArrow(train_part(model, vocabulary, rate, k), pieces).repartition(width, "piece")
+        got = sorted((r["piece"], r["seen"], bytes(r["change"])) for r in changes.mapInArrow(average, pieces).collect())  # the size of the weights
         if got:
-            got = sorted((r["seen"], bytes(r["weights"])) for r in got)
-            model.weights = (sum(n * np.frombuffer(w, np.float32).astype(np.float64) for n, w in got) / sum(n for n, _ in got)).astype(np.float32)
+            model.weights = model.weights + np.concatenate([np.frombuffer(x, np.float32) for *_, x in got])
+            model.seen += got[0][1]
     return model
 
 
@@ -225,10 +241,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text.alias("text"))
     training = rows.filter(~F.col("held_out"))
     n = training.count()
-    share = min(1.0, max(SHARE, MIN_DOCS / max(n, 1)))
-    key = F.pmod(F.xxhash64(F.lit("model"), "doc_id"), F.lit(1 << 40))
-    chosen = training.select(key.alias("key"), "text").filter(F.col("key") % (1 << 20) < int(share * (1 << 20)))
-    model = fit(chosen, int(n * share), vocabulary)
+    key = F.pmod(F.xxhash64(F.lit("model"), "doc_id", "text"), F.lit(1 << 40))
+    model = fit(training.select(key.alias("key"), "text"), n, vocabulary)
     dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(width)).cast("int")).repartition(width, "grp")
     words = dealt.mapInArrow(count_words, COUNTS)  # all columns, so that both uses share one exchange
     by_word = W.partitionBy("word")
