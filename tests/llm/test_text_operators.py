@@ -196,3 +196,33 @@ def test_scoring_learns_from_every_training_document(spark, monkeypatch):
     rows = [(i, "a" if i % 2 else "the dog", None) for i in range(14500)]
     got = scoring.score_documents(table(spark, rows)).filter("not held_out").agg({"n_tokens": "sum"}).first()[0]
     assert fitted[0].seen == got and sum(zlib.crc32(str(i).encode()) % 10 != 0 for i, *_ in rows) > 12000
+
+
+def test_rare_numbers_have_probabilities_and_contexts_of_their_own():
+    rng = np.random.default_rng(4)
+    n, tail = attention.TAIL, 30
+    w = {k: v.astype(np.float64) + 0.1 * rng.standard_normal(v.shape) * (v > -50) for k, v in attention.initial(np.arange(attention.NUMBERS + tail) + 1.0).items()}
+    numbers, first = np.concatenate([rng.integers(0, attention.ESCAPE, 40), rng.integers(n, n + tail, 50)]), np.array([0, 30, 90])
+    inputs, targets, _ = attention.windows(numbers, first)
+    loss, g = attention.gradients(w, inputs, targets)
+    assert -attention.log_probabilities(w, numbers, first).sum() == pytest.approx(loss * 90, rel=1e-5)
+    for k in ("own", "tail", "tail_b", "tail_klass", "tail_klass_b", "q"):
+        dense = np.zeros_like(w[k])
+        rows, x = g[k] if isinstance(g[k], tuple) else (..., g[k])
+        dense[rows] = x
+        for at in (tuple(rng.integers(0, d) for d in dense.shape), np.unravel_index(np.abs(dense).argmax(), dense.shape)):
+            was, sides = w[k][at], []
+            for d in (1e-4, -1e-4):
+                w[k][at] = was + d
+                sides.append(attention.gradients(w, inputs, targets)[0])
+            w[k][at] = was
+            assert (sides[0] - sides[1]) / 2e-4 == pytest.approx(dense[at], abs=2e-5)
+    after = [np.array([attention.log_probabilities(w, np.array([c, k]), np.array([0, 2]))[0] - attention.log_probabilities(w, np.array([c]), np.array([0, 1]))[0] for k in [*range(attention.ESCAPE), *range(n, n + tail)]]) for c in (n, n + 1)]
+    assert np.exp(after[0]).sum() == pytest.approx(1, rel=1e-6) and not np.allclose(after[0], after[1], rtol=1e-4)
+    assert len(set(after[0][attention.ESCAPE :].round(6))) == tail
+
+
+def test_every_subword_has_a_number():
+    vocabulary = bpe.default_vocabulary()
+    model = scoring.Model({5000: 7, 6000: 9}, vocabulary)
+    assert len(set(model.number_of.tolist())) == len(bpe.coder(vocabulary).pieces) and attention.ESCAPE not in model.number_of

@@ -1,20 +1,26 @@
 """A small causal self-attention model over subword numbers, in numpy.
 
 One attention layer with a residual feed-forward layer predicts the next number in two steps, its
-class and then its place in the class, so no step is wider than the classes.  Text is cut into
+class and then its place in the class, so no step is wider than the classes.  Numbers beyond the first
+NUMBERS, from TAIL on, are behind the last of these, ESCAPE: its probability is dealt out to them by a
+class and a place of their own, and each adds a vector of its own to the escape's.  Text is cut into
 windows of CONTEXT + SCORED places; neighbours overlap by CONTEXT, and each number is scored once,
 in the window where it is among the last SCORED.  Windows are run in batches under one causal mask.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 CONTEXT, SCORED = 16, 32
 WIDTH, HIDDEN = 16, 32
 CLASSES = MEMBERS = 32
 NUMBERS = CLASSES * MEMBERS
-START, PAD = NUMBERS, NUMBERS + 1
+ESCAPE = NUMBERS - 1
+START, PAD, TAIL = NUMBERS, NUMBERS + 1, NUMBERS + 2
+_NEVER = -60.0  # bias of places that no number has
 _PLACES = CONTEXT + SCORED
 _MASK = np.where(np.arange(_PLACES)[None, :] <= np.arange(SCORED)[:, None] + CONTEXT, 0.0, -1e9).astype(np.float32)
 _SCALE = np.float32(WIDTH**-0.5)
@@ -23,29 +29,48 @@ SHAPES = {
     "embed": (NUMBERS + 2, WIDTH), "place": (_PLACES, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH),
     "up": (WIDTH, HIDDEN), "up_b": (HIDDEN,), "down": (HIDDEN, WIDTH), "klass": (WIDTH, CLASSES), "klass_b": (CLASSES,), "member": (CLASSES, WIDTH, MEMBERS), "member_b": (CLASSES, MEMBERS),
 }
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
 Weights = dict[str, np.ndarray]
+Gradients = dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]]  # of a large table the rows touched and their gradients
+
+
+def shapes(tail: int = 0) -> dict[str, tuple[int, ...]]:
+    """The weights' shapes with so many numbers from TAIL on."""
+    if not tail:
+        return SHAPES
+    classes = math.isqrt(tail - 1) + 1
+    members = -(-tail // classes)
+    return SHAPES | {"own": (tail, WIDTH), "tail_klass": (WIDTH, classes), "tail_klass_b": (classes,), "tail": (classes, WIDTH, members), "tail_b": (classes, members)}
 
 
 def initial(counts: np.ndarray, seed: int = 3) -> Weights:
-    """Random weights; the biases start at the logarithms of the numbers' frequencies."""
+    """Random weights; the biases start at the logarithms of the numbers' frequencies, those of TAIL and on after the first NUMBERS."""
     rng = np.random.default_rng(seed)
+    counts, rare = counts[:NUMBERS], counts[NUMBERS:] + 0.5
+    if len(rare):
+        counts = np.append(counts[:ESCAPE], rare.sum())
     w = {k: (rng.standard_normal(s) * (0.02 if k in ("o", "down", "klass", "member") else 0.3 if k in ("embed", "place") else s[0] ** -0.5)).astype(np.float32) for k, s in SHAPES.items()}
     w["up_b"][:] = 0
     table = (counts + 0.5).reshape(CLASSES, MEMBERS)
     w["klass_b"][:] = np.log(table.sum(axis=1) / table.sum())
     w["member_b"][:] = np.log(table / table.sum(axis=1, keepdims=True))
+    if len(rare):
+        w |= {k: np.zeros(s, np.float32) for k, s in shapes(len(rare)).items() if k not in SHAPES}
+        table = np.zeros(w["tail_b"].shape)
+        table.ravel()[: len(rare)] = rare
+        total = table.sum(axis=1)
+        w["tail_klass_b"][:] = np.where(total > 0, np.log(np.maximum(total, 0.5) / rare.sum()), _NEVER)
+        w["tail_b"][:] = np.where(table > 0, np.log(np.maximum(table, 0.5) / np.maximum(total, 0.5)[:, None]), _NEVER)
     return w
 
 
 def flatten(w: Weights) -> np.ndarray:
-    return np.concatenate([w[k].ravel() for k in SHAPES]).astype(np.float32)
+    return np.concatenate([x.ravel() for x in w.values()]).astype(np.float32)
 
 
-def unflatten(flat: np.ndarray) -> Weights:
+def unflatten(flat: np.ndarray, tail: int = 0) -> Weights:
     out, at = {}, 0
-    for k, s in SHAPES.items():
+    for k, s in shapes(tail).items():
         n = int(np.prod(s))
         out[k] = flat[at : at + n].reshape(s).astype(np.float32)
         at += n
@@ -70,7 +95,10 @@ def windows(numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _hidden(w: Weights, inputs: np.ndarray) -> dict[str, np.ndarray]:
-    x = w["embed"][inputs] + w["place"]
+    x = w["embed"][np.where(inputs < TAIL, inputs, ESCAPE)] + w["place"]
+    if "own" in w:
+        rare = inputs >= TAIL
+        x[rare] += w["own"][inputs[rare] - TAIL]
     flat = x.reshape(-1, WIDTH)
     xq = x[:, CONTEXT:]
     q = (np.ascontiguousarray(xq).reshape(-1, WIDTH) @ w["q"] * _SCALE).reshape(-1, SCORED, WIDTH)
@@ -101,6 +129,20 @@ def _log_sums(z: np.ndarray) -> np.ndarray:
     return out if shift is None else out + shift
 
 
+def _tail_log_probabilities(w: Weights, h: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The logarithm of each tail number's share of the escape."""
+    c, m = np.divmod(t - TAIL, w["tail_b"].shape[1])
+    z = h @ w["tail_klass"] + w["tail_klass_b"]
+    out = (z[np.arange(len(c)), c] - _log_sums(z)).astype(np.float64)
+    order = np.argsort(c, kind="stable")
+    edge = np.flatnonzero(np.append(True, np.diff(c[order]) > 0)) if len(c) else np.zeros(0, np.int64)
+    for of in np.split(order, edge[1:]) if len(c) else ():
+        k = c[of[0]]
+        z = h[of] @ w["tail"][k] + w["tail_b"][k]
+        out[of] += z[np.arange(len(of)), m[of]] - _log_sums(z)
+    return out
+
+
 def log_probabilities(w: Weights, numbers: np.ndarray, first: np.ndarray, batch: int = 128) -> np.ndarray:
     """The natural logarithm of each document's probability.
 
@@ -112,7 +154,9 @@ def log_probabilities(w: Weights, numbers: np.ndarray, first: np.ndarray, batch:
     starts = np.append(True, doc[1:] != doc[:-1]) if len(doc) else np.zeros(0, bool)
     one = np.zeros((WIDTH, 1), w["v"].dtype)
     turn = np.concatenate([np.eye(WIDTH, dtype=one.dtype), w["k"], w["v"], one], axis=1)
-    table, place = w["embed"] @ turn, w["place"] @ turn
+    embed = w["embed"] if "own" not in w else np.concatenate([w["embed"], w["own"] + w["embed"][ESCAPE]])
+    table, place = embed @ turn, w["place"] @ turn
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # hidden states, tail numbers and documents
     table[:, -1] = 1  # sums the weights along with the values
     for at in range(0, len(doc), batch):
         ids = inputs[at : at + batch]
@@ -138,6 +182,15 @@ def log_probabilities(w: Weights, numbers: np.ndarray, first: np.ndarray, batch:
         use = np.flatnonzero(t != PAD)
         if len(use) < len(t):
             h, t = h[use], t[use]
+        of = doc[at : at + batch][use // SCORED]
+        if "own" in w:
+            rare = np.flatnonzero(t >= TAIL)
+            held.append((h[rare], t[rare], of[rare]))
+            t = np.where(t < TAIL, t, ESCAPE)
+            if at + batch >= len(doc) or sum(len(x) for _, x, _ in held) > 20000:
+                hs, ts, ds = (np.concatenate(x) for x in zip(*held, strict=True))
+                np.add.at(out, ds, _tail_log_probabilities(w, hs, ts))
+                held.clear()
         c = t // MEMBERS
         order = np.argsort(c.astype(np.uint8), kind="stable")
         h, c, m = h[order], c[order], (t % MEMBERS)[order]
@@ -151,24 +204,57 @@ def log_probabilities(w: Weights, numbers: np.ndarray, first: np.ndarray, batch:
             np.matmul(h[lo:hi], w["member"][k], out=z[lo:hi])
             z[lo:hi] += w["member_b"][k]
         lp += z[np.arange(len(c)), m] - _log_sums(z)
-        np.add.at(out, doc[at : at + batch][use[order] // SCORED], lp)
+        np.add.at(out, of[order], lp)
     return out
 
 
-def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, Weights]:
+def _summed_rows(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(ids, kind="stable")
+    edge = np.flatnonzero(np.append(True, np.diff(ids[order]) > 0)) if len(ids) else np.zeros(0, np.int64)
+    return ids[order][edge], np.add.reduceat(x[order], edge, axis=0) if len(ids) else x
+
+
+def _tail_gradients(w: Weights, h: np.ndarray, t: np.ndarray, g: Gradients) -> tuple[float, np.ndarray]:
+    """Sum of the negative logarithms of the tail numbers' shares of the escape, its gradients put into g, and that by h."""
+    c, m = np.divmod(t - TAIL, w["tail_b"].shape[1])
+    lp = _log_softmax(h @ w["tail_klass"] + w["tail_klass_b"])
+    loss = -lp[np.arange(len(c)), c].sum()
+    d = np.exp(lp)
+    d[np.arange(len(c)), c] -= 1
+    g["tail_klass"], g["tail_klass_b"] = h.T @ d, d.sum(axis=0)
+    dh = d @ w["tail_klass"].T
+    classes = np.unique(c)
+    by_class, bias = np.empty((len(classes), *w["tail"].shape[1:]), h.dtype), np.empty((len(classes), w["tail_b"].shape[1]), h.dtype)
+    for i, k in enumerate(classes.tolist()):
+        of = np.flatnonzero(c == k)
+        lm = _log_softmax(h[of] @ w["tail"][k] + w["tail_b"][k])
+        loss -= lm[np.arange(len(of)), m[of]].sum()
+        d = np.exp(lm)
+        d[np.arange(len(of)), m[of]] -= 1
+        by_class[i], bias[i] = h[of].T @ d, d.sum(axis=0)
+        dh[of] += d @ w["tail"][k].T
+    g["tail"], g["tail_b"] = (classes, by_class), (classes, bias)
+    return loss, dh
+
+
+def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, Gradients]:
     """Mean negative log probability of the targets of some windows, and its gradients."""
-    g = {k: np.zeros_like(x) for k, x in w.items()}
+    g: Gradients = {k: np.zeros_like(w[k]) for k in SHAPES}
     f = _hidden(w, inputs)
     t = targets.ravel()
     use = np.flatnonzero(t != PAD)
     n, h, t = len(use), f["h"][use], t[use]
+    rare = np.flatnonzero(t >= TAIL)
+    tail_loss, tail_dh = _tail_gradients(w, h[rare], t[rare], g) if "own" in w else (0.0, 0.0)
+    t = np.where(t < TAIL, t, ESCAPE)
     c = t // MEMBERS
     lp = _log_softmax(h @ w["klass"] + w["klass_b"])
-    loss = -lp[np.arange(n), c].sum()
+    loss = tail_loss - lp[np.arange(n), c].sum()
     d = np.exp(lp)
     d[np.arange(n), c] -= 1
     g["klass"], g["klass_b"] = h.T @ d, d.sum(axis=0)
     dh_use = d @ w["klass"].T
+    dh_use[rare] += tail_dh
     for k in np.unique(c).tolist():
         of = np.flatnonzero(c == k)
         lm = _log_softmax(h[of] @ w["member"][k] + w["member_b"][k])
@@ -180,8 +266,10 @@ def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray) -> tuple[floa
         dh_use[of] += d @ w["member"][k].T
     dh = np.zeros_like(f["h"])
     dh[use] = dh_use / n
-    for k in ("klass", "klass_b", "member", "member_b"):
+    for k in ("klass", "klass_b", "member", "member_b", *(("tail_klass", "tail_klass_b") if "own" in w else ())):
         g[k] /= n
+    for k in ("tail", "tail_b") if "own" in w else ():
+        g[k] = g[k][0], g[k][1] / n
     g["down"] = f["up"].T @ dh
     dup = dh @ w["down"].T * (f["up"] > 0)
     g["up"], g["up_b"] = f["h1"].T @ dup, dup.sum(axis=0)
@@ -202,9 +290,11 @@ def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray) -> tuple[floa
     dx[:, CONTEXT:] += (dq @ w["q"].T + dh1).reshape(-1, SCORED, WIDTH)
     g["place"] = dx.sum(axis=0)
     ids = inputs.ravel()
-    order = np.argsort(ids, kind="stable")
-    edge = np.flatnonzero(np.append(True, np.diff(ids[order]) > 0))
-    g["embed"][ids[order][edge]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], edge, axis=0)
+    if "own" in w:
+        rare = np.flatnonzero(ids >= TAIL)
+        g["own"] = _summed_rows(ids[rare] - TAIL, dx.reshape(-1, WIDTH)[rare])
+    rows, sums = _summed_rows(np.where(ids < TAIL, ids, ESCAPE), dx.reshape(-1, WIDTH))
+    g["embed"][rows] = sums
     g["embed"][PAD] = 0
     return float(loss) / max(n, 1), g
 
@@ -227,7 +317,8 @@ class Trainer:
             down, across = 1 - 0.9**self.step, 1 - 0.99**self.step
             for k, w in self.w.items():
                 m, v = self.m[k], self.v[k]
-                m += 0.1 * (g[k] - m)
-                v += 0.01 * (g[k] * g[k] - v)
-                w -= self.rate * (m / down) / (np.sqrt(v / across) + 1e-8)
+                rows, x = g[k] if isinstance(g[k], tuple) else (..., g[k])  # untouched rows of a large table stand still
+                m[rows] += 0.1 * (x - m[rows])
+                v[rows] += 0.01 * (x * x - v[rows])
+                w[rows] -= self.rate * (m[rows] / down) / (np.sqrt(v[rows] / across) + 1e-8)
         self.seen += len(numbers)

@@ -30,7 +30,6 @@ LEAST_DOCS, MOST_DOCS = 1000, 16000
 PIECE = 1 << 14
 RATES = (5e-3, 4e-3, 2e-3, 7e-4)
 END, TOKENS, TYPES = 1, 2, 3  # keys of a group's table that are no word's hash
-ESCAPE = attention.NUMBERS - 1
 LOG10 = math.log(10)
 COUNTS = "grp int, word long, n long"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -129,18 +128,21 @@ def count_subwords(vocabulary: str):
 
 
 class Model:
-    """Weights, and the model's number of each subword id; rare ids share the escape, evenly."""
+    """Weights, and the model's number of each subword id: by frequency, the escape's tail after the first."""
 
     def __init__(self, counts: dict[int, int], vocabulary: str) -> None:
         size = len(bpe.coder(vocabulary).pieces)
         end = _end_id(vocabulary)
-        frequent = [end, *(i for i in sorted(counts, key=lambda i: (-counts[i], i)) if i != end)][:ESCAPE]
-        self.number_of = np.full(size, ESCAPE, np.int64)
-        self.number_of[frequent] = np.arange(len(frequent))
-        self.escaped = math.log(max(1, size - len(frequent)))
+        count = np.zeros(size)
+        count[list(counts)] = list(counts.values())
+        ranked = np.lexsort((np.arange(size), -count, np.arange(size) != end))  # the end first
+        place = np.arange(size)
+        self.number_of = np.empty(size, np.int64)
+        self.number_of[ranked] = np.where(place < attention.ESCAPE, place, place - attention.ESCAPE + attention.TAIL)
         self.end = 0
-        table = np.zeros(attention.NUMBERS)
-        np.add.at(table, self.number_of[list(counts)], list(counts.values()))
+        self.tail = max(0, size - attention.ESCAPE)
+        table = np.zeros(attention.NUMBERS + self.tail)
+        table[np.where(place < attention.ESCAPE, place, place + 1)] = count[ranked]
         self.weights = attention.flatten(attention.initial(table))
         self.seen = 0  # tokens learned from
 
@@ -149,7 +151,7 @@ def train_part(model: Model, vocabulary: str, rate: float, seed: int):
     """(piece, seen, change): how a pass over a task's texts changes the weights, in pieces that are averaged apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = attention.Trainer(attention.unflatten(model.weights), rate, seed)
+        trainer = attention.Trainer(attention.unflatten(model.weights, model.tail), rate, seed)
         for batch in batches:
             for s in slices(text_of(batch.column(0))):
                 trainer.learn(*Encoded(s, vocabulary, model.number_of).numbers(model.end))
@@ -193,7 +195,7 @@ def fit(texts: DataFrame, docs: int, vocabulary: str) -> Model:
 def score_group(shared, vocabulary: str):
     def run(docs: pa.Table, table: pa.Table) -> pa.Table:
         model: Model = shared.value
-        weights = attention.unflatten(model.weights)
+        weights = attention.unflatten(model.weights, model.tail)
         key, total = table.column("word").to_numpy(), table.column("total").to_numpy()
         order = np.argsort(key)
         key, total = key[order], total[order]
@@ -206,8 +208,7 @@ def score_group(shared, vocabulary: str):
             count = total[np.searchsorted(key, e.words)] if len(e.words) else np.zeros(0, np.int64)
             base = np.log10(count + 0.1) - scale
             numbers, first = e.numbers(model.end)
-            rare = np.add.reduceat(numbers == ESCAPE, first[:-1]) if s.rows else np.zeros(0)
-            logs = attention.log_probabilities(weights, numbers, first) - rare * model.escaped
+            logs = attention.log_probabilities(weights, numbers, first)
             values = (
                 s.n_words + 1,
                 np.bincount(s.doc[count[which] > 0], minlength=s.rows) + (ends > 0),
