@@ -226,3 +226,15 @@ def test_every_subword_has_a_number():
     vocabulary = bpe.default_vocabulary()
     model = scoring.Model({5000: 7, 6000: 9}, vocabulary)
     assert len(set(model.number_of.tolist())) == len(bpe.coder(vocabulary).pieces) and attention.ESCAPE not in model.number_of
+
+
+def test_language_rejects_unknown_text_of_each_length(spark):
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
+    usable = docs.filter("lang is not null and text is not null").orderBy("doc_id").select("text", "lang").collect()
+    model = langid.fit([r["text"] for r in usable if r], [r["lang"] for r in usable])
+    rng = np.random.default_rng(6)
+    for size in (20, 80, 300, 1500):
+        odd = [" ".join("".join(rng.choice(list("qxzjkwvyp"), rng.integers(3, 8))) for _ in range(max(1, size // 6))) for _ in range(100)]
+        rejected = np.concatenate([model.predict(*langid.vectors(s.data, s.offsets))[2] for s in slices(pa.array(odd))])
+        assert rejected.mean() > 0.9, size
+    assert (model.floor[1:] > 0).all()  # below 8 letters some labelled words have no pair in common with a centroid

@@ -3,7 +3,8 @@
 A text is a vector of hashed byte pairs and triples of its lower-cased letters, weighted by
 log-tf times idf and scaled to length one.  Each language has a few centroids, found by spherical
 k-means over labelled texts; a prediction is the language of the centroid with the largest cosine.
-A text is rejected if it is farther from every centroid than the labelled texts of its length are.
+A text is rejected if it is farther from every centroid than all but FALSE_REJECTIONS of the labelled texts
+of its length are that the centroids were not fitted on; these are also cut to lengths that few texts have.
 
 The classifier is fitted on a bounded sample: at most about `rows` labelled texts of each language, drawn
 by a hash of the id.  Everything else reads every row.
@@ -23,6 +24,9 @@ from .textvec import slices, text_of
 
 ROWS_PER_LANGUAGE = 400
 CENTROIDS = 3
+FALSE_REJECTIONS = 0.01
+OUTSIDE = 5  # one labelled text in so many is outside the fit
+EDGES = np.array([8, 32, 128, 512])
 DIMENSIONS = 4096
 BITS = 12
 SLICE = 1 << 18
@@ -89,9 +93,50 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 
+def _pieces(texts: list[str], rng: np.random.Generator) -> list[str]:
+    """The texts, and a run of whole words of each for every length between EDGES that it exceeds."""
+    out = list(texts)
+    for text in texts:
+        words = text[:5000].split()
+        size = np.array([len(x.encode()) for x in words], np.int64)
+        for lo, hi in zip([1, *EDGES[:-1].tolist()], EDGES.tolist(), strict=True):
+            if size.sum() > hi:
+                first, want = int(rng.integers(len(words))), int(rng.integers(lo, hi))
+                n = max(1, int(np.searchsorted(np.cumsum(size[first:]), want, side="right")))
+                out.append(" ".join(words[first : first + n]))
+    return out
+
+
+def floors(model: Classifier, texts: list[str], rng: np.random.Generator, rate: float = FALSE_REJECTIONS) -> np.ndarray:
+    """For each length the cosine that a new text like these stays below with the rate at most.
+
+    A length with too few texts for the rate takes in the next longer one's, the longest those before it.  If all
+    are too few, the floor is 0.4 of the lowest, or 0 below 20 texts.
+    """
+    parts = [vectors(s.data, s.offsets) for s in slices(pa.array(_pieces(texts, rng), pa.string()), SLICE)]
+    n = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, np.int64)
+    best = np.concatenate([model.cosines(tf).max(axis=1) for tf, _ in parts]) if parts else np.zeros(0)
+    level = np.where(n > 0, np.searchsorted(EDGES, n, side="right"), -1)
+    out, bands = np.zeros(len(EDGES) + 1), len(EDGES) + 1
+    for b in range(bands):
+        lo, hi = b, b + 1
+        while (np.count_nonzero((level >= lo) & (level < hi)) + 1) * rate < 1 and hi - lo < bands:
+            lo, hi = (lo, hi + 1) if hi < bands else (lo - 1, hi)
+        of = np.sort(best[(level >= lo) & (level < hi)])
+        k = int((len(of) + 1) * rate)
+        out[b] = of[k - 1] if k else 0.4 * of[0] if len(of) >= 20 else 0.0
+    return out
+
+
 def fit(texts: list[str], labels: list[str], per_language: int = CENTROIDS, seed: int = 5) -> Classifier:
-    """Spherical k-means within each language; floors are a fixed share of the labelled texts' low cosines by length."""
+    """Spherical k-means within each language; floors are set on one text in OUTSIDE, which is not fitted on."""
     languages = sorted(set(labels))
+    aside = np.zeros(len(texts), bool)
+    if len(texts) >= 20 * OUTSIDE:
+        for lang in languages:
+            aside[np.flatnonzero(np.array(labels) == lang)[OUTSIDE - 1 :: OUTSIDE]] = True
+    outside = [t for t, out in zip(texts, aside, strict=True) if out] or texts
+    texts, labels = ([x for x, out in zip(xs, aside, strict=True) if not out] for xs in (texts, labels))
     parts = [vectors(s.data, s.offsets) for s in slices(pa.array(texts, pa.string()), SLICE)]
     if not parts:
         empty = np.zeros(0, np.int64)
@@ -112,15 +157,8 @@ def fit(texts: list[str], labels: list[str], per_language: int = CENTROIDS, seed
             centre = _normal(np.array([of[near == c].mean(axis=0) if (near == c).any() else centre[c] for c in range(len(centre))]))
         found.append(centre)
         owner += [k] * len(centre)
-    edges = np.array([8, 32, 128, 512])
-    model = Classifier(languages, idf, np.concatenate(found), np.array(owner), edges, np.zeros(5))
-    best = (x @ model.centroids.T).max(axis=1)
-    level = np.searchsorted(edges, n, side="right")
-    low = 0.0
-    for b in range(len(edges) + 1):  # longer texts are never held to less than shorter ones
-        of = best[(level == b) & (n > 0)]
-        low = max(low, 0.4 * float(np.quantile(of, 0.01)) if len(of) >= 20 else 0.0)
-        model.floor[b] = low
+    model = Classifier(languages, idf, np.concatenate(found), np.array(owner), EDGES, np.zeros(len(EDGES) + 1))
+    model.floor = floors(model, outside, rng)
     return model
 
 
@@ -165,7 +203,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Fit on the labelled rows that are not held out and predict every row: adds held_out."""
-    model = fit(*training_rows(docs, held_out(id_col), id_col, text_col, lang_col, rows))
+    model = fit(*training_rows(docs, held_out(id_col), id_col, text_col, lang_col, rows * OUTSIDE // (OUTSIDE - 1)))
     return predict_documents(docs, model, id_col, text_col).withColumn("held_out", held_out("doc_id"))
 
 
@@ -174,7 +212,7 @@ def keep_identified(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, id_col: str
 
     It is fitted on labelled rows of the table itself, held-out ones excluded.
     """
-    model = fit(*training_rows(docs, held_out(id_col), id_col, text_col, lang_col, rows))
+    model = fit(*training_rows(docs, held_out(id_col), id_col, text_col, lang_col, rows * OUTSIDE // (OUTSIDE - 1)))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few megabytes, whatever the rows
     at = docs.columns.index(text_col)
 
