@@ -157,3 +157,11 @@ def test_merges_audiences_and_conflicts(spark):
     assert [facts.on_conflict(rows, p, ["key"], "arrival").first()["value"] for p in ("skip", "replace")] == ["a", "b"]
     with pytest.raises(Exception, match="conflicting"):
         facts.on_conflict(rows, "error", ["key"], "arrival").collect()
+
+
+def test_about_without_a_limit_finds_everybody(spark):
+    from tracewell.operators import semantic
+
+    chunks = spark.range(2500).selectExpr("id AS doc_id", "array(1.0D, 0.0D) AS embedding")
+    contacts = spark.range(2500).selectExpr("id AS passport_id", "id AS doc_id", "timestamp '2024-01-01' AS ts")
+    assert [semantic.about(chunks, contacts, [1.0, 0.0], 0.2, most).count() for most in (2000, None)] == [2000, 2500]

@@ -23,16 +23,18 @@ def top_k(chunks: DataFrame, query: list[float], k: int) -> DataFrame:
     return similar(chunks, query).orderBy(F.desc("sim"), "doc_id").limit(k).select("doc_id", "sim")
 
 
-def about(chunks: DataFrame, contacts: DataFrame, query: list[float], floor: float = 0.72, most: int = 2000, scope: DataFrame | None = None) -> DataFrame:
-    """(passport_id, sim, matched_at) of people who met one of the nearest chunks above the floor.
+def about(chunks: DataFrame, contacts: DataFrame, query: list[float], floor: float = 0.72, most: int | None = 2000, scope: DataFrame | None = None) -> DataFrame:
+    """(passport_id, sim, matched_at) of people who met one of the nearest chunks above the floor, or any of them if `most` is None.
 
     A scope is applied before the nearest are chosen, so it narrows the pool and not the answer.
     """
     if scope is not None:
         contacts = contacts.join(scope.select("passport_id"), "passport_id", "left_semi")
         chunks = chunks.join(contacts.select("doc_id").distinct(), "doc_id", "left_semi")
-    near = similar(chunks, query, floor).orderBy(F.desc("sim"), "doc_id").limit(most).select("doc_id", "sim")
-    return contacts.join(F.broadcast(near), "doc_id").groupBy("passport_id").agg(F.max("sim").alias("sim"), F.max("ts").alias("matched_at"))
+    near = similar(chunks, query, floor).select("doc_id", "sim")
+    if most is not None:
+        near = F.broadcast(near.orderBy(F.desc("sim"), "doc_id").limit(most))
+    return contacts.join(near, "doc_id").groupBy("passport_id").agg(F.max("sim").alias("sim"), F.max("ts").alias("matched_at"))
 
 
 def population(chunks: DataFrame, contacts: DataFrame, query: list[float], k: int) -> DataFrame:

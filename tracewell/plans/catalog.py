@@ -460,7 +460,7 @@ def population_recall(spark, sf_dir):
 @query(f"WITH {CH}, {CT} SELECT passport_id, round(max(sim), 4) AS sim, strftime(max(ts), '{DAY}') AS matched_at FROM ct JOIN ch USING (doc_id) WHERE sim >= 0.2 GROUP BY 1")
 def about_gate(spark, sf_dir):
     m = model(spark, sf_dir)
-    return semantic.about(m.chunks, _contacts(m), _query_vector(m), 0.2).select("passport_id", F.round("sim", 4).alias("sim"), F.date_format("matched_at", "yyyy-MM-dd HH:mm:ss").alias("matched_at"))
+    return semantic.about(m.chunks, _contacts(m), _query_vector(m), 0.2, most=None).select("passport_id", F.round("sim", 4).alias("sim"), F.date_format("matched_at", "yyyy-MM-dd HH:mm:ss").alias("matched_at"))
 
 
 @query(f"WITH {CH}, {CT}, o AS (SELECT doc_id, arg_max_null(dwell_ms, row(ts, id)) AS d FROM ct WHERE passport_id = 7 GROUP BY 1) SELECT doc_id, round(sim, 4) AS sim, round(sim * (0.4 + 0.6 * least(1.0, coalesce(d, 0) / 600.0::DOUBLE)), 4) AS rank_score FROM ch JOIN o USING (doc_id) ORDER BY sim * (0.4 + 0.6 * least(1.0, coalesce(d, 0) / 600.0::DOUBLE)) DESC, doc_id LIMIT 10")
