@@ -238,3 +238,10 @@ def test_language_rejects_unknown_text_of_each_length(spark):
         rejected = np.concatenate([model.predict(*langid.vectors(s.data, s.offsets))[2] for s in slices(pa.array(odd))])
         assert rejected.mean() > 0.9, size
     assert (model.floor[1:] > 0).all()  # below 8 letters some labelled words have no pair in common with a centroid
+
+
+@pytest.mark.parametrize("was, now", [("<body>", "<body class='has-sidebar comments-open'>"), ("<article>", "<article class='post comments-closed'>"), ("<body>", "<body><div id='main' class='content-with-sidebar'>"), ("<article>", "<article class='share-enabled'>")])
+def test_names_around_the_article_do_not_lose_it(was, now):
+    text = "This is a long sentence of the article, which says a good deal about many things."
+    page = f"<html><body><nav>Home</nav><article><h1>Title</h1><p>{text}</p><p>{text}</p><div class='related-posts'>Read this other one, which is as long as that one.</div></article></body></html>"
+    assert extract.main_text(page.replace(was, now)) == f"Title\n{text}\n{text}"

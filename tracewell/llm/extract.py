@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,6 +30,7 @@ SILENT = frozenset("head script style noscript template iframe object svg canvas
 RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog search".split())
 CONTENT_TAGS = frozenset("article main".split())
+FRAME = frozenset("html body main".split())
 CONTENT_ROLES = frozenset("main article".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BOILERPLATE_WORDS = frozenset(
@@ -63,6 +64,7 @@ class Element:
     bad: bool
     header: bool
     named: bool
+    suspects: tuple[int, ...] = ()  # it and elements around it whose names have a word of boilerplate
 
 
 @dataclass
@@ -76,25 +78,31 @@ class Block:
     header: bool
     named: bool
     linked: int
+    suspects: tuple[int, ...] = ()
     parts: list[str] = field(default_factory=list)
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
-    """Whether an element says content, boilerplate, header, or has a name that content has."""
-    good, bad, header, named = tag in CONTENT_TAGS, tag in BOILERPLATE_TAGS, tag == "header", False
+def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, bool]:
+    """Whether an element says content, boilerplate, header, has a name that content has, or one with a word of boilerplate.
+
+    Names say no boilerplate on the page's frame, and on an article only if one is a word of boilerplate as a whole.
+    """
+    good, bad, header, named, suspect = tag in CONTENT_TAGS, tag in BOILERPLATE_TAGS, tag == "header", False, False
     if attributes and not attributes.isspace():
         for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), next(filter(None, values), "")
             if key in ("class", "id"):
                 words = {w.lower() for w in _NAME.findall(value)}
-                bad = bad or bool(words & BOILERPLATE_WORDS)
+                if tag not in FRAME:
+                    bad = bad or any(w in BOILERPLATE_WORDS for w in value.lower().split())
+                    suspect = suspect or tag != "article" and bool(words & BOILERPLATE_WORDS)
                 header = header or "header" in words
                 named = named or bool(words & CONTENT_WORDS)
             elif key == "role":
                 good, bad = good or value.lower() in CONTENT_ROLES, bad or value.lower() in BOILERPLATE_ROLES
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
                 bad = True
-    return good, bad, header, named
+    return good, bad, header, named, suspect
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -110,7 +118,7 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             at = next((e for e in reversed(stack) if e.tag in BLOCKS), root)
             above = stack[max(0, stack.index(at) - 1)]
-            out.append(Block(text, above.number, at.tag, at.depth, at.good, at.bad, at.header, at.named, linked))
+            out.append(Block(text, above.number, at.tag, at.depth, at.good, at.bad, at.header, at.named, linked, at.suspects))
         parts.clear()
         linked = 0
 
@@ -161,11 +169,17 @@ def blocks_of(page: str) -> list[Block]:
             continue
         number += 1
         top = stack[-1]
-        good, bad, header, named = _marks(tag, m[3])
-        stack.append(Element(tag, number, top.depth + 1, good or top.good, bad or top.bad, header or top.header, named or top.named))
+        good, bad, header, named, suspect = _marks(tag, m[3])
+        stack.append(Element(tag, number, top.depth + 1, good or top.good, bad or top.bad, header or top.header, named or top.named, (*top.suspects, number) if suspect else top.suspects))
         links += tag == "a"
     parts.append(page[at:])
     flush()
+    inside = Counter()
+    for b in out:
+        inside.update(dict.fromkeys(b.suspects, len(b.text)))
+    whole = sum(len(b.text) for b in out)
+    for b in out:  # a name such as content-with-sidebar, around most of the page's text, is no boilerplate's
+        b.bad = b.bad or any(2 * inside[e] <= whole for e in b.suspects)
     return out
 
 
