@@ -22,6 +22,7 @@ ESCAPE = NUMBERS - 1
 START, PAD, TAIL = NUMBERS, NUMBERS + 1, NUMBERS + 2
 _NEVER = -60.0  # bias of places that no number has
 _PLACES = CONTEXT + SCORED
+SMALLEST_BATCH, LARGEST_BATCH, STEPS_A_WINDOW = 16, 256, 12  # windows in a step: they grow as training goes on
 _MASK = np.where(np.arange(_PLACES)[None, :] <= np.arange(SCORED)[:, None] + CONTEXT, 0.0, -1e9).astype(np.float32)
 _SCALE = np.float32(WIDTH**-0.5)
 
@@ -307,11 +308,13 @@ class Trainer:
         self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
         self.rate, self.rng, self.step, self.seen = rate, np.random.default_rng(seed), 0, 0
 
-    def learn(self, numbers: np.ndarray, first: np.ndarray, batch: int = 16) -> None:
+    def learn(self, numbers: np.ndarray, first: np.ndarray) -> None:
         inputs, targets, _ = windows(numbers, first)
         order = self.rng.permutation(len(inputs))
-        for at in range(0, len(order), batch):
-            of = order[at : at + batch]
+        at = 0
+        while at < len(order):
+            of = order[at : at + min(LARGEST_BATCH, SMALLEST_BATCH + self.step // STEPS_A_WINDOW)]
+            at += len(of)
             _, g = gradients(self.w, inputs[of], targets[of])
             self.step += 1
             down, across = 1 - 0.9**self.step, 1 - 0.99**self.step

@@ -14,20 +14,24 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import attention, bpe
-from .session import shuffle_width
+from .session import checkpoint, shuffle_width
 from .textvec import Slice, signed, slices, text_of
 
 TRAINERS = 8  # if each has LEAST_DOCS; more if these would have over MOST_DOCS
 LEAST_DOCS, MOST_DOCS = 1000, 16000
 PIECE = 1 << 14
+LOT = 200_000  # tokens whose windows are mixed before they are learned from
+UNIT_BITS = 24
+UNIT = 1 << UNIT_BITS
+GROUP_BYTES = 16 << 20  # of text in a group, about
 RATES = (5e-3, 4e-3, 2e-3, 7e-4)
 END, TOKENS, TYPES = 1, 2, 3  # keys of a group's table that are no word's hash
 LOG10 = math.log(10)
@@ -147,47 +151,86 @@ class Model:
         self.seen = 0  # tokens learned from
 
 
+def _lots(parts: Iterator[tuple[np.ndarray, np.ndarray]], tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Documents (numbers, first) in lots that end with the document that fills them, however they come in."""
+    held, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for numbers, first in parts:
+        held, sizes = np.concatenate([held, numbers]), np.concatenate([sizes, np.diff(first)])
+        ends = np.append(0, np.cumsum(sizes))
+        lo = 0
+        while ends[-1] - ends[lo] >= tokens:
+            hi = int(np.searchsorted(ends, ends[lo] + tokens))
+            yield held[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
+            lo = hi
+        held, sizes = held[ends[lo] :], sizes[lo:]
+    if len(sizes):
+        yield held, np.append(0, np.cumsum(sizes))
+
+
 def train_part(model: Model, vocabulary: str, rate: float, seed: int):
-    """(piece, seen, change): how a pass over a task's texts changes the weights, in pieces that are averaged apart."""
+    """(piece, seen, high, low): what a pass over each trainer's texts adds to the weights, times its tokens, in whole 2**-24ths.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Rows are (trainer, text), in the order in which they are learned from; the split into batches changes nothing.
+    """
+
+    def change(texts: Iterator[pa.Array]) -> pa.RecordBatch:
         trainer = attention.Trainer(attention.unflatten(model.weights, model.tail), rate, seed)
-        for batch in batches:
-            for s in slices(text_of(batch.column(0))):
-                trainer.learn(*Encoded(s, vocabulary, model.number_of).numbers(model.end))
-        if trainer.seen:
-            change = attention.flatten(trainer.w) - model.weights
-            pieces = [change[at : at + PIECE].tobytes() for at in range(0, len(change), PIECE)]
-            yield pa.record_batch([pa.array(np.arange(len(pieces), dtype=np.int32)), pa.array([trainer.seen] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], names=["piece", "seen", "change"])
+        parts = (Encoded(s, vocabulary, model.number_of).numbers(model.end) for x in texts for s in slices(text_of(x)))
+        for numbers, first in _lots(parts, LOT):
+            trainer.learn(numbers, first)
+        added = np.rint((attention.flatten(trainer.w) - model.weights).astype(np.float64) * UNIT).astype(np.int64) * trainer.seen
+        pieces = [added[at : at + PIECE] for at in range(0, len(added), PIECE)]
+        return _pieces({k: (trainer.seen, x >> UNIT_BITS, x & (UNIT - 1)) for k, x in enumerate(pieces)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = ((int(batch.column(0)[lo].as_py()), batch.column(1).slice(lo, hi - lo)) for batch in batches for lo, hi in _runs(batch.column(0).to_numpy()))
+        for _, own in groupby(texts, key=lambda x: x[0]):
+            yield change(x for _, x in own)
 
     return run
 
 
-def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each piece's changes averaged by tokens seen; a task holds sums of its pieces, however many trainers there were."""
-    sums: dict[int, np.ndarray] = {}
-    seen: dict[int, int] = {}
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return list(zip(cuts, cuts[1:], strict=False)) if len(values) else []
+
+
+def _pieces(sums: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    columns = [pa.array(list(sums), pa.int32()), pa.array([x[0] for x in sums.values()], pa.int64()), *(pa.array([x[k].tobytes() for x in sums.values()], pa.binary()) for k in (1, 2))]
+    return pa.record_batch(columns, names=["piece", "seen", "high", "low"])
+
+
+def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of each piece, in whole numbers and so the same in any order; a task holds its pieces once, however many trainers there were."""
+    sums: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        for piece, n, change in zip(*(batch.column(c).to_pylist() for c in ("piece", "seen", "change")), strict=True):
-            sums[piece] = sums.get(piece, 0) + n * np.frombuffer(change, np.float32).astype(np.float64)
-            seen[piece] = seen.get(piece, 0) + n
+        for piece, n, *parts in zip(*(batch.column(c).to_pylist() for c in ("piece", "seen", "high", "low")), strict=True):
+            high, low = (np.frombuffer(x, np.int64) for x in parts)
+            old = sums.get(piece, (0, 0, 0))
+            sums[piece] = old[0] + n, old[1] + high, old[2] + low
     if sums:
-        means = [(x / seen[k]).astype(np.float32).tobytes() for k, x in sums.items()]
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([seen[k] for k in sums], pa.int64()), pa.array(means, pa.binary())], names=["piece", "seen", "change"])
+        yield _pieces(sums)
 
 
 def fit(texts: DataFrame, docs: int, vocabulary: str) -> Model:
-    """Train on texts (key long, text), which has `docs` rows: each is learned from once, in the round of its key."""
+    """Train on texts (key long, text), which has `docs` rows: each is learned from once, in the round of its key.
+
+    Trainers and the order of their texts follow from the rows alone, and sums are of whole numbers, so that lost tasks and
+    other partitions give the same weights.
+    """
     counts = texts.select("text").mapInArrow(count_subwords(vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     model = Model({r["id"]: r["n"] for r in counts.collect()}, vocabulary)  # as many rows as the vocabulary has ids
     trainers = max(1, min(TRAINERS, docs // LEAST_DOCS), docs // MOST_DOCS)
-    pieces, width = "piece int, seen long, change binary", min(TRAINERS, shuffle_width(texts.sparkSession))
+    pieces, width = "piece int, seen long, high binary, low binary", min(TRAINERS, shuffle_width(texts.sparkSession))
+    slot = F.pmod(F.floor(F.col("key") / len(RATES)), F.lit(trainers)).cast("int")
     for k, rate in enumerate(RATES):
-        part = texts.filter(F.pmod("key", F.lit(len(RATES))) == k).select("text").repartition(trainers)
-        changes = part.mapInArrow(train_part(model, vocabulary, rate, k), pieces).repartition(width, "piece")
-        got = sorted((r["piece"], r["seen"], bytes(r["change"])) for r in changes.mapInArrow(average, pieces).collect())  # the size of the weights
+        part = texts.filter(F.pmod("key", F.lit(len(RATES))) == k).select(slot.alias("trainer"), "key", "text")
+        ordered = part.repartitionByRange(trainers, "trainer").sortWithinPartitions("trainer", "key", "text").select("trainer", "text")
+        sums = ordered.mapInArrow(train_part(model, vocabulary, rate, k), pieces).repartition(width, "piece").mapInArrow(add_up, pieces)
+        got = sorted((r["piece"], r["seen"], bytes(r["high"]), bytes(r["low"])) for r in sums.collect())  # the size of the weights
         if got:
-            model.weights = model.weights + np.concatenate([np.frombuffer(x, np.float32) for *_, x in got])
+            high, low = (np.concatenate([np.frombuffer(x[at], np.int64) for x in got]).astype(np.float64) for at in (2, 3))
+            model.weights = (model.weights + (high + low / UNIT) / got[0][1]).astype(np.float32)
             model.seen += got[0][1]
     return model
 
@@ -222,7 +265,7 @@ def score_group(shared, vocabulary: str):
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(joined[0].astype(np.int64)), "n_known": pa.array(joined[1].astype(np.int64)),
-                "train_tokens": pa.array(np.full(n, tokens, np.int64)), "base_score": pa.array(joined[2].astype(np.float64)), "score": pa.array(joined[3].astype(np.float64)),
+                "train_tokens": pa.array(np.full(n, tokens, np.int64)), "base_score": pa.array(joined[2].astype(np.float64)), "score": pa.array(np.round(joined[3].astype(np.float64), 4)),
             }
         )
 
@@ -233,24 +276,25 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the model's probability) of every row.
 
     A null text is the empty one, whose only token is the end.  Null ids are training rows.  Repeated rows
-    are scored, and counted, each.  An empty table gives no rows.
+    are scored, and counted, each.  An empty table gives no rows.  Scores are rounded to 4 places, beyond which they hang on
+    how texts were batched.
     """
     vocabulary = vocabulary or bpe.default_vocabulary()
     spark = docs.sparkSession
     width = shuffle_width(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text.alias("text"))
-    training = rows.filter(~F.col("held_out"))
-    n = training.count()
+    n, size = rows.agg(F.count_if(~F.col("held_out")), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     key = F.pmod(F.xxhash64(F.lit("model"), "doc_id", "text"), F.lit(1 << 40))
-    model = fit(training.select(key.alias("key"), "text"), n, vocabulary)
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(width)).cast("int")).repartition(width, "grp")
-    words = dealt.mapInArrow(count_words, COUNTS)  # all columns, so that both uses share one exchange
-    by_word = W.partitionBy("word")
-    totals = words.withColumn("total", F.sum("n").over(by_word)).withColumn("first", F.row_number().over(by_word.orderBy("grp")) == 1)
-    overall = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if(F.col("first") & (F.col("total") > 0)).alias("types"))
-    overall = overall.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    model = fit(rows.filter(~F.col("held_out")).select(key.alias("key"), "text"), n, vocabulary)
+    groups = max(width, 1 + size // GROUP_BYTES)
+    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).repartition(width, "grp")
+    words = checkpoint(dealt.sortWithinPartitions("grp").mapInArrow(count_words, COUNTS))
+    totals = words.groupBy(F.bitwise_not("word").alias("_key")).agg(F.sum("n").alias("total"))  # by another key, so that Spark can split the join's exchanges
+    totals = totals.select(F.bitwise_not("_key").alias("word"), "total")
+    overall = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("tokens"), F.count_if(F.col("total") > 0).alias("types"))
+    overall = overall.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     scalars = overall.select("grp", F.explode(F.create_map(F.lit(TOKENS).cast("long"), "tokens", F.lit(TYPES).cast("long"), "types")).alias("word", "total"))
-    tables = totals.select("grp", "word", "total").distinct().unionByName(scalars)
+    tables = words.select("grp", "word").join(totals, "word").select("grp", "word", "total").unionByName(scalars)
     shared = spark.sparkContext.broadcast(model)  # weights and one number for each vocabulary id: fixed size
     return dealt.groupBy("grp").cogroup(tables.groupBy("grp")).applyInArrow(score_group(shared, vocabulary), RESULT)
