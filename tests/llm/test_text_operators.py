@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,6 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tracewell.llm import attention, bpe, extract, langid, quality, scoring
 from tracewell.llm.textvec import slices
@@ -245,3 +248,60 @@ def test_names_around_the_article_do_not_lose_it(was, now):
     text = "This is a long sentence of the article, which says a good deal about many things."
     page = f"<html><body><nav>Home</nav><article><h1>Title</h1><p>{text}</p><p>{text}</p><div class='related-posts'>Read this other one, which is as long as that one.</div></article></body></html>"
     assert extract.main_text(page.replace(was, now)) == f"Title\n{text}\n{text}"
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abc def ghij klm nop".split()) for _ in range(rng.randint(0, 60)))) for i in range(120)] + [(7, "abc"), (None, None)]
+    rows = [(i, t, None) for i, t in rows]
+    docs = table(spark, rows)
+    some, other = ({(r["doc_id"], r["n_tokens"], r["score"]) for r in scoring.score_documents(d).collect()} for d in (docs.repartition(5), docs.coalesce(1).orderBy(F.desc("doc_id"))))
+    assert {x[:2] for x in some} == {x[:2] for x in other}
+    assert all(abs(a[2] - b[2]) <= 1.01e-4 for a, b in zip(sorted(some, key=str), sorted(other, key=str), strict=True))
+
+
+def test_lots_end_with_documents():
+    parts = [(np.arange(k, k + 7), np.array([0, 3, 3, 7])) for k in range(0, 70, 7)]
+    whole = [(np.arange(70), np.concatenate([[0], *(np.array([3, 3, 7]) + k for k in range(0, 70, 7))]))]
+    one, other = list(scoring._lots(iter(parts), 20)), list(scoring._lots(iter(whole), 20))
+    assert len(one) == len(other) and all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(one, other, strict=True))
+    assert sum(len(x[0]) for x in one) == 70 and all(len(x[0]) >= 20 for x in one[:-1])
+
+
+LONG = "<p>This paragraph has as many words as an article's would have, and it ends as a sentence of an article does, with a full stop.</p>"
+
+
+def test_the_cut_decides_against_the_classifier():
+    page = f"<div>{LONG}<p>Yes indeed</p>{LONG}</div><ul><li><a href=x>Home</a></li><li><a href=y>Prices and terms</a></li></ul><div>Yes indeed</div>"
+    blocks = extract.blocks_of(page)
+    score = extract.scores(blocks)
+    kept = extract.minimum_cut(score, extract.edges_of(blocks))
+    assert [b.text for b, k in zip(blocks, kept, strict=True) if k and len(b.text) < 20] == ["Yes indeed"]
+    assert score[1] < 0 and kept[:3] == [True] * 3 and not any(kept[3:])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(-6, 6), min_size=1, max_size=9), st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8), st.integers(0, 5)), max_size=14))
+def test_minimum_cut_is_least(score, edges):
+    n = len(score)
+    edges = [(a % n, b % n, float(c)) for a, b, c in edges if a % n != b % n]
+    cost = lambda keep: sum(s for s, k in zip(score, keep, strict=True) if s > 0 and not k) - sum(s for s, k in zip(score, keep, strict=True) if s < 0 and k) + sum(c for a, b, c in edges if keep[a] != keep[b])
+    assert cost(extract.minimum_cut(list(map(float, score)), edges)) == min(cost([m >> i & 1 == 1 for i in range(n)]) for m in range(2**n))
+
+
+def test_articles_below_frames_with_boilerplate_names():
+    for page in (f"<body class='has-sidebar comments-open'><article>{LONG}</article></body>", f"<main class='content no-comments'>{LONG}</main>", f"<div id=main class=content-with-sidebar>{LONG}</div>", f"<article class=comments-closed>{LONG}</article>"):
+        assert extract.main_text(page).startswith("This paragraph")
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', '<a ="', "<div>", "<div class=sidebar-x>", "<!", "<!--", "<svg>", "<script>x", "<span>x", "<p>text</p>", "<li><p>", "&amp;<"])
+def test_long_broken_pages_take_linear_time(part):
+    began = time.process_time()
+    extract.main_text(part * (500_000 // len(part)))
+    assert time.process_time() - began < 20
+
+
+def test_language_id_without_labelled_letters(spark):
+    rows = [(1, "12 34", "de"), (2, "ein Wort", None), (3, None, None), (None, "7", "en")]
+    got = langid.identify(table(spark, rows)).collect()
+    assert len(got) == 4 and {r["lang_pred"] for r in got} == {"und"} and {r["score"] for r in got} == {0.0}

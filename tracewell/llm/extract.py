@@ -12,8 +12,9 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter, deque
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,13 +43,15 @@ CONTENT_WORDS = frozenset("article content post entry story main body text".spli
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
-# The classifier's weights, and the smoothness of neighbours that share a parent and of others.
-INSIDE_CONTENT, INSIDE_BOILERPLATE, OUTSIDE_CONTENT = 6.0, -12.0, -7.0
-HEADER_OUTSIDE, CONTENT_NAME = -4.0, 1.5
+# The classifier's weights, and the smoothness of neighbours: of any, and what a common parent and its parent add.
+INSIDE_CONTENT, INSIDE_BOILERPLATE, OUTSIDE_CONTENT = 3.0, -5.0, -3.5
+HEADER_OUTSIDE, CONTENT_NAME = -2.5, 1.0
 PER_WORD, MOST_WORDS, LINKED, SENTENCE, BIAS, HEADING = 0.08, 40, -5.0, 1.0, -1.5, 1.5
-SAME_PARENT, NEAR = 0.6, 0.2
+NEAR, SAME_PARENT, SAME_ABOVE = 0.3, 0.6, 0.3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPENS = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--|!\[CDATA\[|[!?]))")
+_IN_TAG = re.compile(r">|=\s*([\"'])")
+_CLOSING = {"!--": "-->", "![CDATA[": "]]>", "!": ">", "?": ">"}
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -59,18 +62,22 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class Element:
     tag: str
     number: int
+    parent: int
     depth: int
     good: bool
     bad: bool
     header: bool
     named: bool
-    suspects: tuple[int, ...] = ()  # it and elements around it whose names have a word of boilerplate
+    grand: int = 0  # the parent's parent
+    suspect: int = 0  # the nearest element, it or around it, whose name has a word of boilerplate
+    block: "Element | None" = None  # the nearest element, it or around it, that makes a block
 
 
 @dataclass
 class Block:
     text: str
     parent: int
+    above: int
     tag: str
     depth: int
     good: bool
@@ -78,8 +85,7 @@ class Block:
     header: bool
     named: bool
     linked: int
-    suspects: tuple[int, ...] = ()
-    parts: list[str] = field(default_factory=list)
+    suspect: int
 
 
 def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, bool]:
@@ -105,84 +111,129 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, bool]:
     return good, bad, header, named, suspect
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, tag, attributes) of each tag, comment and declaration; the latter two without a tag.
+
+    Values in quotes may hold a >.  A quote that is never closed is a character like another, an open comment goes to
+    the end, and what follows a < that no > closes is text.  Every part of a page is looked at once or twice.
+    """
+    at, unclosed = 0, set()
+    while (m := _OPENS.search(page, at)) is not None:
+        end = m.end()
+        if m[3]:
+            found = page.find(_CLOSING[m[3]], end) if m[3] not in unclosed else -1
+            if found < 0 and m[3] in ("!", "?"):
+                unclosed.add(m[3])
+                at = end
+                continue
+            at = found + len(_CLOSING[m[3]]) if found >= 0 else len(page)
+            yield m.start(), at, "", "", ""
+            continue
+        while (x := _IN_TAG.search(page, end)) is not None and x[1]:
+            closed = page.find(x[1], x.end()) if x[1] not in unclosed else -1
+            if closed < 0:
+                unclosed.add(x[1])
+            end = closed + 1 if closed >= 0 else x.end()
+        if x is None:
+            return
+        at = x.end()
+        yield m.start(), at, m[1], m[2].lower(), page[m.end() : x.start()]
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
-    root = Element("", 0, 0, False, False, False, False)
+    root = Element("", 0, 0, 0, False, False, False, False)
+    root.block = root
     stack, out, number = [root], [], 0
+    opened: Counter[str] = Counter()
+    around: dict[int, int] = {}  # of each suspect the next one around it
+    endless: set[str] = set()
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            at = next((e for e in reversed(stack) if e.tag in BLOCKS), root)
-            above = stack[max(0, stack.index(at) - 1)]
-            out.append(Block(text, above.number, at.tag, at.depth, at.good, at.bad, at.header, at.named, linked, at.suspects))
+            at = stack[-1].block
+            out.append(Block(text, at.parent, at.grand, at.tag, at.depth, at.good, at.bad, at.header, at.named, linked, at.suspect))
         parts.clear()
         linked = 0
 
     def pop_to(k: int) -> None:
-        nonlocal links
-        links -= sum(e.tag == "a" for e in stack[k:])
+        opened.subtract(e.tag for e in stack[k:])
         del stack[k:]
 
+    def innermost(stop: Callable[[str], bool]) -> int:
+        return next((k for k in range(len(stack) - 1, 0, -1) if stop(stack[k].tag)), 0)
+
     at = 0
-    while (m := _TOKEN.search(page, at)) is not None:
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-            linked += links and m.start() - at
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+    for start, after, slash, tag, attributes in tokens(page):
+        if start < at:
+            continue
+        if start > at:
+            parts.append(page[at:start])
+            linked += (opened["a"] > 0) * (start - at)
+        at = after
+        if not tag:
             continue
-        tag = tag.lower()
-        if m[1]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+        if slash:
             if tag in BLOCKS:
                 flush()
-            if k:
-                pop_to(k)
+            if opened[tag]:
+                pop_to(innermost(tag.__eq__))
             continue
         if tag in RAW or tag in SILENT:
-            if not m[3].rstrip().endswith("/") or tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>" if tag != "head" else r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
+            if not attributes.rstrip().endswith("/") or tag in RAW:
+                end = None if tag in endless else _raw_end(tag).search(page, at)
+                endless.update(() if end else (tag,))
                 at = end.end() if end else len(page) if tag in RAW else at
             continue
         if tag == "br":
             parts.append(" ")
         if tag in BLOCKS:
             flush()
-            if stack[-1].tag == "p" or any(e.tag == "p" for e in stack):
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p" or stack[k].tag in BLOCKS), 0)
-                if k and stack[k].tag == "p":
-                    pop_to(k)
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in SCOPES.get(tag, ()):
-                    break
-                if stack[k].tag in CLOSES[tag]:
-                    flush()
+            if opened["p"]:
+                k = innermost(BLOCKS.__contains__)
+                if stack[k].tag == "p":
                     pop_to(k)
-                    break
+        if any(opened[x] for x in CLOSES.get(tag, ())):
+            k = innermost(lambda x, tag=tag: x in SCOPES[tag] or x in CLOSES[tag])
+            if stack[k].tag in CLOSES[tag]:
+                flush()
+                pop_to(k)
         if tag in VOID:
             continue
         number += 1
         top = stack[-1]
-        good, bad, header, named, suspect = _marks(tag, m[3])
-        stack.append(Element(tag, number, top.depth + 1, good or top.good, bad or top.bad, header or top.header, named or top.named, (*top.suspects, number) if suspect else top.suspects))
-        links += tag == "a"
+        good, bad, header, named, suspect = _marks(tag, attributes)
+        if suspect:
+            around[number] = top.suspect
+        own = Element(tag, number, top.number, top.depth + 1, good or top.good, bad or top.bad, header or top.header, named or top.named, top.parent, number if suspect else top.suspect)
+        own.block = own if tag in BLOCKS else top.block
+        stack.append(own)
+        opened[tag] += 1
     parts.append(page[at:])
     flush()
     inside = Counter()
     for b in out:
-        inside.update(dict.fromkeys(b.suspects, len(b.text)))
-    whole = sum(len(b.text) for b in out)
-    for b in out:  # a name such as content-with-sidebar, around most of the page's text, is no boilerplate's
-        b.bad = b.bad or any(2 * inside[e] <= whole for e in b.suspects)
+        inside[b.suspect] += len(b.text)
+    whole = sum(inside.values())
+    for e in sorted(around, reverse=True):
+        inside[around[e]] += inside[e]
+    bad = {0: False}
+    for e in sorted(around):  # a name such as content-with-sidebar, around most of the page's text, is no boilerplate's
+        bad[e] = bad[around[e]] or 2 * inside[e] <= whole
+    for b in out:
+        b.bad = b.bad or bad[b.suspect]
     return out
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{re.escape(tag)}\s*>" if tag != "head" else r"</head\s*>|(?=<body[\s>])", re.I)
+
+
 def scores(blocks: list[Block]) -> list[float]:
     """The classifier: positive for content."""
     framed = any(b.good and not b.bad for b in blocks)
@@ -191,7 +242,7 @@ def scores(blocks: list[Block]) -> list[float]:
         words = b.text.count(" ") + 1
         score = BIAS + PER_WORD * min(words, MOST_WORDS) + LINKED * min(1.0, b.linked / max(1, len(b.text))) + SENTENCE * (b.text[-1] in ".!?…\"”»")
         score += HEADING * (b.tag in ("h1", "h2", "h3")) + CONTENT_NAME * b.named
-        score += INSIDE_BOILERPLATE * b.bad + INSIDE_CONTENT * b.good + OUTSIDE_CONTENT * (framed and not b.good) + HEADER_OUTSIDE * (b.header and not b.good)
+        score += INSIDE_BOILERPLATE * b.bad + INSIDE_CONTENT * (b.good and not b.bad) + OUTSIDE_CONTENT * (framed and not b.good) + HEADER_OUTSIDE * (b.header and not b.good)
         out.append(score)
     return out
 
@@ -201,51 +252,75 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            out.append((i - 1, i, SAME_PARENT if blocks[i - 1].parent == b.parent else NEAR))
+            a = blocks[i - 1]
+            out.append((i - 1, i, NEAR + SAME_PARENT * (a.parent == b.parent) + SAME_ABOVE * (a.above == b.above or b.parent in (a.above, a.parent) or a.parent == b.above)))
         if last.get(b.parent, i) < i - 1:
-            out.append((last[b.parent], i, NEAR))
+            out.append((last[b.parent], i, SAME_PARENT))
         last[b.parent] = i
     return out
 
 
 def minimum_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes are on the source's side: shortest augmenting paths until none is left."""
+    """Which nodes are on the source's side of a maximum flow, found by blocking flows over shortest paths."""
     n = len(score)
     source, sink = n, n + 1
-    room: list[dict[int, float]] = [{} for _ in range(n + 2)]
     weight = [0.0] * n
     for a, b, c in edges:
         weight[a] += c
         weight[b] += c
     fixed = [abs(s) > w for s, w in zip(score, weight, strict=True)]  # no cut of its edges pays for the other label
     node = [(source if s > 0 else sink) if f else i for i, (s, f) in enumerate(zip(score, fixed, strict=True))]
+    out: list[list[int]] = [[] for _ in range(n + 2)]
+    to: list[int] = []
+    room: list[float] = []
+
+    def join(a: int, b: int, there: float, back: float) -> None:
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((there, back))
+
     for i, s in enumerate(score):
-        if not fixed[i]:
-            a, b = (source, i) if s > 0 else (i, sink)
-            room[a][b] = room[a].get(b, 0.0) + abs(s)
-            room[b].setdefault(a, 0.0)
+        if not fixed[i] and s:
+            join(*((source, i) if s > 0 else (i, sink)), abs(s), 0.0)
     for a, b, c in edges:
-        a, b = node[a], node[b]
-        if a != b and {a, b} != {source, sink}:
-            room[a][b] = room[a].get(b, 0.0) + c
-            room[b][a] = room[b].get(a, 0.0) + c
+        if node[a] != node[b] and {node[a], node[b]} != {source, sink}:
+            join(node[a], node[b], c, c)
     while True:
-        came, queue = {source: source}, deque([source])
-        while queue and sink not in came:
+        depth, queue = {source: 0}, deque([source])
+        while queue:
             a = queue.popleft()
-            for b, c in room[a].items():
-                if c > 1e-9 and b not in came:
-                    came[b] = a
-                    queue.append(b)
-        if sink not in came:
-            return [node[i] == source if fixed[i] else i in came for i in range(n)]
-        path = [sink]
-        while path[-1] != source:
-            path.append(came[path[-1]])
-        flow = min(room[b][a] for a, b in zip(path, path[1:], strict=False))
-        for a, b in zip(path, path[1:], strict=False):
-            room[b][a] -= flow
-            room[a][b] = room[a].get(b, 0.0) + flow
+            for e in out[a]:
+                if room[e] > 1e-9 and to[e] not in depth:
+                    depth[to[e]] = depth[a] + 1
+                    queue.append(to[e])
+        if sink not in depth:
+            return [node[i] == source if fixed[i] else i in depth for i in range(n)]
+        turn = [0] * (n + 2)
+        path: list[int] = []
+        at = source
+        while True:
+            if at == sink:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                cut = next(k for k, e in enumerate(path) if room[e] <= 1e-9)
+                at = to[path[cut] ^ 1]
+                del path[cut:]
+            while turn[at] < len(out[at]):
+                e = out[at][turn[at]]
+                if room[e] > 1e-9 and depth.get(to[e]) == depth[at] + 1:
+                    break
+                turn[at] += 1
+            else:
+                if not path:
+                    break
+                at = to[path.pop() ^ 1]
+                turn[at] += 1
+                continue
+            path.append(e)
+            at = to[e]
 
 
 def main_text(page: str) -> str:

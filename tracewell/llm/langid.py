@@ -138,10 +138,11 @@ def fit(texts: list[str], labels: list[str], per_language: int = CENTROIDS, seed
     outside = [t for t, out in zip(texts, aside, strict=True) if out] or texts
     texts, labels = ([x for x, out in zip(xs, aside, strict=True) if not out] for xs in (texts, labels))
     parts = [vectors(s.data, s.offsets) for s in slices(pa.array(texts, pa.string()), SLICE)]
-    if not parts:
+    n = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+    if not n.any():  # no labelled text has a letter: no language is known
         empty = np.zeros(0, np.int64)
         return Classifier([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), empty, empty, np.zeros(1))
-    tf, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    tf = np.concatenate([p[0] for p in parts])
     idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
     x = _normal(tf * idf)
     own = np.array([languages.index(v) for v in labels])
@@ -170,7 +171,7 @@ def training_rows(docs: DataFrame, held_out: Column, id_col: str, text_col: str,
     chosen = F.lit(False)
     for lang, n in counts.items():
         chosen = chosen | ((F.col(lang_col) == lang) & (place < int(min(1.0, rows / n) * (1 << 30))))
-    got = sorted(tuple(r) for r in usable.filter(chosen).select(id_col, lang_col, text_col).collect()) if counts else []
+    got = sorted((tuple(r) for r in usable.filter(chosen).select(id_col, lang_col, text_col).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1:])) if counts else []
     return [r[2] for r in got], [r[1] for r in got]
 
 
