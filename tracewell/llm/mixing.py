@@ -94,7 +94,7 @@ def mix_sources(docs: DataFrame, size: Column, id_col: str = "doc_id", source_co
     filled = water_fill(sources.select("source", "source_size"))
     blocks = quotas(filled, block_tokens, n_shards).groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("blocks").alias("source_blocks"))
     offsets = starts.join(blocks.select(key.alias("key"), "source_size", "target", "source_blocks"), "key")
-    line = W.partitionBy("key", "slice").orderBy("order", "id", "size")
+    line = W.partitionBy("key", "slice").orderBy("order", "id", "size", F.xxhash64("row"))
     placed = rows.join(offsets, ["key", "slice"]).withColumn("line_start", F.col("from") + F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     tokens = F.col("source_blocks") * F.lit(block_tokens)
     rounds = F.when(F.col("source_size") > 0, F.floor(tokens / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0)
