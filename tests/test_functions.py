@@ -56,9 +56,34 @@ def test_unknown_operator_names_the_right_one(spark):
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("https://a.b/c?utm=1&page=2#top", "4111 1111 1111 1111 and 123-45-6789")], "u string, t string")
-    row = df.select(exprs.canonical_url(F.col("u")), exprs.canonical_url_keeping(F.col("u"), ["page"]), exprs.redact(F.col("t")), exprs.mask_email(F.lit("jane@x.org")), exprs.mask_phone(F.lit("+1 (555) 0199"))).first()
-    assert list(row) == ["https://a.b/c", "https://a.b/c?page=2", "[REDACTED_CC] and [REDACTED_SSN]", "j***@x.org", "***0199"]
+    df = spark.createDataFrame([("https://a.b/c?utm=1&page=2#top", "4111 1111 1111 1111 and 123-45-6789, DE89370400440532013000, 4111111111111111111")], "u string, t string")
+    row = df.select(exprs.canonical_url(F.col("u")), exprs.canonical_url_keeping(F.col("u"), ["page"]), exprs.redact(F.col("t")), exprs.mask_email(F.lit("jane@x.org")), exprs.mask_phone(F.lit("+359 88 110 0003"))).first()
+    assert list(row) == ["https://a.b/c", "https://a.b/c?page=2", "[REDACTED-CC] and [REDACTED-SSN], [REDACTED-IBAN], [REDACTED-CC]", "j\u2022\u2022\u2022@x.org", "+359\u2022\u2022\u202203"]
+
+
+def test_masks_show_no_more_than_they_must(spark):
+    dots = "\u2022\u2022\u2022"
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(exprs.mask_phone(F.lit(x))) for x in ("0881100003", "12-34", "")] == ["08" + dots + "03", dots, dots]
+    assert [one(exprs.mask_email(F.lit(x))) for x in ("@x", "a@b@c", "nobody")] == ["@" + dots, "a" + dots + "@b@c", "n" + dots]
+    assert [one(exprs.mask(F.lit(x))) for x in ("", "a", "ab")] == [dots, dots, "a" + dots]
+    assert one(exprs.mask_identity("email", F.lit(None).cast("string"))) == ""
+
+
+def test_kept_parameters(spark):
+    keep = lambda u, *names: spark.range(1).select(exprs.canonical_url_keeping(F.lit(u), list(names))).first()[0]
+    assert keep("/c?b=2&GCLID=1&gclid=3&a=4#x", "gclid", "b") == "/c?GCLID=1&b=2"
+    assert keep("/c?z=1", "gclid") == "/c" and keep("/c", "gclid") == "/c" and keep("/c#gclid=7", "gclid") == "/c?gclid=7" and keep("/c?a=1") == "/c"
+
+
+def test_phones_paths_and_keys(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(exprs.e164(F.lit(x), "359")) for x in ("0881 100 003", "+359 88 110 0003", "00359881100003", "+12", "call me")] == ["+359881100003"] * 3 + ["+12", None]
+    assert one(exprs.e164(F.lit("0881100003"))) is None
+    assert [one(exprs.decoded_path(F.lit(x))) for x in ("https://a.b/%C3%A9t%C3%A9?q=1", "https://a.b/", "/50%", "/a+b")] == ["/\u00e9t\u00e9", "a.b", "/50%", "/a+b"]
+    assert one(F.length(exprs.feed_text(F.lit("x " * 300)))) == 200 and one(exprs.feed_text(F.lit("  \n "))) is None
+    with pytest.raises(SpecError, match="contacts"):
+        exprs.refuse_contact_key("Email")
 
 
 def test_age_borrows_by_field(spark):

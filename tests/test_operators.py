@@ -126,7 +126,10 @@ def test_history(spark):
     log = spark.createDataFrame([fact(1, 1, "tier", "gold", "2026-01-01"), fact(2, 1, "tier", "silver", "2026-05-01"), fact(3, 1, "tier", "silver", "2026-05-02"), fact(4, 2, "tier", "gold", "2026-01-01"), fact(5, 2, "tier", None, "2026-06-01")], FACTS)
     people = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     ids = lambda ops: sorted(r[0] for r in facts.matching(log, people, "tier", ops, "2026-06-11").select("passport_id").collect())
-    assert ids({"transition": {"from": "gold", "to": "silver", "last": "6M"}}) == [1] and ids({"held": "gold"}) == [1, 2] and ids({"distinct": {"gte": 2}}) == [1]
+    assert ids({"transition": {"from": "gold", "to": "silver", "last": "6M"}}) == [1] and ids({"held": "gold"}) == [1, 2] and ids({"distinct": {"gte": 2}}) == ids({"distinct": 2}) == [1]
+    assert ids({"distinct": {"lte": 1}}) == [2] and ids({"held": {"last": "6M"}}) == [1, 2] and ids({"held": {"last": "30d"}}) == []
+    when = {r[0]: str(r[1])[:10] for r in facts.matching(log, people, "tier", {"distinct": {"lte": 2}}, "2026-06-11").collect()}
+    assert when == {1: "2026-05-02", 2: "2026-06-01"}
     assert ids({"changed": {"last": "6M"}}) == [1, 2] and ids({"present": False}) == [2, 3] and ids({"eq": "silver"}) == [1]
     assert facts.without_restatements(log.filter("passport_id = 1")).count() == 2
 
@@ -145,6 +148,30 @@ def test_sessions_end_by_campaign_too(spark):
     events = spark.createDataFrame(rows, EVENTS)
     assert [r[0] for r in sessions.sessionize(events, "30 minutes").orderBy("id").select("session_seq").collect()] == [0, 0, 0, 1]
     assert [r[0] for r in sessions.sessionize(events, "30 minutes", "utm_source").orderBy("id").select("session_seq").collect()] == [0, 0, 1, 2]
+    rows = [event(1, 1, "2026-05-01T10:00"), event(2, 1, "2026-05-01T10:10", utm="a"), event(3, 1, "2026-05-01T10:15", utm="a"), event(4, 1, "2026-05-01T10:45"), event(5, 1, "2026-05-01T10:50", utm="a")]
+    assert [r[0] for r in sessions.sessionize(spark.createDataFrame(rows, EVENTS), "30 minutes", "utm_source").orderBy("id").select("session_seq").collect()] == [0, 1, 1, 2, 3]
+
+
+def test_a_metric_within_a_tree_counts_after_the_anchor(spark):
+    rows = [event(1, 1, "2026-05-01T10:00"), event(2, 1, "2026-05-02T10:00"), event(3, 2, "2026-05-01T10:00")]
+    log = spark.createDataFrame([fact(1, 1, "joined", "x", "2026-05-01T20:00"), fact(2, 2, "joined", "x", "2026-05-01T20:00")], FACTS)
+    w = world(spark, spark.createDataFrame(rows, EVENTS), log, "2026-06-11")
+    first = {"filter": {"fact": {"joined": {"present": True}}}}
+    for node in ({"metric": {"count": {"gte": 1}}}, {"all": [{"metric": {"count": {"gte": 1}}}]}, {"any": [{"metric": {"count": {"gte": 1}}}]}):
+        assert [r[0] for r in cohort.funnel(w, [first, {"filter": node}])[1].collect()] == [1]
+
+
+def test_plans_do_not_double(spark):
+    rows = spark.createDataFrame([event(k, 1, f"2026-05-0{k}T10:00") for k in range(1, 8)], EVENTS)
+    w = world(spark, rows, spark.createDataFrame([], FACTS), "2026-06-11")
+    steps = [{"filter": {"metric": {"count": {"gte": 1}}}}] * 6
+    plan = cohort.funnel(w, steps)[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 6
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "absorbed long, survivor long")
+    closure = identity.survivors(chain)
+    assert closure._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1 and {r[1] for r in closure.collect()} == {40}
+    with pytest.raises(RuntimeError, match="cycle"):
+        identity.survivors(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "absorbed long, survivor long"))
 
 
 def test_merges_audiences_and_conflicts(spark):
@@ -165,3 +192,32 @@ def test_about_without_a_limit_finds_everybody(spark):
     chunks = spark.range(2500).selectExpr("id AS doc_id", "array(1.0D, 0.0D) AS embedding")
     contacts = spark.range(2500).selectExpr("id AS passport_id", "id AS doc_id", "timestamp '2024-01-01' AS ts")
     assert [semantic.about(chunks, contacts, [1.0, 0.0], 0.2, most).count() for most in (2000, None)] == [2000, 2500]
+
+
+def test_writes_that_restate_and_notes(spark):
+    held = spark.createDataFrame([(1, "k", '{"a":1,"b":2}', day("2026-05-02"))], "passport_id long, key string, value string, observed_at timestamp")
+    rows = [(1, "k", '{"b":2,"a":1}', day("2026-05-03"), None), (1, "k", '{"b":2,"a":1}', day("2026-05-01"), None), (1, "k", '{"a":1,"b":2}', day("2026-05-03"), "x"), (1, "k", "new", day("2026-05-03"), None), (2, "k", "v", day("2026-05-03"), None)]
+    batch = spark.createDataFrame(rows, "passport_id long, key string, value string, observed_at timestamp, external_id string")
+    assert sorted(str(r["observed_at"])[:10] + r["value"][:4] for r in facts.news(batch, held).collect()) == ['2026-05-01{"b"', "2026-05-03new", "2026-05-03v", '2026-05-03{"a"']
+    log = spark.createDataFrame([fact(1, 1, "a", "x", "2026-01-01"), fact(2, 1, "a", "y", "2026-01-02"), fact(3, 2, "a", "y", "2026-01-02"), fact(4, 1, "b", "x", "2026-01-01")], FACTS)
+    got = {r["fact"]: (r["code"], r["affected"], r["percent"], r["used"]) for r in facts.notes(log, ["a", "b"], uses={"a": "max"}).collect()}
+    assert got == {"a": ("ambiguous_fact_value", 1, 50.0, "max")}
+    assert facts.notes(log, ["a"], declared={"a": "min"}).count() == 0 and facts.notes(log, ["a"], declared={"a": "min"}, anchors={"a": None}).first()["used"] == "min"
+
+
+def test_knowledge_of_an_empty_cohort_is_nothing(spark):
+    from tracewell.operators import semantic
+
+    chunks = spark.range(5).selectExpr("id AS doc_id", "array(1.0D, 0.0D) AS embedding")
+    contacts = spark.range(5).selectExpr("id AS passport_id", "id AS doc_id", "timestamp '2024-01-01' AS ts", "id", "'web' AS channel", "CAST(NULL AS DOUBLE) AS engagement")
+    nobody = spark.range(0).selectExpr("id AS passport_id")
+    assert semantic.knowledge(chunks, contacts, [1.0, 0.0], cohort=nobody).count() == 0 and semantic.knowledge(chunks, contacts, [1.0, 0.0], passport_id=3).count() == 1
+    with pytest.raises(ValueError, match="query"):
+        semantic.knowledge(chunks, contacts, cohort=nobody)
+
+
+def test_holds_over_several_slots(spark):
+    t = lambda s: day("2026-05-01T" + s)
+    holds = spark.createDataFrame([(1, 10, t("10:00"), t("13:30")), (1, 11, t("12:00"), t("12:30"))], "number long, visitor long, held_from timestamp, held_to timestamp")
+    calls = spark.createDataFrame([(k, 1, t(x)) for k, x in enumerate(("09:59", "10:00", "12:10", "12:30", "13:29", "13:30"))], "call long, number long, ts timestamp")
+    assert {r["call"]: r["visitor"] for r in audience.attributed(calls, holds).collect()} == {0: None, 1: 10, 2: 11, 3: 10, 4: 10, 5: None}

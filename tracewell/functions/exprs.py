@@ -11,10 +11,13 @@ NUMERIC = r"^-?[0-9]+(\.[0-9]+)?$"
 
 # The patterns of card, social security and account numbers, and their replacements.
 REDACTIONS = (
-    (r"\b(?:\d[ -]*?){13,16}\b", "[REDACTED_CC]"),
-    (r"\b\d{3}-\d{2}-\d{4}\b", "[REDACTED_SSN]"),
-    (r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", "[REDACTED_IBAN]"),
+    (r"\b(?:\d[ -]*?){13,19}\b", "[REDACTED-CC]"),
+    (r"\b\d{3}-\d{2}-\d{4}\b", "[REDACTED-SSN]"),
+    (r"\b[A-Z]{2}\d{2}[A-Z0-9]{12,30}\b", "[REDACTED-IBAN]"),
 )
+# What stands for the hidden part of a contact, and the keys whose values are contacts.
+DOTS = "\u2022\u2022\u2022"
+CONTACT_KEYS = ("email", "email_address", "phone", "phone_number", "msisdn", "e164", "mobile", "tel")
 
 
 def number(text: Column) -> Column:
@@ -32,10 +35,11 @@ def canonical(text: str) -> str:
 
 
 def canonical_url_keeping(url: Column, keep: list[str]) -> Column:
-    """Without fragment, and with only the named query parameters, in their order."""
+    """Without fragment, and with only the named query parameters: the first of each, in the order of the list, in any case."""
     plain = canonical_url(url)
-    query = F.split_part(F.split_part(url, F.lit("#"), F.lit(1)), F.lit("?"), F.lit(2))
-    kept = F.filter(F.split(query, "&"), lambda p: F.split_part(p, F.lit("="), F.lit(1)).isin(keep))
+    query = F.split_part(F.substr(url, F.length(plain) + 2), F.lit("#"), F.lit(1))
+    named = lambda k: F.get(F.filter(F.split(query, "&"), lambda p: F.lower(F.split_part(p, F.lit("="), F.lit(1))) == k.lower()), 0)
+    kept = F.array_compact(F.array(*map(named, keep))) if keep else F.array().cast("array<string>")
     return F.when(F.size(kept) > 0, F.concat(plain, F.lit("?"), F.array_join(kept, "&"))).otherwise(plain)
 
 
@@ -89,17 +93,58 @@ def value_type(text: Column) -> Column:
 
 
 def mask_email(text: Column) -> Column:
-    """First letter of the name, and the domain."""
-    return F.when(text.contains("@"), F.concat(F.substring(text, 1, 1), F.lit("***@"), F.split_part(text, F.lit("@"), F.lit(-1)))).otherwise(mask(text))
+    """First letter of the name, and what follows the first @; without a name before it as any other text."""
+    at = F.instr(text, "@")
+    return F.when(at > 1, F.concat(F.substring(text, 1, 1), F.lit(DOTS + "@"), F.substr(text, at + 1))).otherwise(mask(text))
 
 
 def mask_phone(text: Column) -> Column:
-    digits = F.regexp_replace(text, "[^0-9]", "")
-    return F.concat(F.lit("***"), F.right(digits, F.lit(4)))
+    """The first digits, with the country's if there is a plus sign, and the last two; short numbers not at all."""
+    digits = F.regexp_replace(text, "[^0-9+]", "")
+    head = F.when(F.startswith(digits, F.lit("+")), F.substring(digits, 1, 4)).otherwise(F.substring(digits, 1, 2))
+    return F.when(F.length(digits) < 5, F.lit(DOTS)).otherwise(F.concat(head, F.lit(DOTS), F.right(digits, F.lit(2))))
 
 
 def mask(text: Column) -> Column:
-    return F.concat(F.substring(text, 1, 1), F.lit("***"))
+    """The first letter; a text of one letter not at all."""
+    return F.when(F.length(text) <= 1, F.lit(DOTS)).otherwise(F.concat(F.substring(text, 1, 1), F.lit(DOTS)))
+
+
+def mask_identity(kind: str, text: Column) -> Column:
+    """A contact of a kind masked by the kind's rule; none is the empty text."""
+    return F.coalesce({"email": mask_email, "phone": mask_phone}.get(kind, mask)(text), F.lit(""))
+
+
+def refuse_contact_key(key: str) -> None:
+    """Contacts are no dimension of a chart."""
+    if key.lower() in CONTACT_KEYS:
+        raise SpecError(f'"{key}" holds contacts and cannot be grouped by')
+
+
+def e164(text: Column, country: str | None = None) -> Column:
+    """A phone number as + and 7 to 15 digits: 00 is a plus sign, one leading 0 gives way to the country's code.
+
+    What is no number stays if it begins with a plus sign, else it is null.
+    """
+    plain = F.trim(text)
+    digits = F.regexp_replace(F.regexp_replace(plain, r"[\s().\-/]", ""), "^00", "+")
+    if country is not None:
+        digits = F.when(F.startswith(digits, F.lit("+")), digits).otherwise(F.concat(F.lit("+" + country), F.regexp_replace(digits, "^0", "")))
+    return F.when(digits.rlike(r"^\+[1-9][0-9]{6,14}$"), digits).when(F.startswith(plain, F.lit("+")), plain)
+
+
+def feed_text(text: Column, most: int = 200) -> Column:
+    """One line of at most so many characters, the last one a sign that there was more; no text is null."""
+    line = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most - 1), F.lit("\u2026"))).when(line != "", line)
+
+
+def decoded_path(url: Column) -> Column:
+    """The path of a URL with its escapes decoded, or as it is if they are broken; for the root the host."""
+    path = F.regexp_replace(canonical_url(url), "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
+    host = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1)
+    shown = F.when(path.isin("", "/") & (host != ""), host).otherwise(path)
+    return feed_text(F.coalesce(F.try_url_decode(F.replace(shown, F.lit("+"), F.lit("%2B"))), shown))
 
 
 def contact_hash(text: Column, kind: str) -> Column:
@@ -107,6 +152,12 @@ def contact_hash(text: Column, kind: str) -> Column:
     return F.sha2(plain, 256)
 
 
+def canonical_json(value: Column) -> Column:
+    """A JSON object with its keys sorted; any other text as it is."""
+    entries = F.array_sort(F.map_entries(F.from_json(value, "map<string,string>")))
+    return F.when(F.startswith(F.trim(value), F.lit("{")), F.coalesce(F.to_json(F.map_from_entries(entries)), value)).otherwise(value)
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

@@ -27,13 +27,38 @@ def suppress(audience: DataFrame, suppressed: DataFrame) -> DataFrame:
     return marked.agg(F.count(F.lit(1)).alias("members"), F.count("_s").alias("suppressed"), F.count_if(F.col("_s").isNull()).alias("sendable"))
 
 
-def attributed(calls: DataFrame, holds: DataFrame) -> DataFrame:
-    """Each call (number, ts) with the visitor that held its number then; of several, the latest to take it."""
+def attributed(calls: DataFrame, holds: DataFrame, slot_seconds: int = 3600) -> DataFrame:
+    """Each call (number, ts) with the visitor that held its number then; of several, the latest to take it.
+
+    Both sides meet by number and slot of time, so that a call meets the holds of its slot and not all of its number.
+    """
     keys = [c for c in calls.columns]
-    joined = calls.join(holds.withColumnRenamed("number", "_number"), (F.col("number") == F.col("_number")) & (F.col("ts") >= F.col("held_from")) & (F.col("ts") < F.col("held_to")), "left")
+    slot = lambda t: F.floor(F.unix_timestamp(t) / slot_seconds)
+    spread = holds.select(F.col("number").alias("_number"), "visitor", "held_from", "held_to", F.explode(F.sequence(slot("held_from"), slot("held_to"))).alias("_at"))
+    same = (F.col("number") == F.col("_number")) & (F.col("_slot") == F.col("_at")) & (F.col("ts") >= F.col("held_from")) & (F.col("ts") < F.col("held_to"))
+    joined = calls.withColumn("_slot", slot("ts")).join(spread, same, "left")
     return joined.groupBy(*keys).agg(F.max_by("visitor", "held_from").alias("visitor"))
 
 
+def add_to_list(members: DataFrame, added: DataFrame) -> DataFrame:
+    """A static list (list, passport_id) with further members; adding one twice changes nothing."""
+    return members.select("list", "passport_id").unionByName(added.select("list", "passport_id")).distinct()
+
+
+def membership(passports: DataFrame, members: DataFrame) -> DataFrame:
+    """(passport_id, lists): the lists of each of these people, in order; none is an empty array."""
+    held = members.groupBy("passport_id").agg(F.sort_array(F.collect_set("list")).alias("lists"))
+    return passports.join(held, "passport_id", "left").select("passport_id", F.coalesce("lists", F.array().cast("array<string>")).alias("lists"))
+
+
+def sendable(batch: DataFrame, suppressed: DataFrame, invalid: DataFrame) -> DataFrame:
+    """Adds verdict to contacts (contact): suppressed before invalid before ok; contacts are compared trimmed and in lower case."""
+    plain = F.lower(F.trim("contact"))
+    marks = suppressed.select(plain.alias("_c"), F.lit(2).alias("_m")).unionByName(invalid.select(plain.alias("_c"), F.lit(1).alias("_m"))).groupBy("_c").agg(F.max("_m").alias("_m"))
+    joined = batch.withColumn("_c", plain).join(marks, "_c", "left")
+    return joined.withColumn("verdict", F.when(F.col("_m") == 2, "suppressed").when(F.col("_m") == 1, "invalid").otherwise("ok")).drop("_c", "_m")
+
+
 def converted_within(enrolments: DataFrame, log: DataFrame, days: int) -> DataFrame:
     """Enrolments with an event of the log in [enrolled_at, + days]."""
     ahead = F.col("enrolled_at") + F.make_dt_interval(days=F.lit(days))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durations import SpecError
+from ..sources.session import cut
 from . import facts as fact_ops
 from . import metrics
 
@@ -121,12 +122,17 @@ def count(world: World, selector: dict) -> DataFrame:
 # ---- ordered funnels ---------------------------------------------------------------------------
 
 
+def has_metric(node: dict) -> bool:
+    kind, body = next(iter(node.items()), ("", None))
+    return kind == "metric" or kind in ("all", "any") and any(map(has_metric, body)) or kind == "not" and has_metric(body)
+
+
 def funnel(world: World, steps: list[dict], within: str | None = None, named: dict | None = None) -> list[DataFrame]:
     """For each step its (passport_id, anchor).
 
     A step {name, filter, within?} keeps survivors of the step before.  With `within` the event must come later than
     the last anchor and no later than that much after it; without, membership is enough and the anchor moves if
-    the step has a time.  Metric gates count only what came after the anchor.  The funnel's own `within` bounds the
+    the step has a time.  Metric gates, also within all, any and not, count only what came after the anchor.  The funnel's own `within` bounds the
     time from the first step to the last.
     """
     from ..functions import durations
@@ -139,20 +145,19 @@ def funnel(world: World, steps: list[dict], within: str | None = None, named: di
             continue
         before = out[-1]
         timed = "within" in step
-        is_metric = "metric" in node
-        found = evaluate(world, node, before.select("passport_id", "anchor").filter("anchor IS NOT NULL") if is_metric else None)
+        found = evaluate(world, node, before.select("passport_id", "anchor").filter("anchor IS NOT NULL") if has_metric(node) else None)
         joined = before.join(found, "passport_id")
         if timed:
             joined = joined.filter((F.col("matched_at") > F.col("anchor")) & (F.col("matched_at") <= durations.shift(F.col("anchor"), step["within"], 1, "within")))
-        out.append(joined.select("passport_id", F.coalesce("matched_at", "anchor").alias("anchor"), "began"))
+        out.append(cut(joined.select("passport_id", F.coalesce("matched_at", "anchor").alias("anchor"), "began")))  # read twice by the next step
     if within:
         out[-1] = out[-1].filter(F.col("anchor") <= durations.shift(F.col("began"), within, 1, "within"))
     return out
 
 
-def funnel_report(world: World, steps: list[dict], within: str | None = None) -> DataFrame:
+def funnel_report(world: World, steps: list[dict], within: str | None = None, named: dict | None = None) -> DataFrame:
     """(step, name, n, step_conversion, overall) with percentages of the step before and of the first."""
-    parts = funnel(world, steps, within)
+    parts = funnel(world, steps, within, named)
     out = None
     for k, (step, df) in enumerate(zip(steps, parts, strict=True)):
         row = df.agg(F.count_distinct("passport_id").alias("n")).select(F.lit(k).alias("step"), F.lit(step.get("name", f"step {k + 1}")).alias("name"), "n")
@@ -164,11 +169,11 @@ def funnel_report(world: World, steps: list[dict], within: str | None = None) ->
     return out.withColumn("step_conversion", share(F.lag("n", 1).over(order))).withColumn("step_conversion", F.when(F.col("step") == 0, 100.0).otherwise(F.col("step_conversion"))).withColumn("overall", share(F.first("n").over(order)))
 
 
-def gap(world: World, steps: list[dict], k: int) -> DataFrame:
+def gap(world: World, steps: list[dict], k: int, named: dict | None = None) -> DataFrame:
     """(passport_id, status) of those who reached step k but not k + 1: pending while its window is open, else dropped."""
     from ..functions import durations
 
-    parts = funnel(world, steps[: k + 2])
+    parts = funnel(world, steps[: k + 2], None, named)
     left = parts[k].join(parts[k + 1].select("passport_id"), "passport_id", "left_anti")
     limit = steps[k + 1].get("within")
     clock = durations.instant(world.now, "now")

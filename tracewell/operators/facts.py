@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ VALUE_OPS = ("eq", "ne", "in", "gt", "gte", "lt", "lte", "contains", "startsWith
 HISTORY_OPS = ("changed", "transition", "increased", "decreased", "held", "distinct")
 USES = ("last", "first", "max", "min")
 # What people write for an operator that has another name.
-HINTS = {"exists": "present", "equals": "eq", "not": "ne", "neq": "ne", "ge": "gte", "le": "lte", "like": "contains", "starts": "startsWith", "ends": "endsWith", "since": "last"}
+HINTS = {"exists": "present", "isNull": "present: false", "isset": "present", "has": "present", "matches": "contains", "equals": "eq", "not": "ne", "neq": "ne", "ge": "gte", "le": "lte", "like": "contains", "starts": "startsWith", "ends": "endsWith", "since": "last"}
 
 
 def of_key(facts: DataFrame, key: str, as_of: str | None = None) -> DataFrame:
@@ -55,8 +57,6 @@ def _number(bound) -> float | None:
         return None
     if isinstance(bound, (int, float)):
         return float(bound)
-    import re
-
     return float(bound) if isinstance(bound, str) and re.match(exprs.NUMERIC, bound) else None
 
 
@@ -70,11 +70,22 @@ def _compare(value: Column, num: Column, op: str, bound) -> Column:
     """As numbers if both are, else as dates if both are, else as texts."""
     test = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b}[op]
     n, text = _number(bound), F.lit(str(bound))
-    as_text = test(value, text)
-    when_bound = F.try_to_timestamp(text)
-    when_value = F.try_to_timestamp(value)
-    dated = F.when(when_value.isNotNull() & when_bound.isNotNull(), test(when_value, when_bound)).otherwise(as_text)
-    return dated if n is None else F.when(num.isNotNull(), test(num, F.lit(n))).otherwise(as_text)
+    if n is None:
+        return _dated(test, value, text)
+    return F.when(num.isNotNull(), test(num, F.lit(n))).otherwise(test(value, text))
+
+
+def _dated(test, a: Column, b: Column) -> Column:
+    """As dates if both are, else as texts."""
+    one, two = F.try_to_timestamp(a), F.try_to_timestamp(b)
+    return F.when(one.isNotNull() & two.isNotNull(), test(one, two)).otherwise(test(a, b))
+
+
+def _strictly(value: Column, num: Column, bound) -> Column:
+    """Equal without conversion: numbers to numbers, texts to texts."""
+    if isinstance(bound, (int, float)) and not isinstance(bound, bool):
+        return num == F.lit(float(bound))
+    return value == F.lit(str(bound).lower() if isinstance(bound, bool) else str(bound))
 
 
 def value_predicate(ops: dict, now: str | None = None, value: Column | None = None, num: Column | None = None) -> Column:
@@ -110,7 +121,7 @@ def value_predicate(ops: dict, now: str | None = None, value: Column | None = No
             if now is None:
                 raise SpecError(f"fact: {op} needs a clock")
             clock, at = durations.instant(now, "now"), F.try_to_timestamp(value)
-            test = {"next": lambda: at.between(clock, durations.shift(clock, bound)), "last": lambda: at.between(durations.shift(clock, bound, -1), clock), "before": lambda: at < durations.instant(bound, "before")}[op]()
+            test = {"next": lambda: at.between(clock, durations.shift(clock, bound)), "last": lambda: at.between(durations.shift(clock, bound, -1), clock), "before": lambda: at < (durations.shift(clock, bound, -1) if re.fullmatch(r"\d+[a-zA-Z]", str(bound)) else durations.instant(bound, "before"))}[op]()
         out = out & value.isNotNull() & test
     return F.coalesce(out, F.lit(False))
 
@@ -163,32 +174,33 @@ def history_match(facts: DataFrame, key: str, op: str, spec, now: str) -> DataFr
     elif op == "transition":
         hit = differs & recent(True)
         if "from" in spec:
-            hit = hit & F.coalesce(_equal(F.col("previous"), F.col("previous_num"), spec["from"]), F.lit(False))
+            hit = hit & F.coalesce(_strictly(F.col("previous"), F.col("previous_num"), spec["from"]), F.lit(False))
         if "to" in spec:
-            hit = hit & F.coalesce(_equal(F.col("value"), F.col("num"), spec["to"]), F.lit(False))
+            hit = hit & F.coalesce(_strictly(F.col("value"), F.col("num"), spec["to"]), F.lit(False))
     elif op in ("increased", "decreased"):
         both = F.col("num").isNotNull() & F.col("previous_num").isNotNull()
-        up = F.when(both, F.col("num") > F.col("previous_num")).otherwise(F.col("value") > F.col("previous"))
-        down = F.when(both, F.col("num") < F.col("previous_num")).otherwise(F.col("value") < F.col("previous"))
-        hit = (F.col("place") > 1) & (up if op == "increased" else down) & recent(True)
+        test = (lambda a, b: a > b) if op == "increased" else (lambda a, b: a < b)
+        moved = F.when(both, test(F.col("num"), F.col("previous_num"))).otherwise(_dated(test, F.col("value"), F.col("previous")))
+        hit = (F.col("place") > 1) & moved & recent(True)
     elif op == "held":
         ops = {k: v for k, v in spec.items() if k != "last"} if isinstance(spec, dict) else {"in": spec} if isinstance(spec, list) else {"eq": spec}
-        hit = value_predicate(ops, now) & recent(False)
+        hit = value_predicate(ops or {"present": True}, now) & recent(False)
     elif op == "distinct":
-        return _distinct_held(rows.filter(recent(False)), spec)
+        return _distinct_held(rows.withColumn("_in", recent(False) & F.col("value").isNotNull()), spec if isinstance(spec, dict) else {"gte": spec})
     else:
         raise SpecError(f'fact: unknown operator "{op}"')
     return rows.filter(F.coalesce(hit, F.lit(False))).groupBy("passport_id").agg(F.max("observed_at").alias("matched_at"))
 
 
 def _distinct_held(rows: DataFrame, spec: dict) -> DataFrame:
-    """When the number of different values ever held reached gte; none may exceed lte."""
-    seen = rows.filter(F.col("value").isNotNull()).groupBy("passport_id", "value").agg(F.min(F.struct("observed_at", "id")).alias("f"))
-    numbered = seen.withColumn("n", F.row_number().over(W.partitionBy("passport_id").orderBy("f")))
-    least = spec.get("gte", 1)
-    out = numbered.groupBy("passport_id").agg(F.max("n").alias("n"), F.min(F.when(F.col("n") >= least, F.col("f.observed_at"))).alias("matched_at"))
-    out = out.filter(F.col("n") >= least)
-    return (out.filter(F.col("n") <= spec["lte"]) if "lte" in spec else out).select("passport_id", "matched_at")
+    """When the number of different values held (rows with _in) reached gte; without gte, the last observation.  None may exceed lte."""
+    least, most = spec.get("gte"), spec.get("lte")
+    seen = rows.groupBy("passport_id", F.when(F.col("_in"), F.col("value")).alias("value")).agg(F.min(F.struct("observed_at", "id")).alias("f"), F.max("observed_at").alias("last"))
+    held = F.col("value").isNotNull()
+    numbered = seen.withColumn("n", F.when(held, F.row_number().over(W.partitionBy("passport_id", held).orderBy("f"))).otherwise(0))
+    reached = F.max("last") if least is None or least <= 0 else F.min(F.when(F.col("n") >= least, F.col("f.observed_at")))
+    out = numbered.groupBy("passport_id").agg(F.max("n").alias("n"), reached.alias("matched_at")).filter("matched_at IS NOT NULL")
+    return (out if most is None else out.filter(F.col("n") <= most)).select("passport_id", "matched_at")
 
 
 def ambiguity(facts: DataFrame) -> DataFrame:
@@ -211,6 +223,36 @@ def without_restatements(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_same", same).filter("NOT _same").drop("_same")
 
 
+def news(batch: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows of a batch that are worth writing beside the held current values (passport_id, key, value, observed_at).
+
+    A row without external_id that has the held value and is no older restates it and goes; a back-dated one stays.
+    Objects are compared by content, whatever the order of their keys.
+    """
+    same = exprs.canonical_json(F.col("value")).eqNullSafe(exprs.canonical_json(F.col("_held"))) & (F.col("observed_at") >= F.col("_since"))
+    known = held.select("passport_id", "key", F.col("value").alias("_held"), F.col("observed_at").alias("_since"))
+    marked = batch.join(known, ["passport_id", "key"], "left")
+    restated = F.coalesce(same & F.col("_since").isNotNull(), F.lit(False))
+    if "external_id" in batch.columns:
+        restated = restated & F.col("external_id").isNull()
+    return marked.filter(~restated).select(*batch.columns)
+
+
+def notes(facts: DataFrame, keys: list[str], declared: dict[str, str] | None = None, uses: dict[str, str] | None = None, anchors: dict[str, str | None] | None = None) -> DataFrame:
+    """(fact, code, affected, percent, most_values, used): keys whose answer hangs on which of several values is taken.
+
+    A declared key is settled unless it anchors a window.  `used` is the rule that ran: the anchor's, the query's, the
+    declared one, or last.
+    """
+    declared, uses, anchors = declared or {}, uses or {}, anchors or {}
+    checked = [k for k in dict.fromkeys(keys) if k not in declared or k in anchors]
+    rules = [(k, "ambiguous_anchor_fact" if k in anchors else "ambiguous_fact_value", anchors.get(k) or uses.get(k) or declared.get(k) or "last") for k in checked]
+    found = ambiguity(facts.filter(F.col("key").isin(checked))).filter("ambiguous > 0")
+    table = facts.sparkSession.createDataFrame(rules, "fact string, code string, used string")  # one row for each key of the query
+    percent = F.round(F.col("ambiguous") * 100.0 / F.col("people"), 1).alias("percent")
+    return found.join(F.broadcast(table), F.col("key") == F.col("fact")).select("fact", "code", F.col("ambiguous").alias("affected"), percent, F.col("most_values"), "used")
+
+
 def on_conflict(rows: DataFrame, policy: str, keys: list[str], arrival: str) -> DataFrame:
     """One row for each key: `skip` keeps the first to arrive, `replace` the last; `error` fails on a second."""
     others = F.struct(*[F.col(c) for c in rows.columns])

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_HOPS = 64
+from ..sources.session import cut
 
+MOST_HOPS = 48
 
-def survivors(merges: DataFrame, checkpoint_every: int = 4) -> DataFrame:
+
+def survivors(merges: DataFrame) -> DataFrame:
     """(absorbed, survivor): every absorbed id with the passport that it ends at.
 
     The newest merge of an id counts (column merged_at, if there is one).  Pointers double their reach each round, so
@@ -17,12 +19,14 @@ def survivors(merges: DataFrame, checkpoint_every: int = 4) -> DataFrame:
     if "merged_at" in merges.columns:
         merges = merges.groupBy("absorbed").agg(F.max_by("survivor", "merged_at").alias("survivor"))
     ends = merges.select("absorbed", "survivor").filter("absorbed <> survivor")
+    n = ends.count()
     for k in range(MOST_HOPS):
+        if 2**k > 2 * max(n, 1):
+            break  # longer than any chain of so many merges
         onward = ends.select(F.col("absorbed").alias("survivor"), F.col("survivor").alias("_next"))
         stepped = ends.join(onward, "survivor", "left").select("absorbed", F.coalesce("_next", "survivor").alias("survivor"), F.col("_next").isNotNull().alias("_moved"))
-        if k % checkpoint_every == checkpoint_every - 1 and merges.sparkSession.sparkContext.getCheckpointDir():
-            stepped = stepped.checkpoint()
-        if not stepped.filter("_moved").limit(1).count():
+        stepped = cut(stepped, eager=True)  # the next round reads it twice
+        if stepped.filter("_moved").isEmpty():
             return ends
         ends = stepped.drop("_moved")
     raise RuntimeError("merges do not end: they hold a cycle")

@@ -20,13 +20,22 @@ def conversions(rows: DataFrame, now: Column, minutes: int = 5) -> DataFrame:
 
 def engagement(rows: DataFrame) -> DataFrame:
     """Exposures of known kinds of engagement: what was met, for how long, and how much of it (0 to 1)."""
-    share = F.when(F.col("kind") == "video", F.col("watched_s") / F.col("length_s")).when(F.col("kind") == "text", read_depth(F.col("dwell_ms"), F.col("words"))).otherwise(F.lit(1.0))
+    share = F.when(F.col("kind") == "video", F.col("watched_s") / F.col("length_s")).when(F.col("kind") == "text", read_depth(F.col("length_chars"), F.col("partial"))).otherwise(F.lit(1.0))
     return rows.filter(F.col("kind").isin(*ENGAGEMENT)).select("id", "passport_id", "ts", F.col("kind").alias("source"), "dwell_ms", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(share, F.lit(0.0)))).alias("engagement"))
 
 
-def read_depth(dwell_ms: Column, words: Column, words_per_minute: int = 240) -> Column:
-    """The share of a text that so long a look can have read."""
-    return F.least(F.lit(1.0), dwell_ms / (words * F.lit(60000.0 / words_per_minute)))
+# Characters of a word, words of a full read, and the least that counts.
+CHARS_A_WORD, FULL_READ_WORDS, LEAST_READ = 5, 80, 0.02
+
+
+def words_of(length_chars: Column) -> Column:
+    return F.greatest(F.lit(1.0), F.round(F.coalesce(length_chars, F.lit(0)) / CHARS_A_WORD))
+
+
+def read_depth(length_chars: Column, partial: Column) -> Column:
+    """How much was read, of a full read: the words of the text, half of them if it was not read to its end."""
+    read = words_of(length_chars) * F.when(F.coalesce(partial, F.lit(False)), 0.5).otherwise(1.0)
+    return F.floor(F.greatest(F.lit(LEAST_READ), F.least(F.lit(1.0), read / FULL_READ_WORDS)) * 100 + 0.5) / 100
 
 
 def records_to_facts(records: DataFrame, id_col: str, observed: str, columns: list[str]) -> DataFrame:
@@ -40,11 +49,6 @@ def unnested(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(F.explode(F.from_json(column, "map<string,string>")).alias("key", "value"))
 
 
-def canonical_json(column: Column) -> Column:
-    """The object with its keys sorted."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.from_json(column, "map<string,string>")))))
-
-
 def claimed(clicks: DataFrame, claims: DataFrame, minutes: int) -> DataFrame:
     """Each click with the first claim of its token within so many minutes; a token is claimed once."""
     first = claims.groupBy("token").agg(F.min(F.struct("claimed_at", "passport_id")).alias("c"))

@@ -69,6 +69,17 @@ def payload_values(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return rows.groupBy(value.alias("name")).agg(F.count(F.lit(1)).alias("n")).filter("name IS NOT NULL").orderBy(F.desc("n"), "name").limit(limit)
 
 
+def activity(rows: DataFrame, prefix: str = "") -> DataFrame:
+    """(type, n, passports, last_at) of the registry's types with a prefix."""
+    return rows.filter(F.startswith("type", F.lit(prefix))).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("passport_id").alias("passports"), F.max("occurred_at").alias("last_at"))
+
+
+def rate(rows: DataFrame, now: Column, minutes: int) -> DataFrame:
+    """One row: events of the last minutes, and how many a minute."""
+    recent = (F.col("occurred_at") > now - F.make_dt_interval(mins=F.lit(minutes))) & (F.col("occurred_at") <= now)
+    return rows.agg(F.count_if(recent).alias("n")).withColumn("per_minute", F.round(F.col("n") / minutes, 2))
+
+
 def base_stats(events: DataFrame) -> DataFrame:
     return events.groupBy("channel", "direction").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("passport_id").alias("people"))
 

@@ -44,13 +44,34 @@ def population(chunks: DataFrame, contacts: DataFrame, query: list[float], k: in
 
 
 def recall(chunks: DataFrame, contacts: DataFrame, passport_id: int, query: list[float], k: int, floor: float = -1.0) -> DataFrame:
-    """(doc_id, sim, rank_score) of one person's content: the latest contact with each, ranked by similarity and engagement."""
-    own = contacts.filter(F.col("passport_id") == passport_id).groupBy("doc_id").agg(F.max_by("dwell_ms", F.struct("ts", "id")).alias("dwell_ms"))
-    engagement = F.least(F.lit(1.0), F.coalesce(F.col("dwell_ms"), F.lit(0)) / F.lit(600.0))
-    scored = similar(chunks.join(F.broadcast(own), "doc_id"), query, floor).withColumn("rank_score", exprs.engagement_blend(F.col("sim"), engagement))
+    """(doc_id, sim, rank_score) of one person's content: the latest contact with each, ranked by similarity and engagement.
+
+    Contacts have an engagement from 0 to 1; one without counts as 1.
+    """
+    own = contacts.filter(F.col("passport_id") == passport_id).groupBy("doc_id").agg(F.max_by("engagement", F.struct("ts", "id")).alias("engagement"))
+    scored = similar(chunks.join(own, "doc_id"), query, floor).withColumn("rank_score", exprs.engagement_blend(F.col("sim"), F.coalesce("engagement", F.lit(1.0))))
     return scored.orderBy(F.desc("rank_score"), "doc_id").limit(k).select("doc_id", F.round("sim", 4).alias("sim"), F.round("rank_score", 4).alias("rank_score"))
 
 
+def knowledge(chunks: DataFrame, contacts: DataFrame, query: list[float] | None = None, passport_id: int | None = None, cohort: DataFrame | None = None, k: int = 20, floor: float = 0.3, candidates: int = 2000) -> DataFrame:
+    """Ranked evidence: (doc_id, passport_id, sim) of one person, of a cohort, or of everybody; without a query a sample of what most met.
+
+    A cohort narrows the pool before the nearest chunks are taken, and an empty one has no evidence.
+    """
+    if query is None:
+        if passport_id is not None or cohort is not None:
+            raise ValueError("knowledge: evidence about somebody needs a query to rank it")
+        return reach(contacts, k).select("doc_id", F.lit(None).cast("long").alias("passport_id"), F.lit(None).cast("double").alias("sim"))
+    if passport_id is not None:
+        return recall(chunks, contacts, passport_id, query, k).select("doc_id", F.lit(passport_id).cast("long").alias("passport_id"), "sim")
+    if cohort is not None:
+        contacts = contacts.join(cohort.select("passport_id"), "passport_id", "left_semi")
+        chunks = chunks.join(contacts.select("doc_id").distinct(), "doc_id", "left_semi")
+    near = similar(chunks, query, floor).orderBy(F.desc("sim"), "doc_id").limit(candidates).select("doc_id", "sim")
+    hits = contacts.select("doc_id", "passport_id").distinct().join(F.broadcast(near), "doc_id")
+    return hits.orderBy(F.desc("sim"), "doc_id", "passport_id").limit(k).select("doc_id", "passport_id", F.round("sim", 4).alias("sim"))
+
+
 def reach(contacts: DataFrame, limit: int) -> DataFrame:
     """(doc_id, people, channel) of the content that most people met, with the channel of the latest contact."""
     out = contacts.groupBy("doc_id").agg(F.count_distinct("passport_id").alias("people"), F.max_by("channel", F.struct("ts", "id")).alias("channel"))

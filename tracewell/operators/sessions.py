@@ -11,14 +11,18 @@ def sessionize(events: DataFrame, gap: str = "30 minutes", campaign: str | None
     """Adds session_seq, from 0 in each passport.
 
     A session ends after `gap` without an event.  With a campaign column it also ends where an event
-    names another campaign than the last that was named; an event without one changes nothing.
+    names another campaign than the one with which the session began, or names one when it began with none;
+    an event that names none, or the empty one, changes nothing.
     """
     by = W.partitionBy("passport_id").orderBy("ts", "id")
-    new = F.col("ts") - F.lag("ts").over(by) > F.expr(f"INTERVAL {gap}")
+    quiet = F.coalesce(F.col("ts") - F.lag("ts").over(by) >= F.expr(f"INTERVAL {gap}"), F.lit(False))
+    marked = events.withColumn("_new", quiet.cast("long"))
     if campaign:
-        before = F.last(campaign, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1))
-        new = new | (F.col(campaign).isNotNull() & before.isNotNull() & (F.col(campaign) != before))
-    marked = events.withColumn("_new", F.coalesce(new, F.lit(False)).cast("long"))
+        visit = W.partitionBy("passport_id", "_visit").orderBy("ts", "id")
+        named = F.nullif(F.col(campaign), F.lit(""))
+        open_ = F.coalesce(F.last(named, ignorenulls=True).over(visit.rowsBetween(W.unboundedPreceding, -1)), F.lit(""))
+        other = (F.row_number().over(visit) > 1) & F.coalesce(named != open_, F.lit(False))
+        marked = marked.withColumn("_visit", F.sum("_new").over(by)).withColumn("_new", F.greatest("_new", other.cast("long"))).drop("_visit")
     return marked.withColumn("session_seq", F.sum("_new").over(by)).drop("_new")
 
 

@@ -23,7 +23,7 @@ EV = """ev AS (SELECT event_id AS id, user_id AS passport_id, ts,
   NULLIF((event_id % 7) * 100, 0) AS dwell_ms, event_type AS a_event, value AS a_value, json_extract_string(props, '$.k') AS a_k FROM events)"""
 EX = EV + """, np AS (SELECT count(*) AS n FROM pages), ex AS (SELECT ev.*, p.url, split_part(split_part(p.url, '?', 1), '#', 1) AS curl
   FROM ev CROSS JOIN np LEFT JOIN pages p ON p.page_id = ev.id % np.n)"""
-VIS = EV + """, s0 AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY passport_id ORDER BY ts, id) > INTERVAL 24 HOUR THEN 1 ELSE 0 END AS nw FROM ev),
+VIS = EV + """, s0 AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY passport_id ORDER BY ts, id) >= INTERVAL 24 HOUR THEN 1 ELSE 0 END AS nw FROM ev),
   s1 AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY passport_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seq FROM s0),
   vis AS (SELECT *, passport_id || '-' || seq AS session_id, CASE seq % 4 WHEN 0 THEN 'google' WHEN 1 THEN 'meta' WHEN 2 THEN 'newsletter' END AS utm_source FROM s1)"""
 ORD = """ord AS (SELECT o_orderkey AS id, o_custkey AS passport_id, o_orderdate AS obs, o_orderstatus AS st, o_totalprice AS tot, o_orderpriority AS pri FROM orders),
@@ -322,9 +322,9 @@ def compare_series(spark, sf_dir):
     return composition.compare({"web": metrics.group(events, {"channel": "web", "count": {}}, "day", EVENT_NOW), "bought": metrics.group(events, {**PURCHASES, "sum": {"field": "value"}}, "day", EVENT_NOW)})
 
 
-@query(f"WITH {EV}, g AS (SELECT a_event AS name, strftime(ts, '%Y-%m-%d %H:00') AS bucket, count(*) AS value FROM ev WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1, 2), n AS (SELECT DISTINCT name FROM g), b AS (SELECT DISTINCT bucket FROM g) SELECT name, bucket, coalesce(value, 0) AS value FROM n CROSS JOIN b LEFT JOIN g USING (name, bucket)")
+@query(f"WITH {EV}, g AS (SELECT a_event AS name, strftime(ts, '%Y-%m-%d %H:00') AS bucket, count(*) AS value FROM ev GROUP BY 1, 2), n AS (SELECT DISTINCT name FROM g), b AS (SELECT DISTINCT bucket FROM g) SELECT name, bucket, coalesce(value, 0) AS value FROM n CROSS JOIN b LEFT JOIN g USING (name, bucket)")
 def aligned_series(spark, sf_dir):
-    rows = model(spark, sf_dir).events.filter("ts < '2024-01-03'")
+    rows = model(spark, sf_dir).events
     return composition.aligned(rows.groupBy(F.col("attr_event").alias("name"), exprs.bucket_of_time("hour", F.col("ts")).alias("bucket")).agg(F.count(F.lit(1)).alias("value")))
 
 
@@ -419,8 +419,10 @@ for gap, name in (("30 minutes", "sessionize_gap"), ("24 hours", "sessionize_day
 
 
 @query(f"""WITH {EV}, c AS (SELECT *, CASE a_k WHEN '0' THEN NULL ELSE channel END AS campaign FROM ev),
-  l AS (SELECT *, last_value(campaign IGNORE NULLS) OVER (PARTITION BY passport_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev, lag(ts) OVER (PARTITION BY passport_id ORDER BY ts, id) AS pts FROM c),
-  n AS (SELECT *, CASE WHEN ts - pts > INTERVAL 24 HOUR OR (campaign IS NOT NULL AND prev IS NOT NULL AND campaign <> prev) THEN 1 ELSE 0 END AS nw FROM l),
+  l AS (SELECT *, lag(ts) OVER (PARTITION BY passport_id ORDER BY ts, id) AS pts FROM c),
+  v AS (SELECT *, sum(CASE WHEN ts - pts >= INTERVAL 24 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY passport_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS visit FROM l),
+  o AS (SELECT *, coalesce(last_value(campaign IGNORE NULLS) OVER (PARTITION BY passport_id, visit ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS opened, row_number() OVER (PARTITION BY passport_id, visit ORDER BY ts, id) AS place FROM v),
+  n AS (SELECT *, CASE WHEN ts - pts >= INTERVAL 24 HOUR OR (place > 1 AND campaign IS NOT NULL AND campaign <> opened) THEN 1 ELSE 0 END AS nw FROM o),
   q AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY passport_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seq FROM n) SELECT passport_id, max(seq) + 1 AS sessions FROM q GROUP BY 1""")
 def sessionize_campaign(spark, sf_dir):
     rows = model(spark, sf_dir).events.withColumn("campaign", F.when(F.col("attr_k") == "0", F.lit(None)).otherwise(F.col("channel")))
@@ -438,7 +440,8 @@ def _query_vector(m: Model) -> list[float]:
 
 def _contacts(m: Model) -> DataFrame:
     n = m.table("embeddings").count()
-    return m.events.withColumn("doc_id", F.col("id") % n)
+    engagement = F.when(F.col("source") == "text", F.col("dwell_ms") / 600.0)  # of texts only, as other sources have none
+    return m.events.withColumns({"doc_id": F.col("id") % n, "engagement": engagement})
 
 
 CH = "ch AS (SELECT doc_id, embedding, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS sim FROM documents JOIN embeddings ON doc_id = vec_id)"
@@ -463,7 +466,7 @@ def about_gate(spark, sf_dir):
     return semantic.about(m.chunks, _contacts(m), _query_vector(m), 0.2, most=None).select("passport_id", F.round("sim", 4).alias("sim"), F.date_format("matched_at", "yyyy-MM-dd HH:mm:ss").alias("matched_at"))
 
 
-@query(f"WITH {CH}, {CT}, o AS (SELECT doc_id, arg_max_null(dwell_ms, row(ts, id)) AS d FROM ct WHERE passport_id = 7 GROUP BY 1) SELECT doc_id, round(sim, 4) AS sim, round(sim * (0.4 + 0.6 * least(1.0, coalesce(d, 0) / 600.0::DOUBLE)), 4) AS rank_score FROM ch JOIN o USING (doc_id) ORDER BY sim * (0.4 + 0.6 * least(1.0, coalesce(d, 0) / 600.0::DOUBLE)) DESC, doc_id LIMIT 10")
+@query(f"WITH {CH}, {CT}, o AS (SELECT doc_id, arg_max_null(CASE source WHEN 'text' THEN dwell_ms / 600.0::DOUBLE END, row(ts, id)) AS d FROM ct WHERE passport_id = 7 GROUP BY 1) SELECT doc_id, round(sim, 4) AS sim, round(sim * (0.4 + 0.6 * coalesce(d, 1)), 4) AS rank_score FROM ch JOIN o USING (doc_id) ORDER BY sim * (0.4 + 0.6 * coalesce(d, 1)) DESC, doc_id LIMIT 10")
 def recall_one(spark, sf_dir):
     m = model(spark, sf_dir)
     return semantic.recall(m.chunks, _contacts(m), 7, _query_vector(m), 10)
@@ -474,7 +477,7 @@ def reach_sample(spark, sf_dir):
     return semantic.reach(_contacts(model(spark, sf_dir)), 25)
 
 
-@query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '\b(?:\d[ -]*?){13,16}\b', '[REDACTED_CC]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[REDACTED_SSN]', 'g'), '\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b', '[REDACTED_IBAN]', 'g')) AS h FROM documents")
+@query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '\b(?:\d[ -]*?){13,19}\b', '[REDACTED-CC]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[REDACTED-SSN]', 'g'), '\b[A-Z]{2}\d{2}[A-Z0-9]{12,30}\b', '[REDACTED-IBAN]', 'g')) AS h FROM documents")
 def redact_pii(spark, sf_dir):
     return model(spark, sf_dir).table("documents").select("doc_id", F.sha2(exprs.redact(F.col("text")), 256).alias("h"))
 
@@ -484,7 +487,7 @@ def content_hash(spark, sf_dir):
     return model(spark, sf_dir).table("documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), exprs.contact_hash(F.col("source"), "email").alias("contact"))
 
 
-@query("SELECT page_id, split_part(split_part(url, '?', 1), '#', 1) AS plain, CASE WHEN regexp_extract(url, '[?&](page=[^&#]*)', 1) <> '' THEN split_part(split_part(url, '?', 1), '#', 1) || '?' || regexp_extract(url, '[?&](page=[^&#]*)', 1) ELSE split_part(split_part(url, '?', 1), '#', 1) END AS kept FROM pages")
+@query("SELECT page_id, split_part(split_part(url, '?', 1), '#', 1) AS plain, CASE WHEN regexp_extract(url, '[?&]((?i:page)=[^&#]*)', 1) <> '' THEN split_part(split_part(url, '?', 1), '#', 1) || '?' || regexp_extract(url, '[?&]((?i:page)=[^&#]*)', 1) ELSE split_part(split_part(url, '?', 1), '#', 1) END AS kept FROM pages")
 def canonical_urls(spark, sf_dir):
     url = F.col("url")
     return model(spark, sf_dir).table("pages").select("page_id", exprs.canonical_url(url).alias("plain"), exprs.canonical_url_keeping(url, ["page"]).alias("kept"))
@@ -528,11 +531,11 @@ def conversion_ingest(spark, sf_dir):
     return out.select("event_id", "name", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
-@query("SELECT CASE event_id % 4 WHEN 0 THEN 'video' WHEN 1 THEN 'text' ELSE 'link' END AS source, count(*) AS n, round(avg(least(1.0, CASE event_id % 4 WHEN 0 THEN value / 200.0 WHEN 1 THEN ((event_id % 7) * 100) / (10 * 250.0) ELSE 1.0 END)), 4) AS engagement FROM events WHERE event_id % 4 <> 3 GROUP BY 1")
+@query("SELECT CASE event_id % 4 WHEN 0 THEN 'video' WHEN 1 THEN 'text' ELSE 'link' END AS source, count(*) AS n, round(avg(least(1.0, CASE event_id % 4 WHEN 0 THEN value / 200.0 WHEN 1 THEN floor(greatest(0.02::DOUBLE, least(1, greatest(1, round((event_id % 700) / 5.0::DOUBLE)) * CASE WHEN event_id % 3 = 0 THEN 0.5::DOUBLE ELSE 1 END / 80)) * 100 + 0.5) / 100 ELSE 1.0 END)), 6) AS engagement FROM events WHERE event_id % 4 <> 3 GROUP BY 1")
 def engagement_ingest(spark, sf_dir):
     i = F.col("id") % 4
-    rows = model(spark, sf_dir).events.select("id", "passport_id", "ts", F.when(i == 0, "video").when(i == 1, "text").when(i == 2, "link").otherwise("smell").alias("kind"), ((F.col("id") % 7) * 100).alias("dwell_ms"), F.lit(10).alias("words"), F.col("attr_value").alias("watched_s"), F.lit(200.0).alias("length_s"))
-    return ingest.engagement(rows).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("engagement"), 4).alias("engagement"))
+    rows = model(spark, sf_dir).events.select("id", "passport_id", "ts", F.when(i == 0, "video").when(i == 1, "text").when(i == 2, "link").otherwise("smell").alias("kind"), ((F.col("id") % 7) * 100).alias("dwell_ms"), (F.col("id") % 700).alias("length_chars"), (F.col("id") % 3 == 0).alias("partial"), F.col("attr_value").alias("watched_s"), F.lit(200.0).alias("length_s"))
+    return ingest.engagement(rows).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("engagement"), 6).alias("engagement"))
 
 
 @query("SELECT key, count(*) AS n, count(DISTINCT value) AS n_values FROM (SELECT 'c_name' AS key, c_name AS value FROM customer UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer) WHERE value IS NOT NULL GROUP BY 1")
@@ -606,7 +609,7 @@ def touch_paths(spark, sf_dir):
     return ingest.touches_before(model(spark, sf_dir).events, "purchase", 3)
 
 
-@query("SELECT c_custkey AS passport_id, c_mktsegment[1] || '***' AS shown FROM customer ORDER BY 1 LIMIT 100")
+@query("SELECT c_custkey AS passport_id, c_mktsegment[1] || '•••' AS shown FROM customer ORDER BY 1 LIMIT 100")
 def people_table(spark, sf_dir):
     m = model(spark, sf_dir)
     return composition.people_table(m.passports, m.facts, "segment")
@@ -675,6 +678,101 @@ def _streamed(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
+# ---- further predicates, scopes, lists and writes -----------------------------------------------------
+
+_cohort("fact_gt", {"fact": {"acctbal": {"gt": 5000}}}, _CUSTOMER + "c_acctbal > 5000", ORDER_NOW)
+_cohort("fact_lte", {"fact": {"acctbal": {"lte": 0}}}, _CUSTOMER + "c_acctbal <= 0", ORDER_NOW)
+_cohort("fact_next", {"fact": {"first_purchase_at": {"next": "2w"}}}, f"WITH {EV}, {ANCH} SELECT passport_id, strftime(a, '{DAY}') AS matched_at FROM anch WHERE a BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-22'", "2024-01-08")
+_cohort("fact_before", {"fact": {"first_purchase_at": {"before": "3w"}}}, f"WITH {EV}, {ANCH} SELECT passport_id, strftime(a, '{DAY}') AS matched_at FROM anch WHERE a < TIMESTAMP '2024-01-10'")
+_cohort("fact_held_window", {"fact": {"order_priority": {"held": {"last": "1y"}}}}, f"WITH {ORD} SELECT passport_id, strftime(max(obs), '{DAY}') AS matched_at FROM ord WHERE obs BETWEEN TIMESTAMP '2000-08-02' AND TIMESTAMP '2001-08-02' GROUP BY 1", ORDER_NOW)
+_cohort("fact_distinct_most", {"fact": {"order_priority": {"distinct": {"lte": 2}}}}, f"WITH {ORD} SELECT passport_id, strftime(max(obs), '{DAY}') AS matched_at FROM ord GROUP BY 1 HAVING count(DISTINCT pri) <= 2", ORDER_NOW)
+_cohort("filter_tree", {"any": [{"all": [TREE[0], {"not": TREE[2]}]}, TREE[1]]}, f"WITH {EV}, {_A}, {_B}, {_C} SELECT passport_id, strftime(min(t), '{DAY}') AS matched_at FROM (SELECT * FROM a WHERE passport_id NOT IN (SELECT passport_id FROM c) UNION ALL SELECT * FROM b) GROUP BY 1")
+
+
+@query(f"WITH {EV}, {_A} SELECT passport_id, strftime(t, '{DAY}') AS matched_at FROM a WHERE passport_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def filter_scope(spark, sf_dir):
+    w = world(spark, sf_dir)
+    return _stamped(cohort.people(w, {"filter": TREE[0]}, cohort.people(w, {"filter": {"fact": {"segment": "BUILDING"}}})))
+
+
+@query(f"WITH {EV} SELECT passport_id, count(*) AS n, count(DISTINCT channel) AS channels FROM ev WHERE direction = 'exposure' GROUP BY 1")
+def exposure_counts(spark, sf_dir):
+    rows = model(spark, sf_dir).events.filter("direction = 'exposure'")
+    return rows.groupBy("passport_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("channel").alias("channels"))
+
+
+@query(f"WITH {EV} SELECT channel, count(*) AS n FROM ev WHERE passport_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")
+def erase_people(spark, sf_dir):
+    m = model(spark, sf_dir)
+    gone = fact_ops.current(m.facts, "segment").filter("value = 'BUILDING'")
+    return identity.erase(m.events, gone).groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH l AS (SELECT DISTINCT 'list-' || (o_custkey % 5) AS list, o_custkey AS passport_id FROM orders UNION SELECT 'rich', c_custkey FROM customer WHERE c_acctbal > 5000) SELECT c_custkey AS passport_id, coalesce(g.n, 0) AS n, coalesce(g.lists, '') AS lists FROM customer LEFT JOIN (SELECT passport_id, count(*) AS n, string_agg(list, ',' ORDER BY list) AS lists FROM l GROUP BY 1) g ON passport_id = c_custkey")
+def list_membership(spark, sf_dir):
+    m = model(spark, sf_dir)
+    bought = m.table("orders").select(F.concat(F.lit("list-"), (F.col("o_custkey") % 5).cast("string")).alias("list"), F.col("o_custkey").alias("passport_id"))
+    rich = m.table("customer").filter("c_acctbal > 5000").select(F.lit("rich").alias("list"), F.col("c_custkey").alias("passport_id"))
+    held = audience.membership(m.passports.select(F.col("id").alias("passport_id")), audience.add_to_list(bought, rich))
+    return held.select("passport_id", F.size("lists").cast("long").alias("n"), F.array_join("lists", ",").alias("lists"))
+
+
+@query("WITH b AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS contact FROM customer) SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 7 = 0 THEN 'suppressed' WHEN c_custkey % 5 = 0 THEN 'invalid' ELSE 'ok' END AS verdict FROM b) GROUP BY 1")
+def batch_suppression(spark, sf_dir):
+    names = model(spark, sf_dir).table("customer").select("c_custkey", F.col("c_name").alias("contact"))
+    batch = names.withColumn("contact", F.when(F.col("c_custkey") % 2 == 0, F.upper("contact")).otherwise(F.col("contact")))
+    return audience.sendable(batch, names.filter("c_custkey % 7 = 0"), names.filter("c_custkey % 5 = 0")).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {ORD}, b AS (SELECT passport_id, CASE passport_id % 3 WHEN 0 THEN 'X' ELSE st END AS value, CASE WHEN passport_id % 4 = 0 THEN obs - INTERVAL 1 DAY ELSE obs END AS seen, CASE WHEN passport_id % 5 = 0 THEN 'x' END AS external, st, obs FROM cur) SELECT passport_id, value FROM b WHERE NOT (value = st AND seen >= obs AND external IS NULL)")
+def write_suppression(spark, sf_dir):
+    held = fact_ops.current(model(spark, sf_dir).facts, "order_status").withColumn("key", F.lit("order_status"))
+    p = F.col("passport_id")
+    batch = held.select("passport_id", "key", F.when(p % 3 == 0, "X").otherwise(F.col("value")).alias("value"), F.when(p % 4 == 0, F.col("observed_at") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("observed_at")).alias("observed_at"), F.when(p % 5 == 0, "x").alias("external_id"))
+    return fact_ops.news(batch, held).select("passport_id", "value")
+
+
+@query(f"WITH {ORD}, a AS (SELECT passport_id, count(DISTINCT st) AS s, count(DISTINCT pri) AS p FROM ord GROUP BY 1) SELECT 'order_status' AS fact, 'ambiguous_anchor_fact' AS code, count(*) FILTER (s > 1) AS affected, round(count(*) FILTER (s > 1) * 100.0 / count(*), 1) AS percent, max(s) AS most_values, 'first' AS used FROM a UNION ALL SELECT 'order_priority', 'ambiguous_fact_value', count(*) FILTER (p > 1), round(count(*) FILTER (p > 1) * 100.0 / count(*), 1), max(p), 'last' FROM a")
+def fact_notes(spark, sf_dir):
+    log = model(spark, sf_dir).facts
+    return fact_ops.notes(log, ["order_status", "order_priority", "order_total", "segment"], {"order_status": "max", "order_total": "min"}, anchors={"order_status": "first"})
+
+
+@query(f"WITH {CH}, {CT}, p AS (SELECT DISTINCT doc_id, passport_id FROM ct WHERE passport_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')), nr AS (SELECT doc_id, sim FROM ch WHERE sim >= 0.0 AND doc_id IN (SELECT doc_id FROM p) ORDER BY ch.sim DESC, doc_id LIMIT 50) SELECT doc_id, passport_id, round(sim, 4) AS sim FROM p JOIN nr USING (doc_id) ORDER BY nr.sim DESC, doc_id, passport_id LIMIT 30")
+def knowledge_of_a_cohort(spark, sf_dir):
+    m = model(spark, sf_dir)
+    building = fact_ops.current(m.facts, "segment").filter("value = 'BUILDING'")
+    return semantic.knowledge(m.chunks, _contacts(m), _query_vector(m), cohort=building, k=30, floor=0.0, candidates=50)
+
+
+@query(f"WITH {CT} SELECT doc_id, CAST(NULL AS BIGINT) AS passport_id, CAST(NULL AS DOUBLE) AS sim FROM (SELECT doc_id, count(DISTINCT passport_id) AS people FROM ct GROUP BY 1 ORDER BY people DESC, doc_id LIMIT 20)")
+def knowledge_sample(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return semantic.knowledge(m.chunks, _contacts(m))
+
+
+@query(f"WITH {CLASSED} SELECT type, count(*) AS n, count(DISTINCT passport_id) AS passports, strftime(max(ts), '{DAY}') AS last_at FROM cl WHERE type LIKE 'mail.%' GROUP BY 1")
+def registry_activity(spark, sf_dir):
+    return live.activity(live.registry(model(spark, sf_dir).events), "mail.").withColumn("last_at", F.date_format("last_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"WITH {EV} SELECT count(*) AS n, round(count(*) / 1440.0, 2) AS per_minute FROM ev WHERE ts > TIMESTAMP '2024-01-19' AND ts <= TIMESTAMP '2024-01-20'")
+def registry_rate(spark, sf_dir):
+    return live.rate(live.registry(model(spark, sf_dir).events), F.lit("2024-01-20").cast("timestamp"), 1440)
+
+
+@query("SELECT c_custkey AS passport_id, '+359' || CAST(880000000 + c_custkey AS VARCHAR) AS phone, '+359\u2022\u2022\u2022' || right(CAST(880000000 + c_custkey AS VARCHAR), 2) AS shown FROM customer")
+def phones(spark, sf_dir):
+    rows = model(spark, sf_dir).table("customer").select(F.col("c_custkey").alias("passport_id"), F.concat(F.lit("0"), (F.lit(880000000) + F.col("c_custkey")).cast("string")).alias("raw"))
+    given = F.concat(F.substring("raw", 1, 4), F.lit(" ("), F.substring("raw", 5, 3), F.lit(") "), F.substring("raw", 8, 3))
+    return rows.withColumn("phone", exprs.e164(given, "359")).select("passport_id", "phone", exprs.mask_phone(F.col("phone")).alias("shown"))
+
+
+@query("SELECT c_custkey AS passport_id, left(c_name, 1) || '\u2022\u2022\u2022' AS shown, left(c_name, 1) || '\u2022\u2022\u2022@x.org' AS mail FROM customer")
+def masks(spark, sf_dir):
+    return model(spark, sf_dir).table("customer").select(F.col("c_custkey").alias("passport_id"), exprs.mask(F.col("c_name")).alias("shown"), exprs.mask_email(F.concat("c_name", F.lit("@x.org"))).alias("mail"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -21,7 +21,11 @@ def gap_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour
 
 
 def campaign_sessions(events: DataFrame, gap_minutes: int = 30, late: str = "1 hour") -> DataFrame:
-    """Sessions that end by inactivity or where an event names another campaign (columns passport_id, ts, campaign)."""
+    """Sessions that end by inactivity or where an event names another campaign (columns passport_id, ts, campaign).
+
+    The rules are those of sessions in batch.  A passport's number of sessions is kept after its last one has ended, so
+    that no number is given twice; a late event of an open session does not set its last activity back.
+    """
     gap = dt.timedelta(minutes=gap_minutes)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -33,17 +37,17 @@ def campaign_sessions(events: DataFrame, gap_minutes: int = 30, late: str = "1 h
 
         if state.hasTimedOut:
             close("inactivity")
-            state.remove()
+            state.update((seq + 1, None, None, 0, None))
         else:
-            rows = pd.concat(list(frames)).sort_values("ts")
+            rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
             for row in rows.itertuples():
-                named = row.campaign if isinstance(row.campaign, str) else None
+                named = row.campaign if isinstance(row.campaign, str) and row.campaign else None
                 if started is not None:
-                    quiet, other = row.ts - last > gap, named is not None and campaign is not None and named != campaign
+                    quiet, other = row.ts - last >= gap, named is not None and named != campaign
                     if quiet or other:
                         close("inactivity" if quiet else "campaign")
-                        seq, started, n, campaign = seq + 1, None, 0, None if quiet else campaign
-                started, last, n, campaign = started or row.ts, row.ts, n + 1, named or campaign
+                        seq, started, last, n, campaign = seq + 1, None, None, 0, None
+                started, last, n, campaign = started or row.ts, max(last or row.ts, row.ts), n + 1, named or campaign
             state.update((seq, started, last, n, campaign))
             state.setTimeoutTimestamp(max(int((last + gap).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["passport_id", "session_seq", "started_at", "last_activity_at", "events", "reason"])
