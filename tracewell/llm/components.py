@@ -19,7 +19,7 @@ from .session import Tables
 
 MOST_ROUNDS = 100
 EDGES_A_TASK = 100_000  # at most 2 MB
-HELD = 1_000_000
+HELD = 250_000
 EDGES = "a long, b long"
 
 

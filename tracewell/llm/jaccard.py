@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .components import contract, folded
+from .components import contract, fold
 from .session import checkpoint, shuffle_width
 from .textvec import U64, Slice, mix, run_hash, run_prefix, signed, slices, text_of
 
@@ -47,6 +47,7 @@ SETS = "row_key long, doc_id long, set_key long, n_shingles long, small array<lo
 TOKENS = "token long, set_key long, n long, in_range long, salt int"
 EDGES = "a long, b long"
 HOT = 2**62
+STRETCH = 250_000  # shingles
 
 
 def needed(a: int, b: int, percent: int = PERCENT) -> int:
@@ -88,26 +89,32 @@ def set_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 def describe(words: int, width: int):
     """Each row's set: key, size, the shingles if they are few, and at a batch's first row the batch's frequent shingles.
 
-    Frequent are those with a 4 * width-th of the batch's shingles or more: so many have every shingle, in some batch, that
-    has as large a share of all.
+    Frequent are those with a 4 * width-th or more of the shingles of a stretch of texts: a shingle with as large a share of
+    all shingles has it in some stretch.
     """
 
+    def often(tokens: list[np.ndarray]) -> list[dict]:
+        found, times = np.unique(np.concatenate(tokens), return_counts=True)
+        at = np.flatnonzero(times >= max(2, times.sum() / (4 * width)))
+        return [{"token": t, "n": c} for t, c in zip(found[at].tolist(), times[at].tolist(), strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_tokens, found = [], []
+            if not batch.num_rows:
+                continue
+            stretch, reported, found = [], [], []
             for s in slices(text_of(batch.column(2))):
                 h, first = shingles(s, words)
                 n = np.diff(first)
                 found.append((set_keys(h, first), n, _small(h, first, n)))
-                all_tokens.append(signed(h))
-            if not found:
-                continue
-            tokens, times = np.unique(np.concatenate(all_tokens), return_counts=True)
-            often = np.flatnonzero(times >= max(2, times.sum() / (4 * width)))
-            frequent = [[{"token": t, "n": c} for t, c in zip(tokens[often].tolist(), times[often].tolist(), strict=True)]] + [None] * (batch.num_rows - 1)
+                stretch.append(signed(h))
+                if sum(map(len, stretch)) > STRETCH:
+                    reported += often(stretch)
+                    stretch = []
+            reported += often(stretch) if stretch else []
             keys, n, small = (np.concatenate([x[k] for x in found]) if k < 2 else [y for x in found for y in x[k]] for k in range(3))
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(keys), pa.array(n), pa.array(small, pa.list_(pa.int64())), pa.array(frequent, pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())])))],
+                [batch.column(0), batch.column(1), pa.array(keys), pa.array(n), pa.array(small, pa.list_(pa.int64())), pa.array([reported] + [None] * (batch.num_rows - 1), pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())])))],
                 names=["row_key", "doc_id", "set_key", "n_shingles", "small", "frequent"],
             )
 
@@ -221,7 +228,7 @@ def small_links(classes: DataFrame, largest: int, percent: int) -> DataFrame:
 def hot_tokens(sets: DataFrame, width: int) -> dict[int, int]:
     """Shingles with about a quarter of a partition's share of all shingles or more, and over how many lists each is dealt.
 
-    What batches report of a shingle is more than its part of that share, unless it has less than twice the share; so at
+    What stretches of text report of a shingle is more than its part of that share, unless it has less than twice the share; so at
     most 4 * width shingles are hot, and a list beyond them is no longer than half a partition.
     """
     share = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0] / (4 * width)
@@ -299,7 +306,7 @@ def count_overlaps(words: int, percent: int, most: int):
         found = _forest(pa.Table.from_batches(held), words, percent)
         return pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last, joinable = None, True
         for batch in batches:
@@ -316,13 +323,13 @@ def count_overlaps(words: int, percent: int, most: int):
         if held:
             yield edges(held)
 
-    return run
+    return lambda batches: fold(found(batches))  # in one worker
 
 
 def _linked(sent: DataFrame, words: int, percent: int, block: int) -> DataFrame:
     width = shuffle_width(sent.sparkSession)
     rows = sent.select("task", "set_key", "label", "visitor", "text").repartition(width, "task").sortWithinPartitions("task", F.desc("visitor"))
-    return checkpoint(folded(rows.mapInArrow(count_overlaps(words, percent, block), EDGES)))
+    return checkpoint(rows.mapInArrow(count_overlaps(words, percent, block), EDGES))
 
 
 def visits(many: DataFrame, half: int) -> DataFrame:
