@@ -1,6 +1,7 @@
 """Streams over a few files, run to their end."""
 
 import datetime as dt
+import os
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -23,6 +24,7 @@ def source(spark, tmp_path, parts, schema):
         kinds = {"long": pa.int64(), "string": pa.string(), "timestamp_ntz": pa.timestamp("us")}
         fields = [x.strip().split(" ") for x in schema.split(",")]
         pq.write_table(pa.Table.from_pylist(rows, schema=pa.schema([(n, kinds[t]) for n, t in fields])), d / f"{k}.parquet")
+        os.utime(d / f"{k}.parquet", (1_700_000_000 + 10 * k,) * 2)  # files are read in the order of their times
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
