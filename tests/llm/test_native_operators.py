@@ -99,6 +99,27 @@ def test_mix(spark):
     assert sorted(map(str, out)) == sorted(map(str, mixed(spark, rows[::-1]).collect()))
 
 
+def test_shards_take_their_quotas(spark):
+    """Plain code lays each source's tokens on its line and deals them to the shards block by block."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice("aab"), " ".join("w" * rng.randint(0, 40)), "x", 1) for i in range(120)] + [(900, "tiny", "w w w", "x", 1)]
+    got = mixed(spark, rows).collect()
+    targets = spark.createDataFrame([(s, r["source_size"], r["target"]) for s, r in {r["source"]: r for r in got}.items()], "source string, source_size long, target double")
+    quotas = {(q["source"], q["shard"]): q["blocks"] for q in mixing.quotas(targets).collect()}
+    for source in ("a", "b", "tiny"):
+        own = sorted((r for r in got if r["source"] == source), key=lambda r: (r["line_start"], r["line_start"] + r["size"]))
+        line = [r["doc_id"] for r in own for _ in range(r["size"])]
+        tokens = (line + line)[: sum(quotas[source, k] for k in range(mixing.SHARDS)) * mixing.BLOCK_TOKENS]
+        want, at = collections.Counter(), 0
+        for shard in range(mixing.SHARDS):
+            n = quotas[source, shard] * mixing.BLOCK_TOKENS
+            want.update((doc, shard) for doc in tokens[at : at + n])
+            at += n
+        assert {(r["doc_id"], k): n for r in own for k, n in enumerate(r["shard_taken"]) if n} == dict(want)
+        assert all(sum(r["shard_taken"]) == r["taken"] for r in own)
+    assert sum(r["taken"] for r in got if r["source"] == "tiny") > 0
+
+
 def test_quotas_are_highest_quotients(spark):
     targets = spark.createDataFrame([("a", 900, 530.0), ("b", 900, 240.0), ("c", 900, 230.0), ("d", 0, 0.0)], "source string, source_size long, target double")
     got = mixing.quotas(targets, block_tokens=10, n_shards=4).collect()
@@ -116,6 +137,55 @@ def test_mix_awkward(spark):
     assert mixing.mix_sources(df, mixing.word_count(F.col("text"))).count() == 0
 
 
+AWKWARD = "doc_id long, text string, lang string, source string, size int, key string, taken int, _row int"
+
+
+def awkward_documents():
+    texts = ["der hund und die katze " * 12, "DER hund und die katze " * 12, "", None, "12 34 !", "the dog and the cat sat on the mat by the door " * 8]
+    rows = [(i, texts[i % 6] + (f" eins{i} zwei{i}" if i % 12 == 0 else "") if texts[i % 6] is not None else None, ["de", "de", None, "de", None, "en"][i % 6], ["a", None][i % 2], i, None, i, None) for i in range(48)]
+    return [*rows, *rows[:6], (None, texts[0], None, None, None, None, None, None)]
+
+
+@pytest.mark.parametrize("rows", [[], [(None,) * 8] * 3, awkward_documents()])
+def test_pipeline_awkward(spark, tmp_path, rows):
+    """Empty tables, nulls in every column, repeated rows, texts without words, columns named as the operators name theirs."""
+    spark.createDataFrame(rows, AWKWARD).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = [collections.Counter(map(tuple, docs.collect()))]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if k < 4:
+            assert out.columns == docs.columns
+            kept.append(collections.Counter(map(tuple, out.collect())))
+            assert set(kept[-1]) <= set(kept[-2])
+        out.write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+    letters = lambda r: r[1] is not None and any(c.isalpha() for c in r[1])
+    assert all(map(letters, kept[1]))
+    last = {}  # of equal texts the largest doc_id, none counted as least
+    for r in kept[1]:
+        low = r[1].encode().lower()
+        last[low] = max(last.get(low, -1), -1 if r[0] is None else r[0])
+    assert sorted(-1 if r[0] is None else r[0] for r in kept[2].elements()) == sorted(last.values())
+    assert sorted(near_copies_out([(r[0], r[1]) for r in kept[2].elements()])) == sorted(r[0] for r in kept[3].elements())
+    assert docs.count() == sum(kept[4].values())
+
+
+def near_copies_out(docs):
+    """The smallest id of each group of linked texts, by comparing all pairs."""
+    sets = {}
+    for i, text in docs:
+        words = text.encode().lower().decode().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    group = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    return set(group.values())
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, seen = docs.columns, [docs.count()]

@@ -3,7 +3,8 @@
 The mix is a number of equal-token blocks.  Sources get blocks by highest quotient target / (2k + 1);
 the method is monotone in the number of blocks, so shard after shard takes the next blocks of one
 ranking, and every shard gets integer quotas.  A source's documents stand on a line in a seeded order
-and its blocks are cut from that line, begun again where it ends; its quota takes the first blocks.
+and its blocks are cut from that line, begun again where it ends; each shard takes the blocks that follow
+those of the shard before, so a document's tokens go to the shards whose stretches of the line it lies on.
 
 Only tables with one row for each source, or each (source, slice of the hash range), are ever in one
 task.  Documents are summed within slices, so a source with most of the rows is not in one task.
@@ -56,6 +57,7 @@ def quotas(targets: DataFrame, block_tokens: int = BLOCK_TOKENS, n_shards: int =
 
     Only seats near target / block are contested: with n sources, a quotient ranking moves no source by
     more than n / 2 seats from its rounded share, so n + 2 candidates for each source decide it exactly.
+    The last block that a source can give, at cap times its size, may be a part of one.
     """
     all_rows = W.partitionBy()
     seats = targets.withColumns({"_n": F.count(F.lit(1)).over(all_rows), "_sum": F.sum("target").over(all_rows)})
@@ -68,21 +70,22 @@ def quotas(targets: DataFrame, block_tokens: int = BLOCK_TOKENS, n_shards: int =
     left = seats.withColumn("_left", F.col("_seats") - F.sum("_base").over(by_shard))
     ranked = left.withColumn("_seat", F.explode(F.sequence(F.col("_base"), F.col("_top")))).withColumn("_place", F.row_number().over(by_shard.orderBy((F.col("target") / (2 * F.col("_seat") + 1)).desc(), F.col("source").asc_nulls_last())))
     won = ranked.groupBy("shard", "source", "source_size", "target", "_base").agg(F.count_if((F.col("_place") <= F.col("_left")) & (F.col("target") > 0)).alias("_won"))
-    most = F.floor(F.col("source_size") * F.lit(cap) / block_tokens)
+    most = F.ceil(F.col("source_size") * F.lit(cap) / block_tokens)
     so_far = won.withColumn("_total", F.least(F.col("_base") + F.col("_won"), most).cast("long"))
     before = F.coalesce(F.lag("_total").over(W.partitionBy("source").orderBy("shard")), F.lit(0)).cast("long")
     return so_far.select("shard", "source", "source_size", "target", (F.col("_total") - before).alias("blocks"), before.alias("blocks_before"))
 
 
 def mix_sources(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", block_tokens: int = BLOCK_TOKENS, n_shards: int = SHARDS, seed: int = 29, slices: int = SLICES) -> DataFrame:
-    """The rows with size, source_size, target, taken (tokens the mix takes, repeats counted), line_start and source_blocks.
+    """The rows with size, source_size, target, taken (tokens the mix takes, repeats counted), line_start, source_blocks and
+    shard_taken (the tokens that each shard takes, in the order of the shards; taken is their sum).
 
     A row is taken whole as often as the quota goes around its source's line, and once more as far as
     the rest of the quota reaches; so one row of each source at most is taken in part.  Null sources
     are one source, the last.  Sources without tokens take nothing.  Repeated rows stand on the line
     one after the other.  An empty input gives no rows.  Input columns with the added names are replaced.
     """
-    added = ("size", "source_size", "target", "taken", "line_start", "source_blocks")
+    added = ("size", "source_size", "target", "taken", "line_start", "source_blocks", "shard_taken")
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in added]
     rows = docs.select(F.struct(*keep).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"))  # so that no name clashes
     key = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source")))
@@ -92,15 +95,22 @@ def mix_sources(docs: DataFrame, size: Column, id_col: str = "doc_id", source_co
     starts = by_slice.select("key", "slice", (F.sum("tokens").over(W.partitionBy("key").orderBy("slice")) - F.col("tokens")).alias("from"))
     sources = by_slice.groupBy("key").agg(F.first("source").alias("source"), F.sum("tokens").alias("source_size"))
     filled = water_fill(sources.select("source", "source_size"))
-    blocks = quotas(filled, block_tokens, n_shards).groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("blocks").alias("source_blocks"))
-    offsets = starts.join(blocks.select(key.alias("key"), "source_size", "target", "source_blocks"), "key")
+    most = F.floor(F.col("source_size") * F.lit(CAP)).cast("long")
+    reach = lambda blocks: F.least(most, blocks * F.lit(block_tokens))  # noqa: E731 - tokens of so many blocks
+    stretch = F.struct("shard", reach(F.col("blocks_before")).alias("from"), reach(F.col("blocks_before") + F.col("blocks")).alias("to"))
+    dealt = quotas(filled, block_tokens, n_shards).groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("blocks").alias("source_blocks"), F.array_sort(F.collect_list(stretch)).alias("stretches"))
+    offsets = starts.join(dealt.select(key.alias("key"), "source_size", "target", "source_blocks", "stretches"), "key")
     line = W.partitionBy("key", "slice").orderBy("order", "id", "size", F.xxhash64("row"))
     placed = rows.join(offsets, ["key", "slice"]).withColumn("line_start", F.col("from") + F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    tokens = F.col("source_blocks") * F.lit(block_tokens)
-    rounds = F.when(F.col("source_size") > 0, F.floor(tokens / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0)
-    rest = F.when(F.col("source_size") > 0, tokens - rounds * F.col("source_size")).otherwise(0)
-    once_more = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("line_start")))
-    return placed.withColumn("taken", (rounds * F.col("size") + once_more).cast("long")).select("row.*", *added)
+
+    def taken_by(shard: Column) -> Column:
+        """What of the row, in each time around the line, lies on the shard's stretch."""
+        begins = [F.col("line_start") + around * F.col("source_size") for around in range(math.ceil(CAP))]
+        parts = [F.greatest(F.lit(0).cast("long"), F.least(shard["to"], at + F.col("size")) - F.greatest(shard["from"], at)) for at in begins]
+        return sum(parts[1:], parts[0])
+
+    shared = placed.withColumn("shard_taken", F.transform("stretches", taken_by))
+    return shared.withColumn("taken", F.aggregate("shard_taken", F.lit(0).cast("long"), lambda total, x: total + x)).select("row.*", *added)
 
 
 def copies(mixed: DataFrame, columns: list[str], seed: int = 29) -> DataFrame:
@@ -108,3 +118,10 @@ def copies(mixed: DataFrame, columns: list[str], seed: int = 29) -> DataFrame:
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
     rows = mixed.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), times.alias("times")).filter("times > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+
+
+def mixture(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The rows as often as the mix takes them, as they are: columns named like those that mix_sources() adds keep their values."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    packed = docs.select(F.struct(*columns).alias("whole"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size.alias("words"))
+    return copies(mix_sources(packed, F.col("words")), ["whole"]).select("whole.*")

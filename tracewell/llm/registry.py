@@ -39,7 +39,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
-    return mixing.mix_sources(sized, F.col("words")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.mix_sources(sized, F.col("words")).select("doc_id", "size", "source_size", "target", "taken", "source", "shard_taken")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
