@@ -1,6 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, n-gram Jaccard join, source mixing, BPE.
 
-Each stage takes all that the one before it kept.  All but the last return the columns of documents.
+Each stage takes all that the one before it kept.  All but the last return the columns of documents, whatever further
+columns these have and however they are named.  A null or empty text, or one without a letter, has no language and goes in
+the first stage; null ids count as the smallest; of repeated rows one stays; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.copies(mixing.mix_sources(docs, mixing.word_count(F.col("text"))), docs.columns)
+    return mixing.mixture(docs, mixing.word_count(F.col("text")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
