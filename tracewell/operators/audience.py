@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import identity
+
 
 def combine(mode: str, positive: list[DataFrame], negative: list[DataFrame]) -> DataFrame:
     """any: in one of the positives; all: in each; never in a negative.  No positives, nobody."""
@@ -59,10 +61,17 @@ def sendable(batch: DataFrame, suppressed: DataFrame, invalid: DataFrame) -> Dat
     return joined.withColumn("verdict", F.when(F.col("_m") == 2, "suppressed").when(F.col("_m") == 1, "invalid").otherwise("ok")).drop("_c", "_m")
 
 
-def converted_within(enrolments: DataFrame, log: DataFrame, days: int) -> DataFrame:
-    """Enrolments with an event of the log in [enrolled_at, + days]."""
-    ahead = F.col("enrolled_at") + F.make_dt_interval(days=F.lit(days))
-    return enrolments.join(log.select(F.col("passport_id").alias("_p"), "occurred_at"), (F.col("passport_id") == F.col("_p")) & F.col("occurred_at").between(F.col("enrolled_at"), ahead), "left_semi")
+def converted_within(enrolments: DataFrame, log: DataFrame, days: int | None = None, closure: DataFrame | None = None) -> DataFrame:
+    """Enrolments with an event of the log in [enrolled_at, + days], or at any time from then on.
+
+    With a closure of merges (absorbed, survivor) what an absorbed passport did counts for its survivor.
+    """
+    if closure is not None:
+        log = identity.resolve(log, closure)
+    theirs = (F.col("passport_id") == F.col("_p")) & (F.col("occurred_at") >= F.col("enrolled_at"))
+    if days is not None:
+        theirs = theirs & (F.col("occurred_at") <= F.col("enrolled_at") + F.make_dt_interval(days=F.lit(days)))
+    return enrolments.join(log.select(F.col("passport_id").alias("_p"), "occurred_at"), theirs, "left_semi")
 
 
 def watched_segments(segments: DataFrame, watched: DataFrame) -> DataFrame:

@@ -214,6 +214,25 @@ def discovery(facts: DataFrame) -> DataFrame:
     return facts.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("passport_id").alias("people"), F.count_distinct("value").alias("n_values"), F.round(F.min("num"), 4).alias("low"), F.round(F.max("num"), 4).alias("high"))
 
 
+SAMPLED, CATEGORICAL = 8, 25
+
+
+def described(facts: DataFrame) -> DataFrame:
+    """For each key: its most frequent type, its bounds as text, its first distinct values, and all of them if they are few.
+
+    Bounds are those of the numbers if the key has any, else of the texts.  Values come in the order of texts.  Only the
+    first values of each key are gathered, whatever number it has.
+    """
+    per_value = facts.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.partitionBy("key").orderBy("value"))
+    first = per_value.filter("value IS NOT NULL").withColumn("place", place).filter(F.col("place") <= CATEGORICAL + 1)
+    few = first.groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("few"))
+    types = facts.groupBy("key", "type").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.min_by("type", F.struct(-F.col("n"), "type")).alias("type"))
+    bounds = facts.groupBy("key").agg(*[F.coalesce(f("num").cast("string"), f("value")).alias(name) for name, f in (("low", F.min), ("high", F.max))])
+    joined = bounds.join(types, "key").join(few, "key", "left").withColumn("few", F.coalesce("few", F.array().cast("array<string>")))
+    return joined.select("key", "type", "low", "high", F.slice("few", 1, SAMPLED).alias("sample"), F.when(F.size("few") <= CATEGORICAL, F.col("few")).alias("values"))
+
+
 def without_restatements(rows: DataFrame) -> DataFrame:
     """Drop rows that restate the value before them; rows with an external_id always stay."""
     by = W.partitionBy("passport_id", "key").orderBy("observed_at", "id")

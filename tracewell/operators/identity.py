@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.session import cut
@@ -43,6 +44,26 @@ def claims(identities: DataFrame) -> DataFrame:
     return identities.groupBy("type", "value").agg(F.max_by("passport_id", F.struct("last_seen_at", "id")).alias("passport_id"))
 
 
+# For so many whole days after it was last seen an identity still stands for its holder; None: for ever.
+LIFESPANS = {"fingerprint": 7, "phone": 30, "email": 365, "user": None}
+
+
+def linked(identities: DataFrame, lifespans: dict[str, int | None] | None = None) -> DataFrame:
+    """(absorbed, survivor, merged_at): merges that sightings (type, value, passport_id, seen_at, id) of identities bring about.
+
+    Whoever shows an identity within its lifespan after it was last seen absorbs its holder and holds it from then on; later
+    than that the holder stays and is left alone.  Kinds without a lifespan merge nobody.
+    """
+    days = LIFESPANS if lifespans is None else lifespans
+    lives = F.coalesce(*[F.when(F.col("type") == kind, F.lit(2**31 if n is None else n)) for kind, n in days.items()], F.lit(-1))
+    by = W.partitionBy("type", "value").orderBy("seen_at", "id")
+    seen = F.lag("seen_at").over(by)
+    rows = identities.withColumn("_within", F.floor((F.unix_timestamp("seen_at") - F.unix_timestamp(seen)) / 86400) <= lives)
+    takes = F.when(F.col("_within").isNull() | F.col("_within"), F.col("passport_id"))
+    held = rows.withColumn("absorbed", F.last(takes, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1)))
+    return held.filter(F.col("_within") & (F.col("absorbed") != F.col("passport_id"))).select("absorbed", F.col("passport_id").alias("survivor"), F.col("seen_at").alias("merged_at"))
+
+
 def search(passports: DataFrame, facts: DataFrame, text: str) -> DataFrame:
     """Passports with a fact whose value has the text, or with that id."""
     by_fact = facts.filter(F.contains(F.lower("value"), F.lit(text.lower()))).select("passport_id")

@@ -69,6 +69,28 @@ def enrolments(triggers: DataFrame, cooldown_days: int) -> DataFrame:
     return times.select("passport_id", F.explode(kept).alias("enrolled_at"))
 
 
+def to_embed(chunks: DataFrame, embedded: DataFrame) -> DataFrame:
+    """(content_hash, chunk_text) to be embedded: each new content once, however many rows have it."""
+    new = chunks.join(embedded.select("content_hash"), "content_hash", "left_anti")
+    return new.groupBy("content_hash").agg(F.min("chunk_text").alias("chunk_text"))
+
+
+def rechecks(events: DataFrame, quiet: str) -> DataFrame:
+    """(passport_id, recheck_at, n): one recheck after each burst of events, once it has been quiet for so long.
+
+    For batches and, with a watermark on ts, for streams in append mode; a burst's state is its two ends and a count.
+    """
+    bursts = events.groupBy("passport_id", F.session_window("ts", quiet).alias("burst")).agg(F.count(F.lit(1)).alias("n"))
+    return bursts.select("passport_id", F.col("burst.end").alias("recheck_at"), "n")
+
+
+def attribute_keys(events: DataFrame) -> DataFrame:
+    """(key, n_rows, n_values, sources, channels) of every key of the open map `meta` but `event`: who wrote it, and how often."""
+    pairs = events.select("source", "channel", F.explode(F.from_json("meta", "map<string,string>")).alias("key", "value")).filter("key <> 'event'")
+    names = [F.array_join(F.sort_array(F.collect_set(c)), ",").alias(f"{c}s") for c in ("source", "channel")]
+    return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("value").alias("n_values"), *names)
+
+
 def latest_step(enrolled: DataFrame, runs: DataFrame) -> DataFrame:
     """Each enrolment with its latest step run, if it has one."""
     last = runs.groupBy("enrolment_id").agg(F.max_by("step", F.struct("started_at", "run_id", "step")).alias("step"))

@@ -300,29 +300,55 @@ def top(series: DataFrame, limit: int, order: str = "value") -> DataFrame:
     return series.orderBy(F.col(order).desc_nulls_last(), F.col("bucket").asc_nulls_last()).limit(limit)
 
 
-def cross_tab(events: DataFrame, spec: dict, by: tuple[str, str], now: str, facts: DataFrame | None = None, limit: int = 200, series_limit: int = 6, use: str = "last", band: float | None = None) -> DataFrame:
-    """(bucket, series, value) for two dimensions, each cut to its largest members by the same aggregate."""
-    filters, agg, given = split(spec, GROUPED)
-    rows = apply_filters(events, filters, now, facts)
-    labels = []
-    for k, b in enumerate(by):
-        rows, label = _with_fact(rows, facts, b, use, filters.get("asOf"), band if b.startswith("fact:") else None)
-        rows = rows.withColumn(("bucket", "series")[k], label).drop("_fact")
-        labels.append(b)
-    measure = aggregate(rows.columns, agg, given).alias("value")
+def cross_tab(events: DataFrame, spec: dict, by: tuple[str, str], now: str, facts: DataFrame | None = None, limit: int = 200, series_limit: int = 6, use: str = "last", band: float | None = None, cohort: DataFrame | None = None) -> DataFrame:
+    """(bucket, series, value) for two dimensions, each cut to its largest members by the same aggregate.
+
+    A fact aggregate takes each person's value once a cell, and once a member where members are ranked.
+    """
+    rows, measured = _crossed(events, spec, by, now, facts, use, band, cohort)
+
+    def totals_of(*names: str) -> DataFrame:
+        once, measure = measured(rows, names)
+        return once.groupBy(*names).agg(measure.alias("value"))
 
     def kept(name: str, n: int, recent: bool) -> DataFrame:
-        totals = rows.groupBy(name).agg(measure)
+        totals = totals_of(name)
         first = F.col(name).desc_nulls_last() if recent else F.col("value").desc_nulls_last()
         return totals.orderBy(first, F.col(name).asc_nulls_last()).limit(n).select(F.col(name).alias(f"_{name}"))
 
-    cells = rows.groupBy("bucket", "series").agg(measure)
+    cells = totals_of("bucket", "series")
     for name, n, b in (("bucket", limit, by[0]), ("series", series_limit, by[1])):
         best = kept(name, n, b in GRAINS)
         cells = cells.join(F.broadcast(best), F.col(name).eqNullSafe(F.col(f"_{name}")), "left_semi")  # at most n rows
     return cells
 
 
+def _crossed(events: DataFrame, spec: dict, by: tuple[str, str], now: str, facts: DataFrame | None, use: str, band: float | None, cohort: DataFrame | None):
+    """The rows with their bucket and series, and what of them a grouping by some of the two aggregates, and how."""
+    filters, agg, given = split(spec, GROUPED)
+    rows = apply_filters(events, filters, now, facts)
+    if cohort is not None:
+        rows = rows.join(cohort.select("passport_id").distinct(), "passport_id", "left_semi")
+    for name, b in zip(("bucket", "series"), by, strict=True):
+        rows, label = _with_fact(rows, facts, b, use, filters.get("asOf"), band if b.startswith("fact:") else None)
+        rows = rows.withColumn(name, label).drop("_fact")
+
+    def measured(of: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Column]:
+        if isinstance(given, dict) and "fact" in given:
+            value = fact_ops.current(facts, given["fact"], given.get("use", "last"), filters.get("asOf")).select("passport_id", F.col("num").alias("_measure"))
+            of = of.select("passport_id", *names).distinct().join(value, "passport_id", "left")
+        return of, aggregate(of.columns, agg, given)
+
+    return rows, measured
+
+
+def cross_tab_extent(events: DataFrame, spec: dict, by: tuple[str, str], now: str, facts: DataFrame | None = None, series_limit: int = 6, use: str = "last", band: float | None = None, cohort: DataFrame | None = None) -> DataFrame:
+    """One row beside a cross-tab: shown and all series, whether some are cut, and the people behind all of it."""
+    rows, _ = _crossed(events, spec, by, now, facts, use, band, cohort)
+    sizes = rows.agg(F.count_distinct(F.struct("series")).alias("series"), F.count_distinct("passport_id").alias("cohort_size"))
+    return sizes.select(F.least("series", F.lit(series_limit)).alias("shown"), "series", (F.col("series") > series_limit).alias("truncated"), "cohort_size")
+
+
 def anchor_cross_tab(events: DataFrame, spec: dict, by: str, now: str, facts: DataFrame) -> DataFrame:
     """(bucket, anchored, value, people) of those with an anchor, within the window, and those without."""
     filters, agg, given = split(spec, GROUPED)

@@ -37,8 +37,20 @@ def about(chunks: DataFrame, contacts: DataFrame, query: list[float], floor: flo
     return contacts.join(near, "doc_id").groupBy("passport_id").agg(F.max("sim").alias("sim"), F.max("ts").alias("matched_at"))
 
 
-def population(chunks: DataFrame, contacts: DataFrame, query: list[float], k: int) -> DataFrame:
-    """(doc_id, people, sim, latest) of the k nearest chunks: who met them, and when last."""
+def population(chunks: DataFrame, contacts: DataFrame, query: list[float], k: int, floor: float | None = None, min_engagement: float = 0.0, scope: DataFrame | None = None, since: str | None = None) -> DataFrame:
+    """(doc_id, people, sim, latest) of the k nearest chunks: who met them, and when last.
+
+    Contacts below the least engagement do not count, those without any do; a scope and a first instant narrow the contacts
+    and not the chunks.
+    """
+    if min_engagement > 0:
+        contacts = contacts.filter(F.col("engagement").isNull() | (F.col("engagement") >= min_engagement))
+    if scope is not None:
+        contacts = contacts.join(scope.select("passport_id"), "passport_id", "left_semi")
+    if since is not None:
+        contacts = contacts.filter(F.col("ts") >= F.lit(since).cast("timestamp"))
+    if floor is not None:
+        chunks = similar(chunks, query, floor)
     near = top_k(chunks, query, k)
     return contacts.join(F.broadcast(near), "doc_id").groupBy("doc_id").agg(F.count_distinct("passport_id").alias("people"), F.round(F.max("sim"), 4).alias("sim"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("latest"))
 

@@ -655,13 +655,12 @@ def stream_windowed(spark, sf_dir):
 
 def _streamed(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
     """Run a streaming query over the events to the end of the input, and read what it wrote."""
-    import tempfile
     import uuid
 
+    from ..sources.session import shared_folder
     from ..streaming import stateful
 
-    context = spark.sparkContext
-    base = (context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")) + f"/{what}-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).format("parquet").load(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     if what == "once_each":
@@ -773,6 +772,83 @@ def masks(spark, sf_dir):
     return model(spark, sf_dir).table("customer").select(F.col("c_custkey").alias("passport_id"), exprs.mask(F.col("c_name")).alias("shown"), exprs.mask_email(F.concat("c_name", F.lit("@x.org"))).alias("mail"))
 
 
+# ---- descriptions, cross-tabs over facts, links ---------------------------------------------------------
+
+
+@query(f"""WITH {FACT_ROWS.replace("CAST(min(ts) AS VARCHAR)", "strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f')")}
+SELECT key, CASE WHEN key IN ('order_total', 'acctbal') THEN 'number' WHEN key = 'first_purchase_at' THEN 'date' ELSE 'string' END AS type,
+  coalesce(CAST(min(num) AS VARCHAR), min(v)) AS low, coalesce(CAST(max(num) AS VARCHAR), max(v)) AS high,
+  array_to_string(list_slice(list_sort(list(DISTINCT v)), 1, 8), '|') AS sample, CASE WHEN count(DISTINCT v) <= 25 THEN array_to_string(list_sort(list(DISTINCT v)), '|') END AS vals FROM f GROUP BY key""")
+def fact_descriptions(spark, sf_dir):
+    joined = [F.array_join(c, "|").alias(name) for c, name in (("sample", "sample"), ("values", "vals"))]
+    return fact_ops.described(model(spark, sf_dir).facts).select("key", "type", "low", "high", *joined)
+
+
+@query(f"WITH {EV}, k AS (SELECT source, channel, unnest(['value', 'k']) AS key, unnest([CAST(a_value AS VARCHAR), a_k]) AS v FROM ev) SELECT key, count(*) AS n_rows, count(DISTINCT v) AS n_values, array_to_string(list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)), ',') AS sources, array_to_string(list_sort(list(DISTINCT channel)), ',') AS channels FROM k WHERE v IS NOT NULL GROUP BY key")
+def attribute_keys(spark, sf_dir):
+    return ingest.attribute_keys(model(spark, sf_dir).events)
+
+
+@query(f"WITH {EV}, j AS (SELECT DISTINCT channel, a_event, passport_id, c_acctbal FROM ev JOIN customer ON c_custkey = passport_id WHERE c_mktsegment = 'BUILDING'), s AS (SELECT a_event FROM (SELECT DISTINCT a_event, passport_id, c_acctbal FROM j) GROUP BY 1 ORDER BY round(avg(c_acctbal), 4) DESC NULLS LAST, 1 LIMIT 3) SELECT channel AS bucket, a_event AS series, round(avg(c_acctbal), 4) AS value FROM j WHERE a_event IN (SELECT a_event FROM s) GROUP BY 1, 2")
+def crosstab_fact_avg(spark, sf_dir):
+    m = model(spark, sf_dir)
+    building = fact_ops.current(m.facts, "segment").filter("value = 'BUILDING'")
+    return metrics.cross_tab(m.events, {"avg": {"fact": "acctbal"}}, ("channel", "attr:event"), EVENT_NOW, m.facts, series_limit=3, cohort=building)
+
+
+@query(f"WITH {EV} SELECT CAST(least(count(DISTINCT a_event), 3) AS BIGINT) AS shown, count(DISTINCT a_event) AS series, count(DISTINCT a_event) > 3 AS truncated, count(DISTINCT passport_id) AS cohort_size FROM ev")
+def crosstab_extent(spark, sf_dir):
+    return metrics.cross_tab_extent(model(spark, sf_dir).events, {"count": {}}, ("channel", "attr:event"), EVENT_NOW, series_limit=3)
+
+
+@query(f"WITH {EV}, {ANCH}, c AS (SELECT strftime(a, '%G-W%V') AS bucket, count(*) AS value FROM anch GROUP BY 1) SELECT bucket, value, (SELECT count(*) FROM c) AS total_buckets FROM c ORDER BY value DESC, bucket LIMIT 12")
+def breakdown_weeks(spark, sf_dir):
+    return composition.breakdown(model(spark, sf_dir).facts, "first_purchase_at", grain="week")
+
+
+@query(f"WITH {CH}, {CT}, nr AS (SELECT doc_id, sim FROM ch WHERE sim >= 0.0 ORDER BY sim DESC, doc_id LIMIT 20), e AS (SELECT *, CASE source WHEN 'text' THEN dwell_ms / 600.0::DOUBLE END AS engagement FROM ct) SELECT doc_id, count(DISTINCT passport_id) AS people, round(max(sim), 4) AS sim, strftime(max(ts), '{DAY}') AS latest FROM e JOIN nr USING (doc_id) WHERE (engagement IS NULL OR engagement >= 0.5) AND ts >= TIMESTAMP '2024-01-10' AND passport_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")
+def population_scoped(spark, sf_dir):
+    m = model(spark, sf_dir)
+    building = fact_ops.current(m.facts, "segment").filter("value = 'BUILDING'")
+    return semantic.population(m.chunks, _contacts(m), _query_vector(m), 20, floor=0.0, min_engagement=0.5, scope=building, since="2024-01-10")
+
+
+@query("""WITH s AS (SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'fingerprint' WHEN 1 THEN 'email' ELSE 'weak' END AS type, event_id // 3 % 400 AS value, user_id AS passport_id, ts AS seen_at FROM events),
+  w AS (SELECT *, CASE type WHEN 'fingerprint' THEN 7 WHEN 'email' THEN 365 ELSE -1 END AS days, lag(seen_at) OVER o AS before FROM s WINDOW o AS (PARTITION BY type, value ORDER BY seen_at, id)),
+  t AS (SELECT *, before IS NULL OR (floor(epoch(seen_at)) - floor(epoch(before))) // 86400 <= days AS takes FROM w),
+  h AS (SELECT *, last_value(CASE WHEN takes THEN passport_id END IGNORE NULLS) OVER (PARTITION BY type, value ORDER BY seen_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS holder FROM t)
+  SELECT holder AS absorbed, passport_id AS survivor, count(*) AS n FROM h WHERE before IS NOT NULL AND takes AND holder <> passport_id GROUP BY 1, 2""")
+def identity_links(spark, sf_dir):
+    e = F.col("event_id")
+    kind = F.when(e % 3 == 0, "fingerprint").when(e % 3 == 1, "email").otherwise("weak")
+    seen = model(spark, sf_dir).table("events").select(e.alias("id"), kind.alias("type"), (F.floor(e / 3) % 400).alias("value"), F.col("user_id").alias("passport_id"), F.col("ts").cast("timestamp").alias("seen_at"))
+    return identity.linked(seen).groupBy("absorbed", "survivor").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT sha256(text) AS content_hash FROM documents JOIN embeddings ON doc_id = vec_id WHERE text IS NOT NULL GROUP BY 1 HAVING bool_and(doc_id % 3 <> 0)")
+def embed_once(spark, sf_dir):
+    chunks = model(spark, sf_dir).chunks
+    return ingest.to_embed(chunks, chunks.filter("doc_id % 3 = 0")).select("content_hash")
+
+
+@query(f"""WITH {EV}, b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY passport_id ORDER BY ts, id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS nw FROM ev),
+  g AS (SELECT *, sum(nw) OVER (PARTITION BY passport_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS burst FROM b)
+  SELECT passport_id, strftime(max(ts) + INTERVAL 6 HOUR, '{DAY}') AS recheck_at, count(*) AS n FROM g GROUP BY passport_id, burst""")
+def debounced_rechecks(spark, sf_dir):
+    return ingest.rechecks(model(spark, sf_dir).events, "6 hours").withColumn("recheck_at", F.date_format("recheck_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"""WITH {EV}, r AS (SELECT *, CASE WHEN passport_id BETWEEN 1 AND 9 THEN 0 WHEN passport_id BETWEEN 10 AND 999 THEN 0 ELSE passport_id END AS who FROM ev),
+  e AS (SELECT DISTINCT passport_id, min(ts) OVER (PARTITION BY passport_id) AS enrolled_at FROM ev WHERE a_event = 'signup')
+  SELECT e.passport_id, strftime(e.enrolled_at, '{DAY}') AS enrolled_at FROM e WHERE EXISTS (SELECT 1 FROM r WHERE r.who = e.passport_id AND a_event = 'purchase' AND r.ts BETWEEN e.enrolled_at AND e.enrolled_at + INTERVAL 14 DAY)""")
+def goals_of_merged(spark, sf_dir):
+    m = model(spark, sf_dir)
+    started = m.events.filter("attr_event = 'signup'").groupBy("passport_id").agg(F.min("ts").alias("enrolled_at"))
+    bought = m.events.filter("attr_event = 'purchase'").select("passport_id", F.col("ts").alias("occurred_at"))
+    met = audience.converted_within(started, bought, 14, identity.survivors(m.merges))
+    return met.select("passport_id", F.date_format("enrolled_at", "yyyy-MM-dd HH:mm:ss").alias("enrolled_at"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame, eager: bool = False) -> DataFrame:
@@ -14,10 +14,16 @@ def cut(df: DataFrame, eager: bool = False) -> DataFrame:
     A folder of this machine is set only where the session names none and runs in one process; elsewhere that is an error.
     Unless it is eager, nothing runs before the table is read.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=eager)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=eager)
+    return context.getCheckpointDir()
