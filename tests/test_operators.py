@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions.durations import SpecError
-from tracewell.operators import audience, cohort, composition, facts, identity, metrics, sessions
+from tracewell.operators import audience, cohort, composition, facts, identity, ingest, metrics, sessions
 
 EVENTS = "id long, passport_id long, ts timestamp, channel string, direction string, source string, content_id string, content_url string, dwell_ms long, meta string, session_id string, utm_source string"
 FACTS = "id long, passport_id long, key string, value string, type string, num double, at timestamp, observed_at timestamp"
@@ -221,3 +221,45 @@ def test_holds_over_several_slots(spark):
     holds = spark.createDataFrame([(1, 10, t("10:00"), t("13:30")), (1, 11, t("12:00"), t("12:30"))], "number long, visitor long, held_from timestamp, held_to timestamp")
     calls = spark.createDataFrame([(k, 1, t(x)) for k, x in enumerate(("09:59", "10:00", "12:10", "12:30", "13:29", "13:30"))], "call long, number long, ts timestamp")
     assert {r["call"]: r["visitor"] for r in audience.attributed(calls, holds).collect()} == {0: None, 1: 10, 2: 11, 3: 10, 4: 10, 5: None}
+
+
+def test_identities_link_within_their_lifespan(spark):
+    """Late sightings leave the holder alone, and still keep the identity alive; kinds without a lifespan merge nobody."""
+    seen = [
+        (1, "phone", "p", 1, day("2026-01-01")), (2, "phone", "p", 2, day("2026-03-01")), (3, "phone", "p", 3, day("2026-03-31")),
+        (4, "phone", "p", 3, day("2026-04-01")), (5, "phone", "p", 4, day("2026-05-01T23:00")), (6, "user", "u", 5, day("2020-01-01")),
+        (7, "user", "u", 6, day("2026-01-01")), (8, "name", "n", 7, day("2026-01-01")), (9, "name", "n", 8, day("2026-01-01")), (10, None, None, 9, None),
+    ]
+    rows = spark.createDataFrame(seen, "id long, type string, value string, passport_id long, seen_at timestamp")
+    assert sorted((r["absorbed"], r["survivor"]) for r in identity.linked(rows).collect()) == [(1, 3), (3, 4), (5, 6)]
+
+
+def test_descriptions_of_keys(spark):
+    rows = [fact(i, i, "n", str(i), "2026-01-01") for i in range(1, 31)] + [fact(40 + i, i, "t", "ab"[i % 2], "2026-01-01") for i in range(3)] + [fact(50, 1, "none", None, "2026-01-01")]
+    got = {r["key"]: r for r in facts.described(spark.createDataFrame(rows, FACTS)).collect()}
+    assert (got["n"]["low"], got["n"]["high"], got["n"]["values"], len(got["n"]["sample"])) == ("1.0", "30.0", None, 8)
+    assert (got["t"]["low"], got["t"]["high"], got["t"]["values"], got["t"]["type"]) == ("a", "b", ["a", "b"], "string")
+    assert got["none"]["values"] == [] and got["none"]["low"] is None
+
+
+def test_cross_tab_of_a_fact_takes_each_person_once(spark, purchases):
+    held = spark.createDataFrame([fact(1, 1, "age", "10", "2026-01-01"), fact(2, 2, "age", "30", "2026-01-01")], FACTS)
+    by = ("channel", "content")
+    cells = metrics.cross_tab(purchases, {"avg": {"fact": "age"}}, by, "2026-06-01", held).collect()
+    assert {(r["bucket"], r["series"]): r["value"] for r in cells} == {("web", "purchase"): 10.0, ("email", "purchase"): 30.0, ("web", "pricing"): 30.0}
+    only = metrics.cross_tab(purchases, {"count": {}}, by, "2026-06-01", cohort=held.filter("passport_id = 1")).collect()
+    assert [tuple(r) for r in only] == [("web", "purchase", 2)]
+    assert tuple(metrics.cross_tab_extent(purchases, {"count": {}}, by, "2026-06-01", series_limit=1).first()) == (1, 2, True, 2)
+
+
+def test_rechecks_wait_for_quiet(spark, purchases):
+    rows = spark.createDataFrame([(1, day(f"2026-05-01T10:00:{s:02}")) for s in (0, 1, 2, 9)] + [(2, day("2026-05-01T10:00:00"))], "passport_id long, ts timestamp")
+    got = {(r["passport_id"], r["recheck_at"].second, r["n"]) for r in ingest.rechecks(rows, "2 seconds").collect()}
+    assert got == {(1, 4, 3), (1, 11, 1), (2, 2, 1)}
+
+
+def test_goals_of_the_absorbed_count_for_the_survivor(spark):
+    enrolled = spark.createDataFrame([(4, day("2026-01-01"))], "passport_id long, enrolled_at timestamp")
+    log = spark.createDataFrame([(1, day("2026-01-20"))], "passport_id long, occurred_at timestamp")
+    closure = identity.survivors(spark.createDataFrame([(1, 2), (2, 4)], "absorbed long, survivor long"))
+    assert [audience.converted_within(enrolled, log, n, c).count() for n, c in ((None, None), (10, closure), (30, closure), (None, closure))] == [0, 0, 1, 1]
