@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, extract, jaccard, langid, mixing, quality, scoring, sharding, substring
+from . import bpe, byte_bpe, exact_dedup, extract, jaccard, langid, mixing, periodic, quality, resampling, scoring, sharding, substring
 from .session import table
 
 
@@ -54,8 +54,27 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trips(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+_OPERATORS = (
+    op1_substring_dedup, op2_lm_scoring, op3_exact_dedup, op4_quality_rules, op5_jaccard_join, op6_sharding, op7_mixing, op8_html_extraction, op9_language_id,
+    op10_bpe, op11_importance_resampling, op12_byte_bpe, op13_periodic_runs,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_exact_dedup, op4_quality_rules, op5_jaccard_join, op6_sharding, op7_mixing, op8_html_extraction, op9_language_id, op10_bpe)}
+    return {f.__name__: f for f in _OPERATORS}
 
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
