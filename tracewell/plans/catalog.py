@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import durations, exprs
-from ..operators import audience, cohort, composition, identity, ingest, live, metrics, semantic, sessions
+from ..operators import audience, cohort, composition, identity, ingest, live, metrics, people, semantic, sessions
 from ..operators import facts as fact_ops
 from ..sources.model import EVENT_NOW, ORDER_NOW, Model
 
@@ -813,16 +813,66 @@ def population_scoped(spark, sf_dir):
     return semantic.population(m.chunks, _contacts(m), _query_vector(m), 20, floor=0.0, min_engagement=0.5, scope=building, since="2024-01-10")
 
 
-@query("""WITH s AS (SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'fingerprint' WHEN 1 THEN 'email' ELSE 'weak' END AS type, event_id // 3 % 400 AS value, user_id AS passport_id, ts AS seen_at FROM events),
-  w AS (SELECT *, CASE type WHEN 'fingerprint' THEN 7 WHEN 'email' THEN 365 ELSE -1 END AS days, lag(seen_at) OVER o AS before FROM s WINDOW o AS (PARTITION BY type, value ORDER BY seen_at, id)),
-  t AS (SELECT *, before IS NULL OR (floor(epoch(seen_at)) - floor(epoch(before))) // 86400 <= days AS takes FROM w),
-  h AS (SELECT *, last_value(CASE WHEN takes THEN passport_id END IGNORE NULLS) OVER (PARTITION BY type, value ORDER BY seen_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS holder FROM t)
-  SELECT holder AS absorbed, passport_id AS survivor, count(*) AS n FROM h WHERE before IS NOT NULL AND takes AND holder <> passport_id GROUP BY 1, 2""")
-def identity_links(spark, sf_dir):
+SIGHTED = """s AS (SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'fingerprint' WHEN 1 THEN 'phone' WHEN 2 THEN 'email' ELSE 'weak' END AS type,
+    user_id * (event_id % 4 + 1) // 4 + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS value, user_id AS passport_id, ts AS seen_at FROM events WHERE user_id IS NOT NULL),
+  w AS (SELECT *, CASE type WHEN 'fingerprint' THEN 7 WHEN 'phone' THEN 30 WHEN 'email' THEN 365 ELSE -1 END AS days, lag(seen_at) OVER o AS before, first(passport_id) OVER o AS holder FROM s WINDOW o AS (PARTITION BY type, value ORDER BY seen_at, id)),
+  p AS (SELECT passport_id AS a, holder AS b, min(row(seen_at, id)) AS at FROM w WHERE (floor(epoch(seen_at)) - floor(epoch(before))) // 86400 <= days AND passport_id <> holder GROUP BY 1, 2),
+  e AS (SELECT row_number() OVER (ORDER BY at) AS k, a, b, at[1] AS seen_at FROM p),
+  r AS (SELECT CAST(0 AS BIGINT) AS k, (SELECT list(i) FROM range((SELECT max(user_id) + 1 FROM events)) t(i)) AS tops, CAST(NULL AS BIGINT) AS absorbed, CAST(NULL AS BIGINT) AS survivor, CAST(NULL AS TIMESTAMP) AS seen_at
+    UNION ALL SELECT e.k, list_transform(tops, lambda x: CASE WHEN x = tops[b + 1] THEN tops[a + 1] ELSE x END), tops[b + 1], tops[a + 1], e.seen_at FROM r JOIN e ON e.k = r.k + 1)"""
+
+
+def _sighted(spark, sf_dir) -> DataFrame:
     e = F.col("event_id")
-    kind = F.when(e % 3 == 0, "fingerprint").when(e % 3 == 1, "email").otherwise("weak")
-    seen = model(spark, sf_dir).table("events").select(e.alias("id"), kind.alias("type"), (F.floor(e / 3) % 400).alias("value"), F.col("user_id").alias("passport_id"), F.col("ts").cast("timestamp").alias("seen_at"))
-    return identity.linked(seen).groupBy("absorbed", "survivor").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.when(e % 4 == 0, "fingerprint").when(e % 4 == 1, "phone").when(e % 4 == 2, "email").otherwise("weak")
+    value = F.floor(F.col("user_id") * (e % 4 + 1) / 4) + F.when(e % 97 == 0, 1).otherwise(0)
+    return model(spark, sf_dir).table("events").select(e.alias("id"), kind.alias("type"), value.alias("value"), F.col("user_id").alias("passport_id"), F.col("ts").cast("timestamp").alias("seen_at"))
+
+
+@query(f"WITH RECURSIVE {SIGHTED} SELECT absorbed, survivor, strftime(seen_at, '{DAY}') AS merged_at FROM r WHERE absorbed <> survivor")
+def identity_links(spark, sf_dir):
+    return identity.linked(_sighted(spark, sf_dir)).withColumn("merged_at", F.date_format("merged_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"WITH RECURSIVE {SIGHTED}, z AS (SELECT tops FROM r ORDER BY k DESC LIMIT 1), u AS (SELECT unnest(range(len(tops))) AS absorbed, unnest(tops) AS survivor FROM z) SELECT absorbed, survivor FROM u WHERE absorbed <> survivor")
+def identity_survivors(spark, sf_dir):
+    return identity.survivors(identity.linked(_sighted(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {SIGHTED}, z AS (SELECT tops FROM r ORDER BY k DESC LIMIT 1), u AS (SELECT unnest(range(len(tops))) AS id, unnest(tops) AS top FROM z) SELECT top AS passport_id, count(*) AS n, count(DISTINCT user_id) AS sides FROM events JOIN u ON u.id = user_id GROUP BY 1")
+def events_of_linked_people(spark, sf_dir):
+    m = model(spark, sf_dir)
+    rows = m.events.withColumn("side", F.col("passport_id"))
+    known = identity.resolve(rows, identity.survivors(identity.linked(_sighted(spark, sf_dir))))
+    return known.groupBy("passport_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("side").alias("sides"))
+
+
+_PEOPLE = """pp AS (SELECT c_custkey AS id, max(ts) AS seen FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1),
+  vv AS (SELECT c_custkey AS pid, c_name AS v FROM customer UNION ALL SELECT pid, v FROM f)"""
+
+
+def _searched(text: str, **options):
+    def run(spark, sf_dir):
+        m = model(spark, sf_dir)
+        seen = m.events.groupBy(F.col("passport_id").alias("id")).agg(F.max("ts").alias("last_seen_at"))
+        names = m.table("customer").select(F.col("c_custkey").alias("passport_id"), F.col("c_name").alias("value"))
+        gone = m.passports.filter("id % 7 = 3").select(F.col("id").alias("absorbed"), (F.col("id") - 3).alias("survivor"))
+        made = {k: people.grams_of(m.facts.select("value").union(names.select("value"))) if v is True else v for k, v in options.items()}
+        found = people.search(m.passports.join(seen, "id", "left"), m.facts, names, text, merges=gone, **made)
+        return found.select("id", F.date_format("last_seen_at", "yyyy-MM-dd HH:mm:ss").alias("last_seen_at"))
+
+    return run
+
+
+_FOUND = f"WITH {FACT_ROWS}, {_PEOPLE} SELECT id, strftime(seen, '{DAY}') AS last_seen_at FROM pp WHERE id % 7 <> 3 AND "
+for name, text, options, where in (
+    ("people_search", "91", {}, "(CAST(id AS VARCHAR) LIKE '91%' OR id IN (SELECT pid FROM vv WHERE contains(v, '91')))"),
+    ("people_search_grams", "rniTUre", {"grams": True}, "id IN (SELECT pid FROM vv WHERE contains(lower(v), 'rniture'))"),
+    ("people_search_ids", "1", {"fields": "id,nothing"}, "CAST(id AS VARCHAR) LIKE '1%'"),
+):
+    run = _searched(text, **options)
+    run.__name__ = name
+    query(_FOUND + where)(run)
 
 
 @query("SELECT sha256(text) AS content_hash FROM documents JOIN embeddings ON doc_id = vec_id WHERE text IS NOT NULL GROUP BY 1 HAVING bool_and(doc_id % 3 <> 0)")
