@@ -124,12 +124,14 @@ def refuse_contact_key(key: str) -> None:
 def e164(text: Column, country: str | None = None) -> Column:
     """A phone number as + and 7 to 15 digits: 00 is a plus sign, one leading 0 gives way to the country's code.
 
-    What is no number stays if it begins with a plus sign, else it is null.
+    A number that begins with the country's code already is given a plus sign only.  What is no number stays if it begins
+    with a plus sign, else it is null.
     """
     plain = F.trim(text)
     digits = F.regexp_replace(F.regexp_replace(plain, r"[\s().\-/]", ""), "^00", "+")
     if country is not None:
-        digits = F.when(F.startswith(digits, F.lit("+")), digits).otherwise(F.concat(F.lit("+" + country), F.regexp_replace(digits, "^0", "")))
+        local = F.concat(F.lit("+" + country), F.regexp_replace(digits, "^0", ""))
+        digits = F.when(F.startswith(digits, F.lit("+")), digits).when(F.startswith(digits, F.lit(country)), F.concat(F.lit("+"), digits)).otherwise(local)
     return F.when(digits.rlike(r"^\+[1-9][0-9]{6,14}$"), digits).when(F.startswith(plain, F.lit("+")), plain)
 
 
@@ -153,9 +155,9 @@ def contact_hash(text: Column, kind: str) -> Column:
 
 
 def canonical_json(value: Column) -> Column:
-    """A JSON object with its keys sorted; any other text as it is."""
-    entries = F.array_sort(F.map_entries(F.from_json(value, "map<string,string>")))
-    return F.when(F.startswith(F.trim(value), F.lit("{")), F.coalesce(F.to_json(F.map_from_entries(entries)), value)).otherwise(value)
+    """A JSON object or array with the keys of all its objects sorted, at every depth; any other text as it is."""
+    nested = F.substring(F.ltrim(value), 1, 1).isin("{", "[")
+    return F.when(nested, F.coalesce(F.to_json(F.try_parse_json(value)), value)).otherwise(value)
 
 
 def cosine(a: Column, b: Column) -> Column:
