@@ -55,6 +55,18 @@ def attribute(columns: list[str], key: str) -> Column:
     return F.col(promoted) if promoted in columns else F.get_json_object("meta", f"$['{key}']")
 
 
+def plain_text(value: Column) -> Column:
+    """A value as text, whole numbers without a point."""
+    return F.when(F.typeof(value).isin("double", "float"), F.regexp_replace(value.cast("string"), r"\.0$", "")).otherwise(value.cast("string"))
+
+
+def text_of(value) -> str:
+    """A bound as the text that an attribute would hold."""
+    if isinstance(value, bool):
+        return str(value).lower()
+    return str(int(value)) if isinstance(value, float) and value.is_integer() else str(value)
+
+
 def bucket_of_time(grain: str, ts: Column) -> Column:
     forms = {"hour": "yyyy-MM-dd HH:00", "day": "yyyy-MM-dd", "month": "yyyy-MM"}
     if grain == "week":
@@ -135,6 +147,15 @@ def e164(text: Column, country: str | None = None) -> Column:
     return F.when(digits.rlike(r"^\+[1-9][0-9]{6,14}$"), digits).when(F.startswith(plain, F.lit("+")), plain)
 
 
+# The calling codes of one and two digits; all others have three.
+CALLING_CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+
+
+def calling_code(phone: Column) -> Column:
+    """The country's code, with its plus sign, that a number in E.164 begins with; null for anything else."""
+    return F.nullif(F.regexp_extract(phone, rf"^(\+(?:{CALLING_CODES}|[0-9]{{3}}))[0-9]{{4,}}$", 1), F.lit(""))
+
+
 def feed_text(text: Column, most: int = 200) -> Column:
     """One line of at most so many characters, the last one a sign that there was more; no text is null."""
     line = F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -27,6 +27,7 @@ class World:
     exposures: DataFrame | None = None
     computed: dict = field(default_factory=dict)
     uses: dict = field(default_factory=dict)
+    held: DataFrame | None = None
 
     def rows_for(self, spec: dict, by: object = None) -> DataFrame:
         """Events joined to content or sessions only where the query needs it."""
@@ -101,7 +102,7 @@ def evaluate(world: World, node: dict, after: DataFrame | None = None) -> DataFr
     if kind == "not":
         return minus(universe(world), evaluate(world, body, after))
     if kind == "fact":
-        parts = [fact_ops.matching(world.facts, world.passports, key, ops if isinstance(ops, dict) else {"eq": ops}, world.now, use=world.uses.get(key, "last"), computed=world.computed) for key, ops in body.items()]
+        parts = [fact_ops.matching(world.facts, world.passports, key, ops if isinstance(ops, dict) else {"eq": ops}, world.now, use=world.uses.get(key, "last"), computed=world.computed, held=world.held) for key, ops in body.items()]
         out = parts[0]
         for p in parts[1:]:
             out = intersect(out, p)

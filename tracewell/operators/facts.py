@@ -126,11 +126,12 @@ def value_predicate(ops: dict, now: str | None = None, value: Column | None = No
     return F.coalesce(out, F.lit(False))
 
 
-def matching(facts: DataFrame, passports: DataFrame, key: str, ops: dict, now: str, as_of: str | None = None, use: str = "last", computed: dict | None = None) -> DataFrame:
+def matching(facts: DataFrame, passports: DataFrame, key: str, ops: dict, now: str, as_of: str | None = None, use: str = "last", computed: dict | None = None, held: DataFrame | None = None) -> DataFrame:
     """(passport_id, matched_at) of those whose value, or history, meets all operators.
 
     matched_at is when the value was observed, or the latest time at which an operator on history held; it is null for
-    an absence.  `computed` maps a key to {from, unit}: whole units from the date that it is derived from to now.
+    an absence.  `computed` maps a key to {from, unit}: whole units from the date that it is derived from to now.  `held` are
+    current values, one row for each passport and key, from which newest values are read without folding the log.
     """
     ops = dict(ops)
     use = ops.pop("use", use)
@@ -139,7 +140,8 @@ def matching(facts: DataFrame, passports: DataFrame, key: str, ops: dict, now: s
     found = [history_match(facts, key, op, spec, now) for op, spec in past.items()]
     if plain:
         source = (computed or {}).get(key)
-        rows = current(facts, source["from"] if source else key, use, as_of)
+        named = source["from"] if source else key
+        rows = current(facts, named, use, as_of) if held is None or as_of is not None or use != "last" else held.filter(F.col("key") == named)
         if source:
             derived = exprs.age(source["unit"], F.coalesce("at", F.try_to_timestamp("value")), durations.instant(now, "now")).cast("double")
             rows = rows.withColumn("num", derived).withColumn("value", derived.cast("long").cast("string"))

@@ -57,16 +57,26 @@ def claimed(clicks: DataFrame, claims: DataFrame, minutes: int) -> DataFrame:
 
 
 def enrolments(triggers: DataFrame, cooldown_days: int) -> DataFrame:
-    """Triggers that enrol: of each passport the first, and those at least the cooldown after the last that did.
+    """(passport_id, enrolled_at) of triggers that enrol: of each passport the first, and those at least the cooldown after the last that did.
 
-    An aggregate over each passport's ordered trigger times decides, so one passport's times are in one task and no more.
+    A passport's different seconds with a trigger are in one task, 8 bytes each; from one enrolment the next is found by bisection.
     """
+    import numpy as np
+    import pyarrow as pa
+
     gap = cooldown_days * 86400
-    times = triggers.groupBy("passport_id").agg(F.array_sort(F.collect_list(F.unix_timestamp("ts"))).alias("t"))
-    step = lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap), F.array_append(acc, x)).otherwise(acc)
-    start = F.array().cast("array<bigint>")
-    kept = F.aggregate("t", start, lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(step(acc, x)))
-    return times.select("passport_id", F.explode(kept).alias("enrolled_at"))
+    times = triggers.select("passport_id", F.unix_timestamp("ts").alias("enrolled_at")).filter("enrolled_at IS NOT NULL").distinct()
+    kind = times.schema["passport_id"].dataType.simpleString()
+
+    def chosen(group: pa.Table) -> pa.Table:
+        at = np.sort(group["enrolled_at"].to_numpy())
+        kept, k = [], 0
+        while k < len(at):
+            kept.append(int(at[k]))
+            k = max(k + 1, int(at.searchsorted(at[k] + gap)))
+        return pa.table({"passport_id": group["passport_id"].slice(0, 1).take(pa.array([0] * len(kept), pa.int64())), "enrolled_at": pa.array(kept, pa.int64())})
+
+    return times.groupBy("passport_id").applyInArrow(chosen, f"passport_id {kind}, enrolled_at long")
 
 
 def to_embed(chunks: DataFrame, embedded: DataFrame) -> DataFrame:

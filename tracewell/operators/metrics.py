@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import durations, exprs
 from ..functions.durations import SpecError
 from . import facts as fact_ops
+from . import ranks
 
 FILTERS = ("channel", "direction", "source", "content", "last", "since", "until", "asOf", "session", "attrs", "window")
 GATES = ("count", "distinct_sessions", "sum_dwell_ms", "sum", "recency_days")
@@ -75,22 +76,34 @@ def _content(want) -> Column:
 
 
 def _attr(columns: list[str], key: str, ops) -> Column:
-    """Attribute tests: numbers if the bound is one, else texts with their case; absent values meet none."""
+    """Attribute tests: absent values meet none but present: false.
+
+    eq, ne and in compare texts; the others numbers if the bound is one, else texts with their case.  A value alone is eq, a list is in.
+    """
     value = exprs.attribute(columns, key)
+    text = exprs.plain_text(value)
     numeric = value.try_cast("double") if f"attr_{key}" in columns else exprs.number(value)
+    if ops is None or ops == {}:
+        raise SpecError(f"metric: attrs.{key} has no condition (use a value, a list or {'/'.join(ATTR_OPS)})")
     out = F.lit(True)
-    for op, b in (ops if isinstance(ops, dict) else {"eq": ops}).items():
+    for op, b in (ops if isinstance(ops, dict) else {"in" if isinstance(ops, (list, tuple)) else "eq": ops}).items():
+        if op not in ATTR_OPS:
+            raise SpecError(f'metric: attrs.{key} has no operator "{op}" (use {"/".join(ATTR_OPS)})')
+        if op == "present":
+            out = out & (F.coalesce(F.array_contains(F.json_object_keys("meta"), key), F.lit(False)) == F.lit(b is not False))
+            continue
+        if op == "in":
+            if not isinstance(b, (list, tuple)):
+                raise SpecError(f"metric: attrs.{key}: in takes a list")
+            out = out & text.isin([exprs.text_of(x) for x in b])
+            continue
         number = isinstance(b, (int, float)) and not isinstance(b, bool)
-        left, text = (numeric, b) if number else (value.cast("string"), str(b).lower() if isinstance(b, bool) else b)
+        left, bound = (numeric, F.lit(float(b))) if number and op in ("gt", "gte", "lt", "lte") else (text, F.lit(exprs.text_of(b)))
         tests = {
-            "eq": lambda: left == text, "ne": lambda: value.isNotNull() & ~F.coalesce(left == text, F.lit(False)), "in": lambda: value.cast("string").isin([str(x) for x in b]),
-            "gt": lambda: left > text, "gte": lambda: left >= text, "lt": lambda: left < text, "lte": lambda: left <= text,
-            "contains": lambda: F.contains(value.cast("string"), F.lit(str(b))), "startsWith": lambda: F.startswith(value.cast("string"), F.lit(str(b))), "endsWith": lambda: F.endswith(value.cast("string"), F.lit(str(b))),
-            "present": lambda: F.coalesce(F.array_contains(F.json_object_keys("meta"), key), F.lit(False)) == F.lit(bool(b)),
+            "eq": lambda x, y: x == y, "ne": lambda x, y: x != y, "gt": lambda x, y: x > y, "gte": lambda x, y: x >= y, "lt": lambda x, y: x < y,
+            "lte": lambda x, y: x <= y, "contains": F.contains, "startsWith": F.startswith, "endsWith": F.endswith,
         }
-        if op not in tests:
-            raise SpecError(f'metric: attrs.{key} has no operator "{op}" (use {"/".join(ATTR_OPS)})')
-        out = out & tests[op]()
+        out = out & tests[op](left, bound)
     return F.coalesce(out, F.lit(False))
 
 
@@ -220,6 +233,7 @@ def bucket(columns: list[str], by: str) -> Column:
     if by == "content_hash":
         return F.col("content_hash")
     kind, _, key = by.partition(":")
+    exprs.refuse_contact_key(key)
     if kind == "session" and key in SESSION_KEYS:
         return F.col(key)
     if kind == "attr":
@@ -242,24 +256,34 @@ def aggregate(columns: list[str], agg: str, given) -> Column:
         return F.coalesce(F.sum("dwell_ms"), F.lit(0))
     if agg in ("first_seen", "last_seen"):
         return F.date_format((F.min if agg == "first_seen" else F.max)("ts"), "yyyy-MM-dd HH:mm:ss")
-    if sum(k in given for k in ("field", "column", "fact")) != 1:
-        raise SpecError(f"group: {agg} needs one of field, column, fact")
-    if "column" in given:
-        value = F.col(given["column"]).cast("double")
-    elif "fact" in given:
-        value = F.col("_measure")
-    else:
-        raw = exprs.attribute(columns, given["field"])
-        value = raw.try_cast("double") if f"attr_{given['field']}" in columns else exprs.number(raw)
+    value = measure(columns, agg, given)
     if agg in ("earliest", "latest"):
         return F.round((F.min_by if agg == "earliest" else F.max_by)(value, F.struct("ts", "id")), 4)
-    ways = {
-        "sum": lambda: F.coalesce(F.sum(value), F.lit(0.0)), "avg": lambda: F.avg(value), "min": lambda: F.min(value), "max": lambda: F.max(value),
-        "median": lambda: F.percentile(value, F.lit(0.5)), "percentile": lambda: F.percentile(value, F.lit(float(given.get("p", 0.5)))),
-    }
+    ways = {"sum": lambda: F.coalesce(F.sum(value), F.lit(0.0)), "avg": lambda: F.avg(value), "min": lambda: F.min(value), "max": lambda: F.max(value)}
     return F.round(ways[agg](), 4)
 
 
+def measure(columns: list[str], agg: str, given) -> Column:
+    """The number of a row that an aggregate is of."""
+    given = given if isinstance(given, dict) else {}
+    if sum(k in given for k in ("field", "column", "fact")) != 1:
+        raise SpecError(f"group: {agg} needs one of field, column, fact")
+    if "column" in given:
+        return F.col(given["column"]).cast("double")
+    if "fact" in given:
+        return F.col("_measure")
+    raw = exprs.attribute(columns, given["field"])
+    return raw.try_cast("double") if f"attr_{given['field']}" in columns else exprs.number(raw)
+
+
+def folded(rows: DataFrame, names: list[str], agg: str, given) -> DataFrame:
+    """names and value: the aggregate of each group; percentiles by counts, not by gathering a group's values."""
+    if agg in ("median", "percentile"):
+        p = 0.5 if agg == "median" else float(given.get("p", 0.5))
+        return ranks.percentiles(rows, names, measure(rows.columns, agg, given), p)
+    return rows.groupBy(*names).agg(aggregate(rows.columns, agg, given).alias("value"))
+
+
 def group(events: DataFrame, spec: dict, by: str, now: str, facts: DataFrame | None = None, cohort: DataFrame | None = None, band: float | None = None, use: str = "last", limit: int | None = None, order: str | None = None) -> DataFrame:
     """(bucket, value) of one aggregate.
 
@@ -278,7 +302,7 @@ def group(events: DataFrame, spec: dict, by: str, now: str, facts: DataFrame | N
     if isinstance(given, dict) and "fact" in given:
         measure = fact_ops.current(facts, given["fact"], given.get("use", "last"), filters.get("asOf")).select("passport_id", F.col("num").alias("_measure"))
         rows = rows.select("passport_id", "bucket").distinct().join(measure, "passport_id", "left")
-    out = rows.groupBy("bucket").agg(aggregate(rows.columns, agg, given).alias("value"))
+    out = folded(rows, ["bucket"], agg, given)
     if limit is None:
         return out
     return top(out, limit, order or ("bucket" if by in GRAINS else "value"))
@@ -289,6 +313,7 @@ def _with_fact(rows: DataFrame, facts: DataFrame | None, by: str, use: str, as_o
         if band:
             raise SpecError("group: band needs a fact bucket")
         return rows, bucket(rows.columns, by)
+    exprs.refuse_contact_key(by[5:])
     held = fact_ops.current(facts, by[5:], use, as_of)
     label = exprs.band(F.col("num"), band) if band else F.col("value")
     return rows.join(held.select("passport_id", label.alias("_fact")), "passport_id", "left"), F.col("_fact")
@@ -305,11 +330,10 @@ def cross_tab(events: DataFrame, spec: dict, by: tuple[str, str], now: str, fact
 
     A fact aggregate takes each person's value once a cell, and once a member where members are ranked.
     """
-    rows, measured = _crossed(events, spec, by, now, facts, use, band, cohort)
+    rows, once_a_person, agg, given = _crossed(events, spec, by, now, facts, use, band, cohort)
 
     def totals_of(*names: str) -> DataFrame:
-        once, measure = measured(rows, names)
-        return once.groupBy(*names).agg(measure.alias("value"))
+        return folded(once_a_person(rows, names), list(names), agg, given)
 
     def kept(name: str, n: int, recent: bool) -> DataFrame:
         totals = totals_of(name)
@@ -324,7 +348,7 @@ def cross_tab(events: DataFrame, spec: dict, by: tuple[str, str], now: str, fact
 
 
 def _crossed(events: DataFrame, spec: dict, by: tuple[str, str], now: str, facts: DataFrame | None, use: str, band: float | None, cohort: DataFrame | None):
-    """The rows with their bucket and series, and what of them a grouping by some of the two aggregates, and how."""
+    """The rows with their bucket and series, what of them a grouping by some of the two aggregates, the aggregate and what it is given."""
     filters, agg, given = split(spec, GROUPED)
     rows = apply_filters(events, filters, now, facts)
     if cohort is not None:
@@ -333,18 +357,18 @@ def _crossed(events: DataFrame, spec: dict, by: tuple[str, str], now: str, facts
         rows, label = _with_fact(rows, facts, b, use, filters.get("asOf"), band if b.startswith("fact:") else None)
         rows = rows.withColumn(name, label).drop("_fact")
 
-    def measured(of: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Column]:
+    def once_a_person(of: DataFrame, names: tuple[str, ...]) -> DataFrame:
         if isinstance(given, dict) and "fact" in given:
             value = fact_ops.current(facts, given["fact"], given.get("use", "last"), filters.get("asOf")).select("passport_id", F.col("num").alias("_measure"))
-            of = of.select("passport_id", *names).distinct().join(value, "passport_id", "left")
-        return of, aggregate(of.columns, agg, given)
+            return of.select("passport_id", *names).distinct().join(value, "passport_id", "left")
+        return of
 
-    return rows, measured
+    return rows, once_a_person, agg, given
 
 
 def cross_tab_extent(events: DataFrame, spec: dict, by: tuple[str, str], now: str, facts: DataFrame | None = None, series_limit: int = 6, use: str = "last", band: float | None = None, cohort: DataFrame | None = None) -> DataFrame:
     """One row beside a cross-tab: shown and all series, whether some are cut, and the people behind all of it."""
-    rows, _ = _crossed(events, spec, by, now, facts, use, band, cohort)
+    rows, *_ = _crossed(events, spec, by, now, facts, use, band, cohort)
     sizes = rows.agg(F.count_distinct(F.struct("series")).alias("series"), F.count_distinct("passport_id").alias("cohort_size"))
     return sizes.select(F.least("series", F.lit(series_limit)).alias("shown"), "series", (F.col("series") > series_limit).alias("truncated"), "cohort_size")
 
@@ -355,6 +379,8 @@ def anchor_cross_tab(events: DataFrame, spec: dict, by: str, now: str, facts: Da
     filters = {**filters, "window": {**filters["window"], "missingAnchor": "bucket"}}
     rows = apply_filters(events, filters, now, facts)
     rows = rows.withColumn("bucket", bucket(rows.columns, by))
+    if agg in ("median", "percentile"):
+        raise SpecError("group: no percentile beside the people of a window")
     return rows.groupBy("bucket", "anchored").agg(aggregate(rows.columns, agg, given).alias("value"), F.count_distinct("passport_id").alias("people"))
 
 

@@ -40,13 +40,14 @@ def about(chunks: DataFrame, contacts: DataFrame, query: list[float], floor: flo
 def population(chunks: DataFrame, contacts: DataFrame, query: list[float], k: int, floor: float | None = None, min_engagement: float = 0.0, scope: DataFrame | None = None, since: str | None = None) -> DataFrame:
     """(doc_id, people, sim, latest) of the k nearest chunks: who met them, and when last.
 
-    Contacts below the least engagement do not count, those without any do; a scope and a first instant narrow the contacts
-    and not the chunks.
+    Contacts below the least engagement do not count, those without any do.  A scope narrows the chunks to those that its
+    people met, before the nearest are taken; a first instant narrows the contacts only.
     """
     if min_engagement > 0:
         contacts = contacts.filter(F.col("engagement").isNull() | (F.col("engagement") >= min_engagement))
     if scope is not None:
         contacts = contacts.join(scope.select("passport_id"), "passport_id", "left_semi")
+        chunks = chunks.join(contacts.select("doc_id").distinct(), "doc_id", "left_semi")
     if since is not None:
         contacts = contacts.filter(F.col("ts") >= F.lit(since).cast("timestamp"))
     if floor is not None:

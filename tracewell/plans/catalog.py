@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import durations, exprs
 from ..operators import audience, cohort, composition, identity, ingest, live, metrics, people, semantic, sessions
 from ..operators import facts as fact_ops
+from ..sources.fact_store import FactStore
 from ..sources.model import EVENT_NOW, ORDER_NOW, Model
+from ..sources.session import shared_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -158,7 +162,29 @@ _cohort("gate_between", {"metric": {**PURCHASES, "count": {"gte": 3, "lte": 9}}}
 
 _CURRENT = f"WITH {ORD} SELECT passport_id, strftime(obs, '{DAY}') AS matched_at FROM cur WHERE "
 _CUSTOMER = "SELECT c_custkey AS passport_id, '1995-01-01 00:00:00' AS matched_at FROM customer WHERE "
-_cohort("fact_eq", {"fact": {"order_status": {"eq": "F"}}}, _CURRENT + "st = 'F'", ORDER_NOW)
+
+
+def fact_store(spark, sf_dir: str) -> FactStore:
+    """The fact log written in three batches, and its current values; made once for the tables as they are, then read."""
+    log = model(spark, sf_dir)
+    files = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    tables = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(files)
+    known = sorted(f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in tables)
+    store = FactStore(spark, f"{shared_folder(spark)}/facts-{hashlib.sha256(' '.join(known).encode()).hexdigest()[:16]}")
+    day = F.to_date("observed_at")
+    for batch, rows in enumerate((log.facts.filter(day < "1995-06-01"), log.facts.filter((day >= "1995-06-01") & (day < "1999-01-01")), log.facts.filter(day >= "1999-01-01"))):
+        store.record(rows, batch=batch, stream="import", force=True)
+    return store
+
+
+@query(_CURRENT + "st = 'F'")
+def fact_eq(spark, sf_dir):
+    store = fact_store(spark, sf_dir)
+    w = replace(world(spark, sf_dir, ORDER_NOW), facts=store.log("order_status"), held=store.current("order_status"))
+    return _stamped(cohort.evaluate(w, {"fact": {"order_status": {"eq": "F"}}}))
+
+
+_cohort("fact_eq_log", {"fact": {"order_status": {"eq": "F"}}}, _CURRENT + "st = 'F'", ORDER_NOW)
 _cohort("fact_ne", {"fact": {"order_status": {"ne": "F"}}}, _CURRENT + "st <> 'F'", ORDER_NOW)
 _cohort("fact_range", {"fact": {"acctbal": {"gte": 1000, "lt": 5000.5}}}, _CUSTOMER + "c_acctbal >= 1000 AND c_acctbal < 5000.5", ORDER_NOW)
 _cohort("fact_in", {"fact": {"segment": {"in": ["BUILDING", "AUTOMOBILE", "MACHINERY"]}}}, _CUSTOMER + "c_mktsegment IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY')", ORDER_NOW)
@@ -196,7 +222,17 @@ def computed_age(spark, sf_dir):
 
 @query(f"WITH {ORD} SELECT passport_id, st AS value FROM (SELECT *, row_number() OVER (PARTITION BY passport_id ORDER BY obs DESC, id DESC) AS k FROM ord WHERE obs <= TIMESTAMP '1998-01-01') WHERE k = 1")
 def fact_asof(spark, sf_dir):
-    return fact_ops.current(model(spark, sf_dir).facts, "order_status", as_of="1998-01-01").select("passport_id", "value")
+    return fact_ops.current(fact_store(spark, sf_dir).log("order_status"), "order_status", as_of="1998-01-01").select("passport_id", "value")
+
+
+@query("SELECT 'log' AS kind, (SELECT count(*) FROM orders) * 3 + (SELECT count(*) FROM customer) * 2 + (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey) + (SELECT count(DISTINCT user_id) FROM events WHERE event_type = 'purchase') AS n UNION ALL SELECT 'current', (SELECT count(DISTINCT o_custkey) FROM orders) * 3 + (SELECT count(*) FROM customer) * 2 + (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey) + (SELECT count(DISTINCT user_id) FROM events WHERE event_type = 'purchase') UNION ALL SELECT 'drift', 0")
+def fact_store_extent(spark, sf_dir):
+    """After a batch that comes again: rows of the log and of the current values, and where these two differ."""
+    store = fact_store(spark, sf_dir)
+    store.record(model(spark, sf_dir).facts, batch=1, stream="import", force=True)
+    named = {"log": store.log(), "current": store.current(), "drift": store.drift()}
+    counts = [rows.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n")) for kind, rows in named.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 @query(f"WITH {ORD} SELECT CAST(count(*) AS BIGINT) AS kept FROM h WHERE place = 1 OR st IS DISTINCT FROM pst")
@@ -266,7 +302,7 @@ def projection_count(spark, sf_dir):
 
 @query(f"WITH {ORD}, c AS (SELECT st AS bucket, count(*) AS value FROM cur GROUP BY 1) SELECT bucket, value, (SELECT count(*) FROM c) AS total_buckets FROM c WHERE bucket <> '' ORDER BY value DESC, bucket LIMIT 12")
 def breakdown(spark, sf_dir):
-    return composition.breakdown(model(spark, sf_dir).facts, "order_status")
+    return composition.breakdown(fact_store(spark, sf_dir).current("order_status"), "order_status", held=True)
 
 
 @query(f"WITH {ORD} SELECT b AS bucket, count(passport_id) AS value FROM (VALUES ('F'), ('O'), ('Z')) v(b) LEFT JOIN cur ON st = b GROUP BY 1")
@@ -806,7 +842,7 @@ def breakdown_weeks(spark, sf_dir):
     return composition.breakdown(model(spark, sf_dir).facts, "first_purchase_at", grain="week")
 
 
-@query(f"WITH {CH}, {CT}, nr AS (SELECT doc_id, sim FROM ch WHERE sim >= 0.0 ORDER BY sim DESC, doc_id LIMIT 20), e AS (SELECT *, CASE source WHEN 'text' THEN dwell_ms / 600.0::DOUBLE END AS engagement FROM ct) SELECT doc_id, count(DISTINCT passport_id) AS people, round(max(sim), 4) AS sim, strftime(max(ts), '{DAY}') AS latest FROM e JOIN nr USING (doc_id) WHERE (engagement IS NULL OR engagement >= 0.5) AND ts >= TIMESTAMP '2024-01-10' AND passport_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")
+@query(f"WITH {CH}, {CT}, e AS (SELECT * FROM (SELECT *, CASE source WHEN 'text' THEN dwell_ms / 600.0::DOUBLE END AS engagement FROM ct) WHERE (engagement IS NULL OR engagement >= 0.5) AND passport_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')), nr AS (SELECT doc_id, sim FROM ch WHERE sim >= 0.0 AND doc_id IN (SELECT doc_id FROM e) ORDER BY sim DESC, doc_id LIMIT 20) SELECT doc_id, count(DISTINCT passport_id) AS people, round(max(sim), 4) AS sim, strftime(max(ts), '{DAY}') AS latest FROM e JOIN nr USING (doc_id) WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1")
 def population_scoped(spark, sf_dir):
     m = model(spark, sf_dir)
     building = fact_ops.current(m.facts, "segment").filter("value = 'BUILDING'")
@@ -816,8 +852,8 @@ def population_scoped(spark, sf_dir):
 SIGHTED = """s AS (SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'fingerprint' WHEN 1 THEN 'phone' WHEN 2 THEN 'email' ELSE 'weak' END AS type,
     user_id * (event_id % 4 + 1) // 4 + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS value, user_id AS passport_id, ts AS seen_at FROM events WHERE user_id IS NOT NULL),
   w AS (SELECT *, CASE type WHEN 'fingerprint' THEN 7 WHEN 'phone' THEN 30 WHEN 'email' THEN 365 ELSE -1 END AS days, lag(seen_at) OVER o AS before, first(passport_id) OVER o AS holder FROM s WINDOW o AS (PARTITION BY type, value ORDER BY seen_at, id)),
-  p AS (SELECT passport_id AS a, holder AS b, min(row(seen_at, id)) AS at FROM w WHERE (floor(epoch(seen_at)) - floor(epoch(before))) // 86400 <= days AND passport_id <> holder GROUP BY 1, 2),
-  e AS (SELECT row_number() OVER (ORDER BY at) AS k, a, b, at[1] AS seen_at FROM p),
+  p AS (SELECT passport_id AS a, holder AS b, min(row(seen_at, id)) AS f, min(seen_at) AS seen_at FROM w WHERE (floor(epoch(seen_at)) - floor(epoch(before))) // 86400 <= days AND passport_id <> holder GROUP BY 1, 2),
+  e AS (SELECT row_number() OVER (ORDER BY f) AS k, a, b, seen_at FROM p),
   r AS (SELECT CAST(0 AS BIGINT) AS k, (SELECT list(i) FROM range((SELECT max(user_id) + 1 FROM events)) t(i)) AS tops, CAST(NULL AS BIGINT) AS absorbed, CAST(NULL AS BIGINT) AS survivor, CAST(NULL AS TIMESTAMP) AS seen_at
     UNION ALL SELECT e.k, list_transform(tops, lambda x: CASE WHEN x = tops[b + 1] THEN tops[a + 1] ELSE x END), tops[b + 1], tops[a + 1], e.seen_at FROM r JOIN e ON e.k = r.k + 1)"""
 
