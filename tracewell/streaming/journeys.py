@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from ..functions.durations import SpecError, seconds
+from .ordered import Ordered, ordered
 
 KINDS = ("wait", "branch", "set_fact", "add_to_list", "webhook", "exit")
 MOST_HOPS = 25
 STEP = "passport_id long, step string, action string, value string, at timestamp"
-_STATE = "step string, due long, facts string"
 
 
 def validate(journey: dict) -> None:
@@ -27,61 +26,57 @@ def validate(journey: dict) -> None:
                 raise SpecError(f'journey: step "{name}" leads to "{to}", which there is not')
 
 
-def run_journeys(events: DataFrame, journey: dict, late: str = "1 hour") -> DataFrame:
-    """(passport_id, step, action, value, at) of every action taken; events are (passport_id, ts, type).
+class Journey(Ordered):
+    """Where a person stands, and what events there were since enrolling, as JSON; nothing for those not under way."""
 
-    A trigger enrols a person who is not under way.  Steps follow one another at once, at most MOST_HOPS in a row, until a wait;
-    a wait ends when event time has passed it.  A branch asks whether the person has had an event of a type since enrolling.
-    """
-    validate(journey)
-    steps, trigger = journey["steps"], journey["trigger"]
+    def __init__(self, journey: dict) -> None:
+        self.journey, self.steps = journey, journey["steps"]
 
-    def advance(who: int, name: str | None, at: pd.Timestamp, had: set[str]) -> tuple[list[tuple], str | None, int]:
-        out = []
+    def event(self, who, held, us, said, out):
+        where = json.loads(held) if held else None
+        due = where["due"] if where else None
+        if where is None and said == self.journey["trigger"]:
+            where, due = self._walk(who, self.journey["start"], us, [], out)
+        if where is None:
+            return None, None
+        where["had"] = sorted({*where["had"], said} - {None})
+        return json.dumps(where), due
+
+    def deadline(self, who, held, due, out):
+        where = json.loads(held)
+        where, due = self._walk(who, self.steps[where["step"]].get("next"), due, where["had"], out)
+        return (None, None) if where is None else (json.dumps(where), due)
+
+    def _walk(self, who, name: str | None, us: int, had: list[str], out: list) -> tuple[dict | None, int | None]:
+        """Steps one after the other until one waits, or the end."""
         for _ in range(MOST_HOPS):
             if name is None:
-                return out, None, 0
-            step = steps[name]
+                return None, None
+            step = self.steps[name]
             kind = step["kind"]
             if kind == "wait":
-                return out, name, int(at.timestamp() * 1000) + 1000 * seconds(step["for"])
-            if kind == "exit":
-                return [*out, (who, name, "exit", None, at)], None, 0
+                due = us + 1_000_000 * seconds(step["for"])
+                return {"step": name, "due": due, "had": list(had)}, due
             if kind == "branch":
                 name = step.get("then") if step["event"] in had else step.get("otherwise")
                 continue
-            out.append((who, name, kind, str(step.get("value")), at))
+            value = None if kind == "exit" else str(step.get("value"))
+            out.append(Row(passport_id=who, step=name, action=kind, value=value, us=us))
+            if kind == "exit":
+                return None, None
             name = step.get("next")
-        return [*out, (who, name, "stopped", f"more than {MOST_HOPS} steps in a row", at)], None, 0
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        who = key[0]
-        waiting, due, held = state.get if state.exists else (None, 0, "")
-        had = set(filter(None, held.split("\n")))
-        out: list[tuple] = []
-
-        def wake(until: int) -> None:
-            nonlocal waiting, due
-            while waiting is not None and due <= until:
-                more, waiting, due = advance(who, steps[waiting].get("next"), pd.Timestamp(due, unit="ms"), had)
-                out.extend(more)
-
-        if state.hasTimedOut:
-            wake(state.getCurrentWatermarkMs())
-        else:
-            for row in pd.concat(list(frames)).sort_values("ts").itertuples():
-                wake(int(row.ts.timestamp() * 1000))
-                if waiting is None and row.type == trigger:
-                    had.clear()
-                    more, waiting, due = advance(who, journey["start"], row.ts, had)
-                    out.extend(more)
-                had.add(row.type)
-        if waiting is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((waiting, due, "\n".join(sorted(had))))
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["passport_id", "step", "action", "value", "at"])
-
-    return events.withWatermark("ts", late).groupBy("passport_id").applyInPandasWithState(step, STEP, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        out.append(Row(passport_id=who, step=name, action="stopped", value=f"more than {MOST_HOPS} steps in a row", us=us))
+        return None, None
+
+
+def run_journeys(events: DataFrame, journey: dict, late: str = "1 hour") -> DataFrame:
+    """(passport_id, step, action, value, at) of every action taken; events are (passport_id, ts, type and, if there is one, id).
+
+    A trigger enrols a person who is not under way.  Steps follow one another at once, at most MOST_HOPS in a row, until a wait;
+    a wait ends when event time has passed it, before any event of that instant.  A branch asks whether the person has had an event of a
+    type since enrolling.  Events count in order of time, however they come in, once the watermark has passed them; later ones are
+    dropped.  Those not under way keep no state.
+    """
+    validate(journey)
+    made = ordered(events, Journey(journey), F.col("type"), STEP.replace("at timestamp", "us long"), late)
+    return made.select("passport_id", "step", "action", "value", F.timestamp_micros("us").alias("at"))

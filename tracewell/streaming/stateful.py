@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Iterator
+import json
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-SESSION = "passport_id long, session_seq long, started_at timestamp, last_activity_at timestamp, events long, reason string"
-_STATE = "seq long, started timestamp, last timestamp, events long, campaign string"
+from .ordered import Ordered, ordered
 
 
 def gap_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -20,39 +16,39 @@ def gap_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "passport_id").agg(F.count(F.lit(1)).alias("events")).select("passport_id", F.col("w.start").alias("started_at"), F.col("w.end").alias("ended_at"), "events")
 
 
+class Sessions(Ordered):
+    """A person's open session as JSON: start, last activity, events and campaign."""
+
+    def __init__(self, gap_us: int) -> None:
+        self.gap = gap_us
+
+    def event(self, who, held, us, said, out):
+        at = json.loads(held) if held else None
+        if at is not None and said and said != at["campaign"]:
+            self._close(who, at, "campaign", out)
+            at = None
+        at = at or {"from": us, "events": 0, "campaign": said or None}
+        at |= {"to": us, "events": at["events"] + 1}
+        return json.dumps(at), us + self.gap
+
+    def deadline(self, who, held, due, out):
+        self._close(who, json.loads(held), "inactivity", out)
+        return None, None
+
+    @staticmethod
+    def _close(who, at: dict, reason: str, out: list) -> None:
+        out.append(Row(passport_id=who, from_us=at["from"], to_us=at["to"], events=at["events"], reason=reason))
+
+
 def campaign_sessions(events: DataFrame, gap_minutes: int = 30, late: str = "1 hour") -> DataFrame:
-    """Sessions that end by inactivity or where an event names another campaign (columns passport_id, ts, campaign).
+    """Sessions that end by inactivity or where an event names another campaign (columns passport_id, ts, campaign and, if there is one, id).
 
-    The rules are those of sessions in batch.  A passport's number of sessions is kept after its last one has ended, so
-    that no number is given twice; a late event of an open session does not set its last activity back.
+    The rules are those of sessions in batch, on events in order of time however they come in.  A session is known by its person and
+    start, so nothing is kept of a person whose last session has ended.
     """
-    gap = dt.timedelta(minutes=gap_minutes)
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        seq, started, last, n, campaign = state.get if state.exists else (0, None, None, 0, None)
-
-        def close(reason: str) -> None:
-            out.append((key[0], seq, started, last, n, reason))
-
-        if state.hasTimedOut:
-            close("inactivity")
-            state.update((seq + 1, None, None, 0, None))
-        else:
-            rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-            for row in rows.itertuples():
-                named = row.campaign if isinstance(row.campaign, str) and row.campaign else None
-                if started is not None:
-                    quiet, other = row.ts - last >= gap, named is not None and named != campaign
-                    if quiet or other:
-                        close("inactivity" if quiet else "campaign")
-                        seq, started, last, n, campaign = seq + 1, None, None, 0, None
-                started, last, n, campaign = started or row.ts, max(last or row.ts, row.ts), n + 1, named or campaign
-            state.update((seq, started, last, n, campaign))
-            state.setTimeoutTimestamp(max(int((last + gap).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["passport_id", "session_seq", "started_at", "last_activity_at", "events", "reason"])
-
-    return events.withWatermark("ts", late).groupBy("passport_id").applyInPandasWithState(step, SESSION, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    said = F.col("campaign")
+    made = ordered(events, Sessions(gap_minutes * 60_000_000), said, "passport_id long, from_us long, to_us long, events long, reason string", late)
+    return made.select("passport_id", F.timestamp_micros("from_us").alias("started_at"), F.timestamp_micros("to_us").alias("last_activity_at"), "events", "reason")
 
 
 def once_each(events: DataFrame, key: str = "event_id", late: str = "1 day") -> DataFrame:
