@@ -190,15 +190,26 @@ def engagement_blend(similarity: Column, engagement: Column) -> Column:
     return similarity * (F.lit(0.4) + F.lit(0.6) * engagement)
 
 
+# Fixed value: a sentence is what stands before one of these signs or the end of a line, with it and the white space after it.
+SENTENCE = r"[^.!?\n]+[.!?\n]?\s*"
+
+
 def sentences_to_chunks(text: Column, most_words: int = 200) -> Column:
-    """Sentences packed in order into chunks of at most so many words; a longer sentence is a chunk of its own."""
-    sentences = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
-    words = lambda s: F.size(F.split(s, r"\s+"))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    """Sentences packed in order into chunks of at most so many words; a longer sentence is a chunk of its own.
+
+    A text of signs only is one sentence; one without anything but white space has no chunk, as has null.
+    """
+    stripped = lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")
+    found = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+    sentences = F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(text)), stripped)
+    words = lambda s: F.size(F.regexp_extract_all(s, F.lit(r"\S+"), F.lit(0)))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("done"), none.alias("open"), F.lit(0).alias("n"))
 
     def pack(state, sentence):
-        joined = F.when(state["open"] == "", sentence).otherwise(F.concat(state["open"], F.lit(" "), sentence))
-        fits = (state["open"] == "") | (words(joined) <= most_words)
-        return F.struct(F.when(fits, state["done"]).otherwise(F.array_append(state["done"], state["open"])).alias("done"), F.when(fits, joined).otherwise(sentence).alias("open"))
+        fits = (F.size(state["open"]) == 0) | (state["n"] + words(sentence) <= most_words)
+        done = F.when(fits, state["done"]).otherwise(F.array_append(state["done"], stripped(F.array_join(state["open"], " "))))
+        return F.struct(done.alias("done"), F.when(fits, F.array_append(state["open"], sentence)).otherwise(F.array(sentence)).alias("open"), F.when(fits, state["n"] + words(sentence)).otherwise(words(sentence)).alias("n"))
 
-    return F.aggregate(sentences, start, pack, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"])))
+    packed = F.aggregate(sentences, start, pack, lambda s: F.when(F.size(s["open"]) == 0, s["done"]).otherwise(F.array_append(s["done"], stripped(F.array_join(s["open"], " ")))))
+    return F.when(text.rlike(r"\S"), packed).otherwise(none)

@@ -77,3 +77,10 @@ def converted_within(enrolments: DataFrame, log: DataFrame, days: int | None = N
 def watched_segments(segments: DataFrame, watched: DataFrame) -> DataFrame:
     """Segments (content, start, end) that overlap one of the ranges (array of from, to) that were watched."""
     return segments.join(watched, "content").filter(F.exists("ranges", lambda r: (F.col("end") >= r["from"]) & (F.col("start") <= r["to"]))).select("content", "start", "end")
+
+
+def recipients(audiences: list[DataFrame], excluded: list[DataFrame], contacts: DataFrame, suppressed: DataFrame, invalid: DataFrame) -> DataFrame:
+    """(passport_id, contact) to whom a campaign goes: anybody of its audiences with a contact that may be written to, each contact once."""
+    people = combine("any", audiences, excluded)
+    known = sendable(contacts.join(people, "passport_id", "left_semi"), suppressed, invalid).filter("verdict = 'ok'")
+    return known.groupBy(F.lower(F.trim("contact")).alias("contact")).agg(F.min("passport_id").alias("passport_id")).select("passport_id", "contact")

@@ -86,3 +86,30 @@ def base_stats(events: DataFrame) -> DataFrame:
 
 def retained(rows: DataFrame, now: str, days: int = 90) -> DataFrame:
     return rows.filter(F.col("occurred_at") >= F.lit(now).cast("timestamp") - F.make_dt_interval(days=F.lit(days)))
+
+
+# The kinds of content that people consume.
+CONTENT_KINDS = ("video", "text", "image", "section", "link")
+
+
+def content_kinds(events: DataFrame, limit: int = 10) -> DataFrame:
+    """(kind, n) of what was consumed, the most frequent first; sources that are no kind of content do not count."""
+    kinds = events.filter(F.lower("source").isin(*CONTENT_KINDS)).groupBy(F.col("source").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return kinds.orderBy(F.desc("n"), "kind").limit(limit)
+
+
+def totals(events: DataFrame, people: DataFrame) -> DataFrame:
+    """One row: people, people with an event, and events."""
+    seen = events.agg(F.count_distinct("passport_id").alias("active"), F.count(F.lit(1)).alias("events"))
+    return people.agg(F.count(F.lit(1)).alias("people")).join(F.broadcast(seen))  # one row each
+
+
+def recent(rows: DataFrame, limit: int = 50, kind: str | None = None, prefix: str | None = None, passport_id: int | None = None) -> DataFrame:
+    """The newest registry rows, of a type, of types that begin so, or of one person."""
+    if kind:
+        rows = rows.filter(F.col("type") == kind)
+    if prefix:
+        rows = rows.filter(F.startswith(F.col("type"), F.lit(prefix)))
+    if passport_id is not None:
+        rows = rows.filter(F.col("passport_id") == passport_id)
+    return rows.orderBy(F.desc("occurred_at"), F.desc("id")).limit(limit)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -11,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import durations, exprs
-from ..operators import audience, cohort, composition, identity, ingest, live, metrics, people, semantic, sessions
+from ..operators import audience, cohort, composition, crm, identity, ingest, live, metrics, people, ranks, semantic, sessions, warm
 from ..operators import facts as fact_ops
 from ..sources.fact_store import FactStore
 from ..sources.model import EVENT_NOW, ORDER_NOW, Model
@@ -529,7 +530,12 @@ def canonical_urls(spark, sf_dir):
     return model(spark, sf_dir).table("pages").select("page_id", exprs.canonical_url(url).alias("plain"), exprs.canonical_url_keeping(url, ["page"]).alias("kept"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?\n]?\s*'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS found, text FROM documents WHERE regexp_matches(text, '\S')),
+  t AS (SELECT doc_id, CASE WHEN len(found) > 0 THEN found ELSE [regexp_replace(text, '^\s+|\s+$', '', 'g')] END AS parts FROM s),
+  w AS (SELECT doc_id, parts, list_reduce(list_transform(parts, lambda x: {'k': 0, 'n': len(regexp_extract_all(x, '\S+')), 'at': []::INT[]}),
+    lambda a, x: CASE WHEN len(a.at) > 0 AND a.n + x.n > 200 THEN {'k': a.k + 1, 'n': x.n, 'at': list_append(a.at, a.k + 1)} ELSE {'k': a.k, 'n': a.n + x.n, 'at': list_append(a.at, a.k)} END, {'k': 0, 'n': 0::BIGINT, 'at': []::INT[]}) AS z FROM t),
+  u AS (SELECT doc_id, unnest(parts) AS part, unnest(z.at) AS chunk_index, unnest(range(len(parts))) AS i FROM w)
+  SELECT doc_id, chunk_index, regexp_replace(string_agg(part, ' ' ORDER BY i), '^\s+|\s+$', '', 'g') AS chunk_text FROM u GROUP BY 1, 2""")
 def chunk_text(spark, sf_dir):
     docs = model(spark, sf_dir).table("documents")
     return docs.select("doc_id", F.posexplode(exprs.sentences_to_chunks(F.col("text"))).alias("chunk_index", "chunk_text"))
@@ -674,26 +680,34 @@ def event_distribution(spark, sf_dir):
     return composition.event_counts(model(spark, sf_dir).events).groupBy("v").agg(F.count(F.lit(1)).alias("people"))
 
 
-@query()
+@query(f"""WITH RECURSIVE w AS (SELECT epoch_ms(max(ts)) - 3600000 AS w FROM events), e AS (SELECT user_id AS p, epoch_us(ts) AS us, event_type AS kind FROM events, w WHERE epoch_ms(ts) <= w),
+  r AS (SELECT p, min(us) AS us FROM e WHERE kind = 'signup' GROUP BY 1 UNION ALL SELECT r.p, (SELECT min(us) FROM e WHERE e.p = r.p AND kind = 'signup' AND e.us >= r.us + 172800000000) FROM r WHERE r.us IS NOT NULL),
+  d AS (SELECT p, us + 172800000000 AS due, EXISTS (SELECT 1 FROM e WHERE e.p = r.p AND kind = 'purchase' AND e.us >= r.us AND e.us < r.us + 172800000000) AS bought FROM r, w WHERE us IS NOT NULL AND us + 172800000000 <= w * 1000)
+  SELECT p AS passport_id, CASE WHEN bought THEN 'thank' ELSE 'nudge' END AS step, CASE WHEN bought THEN 'set_fact' ELSE 'add_to_list' END AS action, CASE WHEN bought THEN 'customer' ELSE 'nudge' END AS value, strftime(make_timestamp(due), '{DAY}') AS at FROM d
+  UNION ALL SELECT p, 'end', 'exit', NULL, strftime(make_timestamp(due), '{DAY}') FROM d""")
 def stream_journeys(spark, sf_dir):
-    return _streamed(spark, sf_dir, "journeys")
+    return _streamed(spark, sf_dir, "journeys").withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query()
+@query("SELECT event_id, min(user_id) AS user_id, min(event_type) AS event_type FROM events GROUP BY 1")
 def stream_once_each(spark, sf_dir):
     return _streamed(spark, sf_dir, "once_each")
 
 
-@query()
+@query(f"SELECT strftime(date_trunc('day', ts), '{DAY}') AS start, event_type AS channel, count(*) AS n FROM events WHERE epoch_ms(date_trunc('day', ts)) + 86400000 <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events) GROUP BY 1, 2")
 def stream_windowed(spark, sf_dir):
-    return _streamed(spark, sf_dir, "windowed")
+    return _streamed(spark, sf_dir, "windowed").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"""WITH {VIS.replace("INTERVAL 24 HOUR", "INTERVAL 6 HOUR")}, g AS (SELECT passport_id, seq, min(ts) AS a, max(ts) AS b, count(*) AS n FROM vis WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events) GROUP BY 1, 2)
+  SELECT passport_id, strftime(a, '{DAY}') AS started_at, strftime(b, '{DAY}') AS last_activity_at, n AS events FROM g WHERE epoch_us(b) + 21600000000 <= (SELECT (epoch_ms(max(ts)) - 3600000) * 1000 FROM events)""")
+def stream_sessions(spark, sf_dir):
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return _streamed(spark, sf_dir, "sessions").select("passport_id", stamp("started_at"), stamp("last_activity_at"), "events")
 
 
 def _streamed(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
     """Run a streaming query over the events to the end of the input, and read what it wrote."""
-    import uuid
-
-    from ..sources.session import shared_folder
     from ..streaming import stateful
 
     base = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
@@ -705,7 +719,9 @@ def _streamed(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
         from ..streaming import journeys
 
         plan = {"trigger": "signup", "start": "wait", "steps": {"wait": {"kind": "wait", "for": "2d", "next": "bought"}, "bought": {"kind": "branch", "event": "purchase", "then": "thank", "otherwise": "nudge"}, "thank": {"kind": "set_fact", "value": "customer", "next": "end"}, "nudge": {"kind": "add_to_list", "value": "nudge", "next": "end"}, "end": {"kind": "exit"}}}
-        out = journeys.run_journeys(events.select(F.col("user_id").alias("passport_id"), "ts", F.col("event_type").alias("type")), plan)
+        out = journeys.run_journeys(events.select(F.col("user_id").alias("passport_id"), "ts", F.col("event_id").alias("id"), F.col("event_type").alias("type")), plan)
+    elif what == "sessions":
+        out = stateful.campaign_sessions(events.select(F.col("user_id").alias("passport_id"), "ts", F.col("event_id").alias("id"), F.lit(None).cast("string").alias("campaign")), 360)
     else:
         out = stateful.windowed(events.withColumn("channel", F.col("event_type")), "1 day")
     run = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
@@ -935,6 +951,125 @@ def goals_of_merged(spark, sf_dir):
     return met.select("passport_id", F.date_format("enrolled_at", "yyyy-MM-dd HH:mm:ss").alias("enrolled_at"))
 
 
+# ---- audiences kept warm, what other systems send, pages, further steps and scopes ----------------------
+
+BETWEEN = {"metric": {**PURCHASES, "count": {"gte": 3, "lte": 9}}}
+_SPLIT = "2024-01-15"
+
+
+@query(f"""WITH {EV}, a AS (SELECT passport_id FROM ev WHERE {BOUGHT} AND ts < TIMESTAMP '{_SPLIT}' GROUP BY 1 HAVING count(*) BETWEEN 3 AND 9), b AS (SELECT passport_id FROM ev WHERE {BOUGHT} GROUP BY 1 HAVING count(*) BETWEEN 3 AND 9)
+  SELECT passport_id, 'entered' AS change, '{_SPLIT}' AS at FROM a UNION ALL SELECT passport_id, 'entered', '{EVENT_NOW}' FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT passport_id, 'left', '{EVENT_NOW}' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+def warm_audience(spark, sf_dir):
+    """Everybody at first, then only those with events since."""
+    store = FactStore(spark, f"{shared_folder(spark)}/warm-{uuid.uuid4().hex}")
+    now = world(spark, sf_dir)
+    early, late = now.events.filter(F.col("ts") < _SPLIT), now.events.filter(F.col("ts") >= _SPLIT)
+    warm.sweep(store, "regulars", replace(now, events=early, now=_SPLIT), BETWEEN, batch=0)
+    for _ in range(2):  # the second time changes nothing
+        warm.refresh(store, "regulars", now, BETWEEN, late.select("passport_id"), batch=1)
+    return warm.changes(store, "regulars").withColumn("at", F.date_format("at", "yyyy-MM-dd"))
+
+
+@query(f"WITH {EV}, {_A}, {_C} SELECT passport_id FROM a WHERE passport_id IN (SELECT passport_id FROM c)")
+def trigger_audiences(spark, sf_dir):
+    store = FactStore(spark, f"{shared_folder(spark)}/triggers-{uuid.uuid4().hex}")
+    w = world(spark, sf_dir)
+    for name, node in (("buyers", TREE[0]), ("builders", TREE[2])):
+        warm.sweep(store, name, w, node)
+    return warm.entered_at(store, ["buyers", "builders"], "all").select("passport_id")
+
+
+@query(f"WITH {EV}, {_A}, {_B}, {_C}, p AS (SELECT passport_id FROM a UNION SELECT passport_id FROM c EXCEPT SELECT passport_id FROM b), k AS (SELECT passport_id, lower(c_mktsegment) || '-' || passport_id // 2 AS contact FROM p JOIN customer ON c_custkey = passport_id) SELECT min(passport_id) AS passport_id, contact FROM k WHERE contact NOT IN (SELECT lower(c_mktsegment) || '-' || c_custkey // 2 FROM customer WHERE c_custkey % 7 = 0) GROUP BY 2")
+def campaign_recipients(spark, sf_dir):
+    w = world(spark, sf_dir)
+    a, b, c = (cohort.evaluate(w, n) for n in TREE)
+    contacts = model(spark, sf_dir).table("customer").select(F.col("c_custkey").alias("passport_id"), F.concat("c_mktsegment", F.lit("-"), F.floor(F.col("c_custkey") / 2).cast("string")).alias("contact"))
+    return audience.recipients([a, c], [b], contacts, contacts.filter("passport_id % 7 = 0"), contacts.limit(0))
+
+
+@query("WITH h AS (SELECT o_custkey AS p, 'shop:order:' || o_orderkey AS c, 'old' AS t FROM orders UNION ALL SELECT o_custkey, 'shop:stay:' || o_orderkey, 'old' FROM orders WHERE o_orderstatus = 'P'), k AS (SELECT p, c, t FROM h WHERE NOT (starts_with(c, 'shop:order:') AND p IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 0)) UNION ALL SELECT o_custkey, 'shop:order:' || o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 0) SELECT p AS passport_id, count(*) AS n, count(*) FILTER (t = 'old') AS held, max(c) AS last FROM k GROUP BY 1")
+def crm_replace(spark, sf_dir):
+    orders = model(spark, sf_dir).table("orders")
+    given = {"passport_id": F.col("o_custkey"), "ts": F.col("o_orderdate").cast("timestamp"), "channel": F.lit("crm"), "direction": F.lit("expression"), "source": F.lit("shop"), "text": F.lit("old"), "meta": F.lit("{}"), "plugin": F.lit("crm")}
+    row = lambda df, kind: df.withColumns({**given, "content_id": F.concat(F.lit(f"shop:{kind}:"), F.col("o_orderkey").cast("string"))}).select(*crm.EXPOSURE)
+    held = row(orders, "order").unionByName(row(orders.filter("o_orderstatus = 'P'"), "stay"))
+    sent = orders.filter("o_orderstatus = 'F' AND o_custkey % 3 = 0").select(F.col("o_custkey").alias("passport_id"), F.lit("shop").alias("source"), F.lit("ordered").alias("event"), F.concat(F.lit("shop:order:"), F.col("o_orderkey").cast("string")).alias("external_id"), F.col("o_orderpriority").alias("text"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("direction"), F.create_map().cast("map<string,string>").alias("attrs"), F.lit("shop:order:").alias("replace"))
+    once = crm.ingest_events(held, sent)
+    return crm.ingest_events(once, sent).groupBy("passport_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text") == "old").alias("held"), F.max("content_id").alias("last"))
+
+
+@query("SELECT 'deal:' || o_orderkey AS entity, 'shop:fact:' || o_orderpriority || ':' || o_orderkey AS content_id, sha256(o_orderpriority) AS h FROM orders WHERE o_orderstatus <> 'P'")
+def crm_notes(spark, sf_dir):
+    orders = model(spark, sf_dir).table("orders")
+    rows = orders.select(F.col("o_custkey").alias("passport_id"), F.lit("shop").alias("source"), F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("body"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit("deal").alias("ref_kind"), F.col("o_orderkey").alias("ref_id"))
+    return crm.notes(rows).select(F.get_json_object("meta", "$.ref.entity").alias("entity"), "content_id", F.sha2("text", 256).alias("h"))
+
+
+@query("""WITH e AS (SELECT event_id AS i, event_id % 4 AS k FROM events) SELECT CASE k WHEN 0 THEN 'video' WHEN 1 THEN 'text' WHEN 2 THEN 'link' END AS kind,
+  CASE WHEN k = 3 THEN 'kind' WHEN k = 0 AND i % 5 = 0 THEN 'src' WHEN k = 1 AND i % 700 < 5 THEN 'length_chars' END AS reject, count(*) AS n, CAST(sum(CASE WHEN k = 1 THEN i % 700 - 5 END) AS BIGINT) AS chars FROM e GROUP BY 1, 2""")
+def engagement_parsed(spark, sf_dir):
+    i = F.col("id")
+    text = F.to_json(F.struct(F.lit("engagement.text").alias("type"), F.lit("Read this").alias("text"), (i % 700 - 5).alias("length_chars")))
+    video = F.to_json(F.struct(F.lit("video").alias("kind"), F.struct(F.when(i % 5 != 0, "https://x.org/v").alias("src"), F.lit(1.5).alias("total_watched_s")).alias("data")))
+    link, other = F.lit('{"type":"engagement.link","text":"Go"}'), F.lit('{"type":"engagement.smell"}')
+    one = F.when(i % 4 == 0, video).when(i % 4 == 1, text).when(i % 4 == 2, link).otherwise(other)
+    rows = model(spark, sf_dir).events.select("id", F.concat(F.lit('{"events":['), one, F.lit("]}")).alias("payload"))
+    return crm.parsed(rows.withColumnRenamed("id", "row")).groupBy("kind", "reject").agg(F.count(F.lit(1)).alias("n"), F.sum("length_chars").alias("chars"))
+
+
+@query(f"WITH {EV}, p AS (SELECT * FROM ev WHERE channel IN ('web', 'crm') ORDER BY ts DESC, id DESC LIMIT 50 OFFSET 100) SELECT id, channel, strftime(ts, '{DAY}') AS ts, (SELECT count(*) > 150 FROM ev WHERE channel IN ('web', 'crm')) AS more FROM p")
+def timeline_seek(spark, sf_dir):
+    rows = metrics.apply_filters(model(spark, sf_dir).events, {"channel": ["web", "crm"]}, EVENT_NOW)
+    page = ranks.page(rows, ["ts", "id"], 50, ranks.page_begins(rows, ["ts", "id"], 50, 2))
+    return page.select("id", "channel", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "more")
+
+
+@query(f"WITH {VIS.replace('user_id AS passport_id', 'CASE WHEN user_id BETWEEN 1 AND 999 THEN 0 ELSE user_id END AS passport_id')} SELECT passport_id, max(seq) + 1 AS sessions, strftime(min(ts), '{DAY}') AS first_session FROM vis GROUP BY 1")
+def sessions_of_merged(spark, sf_dir):
+    m = model(spark, sf_dir)
+    theirs = sessions.sessionize(identity.resolve(m.events, identity.survivors(m.merges)), "24 hours")
+    return theirs.groupBy("passport_id").agg((F.max("session_seq") + 1).alias("sessions"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_session"))
+
+
+@query(f"WITH {EV} SELECT source AS kind, count(*) AS n FROM ev WHERE source IN ('video', 'text') GROUP BY 1")
+def content_kinds(spark, sf_dir):
+    return live.content_kinds(model(spark, sf_dir).events)
+
+
+@query(f"WITH {EV} SELECT (SELECT count(*) FROM customer) AS people, count(DISTINCT passport_id) AS active, count(*) AS events FROM ev")
+def base_totals(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return live.totals(m.events, m.passports)
+
+
+@query(f"WITH {CLASSED} SELECT id, type, strftime(ts, '{DAY}') AS occurred_at FROM cl WHERE type LIKE 'mail.%' AND passport_id = 7 ORDER BY cl.ts DESC, id DESC LIMIT 20")
+def registry_recent(spark, sf_dir):
+    rows = live.recent(live.registry(model(spark, sf_dir).events), 20, prefix="mail.", passport_id=7)
+    return rows.select("id", "type", F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss").alias("occurred_at"))
+
+
+EXC = EX.replace("p.url, split_part", "p.url, 'page:' || p.page_id AS cid, sha256(p.url) AS chash, split_part")
+_IDS = "'page:1', 'page:22', 'page:7'"
+_grouped("filter_content_id", {"content": {"id": {"in": ["page:1", "page:22", "page:7"]}}, "count": {}}, "channel", "channel", "count(*)", rows="exposures", source=EXC, table="ex", where=f"cid IN ({_IDS})")
+_grouped("filter_content_text", {"content": "GE:1", "count": {}}, "content", "cid", "count(*)", rows="exposures", source=EXC, table="ex", where="contains(cid, 'ge:1')")
+_grouped("filter_content_present", {"content": {"url": {"present": True}}, "distinct_passports": {}}, "content_hash", "chash", "count(DISTINCT passport_id)", rows="exposures", source=EXC, table="ex", where="url IS NOT NULL")
+_grouped("median_by_attr", {"median": {"field": "value"}}, "attr:event", "a_event", "round(quantile_cont(a_value, 0.5), 4)")
+_grouped("attr_eq_number", {"attrs": {"k": {"eq": 1}}, "count": {}}, "channel", "channel", "count(*)", where="a_k = '1'")
+
+
+@query(f"WITH {FUNNEL}, g AS (SELECT DISTINCT passport_id FROM ev JOIN f2 USING (passport_id) WHERE a_event = 'purchase' AND ts > a) SELECT count(*) AS n FROM g")
+def funnel_named(spark, sf_dir):
+    steps = [*STEPS[:2], {"name": "bought", "use": "buyers"}]
+    parts = cohort.funnel(world(spark, sf_dir), steps, named={"buyers": STEPS[2]["filter"]})
+    return parts[-1].agg(F.count_distinct("passport_id").alias("n"))
+
+
+@query(f"WITH {FUNNEL}, g AS (SELECT DISTINCT passport_id FROM ev JOIN f2 USING (passport_id) WHERE a_event = 'purchase' AND ts > a) SELECT passport_id FROM g WHERE passport_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def funnel_tree_step(spark, sf_dir):
+    steps = [*STEPS[:2], {"name": "bought", "filter": {"all": [STEPS[2]["filter"], {"not": TREE[2]}]}}]
+    return cohort.funnel(world(spark, sf_dir), steps)[-1].select("passport_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

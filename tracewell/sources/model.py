@@ -55,9 +55,9 @@ class Model:
 
     @cached_property
     def exposures(self) -> DataFrame:
-        """Events with the page that they were about."""
+        """Events with the page that they were about, its id and the digest of its address."""
         n = self.table("pages").count()
-        pages = self.table("pages").select("page_id", F.col("url").alias("content_url"))
+        pages = self.table("pages").select("page_id", F.col("url").alias("content_url"), F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("content_id"), F.sha2("url", 256).alias("content_hash"))
         return self.events.join(pages, F.col("id") % F.lit(max(n, 1)) == F.col("page_id"), "left").drop("page_id")
 
     def visits(self, gap: str = "24 hours") -> DataFrame:
