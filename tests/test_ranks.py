@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import exprs
 from tracewell.functions.durations import SpecError
-from tracewell.operators import composition, ingest, metrics, ranks
+from tracewell.operators import audience, composition, ingest, metrics, ranks, semantic
 
 DAY0 = dt.datetime(2026, 1, 1)
 
@@ -117,3 +117,32 @@ def test_people_with_contacts(spark):
     got = {r["passport_id"]: tuple(r)[1:] for r in composition.people_table(passports, facts, "full_name", identities=identities).collect()}
     dots = exprs.DOTS
     assert got == {1: (f"A{dots}", f"a{dots}@x.org", None, "Ann", "name"), 2: (None, None, f"+359{dots}03", f"+359{dots}03", "phone"), 3: (None, None, None, f"c{dots}", "crm"), 4: (None,) * 5}
+
+
+def test_long_holds_lie_in_long_slots(spark):
+    at = lambda h: DAY0 + dt.timedelta(hours=h)
+    holds = spark.createDataFrame([(1, 10, at(0), at(24 * 365 * 3)), (1, 11, at(50), at(51)), (2, 12, at(0), at(30)), (2, 13, at(5), at(5)), (3, 14, at(0), at(24 * 365 * 40))], "number int, visitor int, held_from timestamp, held_to timestamp")
+    calls = spark.createDataFrame([(1, 1, at(50.5)), (2, 1, at(9000)), (3, 2, at(29.9)), (4, 2, at(30)), (5, 2, at(5)), (6, 3, at(24 * 365 * 39)), (7, 4, at(0))], "call int, number int, ts timestamp")
+    assert {r["call"]: r["visitor"] for r in audience.attributed(calls, holds).collect()} == {1: 11, 2: 10, 3: 12, 4: None, 5: 12, 6: 14, 7: None}
+    spread = audience.attributed(calls, holds)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" in spread
+
+
+def test_echoes_of_the_type_go(spark):
+    rows = [("View content — Red shoes", "conversion:view_content:1"), ("conversion view content | Red", "conversion:view_content:1"), ("Conversion view con – X – Y", "conversion:view_content:1"), ("conversion: view content", "conversion:view_content:1"), ("Red — View", "conversion:view_content:1"), ("Text", None), (None, "a:b")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, p string, c string")
+    got = [r["s"] for r in df.select("k", exprs.without_type_echo(F.col("p"), F.col("c")).alias("s")).orderBy("k").collect()]
+    assert got == ["View content — Red shoes", "Red", "X — Y", None, "Red — View", "Text", None]
+
+
+def test_codes(spark):
+    codes = [r[0] for r in spark.range(500).select(exprs.random_code(7)).collect()]
+    assert len(set(codes)) == 500 and all(len(c) == 7 and set(c) <= set(exprs.CODE_SIGNS) for c in codes)
+
+
+def test_judges_that_fail_pass_nobody_and_are_counted(spark):
+    evidence = spark.createDataFrame([(1, "abc"), (2, "x"), (3, None), (4, "")], "passport_id long, evidence string")
+    rate = lambda text: 0.9 if len(text) > 1 else 1 / 0
+    assert [tuple(r) for r in semantic.judge(evidence, rate).collect()] == [(1, 0.9)]
+    assert sorted((r["passport_id"], r["failed"]) for r in semantic.judged(evidence, rate).collect()) == [(1, None), (2, "ZeroDivisionError: division by zero")]
+    assert semantic.projected(evidence, evidence, rate).first().asDict() == {"sampled": 4, "matches": 1, "rate": 0.25, "projected": 1, "failed": 1}

@@ -162,6 +162,21 @@ def feed_text(text: Column, most: int = 200) -> Column:
     return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most - 1), F.lit("\u2026"))).when(line != "", line)
 
 
+def without_type_echo(preview: Column, content_id: Column) -> Column:
+    """A preview without a first part that only restates the type, which are the first two parts of content_id; nothing else is null.
+
+    Parts stand between dashes or bars with white space around; letters count, whatever their case.  A label that was cut short, or goes on
+    by up to four letters, still restates it.
+    """
+    letters = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z]", ""))
+    name = letters(F.regexp_extract(content_id, "^([^:]*:?[^:]*)", 1))
+    parts = F.split(preview, r"\s+[\u2014\u2013|]\s+")
+    first = letters(F.get(parts, F.lit(0)))
+    echo = (first == name) | ((F.length(first) <= F.length(name) + 4) & F.startswith(name, first))
+    kept = F.trim(F.array_join(F.when(echo, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts), " \u2014 "))
+    return F.nullif(F.when(F.coalesce(name, F.lit("")) == "", preview).otherwise(kept), F.lit(""))
+
+
 def decoded_path(url: Column) -> Column:
     """The path of a URL with its escapes decoded, or as it is if they are broken; for the root the host."""
     path = F.regexp_replace(canonical_url(url), "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
@@ -213,3 +228,12 @@ def sentences_to_chunks(text: Column, most_words: int = 200) -> Column:
 
     packed = F.aggregate(sentences, start, pack, lambda s: F.when(F.size(s["open"]) == 0, s["done"]).otherwise(F.array_append(s["done"], stripped(F.array_join(s["open"], " ")))))
     return F.when(text.rlike(r"\S"), packed).otherwise(none)
+
+
+# Fixed value: the signs of a code.
+CODE_SIGNS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def random_code(length: int = 7) -> Column:
+    """A random code of letters and digits for each row, of all rows' own: of 62 signs to a place."""
+    return F.concat(*[F.substring(F.lit(CODE_SIGNS), 1, 62).substr((F.floor(F.rand() * 62) + 1).cast("int"), F.lit(1)) for _ in range(length)])

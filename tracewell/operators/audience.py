@@ -29,16 +29,26 @@ def suppress(audience: DataFrame, suppressed: DataFrame) -> DataFrame:
     return marked.agg(F.count(F.lit(1)).alias("members"), F.count("_s").alias("suppressed"), F.count_if(F.col("_s").isNull()).alias("sendable"))
 
 
-def attributed(calls: DataFrame, holds: DataFrame, slot_seconds: int = 3600) -> DataFrame:
+#: Lengths of slots in seconds, short holds first: a hold lies in slots of the first length of which it meets at most MOST_SLOTS.
+SLOTS = (3600, 86_400, 30 * 86_400, 3650 * 86_400)
+MOST_SLOTS = 26
+
+
+def attributed(calls: DataFrame, holds: DataFrame) -> DataFrame:
     """Each call (number, ts) with the visitor that held its number then; of several, the latest to take it.
 
-    Both sides meet by number and slot of time, so that a call meets the holds of its slot and not all of its number.
+    Both sides meet by number and slot of time, so that a call meets the holds of its slots and not all of its number.  Long holds
+    lie in longer slots, and a call asks for its slot of each length.
     """
     keys = [c for c in calls.columns]
-    slot = lambda t: F.floor(F.unix_timestamp(t) / slot_seconds)
-    spread = holds.select(F.col("number").alias("_number"), "visitor", "held_from", "held_to", F.explode(F.sequence(slot("held_from"), slot("held_to"))).alias("_at"))
-    same = (F.col("number") == F.col("_number")) & (F.col("_slot") == F.col("_at")) & (F.col("ts") >= F.col("held_from")) & (F.col("ts") < F.col("held_to"))
-    joined = calls.withColumn("_slot", slot("ts")).join(spread, same, "left")
+    slot = lambda t, width: F.floor(F.unix_timestamp(t) / width)
+    meets = lambda width: slot("held_to", width) - slot("held_from", width) < MOST_SLOTS
+    width = F.coalesce(*[F.when(meets(w), F.lit(w)) for w in SLOTS[:-1]], F.lit(SLOTS[-1]))
+    sized = holds.filter("held_to > held_from").withColumn("_wide", width)
+    spread = sized.select(F.col("number").alias("_number"), "visitor", "held_from", "held_to", "_wide", F.explode(F.sequence(slot("held_from", F.col("_wide")), slot("held_to", F.col("_wide")))).alias("_at"))
+    asked = calls.withColumn("_width", F.explode(F.array(*map(F.lit, SLOTS))))
+    same = (F.col("number") == F.col("_number")) & (F.col("_width") == F.col("_wide")) & (F.col("_slot") == F.col("_at")) & (F.col("ts") >= F.col("held_from")) & (F.col("ts") < F.col("held_to"))
+    joined = asked.withColumn("_slot", slot("ts", F.col("_width"))).join(spread, same, "left")
     return joined.groupBy(*keys).agg(F.max_by("visitor", "held_from").alias("visitor"))
 
 

@@ -32,6 +32,16 @@ def _narrowed(counts: DataFrame, wanted: DataFrame, names: list[str], slices: in
     return held.select(*names, "rank", (F.col("upto") - F.col("n")).alias("below"), F.col("least").alias("low"), F.col("most").alias("high"))
 
 
+def _values(counts: DataFrame, wanted: DataFrame, names: list[str], slices: int) -> DataFrame:
+    """names, rank and v: the value at each rank wanted (names, rank, low, high), from different values v and their counts n."""
+    wanted = wanted.select(*names, "rank", "low", "high", F.lit(0).cast("long").alias("below"))
+    for _ in range(ROUNDS):
+        wanted = _narrowed(counts, wanted, names, slices)
+    left = _same(counts, wanted, names).filter(F.col("v").between(F.col("low"), F.col("high")))
+    upto = F.sum("n").over(W.partitionBy(*names, "rank").orderBy("v")) + F.col("below")
+    return left.withColumn("upto", upto).filter(F.col("upto") > F.col("rank")).groupBy(*names, "rank").agg(F.min("v").alias("v"))
+
+
 def percentiles(rows: DataFrame, names: list[str], value: Column, p: float, slices: int = SLICES) -> DataFrame:
     """names and value: the exact p-quantile of each group's numbers, between its two nearest ranks; null without a number.
 
@@ -44,13 +54,7 @@ def percentiles(rows: DataFrame, names: list[str], value: Column, p: float, slic
     counts = rows.select(*names, value.cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)").groupBy(*names, "v").agg(F.count(F.lit(1)).alias("n"))
     place = F.lit(float(p)) * (F.col("rows") - 1)
     ends = counts.groupBy(*names).agg(F.sum("n").alias("rows"), F.min("v").alias("low"), F.max("v").alias("high")).withColumn("at", place)
-    both = F.array_distinct(F.array(F.floor("at"), F.ceil("at")))
-    wanted = ends.select(*names, "low", "high", F.explode(both).alias("rank"), F.lit(0).cast("long").alias("below"))
-    for _ in range(ROUNDS):
-        wanted = _narrowed(counts, wanted, names, slices)
-    left = _same(counts, wanted, names).filter(F.col("v").between(F.col("low"), F.col("high")))
-    upto = F.sum("n").over(W.partitionBy(*names, "rank").orderBy("v")) + F.col("below")
-    hit = left.withColumn("upto", upto).filter(F.col("upto") > F.col("rank")).groupBy(*names, "rank").agg(F.min("v").alias("v"))
+    hit = _values(counts, ends.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))), names, slices)
     two = hit.groupBy(*names).agg(F.min_by("v", "rank").alias("one"), F.max_by("v", "rank").alias("two"))
     share = F.col("at") - F.floor("at")
     found = _same(ends.select(*names, "at"), two, names).select(*names, (F.col("one") + (F.col("two") - F.col("one")) * share).alias("value"))
@@ -58,6 +62,15 @@ def percentiles(rows: DataFrame, names: list[str], value: Column, p: float, slic
     return _same(every, found, names, "left").select(*names, F.round("value", 4).alias("value"))
 
 
+def at_share(counts: DataFrame, ends: DataFrame, share: float, slices: int = SLICES) -> DataFrame:
+    """One row v: the smallest value that so large a share of all rows does not exceed.
+
+    counts are the different values v and how many rows n have each, ends their one row of rows, low and high.
+    """
+    wanted = ends.select(F.lit(0).alias("_all"), (F.ceil(F.lit(float(share)) * F.col("rows")) - 1).alias("rank"), "low", "high")
+    return _values(counts.select(F.lit(0).alias("_all"), "v", "n"), wanted, ["_all"], slices).select("v")
+
+
 def page(rows: DataFrame, keys: list[str], size: int, after: tuple | None = None) -> DataFrame:
     """The next rows in descending order of the keys after a row's keys, with `more`: whether others follow.
 

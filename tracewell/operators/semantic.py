@@ -91,22 +91,39 @@ def reach(contacts: DataFrame, limit: int) -> DataFrame:
     return out.orderBy(F.desc("people"), "doc_id").limit(limit)
 
 
-def judge(evidence: DataFrame, predicate: Callable[[str], float], threshold: float = 0.7) -> DataFrame:
-    """(passport_id, confidence) of those whose evidence the predicate finds likely; no evidence is no call, an error is a no."""
+def judged(evidence: DataFrame, predicate: Callable[[str], float]) -> DataFrame:
+    """(passport_id, confidence, failed) of everybody with evidence; where the predicate raises, confidence is 0 and failed says why."""
 
     def run(frames):
         for frame in frames:
             frame = frame[frame["evidence"].notna() & (frame["evidence"] != "")]
-            scores = []
+            scores, faults = [], []
             for text in frame["evidence"]:
                 try:
                     scores.append(float(predicate(text)))
-                except Exception:  # noqa: BLE001 - a judge that fails does not pass anybody
+                    faults.append(None)
+                except Exception as fault:  # noqa: BLE001 - a judge that fails does not pass anybody
                     scores.append(0.0)
-            out = pd.DataFrame({"passport_id": frame["passport_id"].astype("int64"), "confidence": pd.Series(scores, index=frame.index, dtype="float64")})
-            yield out[out["confidence"] >= threshold]
+                    faults.append(f"{type(fault).__name__}: {fault}")
+            columns = {"passport_id": frame["passport_id"].astype("int64"), "confidence": pd.Series(scores, index=frame.index, dtype="float64"), "failed": pd.Series(faults, index=frame.index, dtype="object")}
+            yield pd.DataFrame(columns)
+
+    return evidence.select("passport_id", "evidence").mapInPandas(run, "passport_id long, confidence double, failed string")
+
+
+def judge(evidence: DataFrame, predicate: Callable[[str], float], threshold: float = 0.7) -> DataFrame:
+    """(passport_id, confidence) of those whose evidence the predicate finds likely; no evidence is no call, an error is a no."""
+    return judged(evidence, predicate).filter(F.col("confidence") >= threshold).select("passport_id", "confidence")
+
 
-    return evidence.select("passport_id", "evidence").mapInPandas(run, "passport_id long, confidence double")
+def projected(survivors: DataFrame, evidence: DataFrame, predicate: Callable[[str], float], threshold: float = 0.7, sample: int = 20) -> DataFrame:
+    """(sampled, matches, rate, projected, failed): what the judge says of the first survivors, carried over to all of them."""
+    some = survivors.select("passport_id").distinct().orderBy("passport_id").limit(sample)
+    found = judged(evidence.join(F.broadcast(some), "passport_id", "left_semi"), predicate)  # `sample` rows
+    told = found.agg(F.count_if(F.col("confidence") >= threshold).alias("matches"), F.count("failed").alias("failed"))
+    sizes = survivors.agg(F.count_distinct("passport_id").alias("_all")).withColumn("sampled", F.least("_all", F.lit(sample)))
+    rate = F.when(F.col("sampled") > 0, F.col("matches") / F.col("sampled")).otherwise(0.0)
+    return sizes.join(F.broadcast(told)).select("sampled", "matches", F.round(rate, 4).alias("rate"), F.round(rate * F.col("_all"), 0).cast("long").alias("projected"), "failed")  # one row each
 
 
 def preview(survivors: DataFrame, confirm_cap: int = 5000, sample: int = 20) -> DataFrame:

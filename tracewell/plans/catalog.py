@@ -323,7 +323,8 @@ def histogram_bins(spark, sf_dir):
   g AS (SELECT unnest(range(n)) AS i, f, st, n FROM q), v AS (SELECT least(CAST(floor((c_acctbal - f) / st) AS BIGINT), n - 1) AS i FROM customer, q)
   SELECT CAST(round(f + g.i * st, 6) AS DOUBLE) AS lo, CAST(round(f + (g.i + 1) * st, 6) AS DOUBLE) AS hi, count(v.i) AS value FROM g LEFT JOIN v USING (i) GROUP BY f, st, g.i""")
 def histogram(spark, sf_dir):
-    return composition.histogram(composition.fact_numbers(model(spark, sf_dir).facts, "acctbal"))
+    held = fact_store(spark, sf_dir).current("acctbal")
+    return composition.histogram(held.filter("num IS NOT NULL").select(F.col("num").alias("v")))
 
 
 @query(f"WITH {ORD} SELECT count(*) AS n, round(corr(c_acctbal, tot), 4) AS r, round(min(c_acctbal), 4) AS x_low, round(max(c_acctbal), 4) AS x_high, round(min(tot), 4) AS y_low, round(max(tot), 4) AS y_high FROM cur JOIN customer ON c_custkey = passport_id")
@@ -541,7 +542,7 @@ def chunk_text(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(exprs.sentences_to_chunks(F.col("text"))).alias("chunk_index", "chunk_text"))
 
 
-@query()
+@query(f"WITH {CT}, e AS (SELECT passport_id, arg_max(text, row(ts, id)) AS evidence FROM ct JOIN documents USING (doc_id) WHERE doc_id IN (SELECT vec_id FROM embeddings) GROUP BY 1) SELECT passport_id, least(1.0::DOUBLE, length(evidence) / 2000.0::DOUBLE) AS confidence FROM e WHERE length(evidence) >= 1400")
 def judge_stub(spark, sf_dir):
     m = model(spark, sf_dir)
     evidence = _contacts(m).join(m.chunks.select("doc_id", "chunk_text"), "doc_id").groupBy("passport_id").agg(F.max_by("chunk_text", F.struct("ts", "id")).alias("evidence"))
@@ -1070,6 +1071,18 @@ def funnel_tree_step(spark, sf_dir):
     return cohort.funnel(world(spark, sf_dir), steps)[-1].select("passport_id")
 
 
+@query(f"WITH {EV} SELECT channel AS bucket, count(*) AS value, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM ev), 0) AS percent FROM ev GROUP BY 1")
+def channel_shares(spark, sf_dir):
+    return composition.shares(metrics.group(model(spark, sf_dir).events, {"count": {}}, "channel", EVENT_NOW))
+
+
+@query(f"WITH {EV}, {_A}, s AS (SELECT passport_id FROM a ORDER BY 1 LIMIT 20), d AS (SELECT count(*) AS m FROM customer WHERE c_custkey IN (SELECT passport_id FROM s) AND length(c_mktsegment) >= 9 AND c_acctbal > 0) SELECT least((SELECT count(*) FROM a), 20) AS sampled, m AS matches, round(m / least((SELECT count(*) FROM a), 20), 4) AS rate, CAST(round(m / least((SELECT count(*) FROM a), 20) * (SELECT count(*) FROM a), 0) AS BIGINT) AS projected, (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT passport_id FROM s) AND c_acctbal <= 0) AS failed FROM d")
+def judge_projected(spark, sf_dir):
+    evidence = model(spark, sf_dir).table("customer").select(F.col("c_custkey").alias("passport_id"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise("?").alias("evidence"))
+    survivors = cohort.evaluate(world(spark, sf_dir), TREE[0])
+    return semantic.projected(survivors, evidence, lambda text: len(text) / 10 if text != "?" else 1 / 0, threshold=0.9)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
