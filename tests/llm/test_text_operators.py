@@ -301,6 +301,21 @@ def test_long_broken_pages_take_linear_time(part):
     assert time.process_time() - began < 20
 
 
+@pytest.mark.parametrize("n", [5000, 40_000])
+def test_items_below_unclosed_elements_take_linear_time(n):
+    began = time.process_time()
+    extract.main_text("<li><ul>" + "<b>" * n + "<li></li>" * n)
+    assert time.process_time() - began < 5
+
+
+def test_links_of_an_article_and_short_pages_stay():
+    around = "<nav><ul><li><a href=n>Menu</a></li></ul></nav>"
+    article = "<article><p>Some text that stands in an article and is long enough to be seen.</p><ul><li><a href=x>Link one</a></li><li><a href=y>Link two</a></li></ul></article>"
+    assert extract.main_text(around + article) == "Some text that stands in an article and is long enough to be seen.\nLink one\nLink two"
+    assert extract.main_text("<div><p>One.</p></div>") == "One." and extract.main_text("<article><p>One.</p></article>" + around) == "One."
+    assert extract.main_text(around + "<div class=sidebar>Two.</div>") == ""
+
+
 def test_language_id_without_labelled_letters(spark):
     rows = [(1, "12 34", "de"), (2, "ein Wort", None), (3, None, None), (None, "7", "en")]
     got = langid.identify(table(spark, rows)).collect()

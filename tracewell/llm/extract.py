@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter, deque
-from collections.abc import Callable, Iterator
+from collections import Counter, defaultdict, deque
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -47,6 +47,7 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 INSIDE_CONTENT, INSIDE_BOILERPLATE, OUTSIDE_CONTENT = 3.0, -5.0, -3.5
 HEADER_OUTSIDE, CONTENT_NAME = -2.5, 1.0
 PER_WORD, MOST_WORDS, LINKED, SENTENCE, BIAS, HEADING = 0.08, 40, -5.0, 1.0, -1.5, 1.5
+LINKED_INSIDE = -1.0  # in a clear article links are part of it
 NEAR, SAME_PARENT, SAME_ABOVE = 0.3, 0.6, 0.3
 
 _OPENS = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--|!\[CDATA\[|[!?]))")
@@ -145,7 +146,7 @@ def blocks_of(page: str) -> list[Block]:
     root = Element("", 0, 0, 0, False, False, False, False)
     root.block = root
     stack, out, number = [root], [], 0
-    opened: Counter[str] = Counter()
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where on the stack the open elements of a tag are
     around: dict[int, int] = {}  # of each suspect the next one around it
     endless: set[str] = set()
     parts: list[str] = []
@@ -161,11 +162,12 @@ def blocks_of(page: str) -> list[Block]:
         linked = 0
 
     def pop_to(k: int) -> None:
-        opened.subtract(e.tag for e in stack[k:])
+        for e in stack[k:]:
+            places[e.tag].pop()
         del stack[k:]
 
-    def innermost(stop: Callable[[str], bool]) -> int:
-        return next((k for k in range(len(stack) - 1, 0, -1) if stop(stack[k].tag)), 0)
+    def innermost(tags: Iterable[str]) -> int:
+        return max((places[x][-1] for x in tags if places[x]), default=0)
 
     at = 0
     for start, after, slash, tag, attributes in tokens(page):
@@ -173,15 +175,15 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if start > at:
             parts.append(page[at:start])
-            linked += (opened["a"] > 0) * (start - at)
+            linked += bool(places["a"]) * (start - at)
         at = after
         if not tag:
             continue
         if slash:
             if tag in BLOCKS:
                 flush()
-            if opened[tag]:
-                pop_to(innermost(tag.__eq__))
+            if places[tag]:
+                pop_to(places[tag][-1])
             continue
         if tag in RAW or tag in SILENT:
             if not attributes.rstrip().endswith("/") or tag in RAW:
@@ -193,15 +195,12 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(" ")
         if tag in BLOCKS:
             flush()
-            if opened["p"]:
-                k = innermost(BLOCKS.__contains__)
-                if stack[k].tag == "p":
-                    pop_to(k)
-        if any(opened[x] for x in CLOSES.get(tag, ())):
-            k = innermost(lambda x, tag=tag: x in SCOPES[tag] or x in CLOSES[tag])
-            if stack[k].tag in CLOSES[tag]:
-                flush()
-                pop_to(k)
+            if stack[-1].block.tag == "p":
+                pop_to(places["p"][-1])
+        k = innermost(CLOSES.get(tag, ()))
+        if k > innermost(SCOPES.get(tag, ())):
+            flush()
+            pop_to(k)
         if tag in VOID:
             continue
         number += 1
@@ -211,8 +210,8 @@ def blocks_of(page: str) -> list[Block]:
             around[number] = top.suspect
         own = Element(tag, number, top.number, top.depth + 1, good or top.good, bad or top.bad, header or top.header, named or top.named, top.parent, number if suspect else top.suspect)
         own.block = own if tag in BLOCKS else top.block
+        places[tag].append(len(stack))
         stack.append(own)
-        opened[tag] += 1
     parts.append(page[at:])
     flush()
     inside = Counter()
@@ -235,12 +234,13 @@ def _raw_end(tag: str) -> re.Pattern[str]:
 
 
 def scores(blocks: list[Block]) -> list[float]:
-    """The classifier: positive for content."""
+    """The classifier: positive for content.  A page that marks no article has no bias against what is short."""
     framed = any(b.good and not b.bad for b in blocks)
     out = []
     for b in blocks:
         words = b.text.count(" ") + 1
-        score = BIAS + PER_WORD * min(words, MOST_WORDS) + LINKED * min(1.0, b.linked / max(1, len(b.text))) + SENTENCE * (b.text[-1] in ".!?…\"”»")
+        links = LINKED_INSIDE if b.good and not b.bad else LINKED
+        score = BIAS * framed + PER_WORD * min(words, MOST_WORDS) + links * min(1.0, b.linked / max(1, len(b.text))) + SENTENCE * (b.text[-1] in ".!?…\"”»")
         score += HEADING * (b.tag in ("h1", "h2", "h3")) + CONTENT_NAME * b.named
         score += INSIDE_BOILERPLATE * b.bad + INSIDE_CONTENT * (b.good and not b.bad) + OUTSIDE_CONTENT * (framed and not b.good) + HEADER_OUTSIDE * (b.header and not b.good)
         out.append(score)
