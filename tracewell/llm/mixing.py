@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK_TOKENS = 8
+#: The finest block, so that a source of a few words comes as near its target as a large one; blocks are counted, never rows of their own.
+BLOCK_TOKENS = 1
 SHARDS = 8
 SLICES = 256
 SHARE = 1.5
@@ -55,17 +56,16 @@ def water_fill(sources: DataFrame, share: float = SHARE, cap: float = CAP, weigh
 def quotas(targets: DataFrame, block_tokens: int = BLOCK_TOKENS, n_shards: int = SHARDS, cap: float = CAP) -> DataFrame:
     """Blocks of each source for each shard: rows (shard, source, source_size, target, blocks, blocks_before).
 
-    Only seats near target / block are contested: with n sources, a quotient ranking moves no source by
-    more than n / 2 seats from its rounded share, so n + 2 candidates for each source decide it exactly.
+    With n sources the shares rounded at the divisor sum / (seats + n / 2) are too many together, those at sum / (seats - n / 2)
+    too few.  Only the seats between these two are contested, some 2n of all sources together, and are ranked by quotient.
     The last block that a source can give, at cap times its size, may be a part of one.
     """
     all_rows = W.partitionBy()
     seats = targets.withColumns({"_n": F.count(F.lit(1)).over(all_rows), "_sum": F.sum("target").over(all_rows)})
     seats = seats.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
     seats = seats.withColumn("_seats", F.round(F.col("_sum") / block_tokens * (F.col("shard") + 1) / n_shards).cast("long"))
-    fair = F.floor(F.when(F.col("_sum") > 0, F.col("target") * F.col("_seats") / F.col("_sum")).otherwise(0.0) + 0.5)
-    half = F.floor(F.col("_n") / 2) + 1
-    seats = seats.withColumn("_base", F.greatest(F.lit(0), fair - half)).withColumn("_top", fair + half)
+    rounded = lambda seats: F.floor(F.when(F.col("_sum") > 0, F.col("target") * F.greatest(F.lit(0.0), seats) / F.col("_sum")).otherwise(0.0) + 0.5)
+    seats = seats.withColumns({"_base": F.greatest(F.lit(0), rounded(F.col("_seats") - F.col("_n") / 2) - 1), "_top": rounded(F.col("_seats") + F.col("_n") / 2)})
     by_shard = W.partitionBy("shard")
     left = seats.withColumn("_left", F.col("_seats") - F.sum("_base").over(by_shard))
     ranked = left.withColumn("_seat", F.explode(F.sequence(F.col("_base"), F.col("_top")))).withColumn("_place", F.row_number().over(by_shard.orderBy((F.col("target") / (2 * F.col("_seat") + 1)).desc(), F.col("source").asc_nulls_last())))

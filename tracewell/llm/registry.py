@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, byte_bpe, exact_dedup, extract, jaccard, langid, mixing, periodic, quality, resampling, scoring, sharding, substring
-from .session import table
+from .session import Tables, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
+    sized = Tables(spark).write(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")))  # read three times; texts are scanned once
     return mixing.mix_sources(sized, F.col("words")).select("doc_id", "size", "source_size", "target", "taken", "source", "shard_taken")
 
 
