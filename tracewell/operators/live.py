@@ -113,3 +113,13 @@ def recent(rows: DataFrame, limit: int = 50, kind: str | None = None, prefix: st
     if passport_id is not None:
         rows = rows.filter(F.col("passport_id") == passport_id)
     return rows.orderBy(F.desc("occurred_at"), F.desc("id")).limit(limit)
+
+
+def counts_by_type(rows: DataFrame, since: str | None = None, passport_id: int | None = None) -> DataFrame:
+    """(type, recorded_direction, recorded_channel, n): the two facets as events recorded them under data in their JSON; many record none."""
+    if since is not None:
+        rows = rows.filter(F.col("occurred_at") >= F.lit(since).cast("timestamp"))
+    if passport_id is not None:
+        rows = rows.filter(F.col("passport_id") == passport_id)
+    facets = [F.get_json_object("meta", f"$.data.{c}").alias(f"recorded_{c}") for c in ("direction", "channel")]
+    return rows.groupBy("type", *facets).agg(F.count(F.lit(1)).alias("n"))

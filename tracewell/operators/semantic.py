@@ -56,14 +56,21 @@ def population(chunks: DataFrame, contacts: DataFrame, query: list[float], k: in
     return contacts.join(F.broadcast(near), "doc_id").groupBy("doc_id").agg(F.count_distinct("passport_id").alias("people"), F.round(F.max("sim"), 4).alias("sim"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("latest"))
 
 
-def recall(chunks: DataFrame, contacts: DataFrame, passport_id: int, query: list[float], k: int, floor: float = -1.0) -> DataFrame:
+def recall(chunks: DataFrame, contacts: DataFrame, passport_id: int, query: list[float], k: int, floor: float = -1.0, sessions: DataFrame | None = None) -> DataFrame:
     """(doc_id, sim, rank_score) of one person's content: the latest contact with each, ranked by similarity and engagement.
 
-    Contacts have an engagement from 0 to 1; one without counts as 1.
+    Contacts have an engagement from 0 to 1; one without counts as 1.  With sessions (session_id, utm_source) also the campaign of the
+    session of that contact (contacts then have session_id).
     """
-    own = contacts.filter(F.col("passport_id") == passport_id).groupBy("doc_id").agg(F.max_by("engagement", F.struct("ts", "id")).alias("engagement"))
+    latest = F.struct("ts", "id")
+    of = [F.max_by("engagement", latest).alias("engagement")] + ([] if sessions is None else [F.max_by("session_id", latest).alias("session_id")])
+    own = contacts.filter(F.col("passport_id") == passport_id).groupBy("doc_id").agg(*of)
     scored = similar(chunks.join(own, "doc_id"), query, floor).withColumn("rank_score", exprs.engagement_blend(F.col("sim"), F.coalesce("engagement", F.lit(1.0))))
-    return scored.orderBy(F.desc("rank_score"), "doc_id").limit(k).select("doc_id", F.round("sim", 4).alias("sim"), F.round("rank_score", 4).alias("rank_score"))
+    best = scored.orderBy(F.desc("rank_score"), "doc_id").limit(k)
+    shown = ["doc_id", F.round("sim", 4).alias("sim"), F.round("rank_score", 4).alias("rank_score")]
+    if sessions is None:
+        return best.select(*shown)
+    return best.join(sessions.select("session_id", "utm_source"), "session_id", "left").select(*shown, "utm_source")
 
 
 def knowledge(chunks: DataFrame, contacts: DataFrame, query: list[float] | None = None, passport_id: int | None = None, cohort: DataFrame | None = None, k: int = 20, floor: float = 0.3, candidates: int = 2000) -> DataFrame:

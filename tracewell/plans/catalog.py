@@ -1083,6 +1083,45 @@ def judge_projected(spark, sf_dir):
     return semantic.projected(survivors, evidence, lambda text: len(text) / 10 if text != "?" else 1 / 0, threshold=0.9)
 
 
+@query(f"WITH {VIS}, z AS (SELECT session_id, arg_min_null(utm_source, row(ts, id)) AS utm_source FROM vis GROUP BY 1) SELECT id, vis.channel, vis.session_id, z.utm_source FROM vis JOIN z USING (session_id) WHERE passport_id = 7 AND channel IN ('web', 'mail') AND ts >= TIMESTAMP '2024-01-05'")
+def timeline_sessions(spark, sf_dir):
+    visits = model(spark, sf_dir).visits()
+    rows = sessions.timeline(visits, sessions.session_rows(visits), 7, since="2024-01-05", channels=["web", "mail"])
+    return rows.select("id", "channel", "session_id", "utm_source")
+
+
+@query(f"WITH {VIS} SELECT session_id, passport_id, strftime(min(ts), '{DAY}') AS started_at, strftime(max(ts), '{DAY}') AS last_activity_at, count(*) AS events, arg_min_null(utm_source, row(ts, id)) AS utm_source FROM vis GROUP BY 1, 2")
+def session_table(spark, sf_dir):
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return sessions.session_rows(model(spark, sf_dir).visits()).select("session_id", "passport_id", stamp("started_at"), stamp("last_activity_at"), "events", "utm_source")
+
+
+@query(f"WITH {CLASSED} SELECT type, CASE WHEN type LIKE 'mail.%' THEN direction END AS recorded_direction, CASE WHEN type = 'mail.clicked' THEN channel END AS recorded_channel, count(*) AS n FROM cl WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ALL")
+def registry_recorded(spark, sf_dir):
+    rows = _classified(spark, sf_dir)
+    said = F.struct(F.when(F.startswith("type", F.lit("mail.")), F.col("direction")).alias("direction"), F.when(F.col("type") == "mail.clicked", F.col("channel")).alias("channel"))
+    return live.counts_by_type(rows.withColumn("meta", F.to_json(F.struct(said.alias("data")))), since="2024-01-10")
+
+
+@query(f"WITH {EV} SELECT c_mktsegment AS name, strftime(ts, '%G-W%V') AS bucket, round(quantile_cont(a_value, 0.5), 4) AS value FROM ev JOIN customer ON c_custkey = passport_id WHERE {BOUGHT} AND c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1, 2")
+def compare_split_median(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return composition.split_series(m.events, {**PURCHASES, "median": {"field": "value"}}, m.facts, "segment", ["BUILDING", "MACHINERY"], "week", EVENT_NOW)
+
+
+@query(f"WITH {CH}, {VIS}, ne AS (SELECT count(*) AS n FROM embeddings), o AS (SELECT id % n AS doc_id, arg_max_null(CASE source WHEN 'text' THEN dwell_ms / 600.0::DOUBLE END, row(ts, id)) AS d, arg_max(session_id, row(ts, id)) AS session_id FROM vis CROSS JOIN ne WHERE passport_id = 7 GROUP BY 1), z AS (SELECT session_id, arg_min_null(utm_source, row(ts, id)) AS utm_source FROM vis GROUP BY 1) SELECT doc_id, round(sim, 4) AS sim, round(sim * (0.4 + 0.6 * coalesce(d, 1)), 4) AS rank_score, z.utm_source FROM ch JOIN o USING (doc_id) LEFT JOIN z USING (session_id) ORDER BY sim * (0.4 + 0.6 * coalesce(d, 1)) DESC, doc_id LIMIT 10")
+def recall_sessions(spark, sf_dir):
+    m = model(spark, sf_dir)
+    visits = m.visits()
+    n = m.table("embeddings").count()
+    contacts = visits.withColumns({"doc_id": F.col("id") % n, "engagement": F.when(F.col("source") == "text", F.col("dwell_ms") / 600.0)})
+    return semantic.recall(m.chunks, contacts, 7, _query_vector(m), 10, sessions=sessions.session_rows(visits))
+
+
+_cohort("fact_date_gte", {"fact": {"first_purchase_at": {"gte": "2024-01-03", "lt": "2024-01-05T12:00:00"}}}, f"WITH {EV}, {ANCH} SELECT passport_id, strftime(a, '{DAY}') AS matched_at FROM anch WHERE a >= TIMESTAMP '2024-01-03' AND a < TIMESTAMP '2024-01-05 12:00:00'")
+_cohort("fact_text_gt", {"fact": {"order_priority": {"gt": "3-MEDIUM"}}}, _CURRENT + "pri > '3-MEDIUM'", ORDER_NOW)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

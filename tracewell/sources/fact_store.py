@@ -35,7 +35,9 @@ class FactStore:
     """A fact log with its current values in a folder that all executors reach.
 
     Rows are (passport_id, key, value, observed_at) and, where they have them, id, type, num, at, source and external_id.  Of
-    several rows of one instant the one with the larger id is newer; rows without ids get one in the order of writing.
+    several rows of one instant the one with the larger id is newer; rows without ids get one in the order of writing.  A key's
+    current values lie in `buckets` parts by passport, so that a small write reads and writes little; choose as many as make parts
+    of some hundred megabytes.  rewrite() puts the log's writes together.
     """
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS) -> None:
@@ -147,7 +149,7 @@ class FactStore:
             rows = fact_ops.news(rows, self.current())
         if state.get("named"):
             rows = self._settled(rows, resolve)
-        rows.write.mode("overwrite").partitionBy("key").parquet(f"{self.folder}/log/v={n}")
+        rows.hint("rebalance", "key").write.mode("overwrite").partitionBy("key").parquet(f"{self.folder}/log/v={n}")  # few files, and a frequent key in several
         written = self._read("log", [n])
         named = bool(state.get("named")) or not written.filter("external_id IS NOT NULL").isEmpty()
         replaced = bool(state.get("replaced")) or (named and resolve == "replace")
@@ -183,7 +185,7 @@ class FactStore:
             rows = rows.unionByName(self._current(held).select(*COLUMNS, "bucket"))
         row = F.struct(*[c for c in FIELDS if c != "passport_id"])
         newest = rows.groupBy("passport_id", "key", "bucket").agg(F.max_by(row, F.struct("observed_at", "id")).alias("r")).select("passport_id", "key", "bucket", "r.*")
-        newest.write.mode("overwrite").partitionBy("key", "bucket").parquet(f"{self.folder}/current/v={n}")
+        newest.hint("rebalance", "key", "bucket").write.mode("overwrite").partitionBy("key", "bucket").parquet(f"{self.folder}/current/v={n}")
         for k, b in touched:
             current.setdefault(k, {})[str(b)] = n
         state["current"] = current
@@ -229,7 +231,7 @@ class FactStore:
         """Put rows in the place of the whole log and derive the current values from them."""
         state = self.state()
         n = state["n"] + 1
-        rows.select(COLUMNS).write.mode("overwrite").partitionBy("key").parquet(f"{self.folder}/log/v={n}")
+        rows.select(COLUMNS).hint("rebalance", "key").write.mode("overwrite").partitionBy("key").parquet(f"{self.folder}/log/v={n}")
         made = {**state, "log": [n], "current": {}, "replaced": False}
         self._fold(made, n, self._read("log", [n]), keep=False)
         self._done(made, n, None, "")
