@@ -320,3 +320,20 @@ def test_language_id_without_labelled_letters(spark):
     rows = [(1, "12 34", "de"), (2, "ein Wort", None), (3, None, None), (None, "7", "en")]
     got = langid.identify(table(spark, rows)).collect()
     assert len(got) == 4 and {r["lang_pred"] for r in got} == {"und"} and {r["score"] for r in got} == {0.0}
+
+
+def test_nearest_centroids_by_hand():
+    """Predictions and scores against cosines computed one by one from the model's own tables."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["abc", "bcd", "cab"] if k % 2 else ["xyz", "yzx", "zzx"]) for _ in range(rng.randrange(3, 40))) for k in range(60)]
+    model = langid.fit(texts, ["b" if k % 2 else "a" for k in range(60)])
+    some = texts[:20] + ["abc xyz " * 9, "qqq", "x"]
+    tf, n = (np.concatenate(x) for x in zip(*[langid.vectors(s.data, s.offsets) for s in slices(pa.array(some))], strict=True))
+    lang, score, _ = model.predict(tf, n)
+    for i in range(len(some)):
+        x = [float(v) for v in tf[i] * model.idf]
+        norm = math.sqrt(sum(v * v for v in x)) or 1.0
+        cos = [sum(a * float(b) for a, b in zip(x, c, strict=True) if a) / norm for c in model.centroids]
+        assert score[i] == pytest.approx(min(1.0, max(0.0, max(cos))), abs=1e-4)
+        assert cos[int(np.argmax(cos))] - max(c for c, o in zip(cos, model.owner, strict=True) if o == lang[i]) < 1e-4
+    assert [model.languages[k] for k in lang[:20]] == ["b" if k % 2 else "a" for k in range(20)]

@@ -97,7 +97,7 @@ def _pieces(texts: list[str], rng: np.random.Generator) -> list[str]:
     """The texts, and a run of whole words of each for every length between EDGES that it exceeds."""
     out = list(texts)
     for text in texts:
-        words = text[:5000].split()
+        words = text.split()
         size = np.array([len(x.encode()) for x in words], np.int64)
         for lo, hi in zip([1, *EDGES[:-1].tolist()], EDGES.tolist(), strict=True):
             if size.sum() > hi:
@@ -129,12 +129,14 @@ def floors(model: Classifier, texts: list[str], rng: np.random.Generator, rate:
 
 
 def fit(texts: list[str], labels: list[str], per_language: int = CENTROIDS, seed: int = 5) -> Classifier:
-    """Spherical k-means within each language; floors are set on one text in OUTSIDE, which is not fitted on."""
+    """Spherical k-means within each language; floors are set on one text in OUTSIDE of each, which is not fitted on.
+
+    Where no language has that many texts there is none, and all are used for both.
+    """
     languages = sorted(set(labels))
     aside = np.zeros(len(texts), bool)
-    if len(texts) >= 20 * OUTSIDE:
-        for lang in languages:
-            aside[np.flatnonzero(np.array(labels) == lang)[OUTSIDE - 1 :: OUTSIDE]] = True
+    for lang in languages:
+        aside[np.flatnonzero(np.array(labels) == lang)[OUTSIDE - 1 :: OUTSIDE]] = True
     outside = [t for t, out in zip(texts, aside, strict=True) if out] or texts
     texts, labels = ([x for x, out in zip(xs, aside, strict=True) if not out] for xs in (texts, labels))
     parts = [vectors(s.data, s.offsets) for s in slices(pa.array(texts, pa.string()), SLICE)]
