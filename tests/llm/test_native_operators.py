@@ -199,3 +199,35 @@ def test_pipeline_stages(spark):
             assert len(low) == len(set(low))
     assert seen[1] >= 0.98 * seen[0] and seen[2] <= seen[1] and seen[3] <= seen[2] and seen[4] == seen[5]
     assert corpus_pipeline.run(spark, DATA).count() == seen[5]
+
+
+@pytest.mark.parametrize("rows_a_task", [1 << 22, 9])
+def test_shards_by_plain_code(spark, rows_a_task):
+    """The same matrix, the same hashes, dealt and numbered row by row."""
+    rows = [(i if i % 3 else None, f"t{i % 50}", i % 7) for i in range(400)] + [(5, "same", 1)] * 12 + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    n_shards, seed = 6, 17
+    parts = max(8, -(-len(rows) // rows_a_task))
+    hashes = [F.xxhash64(F.lit(seed + k), "doc_id", F.struct("doc_id", "text", "k"), *([F.lit("order")] if k else [])).alias(f"h{k}") for k in range(3)]
+    known = [(r["h0"] % parts, r["h1"], r["h2"], (r["doc_id"], r["text"], r["k"])) for r in df.select("*", *hashes).collect()]
+    last = lambda row: tuple((x is not None, x) for x in row)
+    by = collections.defaultdict(list)
+    for part, first, second, row in known:
+        by[part].append((first, last(row), second, row))
+    matrix = sharding.communication_matrix([len(by[p]) for p in sorted(by)], n_shards, seed)
+    shards = collections.defaultdict(list)
+    for part, counts in zip(sorted(by), matrix, strict=True):
+        mine = iter(sorted(by[part]))
+        for shard, n in enumerate(counts):
+            shards[shard] += [(second, key, row) for _, key, second, row in (next(mine) for _ in range(n))]
+    want = sorted(((*row, shard, slot) for shard, got in shards.items() for slot, (_, _, row) in enumerate(sorted(got, key=lambda x: (x[0] % 2**64, x[1])))), key=repr)
+    for slices in (2, 16):
+        got = sharding.uniform_shards(df, n_shards, partitions=8, slices=slices, rows_a_task=rows_a_task).collect()
+        assert sorted(((r["doc_id"], r["text"], r["k"], r["shard"], r["slot"]) for r in got), key=repr) == want
+
+
+def test_shards_spread_rows_of_one_id(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    parts = df.withColumn("part", F.pmod(F.xxhash64(F.lit(17), "doc_id", F.struct("doc_id", "text")), F.lit(256))).groupBy("part").count()
+    assert parts.agg(F.max("count")).first()[0] < 60
+    assert sorted(collections.Counter(r["shard"] for r in sharding.uniform_shards(df, 7).collect()).values()) == [571, 571, 571, 571, 572, 572, 572]

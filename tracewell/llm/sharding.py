@@ -1,13 +1,14 @@
 """A uniform shuffle into shards of exact sizes, by a hypergeometric communication matrix.
 
-Rows are first dealt to source partitions by a hash of their id.  How many rows each partition owes
+Rows are first dealt to source partitions by a hash of the whole row.  How many rows each partition owes
 each shard is drawn exactly: row by row of the matrix from the multivariate hypergeometric law, so
 the matrix is distributed as under a uniform permutation of all rows.  Each partition then orders its
 rows by a seeded hash and deals them by its row of the matrix; each shard orders what it received by
-a second hash, which gives the slots.  The matrix has (partitions x shards) counts, whatever the rows.
+a second hash, which gives the slots.  Slots are numbered within (shard, slice of the hash range), with the
+sizes of the slices before it added, so no task sorts a whole shard.
 
-Slots are numbered within (shard, slice of the hash range), with the sizes of the slices before it
-added, so no task sorts a whole shard.
+There are as many partitions and slices as keep each at some ROWS_A_TASK rows, and never fewer than
+PARTITIONS and SLICES; the matrix has a count for each partition and shard.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 PARTITIONS = 256
 SLICES = 16
+ROWS_A_TASK = 1 << 22
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, take: int) -> int:
@@ -71,31 +73,34 @@ def communication_matrix(counts: list[int], n_shards: int, seed: int) -> list[li
     return out
 
 
-def uniform_shards(rows: DataFrame, n_shards: int, id_col: str = "doc_id", seed: int = 17, partitions: int = PARTITIONS, slices: int = SLICES) -> DataFrame:
+def uniform_shards(rows: DataFrame, n_shards: int, id_col: str = "doc_id", seed: int = 17, partitions: int = PARTITIONS, slices: int = SLICES, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """The rows with all their columns, and shard (int, from 0) and slot (long, gapless from 0 in each shard).
 
-    Null ids share one hash and repeated ids another; their rows are told apart by all other columns,
-    and rows that are alike in every column are interchangeable.  An empty input gives no rows.
-    Input columns named shard or slot are replaced.
+    Rows are hashed by all columns, so that those with a null or repeated id are spread like others; only rows that are
+    alike in every column stay together, and are interchangeable.  Where a column is a map, which has no hash, the id alone
+    is hashed.  An empty input gives no rows.  Input columns named shard or slot are replaced.
     """
     spark = rows.sparkSession
+    n = rows.count()
+    partitions = max(partitions, -(-n // rows_a_task))
+    slices = 1 << max(1, math.ceil(math.log2(slices)), math.ceil(math.log2(max(1, n / n_shards / rows_a_task))))
     keep = [F.col(f"`{c}`") for c in rows.columns if c not in ("shard", "slot")]
     packed = rows.select(F.col(f"`{id_col}`").alias("id"), F.struct(*keep).alias("row"))  # so that no name clashes
-    order = lambda k: F.xxhash64(F.lit(seed + k), "id", F.lit("order"))
     ties = ["id"] if "map<" in packed.schema["row"].dataType.simpleString() else ["id", "row"]
-    dealt = packed.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(partitions)).cast("int"))
+    order = lambda k: F.xxhash64(F.lit(seed + k), *ties, F.lit("order"))
+    dealt = packed.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), *ties), F.lit(partitions)).cast("int"))
     by_part = dict(dealt.groupBy("part").count().collect())  # at most `partitions` rows
     parts = sorted(by_part)
     matrix = communication_matrix([by_part[p] for p in parts], n_shards, seed)
     bounds = [(p, list(accumulate(row))) for p, row in zip(parts, matrix, strict=True)]
-    bounds_df = spark.createDataFrame(bounds, "part int, bounds array<long>")  # partitions x shards counts: fixed size
+    bounds_df = spark.createDataFrame(bounds, "part int, bounds array<long>")  # a row of shards counts for each partition
     local = W.partitionBy("part").orderBy(order(1), *ties)
     placed = (
         dealt.withColumn("rank", F.row_number().over(local).cast("long"))
         .join(F.broadcast(bounds_df), "part")
         .withColumn("shard", F.size(F.filter("bounds", lambda b: b < F.col("rank"))))
         .withColumn("order", order(2))
-        .withColumn("slice", F.shiftrightunsigned(F.col("order"), 64 - int(math.log2(slices))).cast("int"))
+        .withColumn("slice", F.shiftrightunsigned("order", 64 - int(math.log2(slices))).cast("int"))
         .select("id", "row", "shard", "order", "slice")
     )
     sizes = placed.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
@@ -104,7 +109,7 @@ def uniform_shards(rows: DataFrame, n_shards: int, id_col: str = "doc_id", seed:
     within = W.partitionBy("shard", "slice").orderBy("order", *ties)
     return (
         placed.withColumn("at", F.row_number().over(within) - 1)
-        .join(F.broadcast(offsets), ["shard", "slice"])  # shards x slices rows: fixed size
+        .join(F.broadcast(offsets), ["shard", "slice"])  # a row for each shard and slice
         .select("row.*", "shard", (F.col("before") + F.col("at")).alias("slot"))
     )
 
