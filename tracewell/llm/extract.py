@@ -234,17 +234,17 @@ def _raw_end(tag: str) -> re.Pattern[str]:
 
 
 def scores(blocks: list[Block]) -> list[float]:
-    """The classifier: positive for content.  A page that marks no article has no bias against what is short."""
+    """The classifier: positive for content.  Where nothing on a page is, as on a page of one short line, there is no bias against what is short."""
     framed = any(b.good and not b.bad for b in blocks)
     out = []
     for b in blocks:
         words = b.text.count(" ") + 1
         links = LINKED_INSIDE if b.good and not b.bad else LINKED
-        score = BIAS * framed + PER_WORD * min(words, MOST_WORDS) + links * min(1.0, b.linked / max(1, len(b.text))) + SENTENCE * (b.text[-1] in ".!?…\"”»")
+        score = BIAS + PER_WORD * min(words, MOST_WORDS) + links * min(1.0, b.linked / max(1, len(b.text))) + SENTENCE * (b.text[-1] in ".!?…\"”»")
         score += HEADING * (b.tag in ("h1", "h2", "h3")) + CONTENT_NAME * b.named
         score += INSIDE_BOILERPLATE * b.bad + INSIDE_CONTENT * (b.good and not b.bad) + OUTSIDE_CONTENT * (framed and not b.good) + HEADER_OUTSIDE * (b.header and not b.good)
         out.append(score)
-    return out
+    return out if any(x > 0 for x in out) else [x - BIAS for x in out]
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
