@@ -26,20 +26,20 @@ def _narrowed(counts: DataFrame, wanted: DataFrame, names: list[str], slices: in
     inside = _same(counts, wanted, names).filter(F.col("v").between(F.col("low"), F.col("high")))
     share = (F.col("v") - F.col("low")) / (F.col("high") - F.col("low"))
     place = F.when(F.col("high") > F.col("low"), F.least(F.floor(share * slices), F.lit(slices - 1))).otherwise(0)
-    cells = inside.groupBy(*names, "rank", "below", place.alias("slice")).agg(F.sum("n").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    cells = inside.groupBy(*names, "rank", "at", "below", place.alias("slice")).agg(F.sum("n").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
     upto = F.sum("n").over(W.partitionBy(*names, "rank").orderBy("slice")) + F.col("below")  # as many rows as slices at most
     held = cells.withColumn("upto", upto).filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
-    return held.select(*names, "rank", (F.col("upto") - F.col("n")).alias("below"), F.col("least").alias("low"), F.col("most").alias("high"))
+    return held.select(*names, "rank", "at", (F.col("upto") - F.col("n")).alias("below"), F.col("least").alias("low"), F.col("most").alias("high"))
 
 
 def _values(counts: DataFrame, wanted: DataFrame, names: list[str], slices: int) -> DataFrame:
-    """names, rank and v: the value at each rank wanted (names, rank, low, high), from different values v and their counts n."""
-    wanted = wanted.select(*names, "rank", "low", "high", F.lit(0).cast("long").alias("below"))
+    """names, rank, at and v: the value at each rank wanted (names, rank, at, low, high), from different values v and their counts n."""
+    wanted = wanted.select(*names, "rank", "at", "low", "high", F.lit(0).cast("long").alias("below"))
     for _ in range(ROUNDS):
         wanted = _narrowed(counts, wanted, names, slices)
     left = _same(counts, wanted, names).filter(F.col("v").between(F.col("low"), F.col("high")))
     upto = F.sum("n").over(W.partitionBy(*names, "rank").orderBy("v")) + F.col("below")
-    return left.withColumn("upto", upto).filter(F.col("upto") > F.col("rank")).groupBy(*names, "rank").agg(F.min("v").alias("v"))
+    return left.withColumn("upto", upto).filter(F.col("upto") > F.col("rank")).groupBy(*names, "rank", "at").agg(F.min("v").alias("v"))
 
 
 def percentiles(rows: DataFrame, names: list[str], value: Column, p: float, slices: int = SLICES) -> DataFrame:
@@ -51,15 +51,16 @@ def percentiles(rows: DataFrame, names: list[str], value: Column, p: float, slic
     """
     if not 0 <= p <= 1:
         raise SpecError(f"group: a percentile lies between 0 and 1, not {p!r}")
-    counts = rows.select(*names, value.cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)").groupBy(*names, "v").agg(F.count(F.lit(1)).alias("n"))
-    place = F.lit(float(p)) * (F.col("rows") - 1)
-    ends = counts.groupBy(*names).agg(F.sum("n").alias("rows"), F.min("v").alias("low"), F.max("v").alias("high")).withColumn("at", place)
-    hit = _values(counts, ends.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))), names, slices)
-    two = hit.groupBy(*names).agg(F.min_by("v", "rank").alias("one"), F.max_by("v", "rank").alias("two"))
+    number = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    counts = rows.select(*names, number.alias("v")).groupBy(*names, "v").agg(F.count(F.lit(1)).alias("n"))
+    known = F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0))
+    ends = counts.groupBy(*names).agg(known.alias("rows"), F.min("v").alias("low"), F.max("v").alias("high")).withColumn("at", F.lit(float(p)) * (F.col("rows") - 1))
+    both = F.array_distinct(F.array(F.floor("at"), F.ceil("at")))
+    hit = _values(counts, ends.filter("rows > 0").withColumn("rank", F.explode(both)), names, slices)
     share = F.col("at") - F.floor("at")
-    found = _same(ends.select(*names, "at"), two, names).select(*names, (F.col("one") + (F.col("two") - F.col("one")) * share).alias("value"))
-    every = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-    return _same(every, found, names, "left").select(*names, F.round("value", 4).alias("value"))
+    two = hit.groupBy(*names, "at").agg(F.min_by("v", "rank").alias("one"), F.max_by("v", "rank").alias("two"))
+    found = two.select(*names, F.round(F.col("one") + (F.col("two") - F.col("one")) * share, 4).alias("value"))
+    return found.unionByName(ends.filter("rows = 0").select(*names, F.lit(None).cast("double").alias("value")))
 
 
 def at_share(counts: DataFrame, ends: DataFrame, share: float, slices: int = SLICES) -> DataFrame:
@@ -67,7 +68,7 @@ def at_share(counts: DataFrame, ends: DataFrame, share: float, slices: int = SLI
 
     counts are the different values v and how many rows n have each, ends their one row of rows, low and high.
     """
-    wanted = ends.select(F.lit(0).alias("_all"), (F.ceil(F.lit(float(share)) * F.col("rows")) - 1).alias("rank"), "low", "high")
+    wanted = ends.select(F.lit(0).alias("_all"), (F.ceil(F.lit(float(share)) * F.col("rows")) - 1).alias("rank"), F.lit(0.0).alias("at"), "low", "high")
     return _values(counts.select(F.lit(0).alias("_all"), "v", "n"), wanted, ["_all"], slices).select("v")
 
 

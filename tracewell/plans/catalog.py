@@ -167,12 +167,13 @@ _CUSTOMER = "SELECT c_custkey AS passport_id, '1995-01-01 00:00:00' AS matched_a
 
 def fact_store(spark, sf_dir: str) -> FactStore:
     """The fact log written in three batches, and its current values; made once for the tables as they are, then read."""
-    log = model(spark, sf_dir)
     files = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
     tables = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(files)
     known = sorted(f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in tables)
     store = FactStore(spark, f"{shared_folder(spark)}/facts-{hashlib.sha256(' '.join(known).encode()).hexdigest()[:16]}")
-    day = F.to_date("observed_at")
+    if store.state()["streams"].get("import", -1) >= 2:
+        return store
+    log, day = model(spark, sf_dir), F.to_date("observed_at")
     for batch, rows in enumerate((log.facts.filter(day < "1995-06-01"), log.facts.filter((day >= "1995-06-01") & (day < "1999-01-01")), log.facts.filter(day >= "1999-01-01"))):
         store.record(rows, batch=batch, stream="import", force=True)
     return store
@@ -180,8 +181,8 @@ def fact_store(spark, sf_dir: str) -> FactStore:
 
 @query(_CURRENT + "st = 'F'")
 def fact_eq(spark, sf_dir):
-    store = fact_store(spark, sf_dir)
-    w = replace(world(spark, sf_dir, ORDER_NOW), facts=store.log("order_status"), held=store.current("order_status"))
+    m, held = model(spark, sf_dir), fact_store(spark, sf_dir).current("order_status")
+    w = cohort.World(m.passports, m.events, held, ORDER_NOW, held=held)
     return _stamped(cohort.evaluate(w, {"fact": {"order_status": {"eq": "F"}}}))
 
 

@@ -13,8 +13,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -73,19 +71,25 @@ class FactStore:
 
     # ---- reading
 
-    def _read(self, what: str, versions: Iterable[int]) -> DataFrame:
+    def _read(self, what: str, paths: Iterable[str]) -> DataFrame:
+        """The rows of some folders below log or current, each v=N or a folder in it; no other folder is listed."""
         bucket = ", bucket int" if what == "current" else ""
         schema = ", ".join(f"{c} {t}" for c, t in FIELDS.items()) + f", v long, key string{bucket}"
-        paths = [f"{self.folder}/{what}/v={v}" for v in sorted(set(versions))]
+        paths = [f"{self.folder}/{what}/{x}" for x in dict.fromkeys(paths)]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.folder}/{what}").parquet(*paths)
 
+    def _folder_of(self, key: str) -> str:
+        return f"key={self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(key)}"
+
     def log(self, key: str | None = None) -> DataFrame:
         """The log; of rows with one source, key and external_id the newest write counts.  A key reads its folders only."""
         state = self.state()
-        rows = self._read("log", state["log"])
-        rows = rows if key is None else rows.filter(F.col("key") == key)
+        paths = [f"v={v}" for v in state["log"]]
+        if key is not None:
+            paths = [p for x in paths if self._fs.exists(self._path(f"{self.folder}/log/{(p := f'{x}/{self._folder_of(key)}')}"))]
+        rows = self._read("log", paths)
         if not state.get("replaced"):
             return rows.select(COLUMNS)
         named = rows.filter("external_id IS NOT NULL").groupBy("source", "key", "external_id").agg(F.max_by(F.struct(*[c for c in COLUMNS if c not in ("source", "key", "external_id")]), F.struct("v", "id")).alias("r"))
@@ -98,23 +102,15 @@ class FactStore:
         return self._current(held).select(COLUMNS)
 
     def _current(self, held: dict[str, dict[str, int]]) -> DataFrame:
-        rows = self._read("current", {v for b in held.values() for v in b.values()})
-        return rows.filter(reduce(or_, self._valid(held), F.lit(False))) if held else rows
-
-    @staticmethod
-    def _valid(held: dict[str, dict[str, int]]) -> list[Column]:
-        """Which folders hold: keys that one write made whole share a test."""
-        whole: dict[int, list[str]] = {}
-        tests = []
+        """The rows of these keys' buckets; a key that one write made whole is one folder."""
+        paths = []
         for key, buckets in held.items():
-            by: dict[int, list[int]] = {}
-            for bucket, v in buckets.items():
-                by.setdefault(v, []).append(int(bucket))
-            if len(by) == 1:
-                whole.setdefault(next(iter(by)), []).append(key)
+            name, versions = self._folder_of(key), set(buckets.values())
+            if len(versions) == 1 and len(buckets) > 1:
+                paths.append(f"v={next(iter(versions))}/{name}")
             else:
-                tests += [(F.col("v") == v) & (F.col("key") == key) & F.col("bucket").isin(b) for v, b in by.items()]
-        return tests + [(F.col("v") == v) & F.col("key").isin(k) for v, k in whole.items()]
+                paths += [f"v={v}/{name}/bucket={b}" for b, v in buckets.items()]
+        return self._read("current", paths)
 
     # ---- writing
 
@@ -150,7 +146,7 @@ class FactStore:
         if state.get("named"):
             rows = self._settled(rows, resolve)
         rows.hint("rebalance", "key").write.mode("overwrite").partitionBy("key").parquet(f"{self.folder}/log/v={n}")  # few files, and a frequent key in several
-        written = self._read("log", [n])
+        written = self._read("log", [f"v={n}"])
         named = bool(state.get("named")) or not written.filter("external_id IS NOT NULL").isEmpty()
         replaced = bool(state.get("replaced")) or (named and resolve == "replace")
         log = {**state, "log": [*state["log"], n], "named": named, "replaced": replaced}
@@ -233,7 +229,7 @@ class FactStore:
         n = state["n"] + 1
         rows.select(COLUMNS).hint("rebalance", "key").write.mode("overwrite").partitionBy("key").parquet(f"{self.folder}/log/v={n}")
         made = {**state, "log": [n], "current": {}, "replaced": False}
-        self._fold(made, n, self._read("log", [n]), keep=False)
+        self._fold(made, n, self._read("log", [f"v={n}"]), keep=False)
         self._done(made, n, None, "")
 
     def rebuild(self) -> None:
