@@ -332,21 +332,28 @@ def _linked(sent: DataFrame, words: int, percent: int, block: int) -> DataFrame:
     return checkpoint(rows.mapInArrow(count_overlaps(words, percent, block), EDGES))
 
 
-def visits(many: DataFrame, half: int) -> DataFrame:
-    """many (set_key, n, group, label, text) dealt into tasks: the sets outside their group's largest part meet all sets of fitting sizes."""
+def visits(many: DataFrame, prefixes: DataFrame, half: int) -> DataFrame:
+    """many (set_key, n, group, label, text) dealt into tasks: the sets outside their group's largest part meet sets of fitting sizes.
+
+    Sets that share no prefix token do not link, so a set goes only to the blocks in which another of the two kinds shares one with
+    it.  Keys and tokens (prefixes) are joined for that; the texts follow.
+    """
     parts = many.groupBy("group", "label").agg(F.count(F.lit(1)).alias("sets"))
     main = parts.groupBy("group").agg(F.max_by("label", F.struct("sets", "label")).alias("_main"))
-    banded = many.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")).join(main, "group")
+    banded = many.drop("text").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")).join(main, "group")
     visitors = banded.filter(F.col("label") != F.col("_main")).withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
     blocks = lambda df, name: df.groupBy("group", "band").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias(name))
     grid = blocks(banded, "_homes").join(blocks(visitors, "_visits"), ["group", "band"])
-    of = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "set_key"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    task = F.xxhash64("group", "band", "home", "visit").alias("task")
-    at_home = banded.join(grid, ["group", "band"]).withColumn("home", of("home", "_homes")).withColumn("visit", every("_visits")).withColumn("visitor", F.lit(False))
-    away = visitors.join(grid, ["group", "band"]).withColumn("visit", of("visit", "_visits")).withColumn("home", every("_homes")).withColumn("visitor", F.lit(True))
-    columns = (task, "set_key", "label", "visitor", "text")
-    return at_home.select(*columns).unionByName(away.select(*columns))
+    of = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "set_key"), F.col(n)).cast("int").alias("block")
+    kind = lambda df, visitor, block: df.join(grid, ["group", "band"]).select("set_key", "group", "band", block, F.lit(visitor).alias("visitor"))
+    placed = kind(banded, False, of("home", "_homes")).unionByName(kind(visitors, True, of("visit", "_visits")))
+    listed = checkpoint(placed.join(prefixes, "set_key"))
+    own = listed.withColumn("_meets", ~F.col("visitor"))
+    others = listed.select("group", "band", "token", F.col("visitor").alias("_meets"), F.col("block").alias("other")).distinct()
+    met = own.join(others, ["group", "band", "token", "_meets"]).select("set_key", "group", "band", "visitor", "block", "other").distinct()
+    home, visit = (F.when(F.col("visitor") == v, F.col("other")).otherwise(F.col("block")) for v in (True, False))
+    sent = met.select(F.xxhash64("group", "band", home, visit).alias("task"), "set_key", "visitor")
+    return sent.join(many.select("set_key", "label", "text"), "set_key").select("task", "set_key", "label", "visitor", "text")
 
 
 def large_links(rows: DataFrame, classes: DataFrame, prefixes: DataFrame, words: int, percent: int, block: int) -> DataFrame:
@@ -368,7 +375,7 @@ def large_links(rows: DataFrame, classes: DataFrame, prefixes: DataFrame, words:
     heads = heads.join(folded_by(heads, "group", _all=F.count(F.lit(1))), "group")
     among = _linked(heads.select(task(F.col("_all")).alias("task"), "set_key", "label", F.lit(False).alias("visitor"), "text"), words, percent, half)
     many = checkpoint(labelled(many, contract(among)))
-    return at_home.unionByName(among).unionByName(_linked(visits(many, half), words, percent, block))
+    return at_home.unionByName(among).unionByName(_linked(visits(many, prefixes, half), words, percent, block))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
