@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions.durations import SpecError
-from tracewell.operators import cohort, crm, live, warm
+from tracewell.operators import cohort, crm, ingest, live, warm
 from tracewell.sources.fact_store import FactStore
 from tracewell.streaming.feed import LiveFeed
 
@@ -127,3 +127,45 @@ def test_typed_events_and_rejects(spark):
     assert [(r["kind"], r["text"], r["length_chars"], r["partial"], r["total_watched_s"], r["duration_s"], r["href"], r["reject"]) for r in got[0]] == [("text", "Read", 40, True, None, None, None, None), ("video", None, None, None, 1.5, 3.0, None, None), ("link", "Go", None, None, None, None, "/a", None)]
     assert [r["reject"] for r in got[1]] == ["text,length_chars", "kind", "text,level,url,partial", "muted,src", "kind,width,ts", "meta"]
     assert [[r["reject"] for r in got[k]] for k in range(2, 7)] == [["no JSON"], ["number of events"], ["no events"], ["no JSON"], ["number of events"]]
+
+
+def test_embedding_is_tried_again_with_longer_pauses(spark):
+    """One content fails five times and is given up, one comes through at its third call, copies are one call."""
+    chunks = spark.createDataFrame([("a", "alpha"), ("a", "alpha"), ("b", "beta"), ("c", "gamma"), ("d", " \n"), ("e", None)], "content_hash string, chunk_text string")
+    held = spark.createDataFrame([("c",)], "content_hash string")
+    tries = spark.createDataFrame([], ingest.TRIES)
+    clock, calls, pauses = day(0), [], []
+    for _ in range(9):
+        now = F.lit(clock)
+        due = ingest.to_embed(chunks, held, tries, now)
+        calls.append(sorted(r["content_hash"] for r in due.collect()))
+        later = len([c for c in calls if "b" in c]) > 2
+
+        def embedder(texts, later=later):
+            if "alpha" in texts or not later:
+                raise OSError("down")
+            return [[1.0, 2.0] for _ in texts]
+
+        got = [tuple(r) for r in ingest.embed(due, embedder).collect()]
+        results = spark.createDataFrame(got, "content_hash string, embedding array<double>, failed string")
+        held = held.union(results.filter("failed IS NULL").select("content_hash"))
+        state = [tuple(r) for r in ingest.tries_after(tries, results, now).collect()]
+        tries = spark.createDataFrame(state, ingest.TRIES)
+        pauses += [(s[2] - clock).total_seconds() for s in state if s[0] == "a" and s[2] is not None and "a" in calls[-1]]
+        clock = max([clock + dt.timedelta(seconds=1), *[s[2] for s in state if s[2] is not None]])
+    assert calls == [["a", "b"], ["a", "b"], ["a", "b"], ["a"], ["a"], [], [], [], []] and pauses == [5, 10, 20, 40]
+    assert state == [("a", 5, None, "OSError: down")] and sorted(r[0] for r in held.collect()) == ["b", "c"]
+
+
+def test_embedding_fails_text_by_text(spark):
+    due = spark.createDataFrame([(str(i), "x" * i) for i in range(1, 9)], "content_hash string, chunk_text string").coalesce(1)
+
+    def embedder(texts):
+        if any(len(t) == 3 for t in texts):
+            raise ValueError("three")
+        return [[len(t)] for t in texts][: 1 if len(texts) == 1 else None if len(texts[0]) != 5 else 2]
+
+    got = {r["content_hash"]: (r["embedding"], r["failed"]) for r in ingest.embed(due, embedder, lot=4).collect()}
+    assert got == {**{str(i): ([float(i)], None) for i in range(1, 9)}, "3": (None, "ValueError: three")}
+    early = ingest.tries_after(spark.createDataFrame([("k", 2, day(1), "old")], ingest.TRIES), spark.createDataFrame([], "content_hash string, failed string"), F.lit(day(5)))
+    assert [tuple(r) for r in early.collect()] == [("k", 2, day(1), "old")]

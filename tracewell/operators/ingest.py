@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,12 +82,66 @@ def enrolments(triggers: DataFrame, cooldown_days: int) -> DataFrame:
     return times.groupBy("passport_id").applyInArrow(chosen, f"passport_id {kind}, enrolled_at long")
 
 
-def to_embed(chunks: DataFrame, embedded: DataFrame) -> DataFrame:
-    """(content_hash, chunk_text) to be embedded: each new content once, however many rows have it."""
-    new = chunks.join(embedded.select("content_hash"), "content_hash", "left_anti")
+# Calls that a content gets, and the pause after the first that failed; each further pause is twice as long.
+ATTEMPTS, FIRST_PAUSE_S = 5, 5
+TRIES = "content_hash string, attempts int, next_at timestamp, failed string"
+
+
+def to_embed(chunks: DataFrame, embedded: DataFrame, tries: DataFrame | None = None, now: Column | None = None, most: int = ATTEMPTS) -> DataFrame:
+    """(content_hash, chunk_text) to be embedded: each new content once, however many rows have it; blank texts never.
+
+    With tries (TRIES), not what has had so many calls, nor what pauses beyond now.
+    """
+    new = chunks.filter(F.col("chunk_text").rlike(r"\S")).join(embedded.select("content_hash"), "content_hash", "left_anti")
+    if tries is not None:
+        barred = F.col("attempts") >= most
+        barred = barred if now is None else barred | (F.col("next_at") > now)
+        new = new.join(tries.filter(barred).select("content_hash"), "content_hash", "left_anti")
     return new.groupBy("content_hash").agg(F.min("chunk_text").alias("chunk_text"))
 
 
+def embed(due: DataFrame, embedder: Callable[[list[str]], list], lot: int = 64) -> DataFrame:
+    """(content_hash, embedding, failed) of every content due: the caller's embedder gets lots of texts.
+
+    Where a lot raises, or gives another number of vectors, its texts are tried one by one, so that one bad text fails alone; failed then
+    says why and the embedding is null.  Write the result before you use it twice: each reading calls the embedder anew.
+    """
+
+    def called(texts: list[str]) -> list:
+        vectors = list(embedder(texts))
+        if len(vectors) != len(texts):
+            raise ValueError(f"{len(texts)} texts, {len(vectors)} vectors")
+        return [([float(x) for x in v], None) for v in vectors]
+
+    def each(texts: list[str]) -> list:
+        try:
+            return called(texts)
+        except Exception as fault:  # noqa: BLE001 - what failed is a row of the result
+            return [(None, f"{type(fault).__name__}: {fault}")] if len(texts) == 1 else [x for t in texts for x in each([t])]
+
+    def run(frames):
+        for frame in frames:
+            texts = frame["chunk_text"].tolist()
+            found = [x for at in range(0, len(texts), lot) for x in each(texts[at : at + lot])]
+            yield pd.DataFrame({"content_hash": frame["content_hash"], "embedding": [x[0] for x in found], "failed": pd.Series([x[1] for x in found], dtype="object")})
+
+    return due.mapInPandas(run, "content_hash string, embedding array<double>, failed string")
+
+
+def tries_after(tries: DataFrame, results: DataFrame, now: Column, most: int = ATTEMPTS, first_pause_s: int = FIRST_PAUSE_S) -> DataFrame:
+    """TRIES after some results (content_hash, failed): a success ends its row, a failure counts one more and pauses twice as long as the last.
+
+    Given-up contents stay, without a next time, so that they can be looked at.
+    """
+    before = tries.select("content_hash", F.col("attempts").alias("_a"), F.col("next_at").alias("_t"), F.col("failed").alias("_f"))
+    seen = results.groupBy("content_hash").agg(F.bool_and(F.col("failed").isNotNull()).alias("_bad"), F.min("failed").alias("failed"))
+    both = before.join(seen, "content_hash", "full_outer").filter("_bad IS NULL OR _bad")
+    n = F.coalesce("_a", F.lit(0)) + F.when(F.col("_bad"), 1).otherwise(0)
+    pause = F.timestamp_seconds(F.unix_timestamp(now) + F.lit(first_pause_s) * F.pow(F.lit(2.0), n - 1))
+    next_at = F.when(F.col("_bad").isNull(), F.col("_t")).when(n < most, pause)
+    return both.select("content_hash", n.cast("int").alias("attempts"), next_at.alias("next_at"), F.coalesce("failed", "_f").alias("failed"))
+
+
 def rechecks(events: DataFrame, quiet: str) -> DataFrame:
     """(passport_id, recheck_at, n): one recheck after each burst of events, once it has been quiet for so long.
 

@@ -935,6 +935,39 @@ def embed_once(spark, sf_dir):
     return ingest.to_embed(chunks, chunks.filter("doc_id % 3 = 0")).select("content_hash")
 
 
+def _tried(chunks):
+    """Earlier calls of some contents: from none to six, the last of them at a time of its own."""
+    of = chunks.groupBy("content_hash").agg(F.min("doc_id").alias("d")).filter("d % 5 <> 4")
+    return of.select("content_hash", (F.col("d") % 7).cast("int").alias("attempts"), F.timestamp_seconds(F.lit(1706659200) + (F.col("d") % 11 - 5) * 60).alias("next_at"), F.lit("busy").alias("failed"))
+
+
+TRIED = """c AS (SELECT sha256(text) AS content_hash, min(doc_id) AS d, bool_or(doc_id % 3 = 0) AS done, any_value(text) AS text FROM documents JOIN embeddings ON doc_id = vec_id WHERE text IS NOT NULL GROUP BY 1),
+  t AS (SELECT content_hash, CASE WHEN d % 5 <> 4 THEN d % 7 END AS a, CASE WHEN d % 5 <> 4 THEN TIMESTAMP '2024-01-31' + to_minutes(d % 11 - 5) END AS nx, done, regexp_matches(text, '[^ \\t-\\r]') AS worded, length(text) % 2 = 1 AS bad FROM c),
+  r AS (SELECT *, worded AND NOT done AND (a IS NULL OR (a < 5 AND nx <= TIMESTAMP '2024-01-31')) AS due FROM t)"""
+
+
+@query(f"WITH {TRIED} SELECT content_hash FROM r WHERE due")
+def embed_due(spark, sf_dir):
+    chunks = model(spark, sf_dir).chunks.filter("content_hash IS NOT NULL")
+    return ingest.to_embed(chunks, chunks.filter("doc_id % 3 = 0"), _tried(chunks), F.lit("2024-01-31").cast("timestamp")).select("content_hash")
+
+
+@query(f"""WITH {TRIED}, n AS (SELECT *, coalesce(a, 0) + CASE WHEN due THEN 1 ELSE 0 END AS n FROM r WHERE (due AND bad) OR (NOT due AND a IS NOT NULL))
+  SELECT content_hash, n::INT AS attempts, CASE WHEN NOT due THEN strftime(nx, '{DAY}') WHEN n < 5 THEN strftime(TIMESTAMP '2024-01-31' + to_seconds(5 * (1 << (n - 1)::INT)), '{DAY}') END AS next_at, CASE WHEN due THEN 'ValueError: odd' ELSE 'busy' END AS failed FROM n""")
+def embed_retries(spark, sf_dir):
+    chunks = model(spark, sf_dir).chunks.filter("content_hash IS NOT NULL")
+    now = F.lit("2024-01-31").cast("timestamp")
+
+    def lengths(texts):
+        if any(len(t) % 2 for t in texts):
+            raise ValueError("odd")
+        return [[float(len(t))] for t in texts]
+
+    tries = _tried(chunks)
+    results = ingest.embed(ingest.to_embed(chunks, chunks.filter("doc_id % 3 = 0"), tries, now), lengths)
+    return ingest.tries_after(tries, results, now).withColumn("next_at", F.date_format("next_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query(f"""WITH {EV}, b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY passport_id ORDER BY ts, id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS nw FROM ev),
   g AS (SELECT *, sum(nw) OVER (PARTITION BY passport_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS burst FROM b)
   SELECT passport_id, strftime(max(ts) + INTERVAL 6 HOUR, '{DAY}') AS recheck_at, count(*) AS n FROM g GROUP BY passport_id, burst""")
