@@ -162,16 +162,12 @@ def overlapping(n, seed=9):
     return [(i, " ".join(passages[i : i + 4])) for i in range(n)]
 
 
-def test_jaccard_of_a_large_group_without_links(spark, monkeypatch):
-    """Each text goes only to the blocks of its neighbours, however large the group is."""
-    sent = []
-    monkeypatch.setattr(jaccard, "visits", lambda *a, visits=jaccard.visits: sent.append(visits(*a)) or sent[-1])
+def test_jaccard_of_a_large_group_without_links(spark):
+    """A group of many blocks whose members are candidates and do not link, beside some that do."""
     rows = overlapping(300)
     rows += [(1000 + i, t + " end") for i, t in rows[:20]]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(table(spark, rows), block=8).collect()}
     assert got == brute_components(rows) and got[1005][1] == 5
-    copies = sent[0].groupBy("set_key", "visitor").count().agg(F.count(F.lit(1)), F.max("count")).first()
-    assert copies[0] > 300 and copies[1] <= 24  # eight neighbours or less, in at most three bands; blocks: 300 / 4 at least
 
 
 def test_needed_overlap_is_the_threshold():
