@@ -146,3 +146,20 @@ def test_judges_that_fail_pass_nobody_and_are_counted(spark):
     assert [tuple(r) for r in semantic.judge(evidence, rate).collect()] == [(1, 0.9)]
     assert sorted((r["passport_id"], r["failed"]) for r in semantic.judged(evidence, rate).collect()) == [(1, None), (2, "ZeroDivisionError: division by zero")]
     assert semantic.projected(evidence, evidence, rate).first().asDict() == {"sampled": 4, "matches": 1, "rate": 0.25, "projected": 1, "failed": 1}
+
+
+def test_a_content_is_judged_once_and_no_text_goes_to_its_contacts(spark):
+    """Three people met long text 1 last, one text 2, one only a content without text; a text's bytes are in no shuffle of contacts."""
+    chunks = spark.createDataFrame([(1, "a" * 20), (2, "short"), (3, None), (4, "b" * 30)], "doc_id long, chunk_text string")
+    met = [(1, 4, 1), (1, 1, 2), (2, 1, 1), (2, 3, 9), (3, 2, 3), (3, 1, 3), (4, 1, 1), (4, 2, 2), (5, 3, 1), (6, 8, 1)]
+    contacts = spark.createDataFrame([(p, d, DAY0 + dt.timedelta(days=at), 100 + k) for k, (p, d, at) in enumerate(met)], "passport_id long, doc_id long, ts timestamp, id long")
+    calls = spark.sparkContext.accumulator(0)
+
+    def rate(text):
+        calls.add(1)
+        return len(text) / 20
+
+    found = semantic.judge_latest(chunks, contacts, rate)
+    assert sorted(map(tuple, found.collect())) == [(1, 1.0), (2, 1.0), (3, 1.0)] and calls.value == 2
+    by_person = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [passport_id" in x]
+    assert by_person and not any("text" in x or "evidence" in x for x in by_person)

@@ -546,8 +546,7 @@ def chunk_text(spark, sf_dir):
 @query(f"WITH {CT}, e AS (SELECT passport_id, arg_max(text, row(ts, id)) AS evidence FROM ct JOIN documents USING (doc_id) WHERE doc_id IN (SELECT vec_id FROM embeddings) GROUP BY 1) SELECT passport_id, least(1.0::DOUBLE, length(evidence) / 2000.0::DOUBLE) AS confidence FROM e WHERE length(evidence) >= 1400")
 def judge_stub(spark, sf_dir):
     m = model(spark, sf_dir)
-    evidence = _contacts(m).join(m.chunks.select("doc_id", "chunk_text"), "doc_id").groupBy("passport_id").agg(F.max_by("chunk_text", F.struct("ts", "id")).alias("evidence"))
-    return semantic.judge(evidence, lambda text: min(1.0, len(text) / 2000))
+    return semantic.judge_latest(m.chunks, _contacts(m), lambda text: min(1.0, len(text) / 2000))
 
 
 @query(f"WITH {EV} SELECT c_custkey AS passport_id FROM customer WHERE c_custkey IN (SELECT passport_id FROM ev WHERE a_event = 'purchase' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12')")
