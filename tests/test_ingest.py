@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.durations import SpecError
 from tracewell.operators import cohort, crm, ingest, live, warm
+from tracewell.sources.model import Model
 from tracewell.sources.fact_store import FactStore
 from tracewell.streaming.feed import LiveFeed
 
@@ -169,3 +170,10 @@ def test_embedding_fails_text_by_text(spark):
     assert got == {**{str(i): ([float(i)], None) for i in range(1, 9)}, "3": (None, "ValueError: three")}
     early = ingest.tries_after(spark.createDataFrame([("k", 2, day(1), "old")], ingest.TRIES), spark.createDataFrame([], "content_hash string, failed string"), F.lit(day(5)))
     assert [tuple(r) for r in early.collect()] == [("k", 2, day(1), "old")]
+
+
+def test_digests_are_made_before_the_join(spark):
+    """A query of digests alone joins no texts."""
+    plan = Model(spark, "/root/testdata/sf0.001").chunks.select("content_hash")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(k for k, line in enumerate(plan) if "Join" in line)
+    assert [k > join for k, line in enumerate(plan) if "sha2" in line] == [True] and not any("sha2" in line or "text" in line for line in plan[:join])

@@ -98,8 +98,9 @@ class Model:
     @cached_property
     def chunks(self) -> DataFrame:
         docs, vectors = self.table("documents"), self.table("embeddings")
-        joined = docs.join(vectors, F.col("doc_id") == F.col("vec_id"))
-        return joined.select("doc_id", F.sha2(F.col("text"), 256).alias("content_hash"), F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text"), "embedding")
+        # digests before the join: a query that needs no text sends none through its shuffle
+        docs = docs.select("doc_id", F.sha2(F.col("text"), 256).alias("content_hash"), F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text"))
+        return docs.join(vectors, F.col("doc_id") == F.col("vec_id")).select(*docs.columns, "embedding")
 
     @cached_property
     def merges(self) -> DataFrame:
