@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.durations import SpecError
 from tracewell.operators import composition
 from tracewell.operators import facts as fact_ops
+from tracewell.sources import fact_store
 from tracewell.sources.fact_store import FactStore
 
 ROW = "passport_id long, key string, value string, observed_at timestamp, external_id string"
@@ -144,3 +145,15 @@ def test_stream_sink(spark, store, tmp_path):
         query.awaitTermination()
         assert values(store.current()) == [(1, "k", "b")] and store.log().count() == 3
     assert store.state()["streams"] == {"crm": 2}
+
+
+def test_large_buckets_are_folded_in_slices_and_small_ones_whole(spark, store, monkeypatch):
+    """A bucket of one key is many rows, another key's few; every passport's newest value, over two writes."""
+    monkeypatch.setattr(fact_store, "_FOLDED", 40)
+    for batch in range(2):
+        rows = [(p, "often", str((p * 7 + d + batch) % 5), day(10 * batch + d)) for p in range(200) for d in range(4)] + [(p, "seldom", str(batch), day(batch)) for p in range(6)]
+        store.record(rows_of(spark, rows), batch=batch, force=True)
+        files = [x.split("/current/")[1].split("/")[1:3] for x in store.current().inputFiles()]
+        assert max(files.count(x) for x in files if x[0] == "key=often") > 3 and max(files.count(x) for x in files if x[0] == "key=seldom") == 1
+    assert values(store.current("often")) == sorted((p, "often", str((p * 7 + 4) % 5)) for p in range(200))
+    assert values(store.current("seldom")) == [(p, "seldom", "1") for p in range(6)] and store.drift().isEmpty() and store.log().count() == 1612

@@ -27,6 +27,13 @@ FIELDS = {"id": "long", "passport_id": "long", "value": "string", "type": "strin
 COLUMNS = [*FIELDS, "key"]
 #: Rows of one passport and key in one write, at most, when they come without ids.
 _PER_BATCH = 1 << 24
+#: Rows that a task folds, about.
+_FOLDED = 600_000
+
+
+def _sizes(rows: DataFrame) -> dict[tuple[str, int], int]:
+    """Rows of each key and bucket: keys times buckets at most."""
+    return {(r["key"], r["bucket"]): r["n"] for r in rows.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 class FactStore:
@@ -169,25 +176,41 @@ class FactStore:
         return F.pmod(F.xxhash64("passport_id"), F.lit(self.buckets)).cast("int")
 
     def _fold(self, state: dict, n: int, rows: DataFrame, keep: bool) -> None:
-        """Write the buckets that the rows touch, with what they held if `keep`, and enter them into the state."""
+        """Write the buckets that the rows touch, with what they held if `keep`, and enter them into the state.
+
+        Rows are shuffled once, by bucket and in large buckets by slices of its passports; each task folds what it gets and writes it.
+        """
         rows = rows.select(COLUMNS).withColumn("bucket", self._bucket())
-        touched = [(r["key"], r["bucket"]) for r in rows.select("key", "bucket").distinct().collect()]  # keys times buckets at most
-        if not touched:
+        sizes = _sizes(rows)
+        if not sizes:
             return
         current = {k: dict(b) for k, b in state["current"].items()}
         held = {k: {str(b): current[k][str(b)] for x, b in touched if x == k and str(b) in current[k]} for k in {k for k, _ in touched} if k in current}
         held = {k: b for k, b in held.items() if b}
         if keep and held:
-            rows = rows.unionByName(self._current(held).select(*COLUMNS, "bucket"))
+            before = self._current(held).select(*COLUMNS, "bucket")
+            sizes = {x: size + more.get(x, 0) for more in [_sizes(before)] for x, size in sizes.items()}
+            rows = rows.unionByName(before)
+        slices: dict[str, int] = {}
+        for (key, _), size in sizes.items():
+            slices[key] = max(slices.get(key, 1), -(-size // _FOLDED))
+        large = {k: m for k, m in slices.items() if m > 1}
+        if large:
+            of = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in large.items() for x in pair]), F.col("key")), F.lit(1))
+            rows = rows.withColumn("slice", F.pmod(F.hash("passport_id"), of))
+            dealt = rows.repartition(sum(slices[key] for key, _ in touched), "key", "bucket", "slice")
+        else:
+            dealt = rows.withColumn("slice", F.lit(0)).repartition("key", "bucket")
         row = F.struct(*[c for c in FIELDS if c != "passport_id"])
-        newest = rows.groupBy("passport_id", "key", "bucket").agg(F.max_by(row, F.struct("observed_at", "id")).alias("r")).select("passport_id", "key", "bucket", "r.*")
-        newest.hint("rebalance", "key", "bucket").write.mode("overwrite").partitionBy("key", "bucket").parquet(f"{self.folder}/current/v={n}")
+        newest = dealt.groupBy("key", "bucket", "slice", "passport_id").agg(F.max_by(row, F.struct("observed_at", "id")).alias("r")).select("passport_id", "key", "bucket", "r.*")
+        newest.write.mode("overwrite").partitionBy("key", "bucket").parquet(f"{self.folder}/current/v={n}")
         for k, b in touched:
             current.setdefault(k, {})[str(b)] = n
         state["current"] = current
 
     def _done(self, state: dict, n: int, batch: int | None, stream: str) -> bool:
         streams = state["streams"] if batch is None else {**state["streams"], stream: batch}
+        touched = sorted(sizes)
         self._commit({**state, "n": n, "streams": streams})
         return True
 
