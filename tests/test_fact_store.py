@@ -157,3 +157,19 @@ def test_large_buckets_are_folded_in_slices_and_small_ones_whole(spark, store, m
         assert max(files.count(x) for x in files if x[0] == "key=often") > 3 and max(files.count(x) for x in files if x[0] == "key=seldom") == 1
     assert values(store.current("often")) == sorted((p, "often", str((p * 7 + 4) % 5)) for p in range(200))
     assert values(store.current("seldom")) == [(p, "seldom", "1") for p in range(6)] and store.drift().isEmpty() and store.log().count() == 1612
+
+
+def test_rows_of_known_keys_are_appended_as_they_lie(spark, store, tmp_path):
+    parts = [rows_of(spark, [(p, k, str(p), day(p % 9)) for p in range(50)]).drop("key").withColumn("key", F.lit(k)) for k in ("plan", "city/x")]
+    rows = parts[0].unionByName(parts[1])
+    before = spark._jsc.sc().newShuffleId()
+    store._append(store._shaped(rows.withColumn("id", F.col("passport_id")), 1), 1, ["plan", "city/x"])
+    assert spark._jsc.sc().newShuffleId() == before + 1  # no shuffle between
+    assert store.record(rows, keys=["plan", "city/x", "none"], force=True)
+    other = FactStore(spark, str(tmp_path / "other"))
+    other.record(rows, force=True)
+    assert values(store.log()) == values(other.log()) == values(store.current()) == values(other.current()) and len(values(store.log("city/x"))) == 50
+    for bad in (rows, rows_of(spark, [(1, None, "a", day(0))])):
+        with pytest.raises((SpecError, PySparkException)):
+            store.record(bad, keys=["plan"], force=True)
+    assert store.state()["n"] == 1 and store.log().count() == 100

@@ -15,7 +15,7 @@ from ..functions import durations, exprs
 from ..operators import audience, cohort, composition, crm, identity, ingest, live, metrics, people, ranks, semantic, sessions, warm
 from ..operators import facts as fact_ops
 from ..sources.fact_store import FactStore
-from ..sources.model import EVENT_NOW, ORDER_NOW, Model
+from ..sources.model import EVENT_NOW, FACT_KEYS, ORDER_NOW, Model
 from ..sources.session import shared_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,7 +175,7 @@ def fact_store(spark, sf_dir: str) -> FactStore:
         return store
     log, day = model(spark, sf_dir), F.to_date("observed_at")
     for batch, rows in enumerate((log.facts.filter(day < "1995-06-01"), log.facts.filter((day >= "1995-06-01") & (day < "1999-01-01")), log.facts.filter(day >= "1999-01-01"))):
-        store.record(rows, batch=batch, stream="import", force=True)
+        store.record(rows, batch=batch, stream="import", force=True, keys=FACT_KEYS)
     return store
 
 

@@ -134,12 +134,15 @@ class FactStore:
         rows = rows.withColumns({c: e for c, e in given.items() if c not in rows.columns})
         return rows.select(*[F.col(c).cast(t) for c, t in FIELDS.items()], F.col("key").cast("string"))
 
-    def record(self, rows: DataFrame, batch: int | None = None, stream: str = "", resolve: str | None = None, force: bool = False, merges: DataFrame | None = None) -> bool:
+    def record(self, rows: DataFrame, batch: int | None = None, stream: str = "", resolve: str | None = None, force: bool = False, merges: DataFrame | None = None, keys: Iterable[str] | None = None) -> bool:
         """Write facts; false if the stream's batch was written before.
 
         Rows that restate the current value are left out unless `force`.  A row whose external_id its source has written for the key is
         an error, or with resolve="skip" left out, or with "replace" put in the place of the other.  Ids that merges
         (absorbed, survivor) have absorbed are those of their survivors.
+
+        With `keys`, the only ones that the rows may have, the log gets each key's rows on their own and as they lie, without a shuffle or
+        sort: for rows whose plan leaves out the other keys, as of a union of one table for each key.
         """
         if resolve not in (None, "skip", "replace"):
             raise SpecError(f"facts: resolve must be skip or replace, not {resolve!r}")
@@ -152,7 +155,10 @@ class FactStore:
             rows = fact_ops.news(rows, self.current())
         if state.get("named"):
             rows = self._settled(rows, resolve)
-        rows.hint("rebalance", "key").write.mode("overwrite").partitionBy("key").parquet(f"{self.folder}/log/v={n}")  # few files, and a frequent key in several
+        if keys is None:
+            rows.hint("rebalance", "key").write.mode("overwrite").partitionBy("key").parquet(f"{self.folder}/log/v={n}")  # few files, and a frequent key in several
+        else:
+            self._append(rows, n, list(dict.fromkeys(keys)))
         written = self._read("log", [f"v={n}"])
         named = bool(state.get("named")) or not written.filter("external_id IS NOT NULL").isEmpty()
         replaced = bool(state.get("replaced")) or (named and resolve == "replace")
@@ -162,6 +168,14 @@ class FactStore:
         self._fold(log, n, written, keep=True)
         return self._done(log, n, batch, stream)
 
+    def _append(self, rows: DataFrame, n: int, keys: list[str]) -> None:
+        """Write the rows of each key into its folder of the log."""
+        self._fs.delete(self._path(f"{self.folder}/log/v={n}"), True)  # of a write that failed
+        if not rows.filter(F.coalesce(~F.col("key").isin(keys), F.lit(True))).isEmpty():
+            raise SpecError(f"facts: rows have other keys than {', '.join(keys)}")
+        for key in keys:
+            rows.filter(F.col("key") == key).drop("key").write.mode("overwrite").parquet(f"{self.folder}/log/v={n}/{self._folder_of(key)}")
+
     def _settled(self, rows: DataFrame, resolve: str | None) -> DataFrame:
         names = ["source", "key", "external_id"]
         known = self.log().filter("external_id IS NOT NULL").select(*names).distinct().withColumn("_known", F.lit(True))
@@ -184,6 +198,7 @@ class FactStore:
         sizes = _sizes(rows)
         if not sizes:
             return
+        touched = sorted(sizes)
         current = {k: dict(b) for k, b in state["current"].items()}
         held = {k: {str(b): current[k][str(b)] for x, b in touched if x == k and str(b) in current[k]} for k in {k for k, _ in touched} if k in current}
         held = {k: b for k, b in held.items() if b}
@@ -210,7 +225,6 @@ class FactStore:
 
     def _done(self, state: dict, n: int, batch: int | None, stream: str) -> bool:
         streams = state["streams"] if batch is None else {**state["streams"], stream: batch}
-        touched = sorted(sizes)
         self._commit({**state, "n": n, "streams": streams})
         return True
 

@@ -12,6 +12,8 @@ from ..operators.sessions import sessionize
 
 EVENT_NOW = "2024-01-31"
 ORDER_NOW = "2001-08-02"
+#: Keys of the fact log.
+FACT_KEYS = ("order_status", "order_total", "order_priority", "segment", "acctbal", "nation", "first_purchase_at")
 
 
 def _case(on, pairs: dict, other=None):
