@@ -260,6 +260,40 @@ def test_scores_do_not_depend_on_partitions(spark):
     assert all(abs(a[2] - b[2]) <= 1.01e-4 for a, b in zip(sorted(some, key=str), sorted(other, key=str), strict=True))
 
 
+def test_each_text_is_read_twice_and_encoded_once(spark):
+    """Sizes, then encoding; training rounds, counts and scores read what came out of it."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(t):
+        read.add(1)
+        return t
+
+    docs = table(spark, [(i, f"some words of text {i}", None) for i in range(300)]).select("doc_id", F.udf(seen, "string")("text").alias("text"))
+    assert scoring.score_documents(docs).count() == 300
+    assert read.value <= 600
+
+
+def test_encoded_groups_keep_every_word():
+    vocabulary = bpe.default_vocabulary()
+    coder = bpe.coder(vocabulary)
+    special = coder.special[0] if coder.special else "x"
+    texts = ["The CAT the cat", "", "a\u00a0b \u00a0c \u2028\u2028 d\u00a0", f"{special} end{special}", "\n\t \x0b", "été ÉTÉ " + "long" * 3000, "the the the"]
+    rows = pa.table({"grp": pa.array([3] * len(texts), pa.int32()), "doc_id": pa.array([1, None, 3, 4, 5, 6, 7], pa.int64()), "held_out": [False, False, True, False, True, False, False], "key": list(range(7)), "text": texts})
+    (out,) = scoring.encode_groups(vocabulary)(iter(rows.to_batches(max_chunksize=3)))
+    row = scoring._row(out, 0)
+    lower = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t)) for t in texts]
+    want = [[i for w in words for i in np.frombuffer(coder.encode_parts([" " + w])[0], "<u4").tolist()] + [60000] for words in lower]
+    numbers, first = scoring._numbers(row, np.arange(60000), 60000)
+    assert [numbers[a:b].tolist() for a, b in zip(first, first[1:])] == want
+    some = np.array([False, True, False, True, True, False, True])
+    numbers, first = scoring._numbers(row, np.arange(60000), 60000, some)
+    assert [numbers[a:b].tolist() for a, b in zip(first, first[1:])] == [x for x, y in zip(want, some) if y]
+    numbers, first = scoring._numbers(row, np.arange(60000), 60000, slice(2, 5))
+    assert [numbers[a:b].tolist() for a, b in zip(first, first[1:])] == want[2:5]
+    assert row["count"].sum() == sum(len(x) for x, held in zip(lower, rows["held_out"].to_pylist()) if not held)
+    assert row["no_id"].tolist() == [False, True, *[False] * 5] and len(row["word"]) == len({w for words in lower for w in words})
+
+
 def test_lots_end_with_documents():
     parts = [(np.arange(k, k + 7), np.array([0, 3, 3, 7])) for k in range(0, 70, 7)]
     whole = [(np.arange(70), np.concatenate([[0], *(np.array([3, 3, 7]) + k for k in range(0, 70, 7))]))]

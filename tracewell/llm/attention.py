@@ -22,7 +22,7 @@ ESCAPE = NUMBERS - 1
 START, PAD, TAIL = NUMBERS, NUMBERS + 1, NUMBERS + 2
 _NEVER = -60.0  # bias of places that no number has
 _PLACES = CONTEXT + SCORED
-SMALLEST_BATCH, LARGEST_BATCH, STEPS_A_WINDOW = 16, 256, 12  # windows in a step: they grow as training goes on
+SMALLEST_BATCH, LARGEST_BATCH = 32, 256  # windows in a step: they grow by four a step
 _MASK = np.where(np.arange(_PLACES)[None, :] <= np.arange(SCORED)[:, None] + CONTEXT, 0.0, -1e9).astype(np.float32)
 _SCALE = np.float32(WIDTH**-0.5)
 
@@ -95,233 +95,269 @@ def windows(numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return inputs, targets, doc
 
 
-def _hidden(w: Weights, inputs: np.ndarray) -> dict[str, np.ndarray]:
-    x = w["embed"][np.where(inputs < TAIL, inputs, ESCAPE)] + w["place"]
-    if "own" in w:
-        rare = inputs >= TAIL
-        x[rare] += w["own"][inputs[rare] - TAIL]
-    flat = x.reshape(-1, WIDTH)
-    xq = x[:, CONTEXT:]
-    q = (np.ascontiguousarray(xq).reshape(-1, WIDTH) @ w["q"] * _SCALE).reshape(-1, SCORED, WIDTH)
-    k, v = (flat @ w["k"]).reshape(x.shape), (flat @ w["v"]).reshape(x.shape)
-    a = q @ k.transpose(0, 2, 1)
-    a += _MASK
-    a += np.where(inputs == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    mixed = (a @ v).reshape(-1, WIDTH)
-    h1 = xq.reshape(-1, WIDTH) + mixed @ w["o"]
-    up = np.maximum(h1 @ w["up"] + w["up_b"], 0)
-    return {"x": x, "q": q, "k": k, "v": v, "a": a, "mixed": mixed, "h1": h1, "up": up, "h": h1 + up @ w["down"]}
-
+def _exp(z: np.ndarray) -> np.ndarray | None:
+    """z becomes exp(z) in place; each row's largest entry is taken out, and returned, only if it must be."""
+    shift = None
+    if z.size and z.max() > 60:
+        shift = z.max(axis=-1, keepdims=True)
+        z -= shift
+    np.exp(z, out=z)
+    return shift
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
+def _hidden(w: Weights, inputs: np.ndarray) -> dict[str, np.ndarray]:
+    """The states after both layers, and what their gradients need.
 
-def _log_sums(z: np.ndarray) -> np.ndarray:
-    """log(sum(exp)) of each row; the row sums are a product with ones, the largest entry is taken out only if it must be."""
-    top = np.float32(z.max()) if len(z) else np.float32(0)
-    shift = z.max(axis=1) if top > 60 else None
-    e = np.exp(z if shift is None else z - shift[:, None])
-    out = np.log(e @ np.ones(z.shape[1], z.dtype))
-    return out if shift is None else out + shift
+    Attention is normalised after the values are summed: a last value of one sums the weights along with them.  Padding is masked
+    only in first windows; elsewhere it comes after a text, which is hidden from it anyway.
+    """
+    rare = np.flatnonzero(inputs.ravel() >= TAIL) if "own" in w else np.zeros(0, np.int64)
+    ids = inputs.ravel()
+    if len(rare):
+        ids = np.minimum(ids, ESCAPE, where=ids >= TAIL, out=ids.copy())
+    x = w["embed"].take(ids, axis=0).reshape(*inputs.shape, WIDTH)
+    if len(rare):
+        x.reshape(-1, WIDTH)[rare] += w["own"][inputs.ravel()[rare] - TAIL]
+    x += w["place"]
+    flat = x.reshape(-1, WIDTH)
+    xq = np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, WIDTH)
+    q = (xq @ (w["q"] * _SCALE)).reshape(-1, SCORED, WIDTH)
+    kv = (flat @ np.concatenate([w["k"], w["v"], np.zeros((WIDTH, 1), x.dtype)], axis=1)).reshape(*inputs.shape, 2 * WIDTH + 1)
+    kv[:, :, -1] = 1
+    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+    a = q @ k.transpose(0, 2, 1)
+    a += _MASK if a.dtype == np.float32 else _MASK.astype(a.dtype)
+    new = np.flatnonzero(inputs[:, 0] == PAD)
+    if len(new):
+        a[new] += np.where(inputs[new] == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
+    _exp(a)
+    mixed = (a @ v).reshape(-1, WIDTH + 1)
+    over = 1 / mixed[:, WIDTH:]
+    mixed = mixed[:, :WIDTH] * over
+    h1 = xq + mixed @ w["o"]
+    up = h1 @ w["up"]
+    up += w["up_b"]
+    np.maximum(up, 0, out=up)
+    return {"x": x, "xq": xq, "q": q, "k": k, "v": v, "a": a, "over": over, "mixed": mixed, "h1": h1, "up": up, "h": h1 + up @ w["down"], "ids": ids, "rare": rare}
+
+
+def _sums(z: np.ndarray) -> np.ndarray:
+    return np.ones(len(z), z.dtype) @ z
+
+
+def _chosen(z: np.ndarray, at: np.ndarray, gradient: bool) -> np.ndarray:
+    """log softmax(z) at one entry of each row; z becomes its gradient's negative: softmax less one there."""
+    entry = np.arange(0, z.size, z.shape[1]) + at
+    flat = z.ravel()  # a view
+    out = flat.take(entry)
+    shift = _exp(z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    out -= np.log(total)
+    if shift is not None:
+        out -= shift[:, 0]
+    if gradient:
+        z *= (1 / total)[:, None]
+        flat[entry] -= 1
+    return out
 
 
-def _tail_log_probabilities(w: Weights, h: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The logarithm of each tail number's share of the escape."""
+def _tail(w: Weights, h: np.ndarray, t: np.ndarray, gradient: bool) -> tuple[np.ndarray, ...]:
+    """The logarithm of each tail number's share of the escape; for gradients also (class, dz of class, dz of place, dh)."""
     c, m = np.divmod(t - TAIL, w["tail_b"].shape[1])
-    z = h @ w["tail_klass"] + w["tail_klass_b"]
-    out = (z[np.arange(len(c)), c] - _log_sums(z)).astype(np.float64)
+    zc = h @ w["tail_klass"] + w["tail_klass_b"]
+    out = _chosen(zc, c, gradient)
     order = np.argsort(c, kind="stable")
     edge = np.flatnonzero(np.append(True, np.diff(c[order]) > 0)) if len(c) else np.zeros(0, np.int64)
-    for of in np.split(order, edge[1:]) if len(c) else ():
-        k = c[of[0]]
-        z = h[of] @ w["tail"][k] + w["tail_b"][k]
-        out[of] += z[np.arange(len(of)), m[of]] - _log_sums(z)
-    return out
+    runs = list(zip(edge.tolist(), [*edge[1:].tolist(), len(c)], strict=False))
+    hs, z = h.take(order, axis=0), np.empty((len(c), w["tail_b"].shape[1]), h.dtype)
+    for lo, hi in runs:
+        np.matmul(hs[lo:hi], w["tail"][c[order[lo]]], out=z[lo:hi])
+    z += w["tail_b"][c[order]]
+    out[order] += _chosen(z, m[order], gradient)
+    if not gradient:
+        return (out,)
+    dh = zc @ w["tail_klass"].T
+    for lo, hi in runs:
+        dh[order[lo:hi]] += z[lo:hi] @ w["tail"][c[order[lo]]].T
+    return out, c[order], hs, zc, z, dh
+
+
+def _tail_sums(c: np.ndarray, h: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, and the gradients of their tables and biases."""
+    order = np.argsort(c, kind="stable")
+    c, h, z = c[order], h[order], z[order]
+    edge = np.flatnonzero(np.append(True, np.diff(c) > 0)) if len(c) else np.zeros(0, np.int64)
+    table = np.empty((len(edge), h.shape[1], z.shape[1]), h.dtype)
+    for i, (lo, hi) in enumerate(zip(edge.tolist(), [*edge[1:].tolist(), len(c)], strict=False)):
+        np.matmul(h[lo:hi].T, z[lo:hi], out=table[i])
+    return c[edge], table, np.add.reduceat(z, edge, axis=0) if len(edge) else z
+
+
+def _output(w: Weights, h: np.ndarray, t: np.ndarray, gradient: bool) -> tuple:
+    """log probabilities of t (ESCAPE for the whole tail) given h; for gradients also those of the two tables and of h."""
+    c, m = t // MEMBERS, t % MEMBERS
+    zc = h @ w["klass"]
+    zc += w["klass_b"]
+    out = _chosen(zc, c, gradient).astype(np.float64)
+    order = np.argsort(c.astype(np.uint8), kind="stable")
+    edge = np.searchsorted(c[order], np.arange(CLASSES + 1)).tolist()
+    runs = [(k, edge[k], edge[k + 1]) for k in range(CLASSES) if edge[k] < edge[k + 1]]
+    hs, z = h.take(order, axis=0), np.empty((len(c), MEMBERS), h.dtype)
+    for k, lo, hi in runs:
+        np.matmul(hs[lo:hi], w["member"][k], out=z[lo:hi])
+        z[lo:hi] += w["member_b"][k]
+    out[order] += _chosen(z, m[order], gradient)
+    if not gradient:
+        return (out,)
+    g = {"klass": h.T @ zc, "klass_b": _sums(zc), "member": np.zeros_like(w["member"]), "member_b": np.zeros_like(w["member_b"])}
+    dh, dhs = zc @ w["klass"].T, np.empty_like(hs)
+    for k, lo, hi in runs:
+        np.matmul(hs[lo:hi].T, z[lo:hi], out=g["member"][k])
+        g["member_b"][k] = _sums(z[lo:hi])
+        np.matmul(z[lo:hi], w["member"][k].T, out=dhs[lo:hi])
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    dh += dhs.take(back, axis=0)
+    return out, g, dh
 
 
 def log_probabilities(w: Weights, numbers: np.ndarray, first: np.ndarray, batch: int = 128) -> np.ndarray:
-    """The natural logarithm of each document's probability.
-
-    Keys and values of a number are rows of one table, attention is normalised after the values are summed, and
-    padding is masked only in first windows: elsewhere what follows a text is hidden from it anyway.
-    """
+    """The natural logarithm of each document's probability."""
     out = np.zeros(len(first) - 1)
     inputs, targets, doc = windows(numbers, first)
-    starts = np.append(True, doc[1:] != doc[:-1]) if len(doc) else np.zeros(0, bool)
-    one = np.zeros((WIDTH, 1), w["v"].dtype)
-    turn = np.concatenate([np.eye(WIDTH, dtype=one.dtype), w["k"], w["v"], one], axis=1)
-    embed = w["embed"] if "own" not in w else np.concatenate([w["embed"], w["own"] + w["embed"][ESCAPE]])
-    table, place = embed @ turn, w["place"] @ turn
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # hidden states, tail numbers and documents
-    table[:, -1] = 1  # sums the weights along with the values
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # states, tail numbers and documents
     for at in range(0, len(doc), batch):
-        ids = inputs[at : at + batch]
-        f = table[ids]
-        f += place
-        x = np.ascontiguousarray(f[:, CONTEXT:, :WIDTH]).reshape(-1, WIDTH)
-        q = (x @ (w["q"] * _SCALE)).reshape(-1, SCORED, WIDTH)
-        a = q @ np.ascontiguousarray(f[:, :, WIDTH : 2 * WIDTH].transpose(0, 2, 1))
-        a += _MASK
-        new = np.flatnonzero(starts[at : at + batch])
-        if len(new):
-            a[new] += np.where(ids[new] == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-        if a.max() > 60:
-            a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        mixed = (a @ np.ascontiguousarray(f[:, :, 2 * WIDTH :])).reshape(-1, WIDTH + 1)
-        h1 = x + (mixed[:, :WIDTH] / mixed[:, WIDTH:]) @ w["o"]
-        up = h1 @ w["up"]
-        up += w["up_b"]
-        np.maximum(up, 0, out=up)
-        h = h1 + up @ w["down"]
         t = targets[at : at + batch].ravel()
-        use = np.flatnonzero(t != PAD)
-        if len(use) < len(t):
-            h, t = h[use], t[use]
-        of = doc[at : at + batch][use // SCORED]
+        h = _hidden(w, inputs[at : at + batch])["h"]
+        of = np.repeat(doc[at : at + batch], SCORED)
+        if (t == PAD).any():
+            use = np.flatnonzero(t != PAD)
+            h, t, of = h[use], t[use], of[use]
         if "own" in w:
             rare = np.flatnonzero(t >= TAIL)
             held.append((h[rare], t[rare], of[rare]))
             t = np.where(t < TAIL, t, ESCAPE)
-            if at + batch >= len(doc) or sum(len(x) for _, x, _ in held) > 20000:
-                hs, ts, ds = (np.concatenate(x) for x in zip(*held, strict=True))
-                np.add.at(out, ds, _tail_log_probabilities(w, hs, ts))
-                held.clear()
-        c = t // MEMBERS
-        order = np.argsort(c.astype(np.uint8), kind="stable")
-        h, c, m = h[order], c[order], (t % MEMBERS)[order]
-        z = h @ w["klass"]
-        z += w["klass_b"]
-        lp = (z[np.arange(len(c)), c] - _log_sums(z)).astype(np.float64)
-        edge = np.searchsorted(c, np.arange(CLASSES + 1))
-        z = np.empty((len(c), MEMBERS), h.dtype)
-        for k in np.flatnonzero(np.diff(edge)).tolist():
-            lo, hi = edge[k], edge[k + 1]
-            np.matmul(h[lo:hi], w["member"][k], out=z[lo:hi])
-            z[lo:hi] += w["member_b"][k]
-        lp += z[np.arange(len(c)), m] - _log_sums(z)
-        np.add.at(out, of[order], lp)
+        lp = _output(w, h, t, False)[0]
+        lo = int(of[0]) if len(of) else 0
+        some = np.bincount(of - lo, weights=lp)
+        out[lo : lo + len(some)] += some
+        if held and (at + batch >= len(doc) or sum(len(x) for _, x, _ in held) > 20000):
+            hs, ts, ds = (np.concatenate(x) for x in zip(*held, strict=True))
+            np.add.at(out, ds, _tail(w, hs, ts, False)[0])
+            held.clear()
     return out
 
 
 def _summed_rows(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(ids, kind="stable")
-    edge = np.flatnonzero(np.append(True, np.diff(ids[order]) > 0)) if len(ids) else np.zeros(0, np.int64)
-    return ids[order][edge], np.add.reduceat(x[order], edge, axis=0) if len(ids) else x
-
+    order = np.argsort(ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids, kind="stable")  # short integers are sorted by radix
+    ids = ids[order]
+    edge = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+    return ids[edge], np.add.reduceat(x.take(order, axis=0), edge, axis=0) if len(ids) else x
 
-def _tail_gradients(w: Weights, h: np.ndarray, t: np.ndarray, g: Gradients) -> tuple[float, np.ndarray]:
-    """Sum of the negative logarithms of the tail numbers' shares of the escape, its gradients put into g, and that by h."""
-    c, m = np.divmod(t - TAIL, w["tail_b"].shape[1])
-    lp = _log_softmax(h @ w["tail_klass"] + w["tail_klass_b"])
-    loss = -lp[np.arange(len(c)), c].sum()
-    d = np.exp(lp)
-    d[np.arange(len(c)), c] -= 1
-    g["tail_klass"], g["tail_klass_b"] = h.T @ d, d.sum(axis=0)
-    dh = d @ w["tail_klass"].T
-    classes = np.unique(c)
-    by_class, bias = np.empty((len(classes), *w["tail"].shape[1:]), h.dtype), np.empty((len(classes), w["tail_b"].shape[1]), h.dtype)
-    for i, k in enumerate(classes.tolist()):
-        of = np.flatnonzero(c == k)
-        lm = _log_softmax(h[of] @ w["tail"][k] + w["tail_b"][k])
-        loss -= lm[np.arange(len(of)), m[of]].sum()
-        d = np.exp(lm)
-        d[np.arange(len(of)), m[of]] -= 1
-        by_class[i], bias[i] = h[of].T @ d, d.sum(axis=0)
-        dh[of] += d @ w["tail"][k].T
-    g["tail"], g["tail_b"] = (classes, by_class), (classes, bias)
-    return loss, dh
 
-
-def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, Gradients]:
-    """Mean negative log probability of the targets of some windows, and its gradients."""
-    g: Gradients = {k: np.zeros_like(w[k]) for k in SHAPES}
+def _gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, Gradients, tuple[np.ndarray, ...]]:
+    """Mean negative log probability and its gradients, but of the tail's places only (class, state, dz) of each tail number."""
     f = _hidden(w, inputs)
     t = targets.ravel()
-    use = np.flatnonzero(t != PAD)
-    n, h, t = len(use), f["h"][use], t[use]
-    rare = np.flatnonzero(t >= TAIL)
-    tail_loss, tail_dh = _tail_gradients(w, h[rare], t[rare], g) if "own" in w else (0.0, 0.0)
-    t = np.where(t < TAIL, t, ESCAPE)
-    c = t // MEMBERS
-    lp = _log_softmax(h @ w["klass"] + w["klass_b"])
-    loss = tail_loss - lp[np.arange(n), c].sum()
-    d = np.exp(lp)
-    d[np.arange(n), c] -= 1
-    g["klass"], g["klass_b"] = h.T @ d, d.sum(axis=0)
-    dh_use = d @ w["klass"].T
-    dh_use[rare] += tail_dh
-    for k in np.unique(c).tolist():
-        of = np.flatnonzero(c == k)
-        lm = _log_softmax(h[of] @ w["member"][k] + w["member_b"][k])
-        m = t[of] % MEMBERS
-        loss -= lm[np.arange(len(of)), m].sum()
-        d = np.exp(lm)
-        d[np.arange(len(of)), m] -= 1
-        g["member"][k], g["member_b"][k] = h[of].T @ d, d.sum(axis=0)
-        dh_use[of] += d @ w["member"][k].T
-    dh = np.zeros_like(f["h"])
-    dh[use] = dh_use / n
-    for k in ("klass", "klass_b", "member", "member_b", *(("tail_klass", "tail_klass_b") if "own" in w else ())):
-        g[k] /= n
-    for k in ("tail", "tail_b") if "own" in w else ():
-        g[k] = g[k][0], g[k][1] / n
+    h, use = f["h"], None
+    if (t == PAD).any():
+        use = np.flatnonzero(t != PAD)
+        h, t = h[use], t[use]
+    n = max(len(t), 1)
+    tail: tuple[np.ndarray, ...] = ()
+    loss = 0.0
+    g: Gradients = {}
+    if "own" in w:
+        rare = np.flatnonzero(t >= TAIL)
+        lp, c, hs, zc, z, tail_dh = _tail(w, h[rare], t[rare], True)
+        loss, tail = -lp.sum(), (c, hs, z / n)
+        g |= {"tail_klass": h[rare].T @ zc / n, "tail_klass_b": zc.sum(axis=0) / n}
+        t = np.where(t < TAIL, t, ESCAPE)
+    lp, out, dh = _output(w, h, t, True)
+    loss -= lp.sum()
+    g |= {k: x / n for k, x in out.items()}
+    if "own" in w:
+        dh[rare] += tail_dh
+    dh /= n
+    if use is not None:
+        dh, some = np.zeros_like(f["h"]), dh
+        dh[use] = some
     g["down"] = f["up"].T @ dh
-    dup = dh @ w["down"].T * (f["up"] > 0)
-    g["up"], g["up_b"] = f["h1"].T @ dup, dup.sum(axis=0)
+    dup = dh @ w["down"].T
+    dup *= f["up"] > 0
+    g["up"], g["up_b"] = f["h1"].T @ dup, _sums(dup)
     dh1 = dh + dup @ w["up"].T
     g["o"] = f["mixed"].T @ dh1
-    dmixed = (dh1 @ w["o"].T).reshape(-1, SCORED, WIDTH)
-    a = f["a"]
-    da = dmixed @ f["v"].transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dmixed
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    dm = np.empty((len(dh1), WIDTH + 1), dh1.dtype)  # by the summed values; the last column takes each row's mean out
+    np.matmul(dh1, w["o"].T, out=dm[:, :WIDTH])
+    dm[:, WIDTH] = -np.einsum("ij,ij->i", dm[:, :WIDTH], f["mixed"])
+    dm *= f["over"]
+    dm = dm.reshape(-1, SCORED, WIDTH + 1)
+    dkv = np.empty((*inputs.shape, 2 * WIDTH), dm.dtype)
+    np.matmul(f["a"].transpose(0, 2, 1), dm[:, :, :WIDTH], out=dkv[:, :, WIDTH:])
+    ds = dm @ f["v"].transpose(0, 2, 1)
+    ds *= f["a"]
     dq = (ds @ f["k"]).reshape(-1, WIDTH) * _SCALE
-    dk = ds.transpose(0, 2, 1) @ f["q"]
-    x = f["x"]
-    xq = np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, WIDTH)
-    flat, dk, dv = x.reshape(-1, WIDTH), dk.reshape(-1, WIDTH), dv.reshape(-1, WIDTH)
-    g["q"], g["k"], g["v"] = xq.T @ dq, flat.T @ dk, flat.T @ dv
-    dx = (dk @ w["k"].T + dv @ w["v"].T).reshape(x.shape)
+    np.matmul(ds.transpose(0, 2, 1), f["q"], out=dkv[:, :, :WIDTH])
+    flat, dkv = f["x"].reshape(-1, WIDTH), dkv.reshape(-1, 2 * WIDTH)
+    g["q"], of_kv = f["xq"].T @ dq, flat.T @ dkv
+    g["k"], g["v"] = of_kv[:, :WIDTH], of_kv[:, WIDTH:]
+    dx = (dkv @ np.concatenate([w["k"], w["v"]], axis=1).T).reshape(f["x"].shape)
     dx[:, CONTEXT:] += (dq @ w["q"].T + dh1).reshape(-1, SCORED, WIDTH)
     g["place"] = dx.sum(axis=0)
-    ids = inputs.ravel()
+    dx = dx.reshape(-1, WIDTH)
     if "own" in w:
-        rare = np.flatnonzero(ids >= TAIL)
-        g["own"] = _summed_rows(ids[rare] - TAIL, dx.reshape(-1, WIDTH)[rare])
-    rows, sums = _summed_rows(np.where(ids < TAIL, ids, ESCAPE), dx.reshape(-1, WIDTH))
+        g["own"] = _summed_rows(inputs.ravel()[f["rare"]] - TAIL, dx[f["rare"]])
+    rows, sums = _summed_rows(f["ids"], dx)
+    g["embed"] = np.zeros_like(w["embed"])
     g["embed"][rows] = sums
     g["embed"][PAD] = 0
-    return float(loss) / max(n, 1), g
+    return float(loss) / n, g, tail
+
+
+def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, Gradients]:
+    """Mean negative log probability of the targets of some windows, and its gradients."""
+    loss, g, tail = _gradients(w, inputs, targets)
+    if tail:
+        classes, table, bias = _tail_sums(*tail)
+        g["tail"], g["tail_b"] = (classes, table), (classes, bias)
+    return loss, g
 
 
 class Trainer:
-    """Adam over the windows of one lot of texts after the other, each in a seeded order; its moments are kept from lot to lot."""
+    """Adam over the windows of one lot of texts after the other, each in a seeded order; its moments are kept from lot to lot.
+
+    The tail's places take one step a lot, for all of its tail numbers: they are too many for a step with each batch.
+    """
 
     def __init__(self, w: Weights, rate: float, seed: int) -> None:
         self.w = {k: x.copy() for k, x in w.items()}
         self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-        self.rate, self.rng, self.step, self.seen = rate, np.random.default_rng(seed), 0, 0
+        self.rate, self.rng, self.step, self.lots, self.seen = rate, np.random.default_rng(seed), 0, 0, 0
 
     def learn(self, numbers: np.ndarray, first: np.ndarray) -> None:
         inputs, targets, _ = windows(numbers, first)
         order = self.rng.permutation(len(inputs))
-        at = 0
+        at, tails = 0, []
         while at < len(order):
-            of = order[at : at + min(LARGEST_BATCH, SMALLEST_BATCH + self.step // STEPS_A_WINDOW)]
+            of = order[at : at + min(LARGEST_BATCH, SMALLEST_BATCH + 4 * self.step)]
             at += len(of)
-            _, g = gradients(self.w, inputs[of], targets[of])
+            _, g, tail = _gradients(self.w, inputs[of], targets[of])
             self.step += 1
-            down, across = 1 - 0.9**self.step, 1 - 0.99**self.step
-            for k, w in self.w.items():
-                m, v = self.m[k], self.v[k]
-                rows, x = g[k] if isinstance(g[k], tuple) else (..., g[k])  # untouched rows of a large table stand still
-                m[rows] += 0.1 * (x - m[rows])
-                v[rows] += 0.01 * (x * x - v[rows])
-                w[rows] -= self.rate * (m[rows] / down) / (np.sqrt(v[rows] / across) + 1e-8)
+            self._adam(g, self.step)
+            if tail and len(tail[0]):
+                tails.append(tail)
+        if tails:
+            self.lots += 1
+            classes, table, bias = _tail_sums(*(np.concatenate(x) for x in zip(*tails, strict=True)))
+            self._adam({"tail": (classes, table), "tail_b": (classes, bias)}, self.lots)
         self.seen += len(numbers)
+
+    def _adam(self, g: Gradients, step: int) -> None:
+        down, across = 1 - 0.9**step, 1 - 0.99**step
+        for k, x in g.items():
+            w, m, v = self.w[k], self.m[k], self.v[k]
+            rows, x = x if isinstance(x, tuple) else (..., x)  # untouched rows of a large table stand still
+            m[rows] += 0.1 * (x - m[rows])
+            v[rows] += 0.01 * (x * x - v[rows])
+            w[rows] -= self.rate * (m[rows] / down) / (np.sqrt(v[rows] / across) + 1e-8)

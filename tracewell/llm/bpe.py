@@ -118,6 +118,22 @@ class Coder:
         rest = iter(odd)
         return [b"".join([words[w] for w in ws] if ws is not None else [others[w] for w in next(rest)]) for ws in plain]
 
+    def encode_words(self, words: list[str], most: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each after one space, in a row, and where each word's start; none of the words has a space."""
+        flat, counts = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+        for at in range(0, len(words), most):
+            some = words[at : at + most]
+            text = " " + " ".join(some)
+            if _GAP.search(text) or any(x in text for x in self.special):
+                raw = self.encode_parts([" " + w for w in some])
+                flat.append(np.frombuffer(b"".join(raw), "<u4").astype(np.int64))
+                counts.append(np.array([len(x) // 4 for x in raw]))
+            else:
+                flat.append(np.array(self._row(text), np.int64))
+                sizes = np.fromiter((len(w.encode()) + 1 for w in some), np.int64, len(some))
+                counts.append(np.diff(np.searchsorted(np.cumsum(self.lengths[flat[-1]]), np.cumsum(sizes)) + 1, prepend=0))
+        return np.concatenate(flat), np.cumsum(np.concatenate(counts))
+
     def encode(self, texts: list[bytes], cuts: list[np.ndarray]) -> list[bytes]:
         """Ids of whole texts in UTF-8, each cut at the given places."""
         if self.chunk_bytes > MAX_CHUNK_BYTES:

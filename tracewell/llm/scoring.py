@@ -1,13 +1,14 @@
 """Scoring texts by a causal self-attention model over subword numbers, beside a unigram base.
 
-Documents are dealt into groups by a hash, once.  Each group reports its distinct words with their
-training counts; sums over all groups go back to the groups that have the word, so no task and no
-broadcast holds the corpus's words.  A group is then scored with its words' counts at hand: the base
-from the counts, the model from the words' subword ids, each distinct word of a group encoded once.
-
-The model (attention.py) is trained before that in one pass over every training document: each round deals
-its part of them to trainers, more as there are more documents, whose weights are averaged piece by piece
-in tasks, and the next round begins with these.  Weights and subword counts have a fixed size.
+Documents are dealt into groups by a hash, once, and each group is encoded once: its distinct words with
+their subword ids and their training counts, and the row of its words.  What follows reads these, not the texts.
+Groups send their words in buckets, by hash; sums over all groups go back to the groups that have the word, so no
+task and no broadcast holds the corpus's words.  A group is then scored with its words' counts at hand: the base
+from the counts, the model from the words' subword ids.
+
+The model (attention.py) is trained before that in one pass over every training document: in each round every group
+learns from its part of them, the weights are averaged piece by piece in tasks, and the next round begins with these.
+Weights and subword counts have a fixed size.
 """
 
 from __future__ import annotations
@@ -25,17 +26,19 @@ from . import attention, bpe
 from .session import checkpoint, shuffle_width
 from .textvec import Slice, signed, slices, text_of
 
-TRAINERS = 8  # if each has LEAST_DOCS; more if these would have over MOST_DOCS
-LEAST_DOCS, MOST_DOCS = 1000, 16000
 PIECE = 1 << 14
 LOT = 200_000  # tokens whose windows are mixed before they are learned from
 UNIT_BITS = 24
 UNIT = 1 << UNIT_BITS
 GROUP_BYTES = 16 << 20  # of text in a group, about
-RATES = (5e-3, 4e-3, 2e-3, 7e-4)
-END, TOKENS, TYPES = 1, 2, 3  # keys of a group's table that are no word's hash
+BUCKET_BYTES = 128 << 20  # of text whose words are in a bucket, about
+AT_ONCE = 1 << 19  # tokens of documents that are scored together
+RATES = (1.5e-2, 1e-2, 5e-3, 2e-3)
 LOG10 = math.log(10)
-COUNTS = "grp int, word long, n long"
+#: Documents in order: id, whether it is null, held out, key, number of words; the words' places in the list of words.
+#: Words: hash, training count, ids with their starts.
+BLOBS = {"doc_id": "<i8", "no_id": "?", "held_out": "?", "key": "<i8", "n_words": "<i8", "which": "<u4", "word": "<i8", "count": "<i8", "ids": "<u4", "start": "<u4"}
+ENCODED = "grp int, " + ", ".join(f"{k} binary" for k in BLOBS)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -49,66 +52,83 @@ def _words(s: Slice) -> np.ndarray:
     return signed(s.hash_words(lower=True))
 
 
-def _summed(grp: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((word, grp))
-    grp, word, n = grp[order], word[order], n[order]
-    edge = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (grp[1:] != grp[:-1]))) if len(grp) else np.zeros(0, np.int64)
-    return grp[edge], word[edge], np.add.reduceat(n, edge) if len(edge) else n
+def _blobs(**arrays: np.ndarray) -> dict[str, pa.Array]:
+    """Each array's length in bytes, and the array compressed, its entries' first bytes before all second ones."""
+    raw = {k: np.ascontiguousarray(x.astype(BLOBS[k])).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b"" for k, x in arrays.items()}
+    return {k: pa.array([len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True)], pa.binary()) for k, x in raw.items()}
+
+
+def _array(blob: bytes, kind: str) -> np.ndarray:
+    raw = pa.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _row(batch: pa.RecordBatch | pa.Table, at: int) -> dict[str, np.ndarray]:
+    """The arrays of a group's row, as far as they are there."""
+    names = batch.schema.names
+    return {k: _array(batch.column(names.index(k))[at].as_py(), BLOBS[k]) for k in names if k in BLOBS}
+
+
+def _encoded(table: pa.Table, vocabulary: str) -> dict[str, pa.Array]:
+    """A group's documents (doc_id, held_out, key, text) as the columns of ENCODED."""
+    hashes, n_words, starts, ends, bodies, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
+    for s in slices(text_of(table.column("text"))):
+        hashes.append(_words(s))
+        n_words.append(s.n_words)
+        starts.append(s.start + size)
+        ends.append(s.end + size)
+        bodies.append(s.data.tobytes())
+        size += len(bodies[-1])
+    hashes, n_words, starts, ends = (np.concatenate(x) for x in (hashes, n_words, starts, ends))
+    word, first, which, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")  # frequent words have small places, which take less room
+    word, first = word[order], first[order]
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    which = place[which]
+    body = b"".join(bodies)
+    spelled = [body[lo:hi].lower().decode() for lo, hi in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    ids, start = bpe.coder(vocabulary).encode_words(spelled)
+    held = table.column("held_out").to_numpy().astype(bool)
+    count = np.bincount(which[~np.repeat(held, n_words)], minlength=len(word))
+    doc_id = table.column("doc_id").combine_chunks()
+    return _blobs(
+        doc_id=doc_id.fill_null(0).to_numpy(), no_id=doc_id.is_null().to_numpy(zero_copy_only=False), held_out=held, key=table.column("key").to_numpy(), n_words=n_words,
+        which=which, word=word, count=count, ids=ids, start=start,
+    )
+
+
+def encode_groups(vocabulary: str):
+    """Each run of rows of a group becomes one row of ENCODED."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = ((int(batch.column(0)[lo].as_py()), batch.slice(lo, hi - lo)) for batch in batches for lo, hi in _runs(batch.column(0).to_numpy()))
+        for grp, own in groupby(parts, key=lambda x: x[0]):
+            columns = _encoded(pa.Table.from_batches([x for _, x in own]), vocabulary)
+            yield pa.record_batch([pa.array([grp], pa.int32()), *(columns[k] for k in BLOBS)], names=["grp", *BLOBS])
 
-def count_words(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """(grp, word, n): the words of each group with how often training documents have them, ends included."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    return run
 
-    def rows(parts) -> pa.RecordBatch:
-        grp, word, n = parts
-        return pa.record_batch([pa.array(grp.astype(np.int32)), pa.array(word), pa.array(n)], names=["grp", "word", "n"])
 
-    for batch in batches:
-        group = batch.column("grp").to_numpy(zero_copy_only=False)
-        train = 1 - batch.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64)
-        held.append(_summed(group, np.full(len(group), END, np.int64), train))
-        for s in slices(text_of(batch.column("text"))):
-            word = _words(s)
-            held.append(_summed(group[s.lo + s.doc], word, train[s.lo + s.doc]))
-            if sum(len(x[0]) for x in held) > most:
-                held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                if len(held[0][0]) > most // 2:
-                    yield rows(held.pop())
-    if held:
-        yield rows(_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
-
-
-def _sequences(words: list[str], coder: bpe.Coder, number_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of each word's subwords in a row, and where each word starts."""
-    raw: list[bytes] = []
-    for at in range(0, len(words), 5000):
-        raw += coder.encode_parts([" " + w for w in words[at : at + 5000]])
-    start = np.zeros(len(words) + 1, np.int64)
-    np.cumsum([len(x) // 4 for x in raw], out=start[1:])
-    return number_of[np.frombuffer(b"".join(raw), "<u4")], start
-
-
-class Encoded:
-    """A slice of texts with its distinct words and their subword numbers."""
-
-    def __init__(self, s: Slice, vocabulary: str, number_of: np.ndarray) -> None:
-        self.slice = s
-        self.words, first, self.which = np.unique(_words(s), return_index=True, return_inverse=True)
-        spelled = [s.data[lo:hi].tobytes().lower().decode() for lo, hi in zip(s.start[first].tolist(), s.end[first].tolist(), strict=True)]
-        self.flat, self.start = _sequences(spelled, bpe.coder(vocabulary), number_of)
-
-    def numbers(self, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of the rows, each closed by the end, and where each row starts."""
-        s = self.slice
-        n = np.diff(self.start)[self.which]
-        first = np.zeros(s.rows + 1, np.int64)
-        np.cumsum(np.bincount(s.doc, weights=n, minlength=s.rows).astype(np.int64) + 1, out=first[1:])
-        out = np.full(first[-1], end, np.int64)
-        before = np.cumsum(n) - n
-        within = np.arange(n.sum()) - np.repeat(before, n)
-        out[np.repeat(before + s.doc, n) + within] = self.flat[np.repeat(self.start[self.which], n) + within]
-        return out, first
+def _numbers(row: dict[str, np.ndarray], number_of: np.ndarray, end: int, docs: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of some documents of a group, each closed by the end, and where each starts."""
+    n_words, which = row["n_words"], row["which"]
+    if isinstance(docs, slice):
+        edge = np.append(0, np.cumsum(n_words))
+        lo, hi, _ = docs.indices(len(n_words))
+        n_words, which = n_words[lo:hi], which[edge[lo] : edge[hi]]
+    else:
+        n_words, which = n_words[docs], which[np.repeat(docs, n_words)]
+    flat, start = number_of[row["ids"]], row["start"].astype(np.int64)
+    n = np.diff(start).take(which)
+    doc = np.repeat(np.arange(len(n_words)), n_words)
+    first = np.zeros(len(n_words) + 1, np.int64)
+    np.cumsum(np.bincount(doc, weights=n, minlength=len(n_words)).astype(np.int64) + 1, out=first[1:])
+    out = np.full(first[-1], end, np.int64)
+    before = np.cumsum(n) - n
+    within = np.arange(n.sum())
+    out[within + np.repeat(doc, n)] = flat.take(within + np.repeat(start.take(which) - before, n))
+    return out, first
 
 
 def _end_id(vocabulary: str) -> int:
@@ -117,14 +137,15 @@ def _end_id(vocabulary: str) -> int:
 
 
 def count_subwords(vocabulary: str):
+    """(id, n): how often training documents have each id, their ends included."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(bpe.coder(vocabulary).pieces)
         for batch in batches:
             count = np.zeros(size, np.int64)
-            count[_end_id(vocabulary)] += batch.num_rows
-            for s in slices(text_of(batch.column(0))):
-                e = Encoded(s, vocabulary, np.arange(size))
-                count += np.bincount(e.flat, weights=np.repeat(np.bincount(e.which, minlength=len(e.words)), np.diff(e.start)), minlength=size).astype(np.int64)
+            for row in (_row(batch, at) for at in range(batch.num_rows)):
+                count[_end_id(vocabulary)] += (~row["held_out"]).sum()
+                count += np.bincount(row["ids"], weights=np.repeat(row["count"], np.diff(row["start"].astype(np.int64))), minlength=size).astype(np.int64)
             some = np.flatnonzero(count)
             yield pa.record_batch([pa.array(some), pa.array(count[some])], names=["id", "n"])
 
@@ -167,25 +188,25 @@ def _lots(parts: Iterator[tuple[np.ndarray, np.ndarray]], tokens: int) -> Iterat
         yield held, np.append(0, np.cumsum(sizes))
 
 
-def train_part(model: Model, vocabulary: str, rate: float, seed: int):
-    """(piece, seen, high, low): what a pass over each trainer's texts adds to the weights, times its tokens, in whole 2**-24ths.
+def train_part(model: Model, k: int):
+    """(piece, seen, high, low): what a group's documents of round k add to the weights, times their tokens, in whole 2**-24ths.
 
-    Rows are (trainer, text), in the order in which they are learned from; the split into batches changes nothing.
+    A group's documents are learned from in the order of its row.
     """
 
-    def change(texts: Iterator[pa.Array]) -> pa.RecordBatch:
-        trainer = attention.Trainer(attention.unflatten(model.weights, model.tail), rate, seed)
-        parts = (Encoded(s, vocabulary, model.number_of).numbers(model.end) for x in texts for s in slices(text_of(x)))
-        for numbers, first in _lots(parts, LOT):
+    def change(row: dict[str, np.ndarray]) -> pa.RecordBatch:
+        trainer = attention.Trainer(attention.unflatten(model.weights, model.tail), RATES[k], k)
+        part = ~row["held_out"] & (row["key"] % len(RATES) == k)
+        for numbers, first in _lots(iter([_numbers(row, model.number_of, model.end, part)]), LOT):
             trainer.learn(numbers, first)
         added = np.rint((attention.flatten(trainer.w) - model.weights).astype(np.float64) * UNIT).astype(np.int64) * trainer.seen
         pieces = [added[at : at + PIECE] for at in range(0, len(added), PIECE)]
         return _pieces({k: (trainer.seen, x >> UNIT_BITS, x & (UNIT - 1)) for k, x in enumerate(pieces)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = ((int(batch.column(0)[lo].as_py()), batch.column(1).slice(lo, hi - lo)) for batch in batches for lo, hi in _runs(batch.column(0).to_numpy()))
-        for _, own in groupby(texts, key=lambda x: x[0]):
-            yield change(x for _, x in own)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                yield change(_row(batch, at))
 
     return run
 
@@ -212,60 +233,84 @@ def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pieces(sums)
 
 
-def fit(texts: DataFrame, docs: int, vocabulary: str) -> Model:
-    """Train on texts (key long, text), which has `docs` rows: each is learned from once, in the round of its key.
+def fit(groups: DataFrame, vocabulary: str) -> Model:
+    """Train on the training documents of groups (ENCODED): each is learned from once, in the round of its key.
 
-    Trainers and the order of their texts follow from the rows alone, and sums are of whole numbers, so that lost tasks and
+    Groups and the order of their documents follow from the rows alone, and sums are of whole numbers, so that lost tasks and
     other partitions give the same weights.
     """
-    counts = texts.select("text").mapInArrow(count_subwords(vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = groups.select("held_out", "count", "ids", "start").mapInArrow(count_subwords(vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     model = Model({r["id"]: r["n"] for r in counts.collect()}, vocabulary)  # as many rows as the vocabulary has ids
-    trainers = max(1, min(TRAINERS, docs // LEAST_DOCS), docs // MOST_DOCS)
-    pieces, width = "piece int, seen long, high binary, low binary", min(TRAINERS, shuffle_width(texts.sparkSession))
-    slot = F.pmod(F.floor(F.col("key") / len(RATES)), F.lit(trainers)).cast("int")
-    for k, rate in enumerate(RATES):
-        part = texts.filter(F.pmod("key", F.lit(len(RATES))) == k).select(slot.alias("trainer"), "key", "text")
-        ordered = part.repartitionByRange(trainers, "trainer").sortWithinPartitions("trainer", "key", "text").select("trainer", "text")
-        sums = ordered.mapInArrow(train_part(model, vocabulary, rate, k), pieces).repartition(width, "piece").mapInArrow(add_up, pieces)
+    pieces, width = "piece int, seen long, high binary, low binary", min(8, shuffle_width(groups.sparkSession))
+    learned = groups.select("held_out", "key", "n_words", "which", "ids", "start")
+    for k in range(len(RATES)):
+        sums = learned.mapInArrow(train_part(model, k), pieces).repartition(width, "piece").mapInArrow(add_up, pieces)
         got = sorted((r["piece"], r["seen"], bytes(r["high"]), bytes(r["low"])) for r in sums.collect())  # the size of the weights
-        if got:
+        if got and got[0][1]:
             high, low = (np.concatenate([np.frombuffer(x[at], np.int64) for x in got]).astype(np.float64) for at in (2, 3))
             model.weights = (model.weights + (high + low / UNIT) / got[0][1]).astype(np.float32)
             model.seen += got[0][1]
     return model
 
 
-def score_group(shared, vocabulary: str):
-    def run(docs: pa.Table, table: pa.Table) -> pa.Table:
+def _buckets(word: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words' order by bucket, and where each bucket's begin."""
+    bucket = word.view(np.uint64) % np.uint64(buckets)
+    return np.argsort(bucket, kind="stable"), np.append(0, np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets)))
+
+
+def deal_words(buckets: int):
+    """(bucket, grp, word, count): each group's words with their counts, a row for each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = _row(batch, at)
+                order, edge = _buckets(row["word"], buckets)
+                word, count = row["word"][order], row["count"][order].astype("<i4")  # in a group of bounded size
+                some = np.flatnonzero(np.diff(edge)).tolist()
+                blobs = ([x[edge[b] : edge[b + 1]].tobytes() for b in some] for x in (word, count))
+                yield pa.record_batch([pa.array(some, pa.int32()), pa.array([batch.column(0)[at].as_py()] * len(some), pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "grp", "word", "count"])
+
+    return run
+
+
+def add_counts(table: pa.Table) -> pa.Table:
+    """A bucket's words summed over all groups: (grp, bucket, total) for each group, and the bucket's tokens and types in the first row."""
+    word = [np.frombuffer(x, np.int64) for x in table.column("word").to_pylist()]
+    count = np.concatenate([np.frombuffer(x, "<i4") for x in table.column("count").to_pylist()])
+    _, which = np.unique(np.concatenate(word), return_inverse=True)
+    total = np.bincount(which, weights=count).astype(np.int64)  # exact below 2**53
+    ends = np.cumsum([len(x) for x in word])
+    totals = [x.tobytes() for x in np.split(total[which], ends[:-1])]
+    once = [np.zeros(len(word), np.int64) for _ in range(2)]
+    once[0][0], once[1][0] = total.sum(), (total > 0).sum()
+    return pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), "total": pa.array(totals, pa.binary()), "tokens": once[0], "types": once[1]})
+
+
+def score_group(shared, buckets: int, tokens: int, types: int, ends: int):
+    def run(group: pa.Table, totals: pa.Table) -> pa.Table:
         model: Model = shared.value
         weights = attention.unflatten(model.weights, model.tail)
-        key, total = table.column("word").to_numpy(), table.column("total").to_numpy()
-        order = np.argsort(key)
-        key, total = key[order], total[order]
-        tokens, types, ends = (int(total[np.searchsorted(key, k)]) for k in (TOKENS, TYPES, END))
         scale = math.log10(tokens + 0.1 * (types + 1))
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for s in slices(text_of(docs.column("text"))):
-            e = Encoded(s, vocabulary, model.number_of)
-            which = e.which
-            count = total[np.searchsorted(key, e.words)] if len(e.words) else np.zeros(0, np.int64)
-            base = np.log10(count + 0.1) - scale
-            numbers, first = e.numbers(model.end)
-            logs = attention.log_probabilities(weights, numbers, first)
-            values = (
-                s.n_words + 1,
-                np.bincount(s.doc[count[which] > 0], minlength=s.rows) + (ends > 0),
-                np.bincount(s.doc, weights=base[which], minlength=s.rows) + math.log10(ends + 0.1) - scale,
-                logs / LOG10,
-            )
-            for column, value in zip(out, values, strict=True):
-                column.append(value)
-        joined = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        n = docs.num_rows
+        row = _row(group, 0)
+        order, edge = _buckets(row["word"], buckets)
+        total = np.zeros(len(row["word"]), np.int64)
+        for b, x in zip(totals.column("bucket").to_pylist(), totals.column("total").to_pylist(), strict=True):
+            total[order[edge[b] : edge[b + 1]]] = np.frombuffer(x, np.int64)
+        n_words, which = row["n_words"], row["which"]
+        doc = np.repeat(np.arange(len(n_words)), n_words)
+        logs = [np.zeros(0)]
+        size = np.cumsum(np.bincount(doc, weights=np.diff(row["start"].astype(np.int64)).take(which), minlength=len(n_words)) + 1)
+        cuts = np.unique(np.append(np.searchsorted(size, np.arange(0, size[-1], AT_ONCE)), len(size)))
+        for lo, hi in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            logs.append(attention.log_probabilities(weights, *_numbers(row, model.number_of, model.end, slice(lo, hi))))
+        base = np.bincount(doc, weights=(np.log10(total + 0.1) - scale).take(which), minlength=len(n_words)) + math.log10(ends + 0.1) - scale
+        known = np.bincount(doc, weights=(total > 0).take(which), minlength=len(n_words)).astype(np.int64) + (ends > 0)
         return pa.table(
             {
-                "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(joined[0].astype(np.int64)), "n_known": pa.array(joined[1].astype(np.int64)),
-                "train_tokens": pa.array(np.full(n, tokens, np.int64)), "base_score": pa.array(joined[2].astype(np.float64)), "score": pa.array(np.round(joined[3].astype(np.float64), 4)),
+                "doc_id": pa.array(row["doc_id"], mask=row["no_id"]), "held_out": row["held_out"], "n_tokens": n_words + 1, "n_known": known,
+                "train_tokens": np.full(len(n_words), tokens), "base_score": base, "score": np.round(np.concatenate(logs) / LOG10, 4),
             }
         )
 
@@ -281,20 +326,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     vocabulary = vocabulary or bpe.default_vocabulary()
     spark = docs.sparkSession
-    width = shuffle_width(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text.alias("text"))
-    n, size = rows.agg(F.count_if(~F.col("held_out")), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    key = F.pmod(F.xxhash64(F.lit("model"), "doc_id", "text"), F.lit(1 << 40))
-    model = fit(rows.filter(~F.col("held_out")).select(key.alias("key"), "text"), n, vocabulary)
-    groups = max(width, 1 + size // GROUP_BYTES)
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).repartition(width, "grp")
-    words = checkpoint(dealt.sortWithinPartitions("grp").mapInArrow(count_words, COUNTS))
-    totals = words.groupBy(F.bitwise_not("word").alias("_key")).agg(F.sum("n").alias("total"))  # by another key, so that Spark can split the join's exchanges
-    totals = totals.select(F.bitwise_not("_key").alias("word"), "total")
-    overall = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("tokens"), F.count_if(F.col("total") > 0).alias("types"))
-    overall = overall.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    scalars = overall.select("grp", F.explode(F.create_map(F.lit(TOKENS).cast("long"), "tokens", F.lit(TYPES).cast("long"), "types")).alias("word", "total"))
-    tables = words.select("grp", "word").join(totals, "word").select("grp", "word", "total").unionByName(scalars)
+    ends, size = rows.agg(F.count_if(~F.col("held_out")), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_groups, buckets = 1 + size // GROUP_BYTES, 1 + size // BUCKET_BYTES
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    dealt = rows.withColumn("key", key).withColumn("grp", F.pmod(F.floor(F.col("key") / len(RATES)), F.lit(n_groups)).cast("int"))
+    dealt = dealt.repartitionById(n_groups, "grp").sortWithinPartitions("grp", "key", "text", "doc_id")
+    groups = checkpoint(dealt.select("grp", "doc_id", "held_out", "key", "text").mapInArrow(encode_groups(vocabulary), ENCODED))
+    model = fit(groups, vocabulary)
+    words = groups.select("grp", "word", "count").mapInArrow(deal_words(buckets), "bucket int, grp int, word binary, count binary")
+    totals = checkpoint(words.groupBy("bucket").applyInArrow(add_counts, "grp int, bucket int, total binary, tokens long, types long"))
+    tokens, types = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     shared = spark.sparkContext.broadcast(model)  # weights and one number for each vocabulary id: fixed size
-    return dealt.groupBy("grp").cogroup(tables.groupBy("grp")).applyInArrow(score_group(shared, vocabulary), RESULT)
+    score = score_group(shared, buckets, tokens + ends, types + (ends > 0), ends)
+    return groups.drop("key", "count").groupBy("grp").cogroup(totals.select("grp", "bucket", "total").groupBy("grp")).applyInArrow(score, RESULT)
